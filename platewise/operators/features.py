@@ -38,12 +38,17 @@ def add_calendar(df: DataFrame, date_col: str = "date") -> DataFrame:
 def require_working_days(df: DataFrame, date_col: str = "date", strict: bool = True) -> DataFrame:
     """FLT-3: working days only.
 
-    ``strict`` fails the job on a weekend date (``assert_true`` raises inside
-    the task); otherwise weekend rows are filtered out.
+    ``strict`` raises ``ValueError`` when any weekend date is present. The
+    check is a ``limit(1)`` probe (one row at most reaches the driver); an
+    ``assert_true`` filter is not used because the optimizer may copy it to
+    the other side of a later join, where weekend rows are legitimate.
+    Otherwise weekend rows are filtered out.
     """
     ok = F.weekday(F.col(date_col)) < 5
     if strict:
-        return df.filter(F.assert_true(ok, F.lit("dates must only contain weekdays (Mon–Fri)")).isNull())
+        if df.filter(~ok).select(date_col).limit(1).count() > 0:
+            raise ValueError("dates must only contain weekdays (Mon–Fri)")
+        return df
     return df.filter(ok)
 
 
@@ -115,12 +120,15 @@ def fill_day_flags(df: DataFrame, flags: Sequence[str] = ("is_school_break", "is
 def missing_weather(df: DataFrame, strict: bool = False) -> DataFrame:
     """FLT-6: rows lacking temperature or condition.
 
-    Returns the offending rows; ``strict`` turns any such row into a job
-    failure instead (the training guard).
+    Returns the offending rows; ``strict`` raises ``ValueError`` naming up to
+    ten offending dates instead (the training guard).
     """
     bad = F.col("temperature_max").isNull() | F.col("weather_condition").isNull()
     if strict:
-        return df.filter(F.assert_true(~bad, F.lit("missing weather data")).isNull())
+        sample = [r[0] for r in df.filter(bad).select("date").orderBy("date").limit(10).collect()]
+        if sample:
+            raise ValueError(f"Missing weather data for dates: {sample}")
+        return df
     return df.filter(bad)
 
 
