@@ -215,3 +215,73 @@ def last_prediction_info(predictions: DataFrame, ts_col: str = "prediction_times
         F.max_by("date", F.struct(F.col(ts_col), F.col("date"))).alias("end_date"),
     )
     return g
+
+
+def _unit_start(d: Column, unit: str) -> Column:
+    return F.date_trunc(unit, d).cast("date")
+
+
+def _unit_shift(start: Column, unit: str, k: int) -> Column:
+    return F.add_months(start, k) if unit == "month" else F.date_add(start, 7 * k)
+
+
+def _unit_end(start: Column, unit: str) -> Column:
+    # a month ends on its last day; a working week runs Monday to Friday
+    return F.last_day(start) if unit == "month" else F.date_add(start, 4)
+
+
+def period_over_period_all(predictions: DataFrame, actuals: DataFrame, unit: str = "month",
+                           keys: Sequence[str] = ("date",), **kw) -> DataFrame:
+    """AGG-10 for every period at once (``unit`` = ``month`` or ``week``).
+
+    For each calendar period P = [start, end] the previous period is the
+    equally long span right before it: [start - 1 - (end - start), start - 1].
+    Each joined row is tagged with the period it belongs to and with the (at
+    most two) later periods whose previous span contains it; an
+    ``explode`` of that bounded array replaces a range join. Metrics per
+    (site?, period) then come from one grouped aggregate.
+    """
+    if unit not in ("month", "week"):
+        raise ValueError("unit must be 'month' or 'week'")
+    site = [k for k in keys if k != "date"]
+    j = join_actuals(predictions, actuals, keys=keys, with_errors=False)
+    d = F.col("date")
+    own = _unit_start(d, unit)
+    tags = [F.struct(own.alias("period_start"), F.lit(True).alias("cur"))]
+    for k in (1, 2):
+        n_start = _unit_shift(own, unit, k)
+        n_end = _unit_end(n_start, unit)
+        prev_start = F.date_sub(F.date_sub(n_start, 1), F.datediff(n_end, n_start))
+        tags.append(F.when(d >= prev_start, F.struct(n_start.alias("period_start"), F.lit(False).alias("cur"))))
+    t = j.select(*site, "date", "actual_meals", "final_prediction",
+                 F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("_t"))
+    t = t.select(*site, "actual_meals", "final_prediction", "_t.period_start", "_t.cur")
+    tol = kw.get("tolerance", 0.05)
+    tol_pct = tol if kw.get("tolerance_unit", "percent") == "percent" else tol * 100.0
+    aggs = []
+    for tag, cond in (("cur", F.col("cur")), ("prev", ~F.col("cur"))):
+        a = F.when(cond, F.col("actual_meals"))
+        p = F.when(cond, F.col("final_prediction"))
+        pct = F.abs(a - p).cast("double") / F.nullif(p, F.lit(0)).cast("double") * F.lit(100.0)
+        hit = F.when(cond, F.when(F.coalesce(pct <= F.lit(float(tol_pct)), F.lit(False)), F.lit(1.0))
+                     .otherwise(F.lit(0.0)))
+        aggs += [
+            F.count_if(cond).alias(f"{tag}_rows"),
+            F.avg(F.abs(a - p)).alias(f"{tag}_mae"),
+            F.count_if(cond & (p > a)).alias(f"{tag}_over"),
+            F.count_if(cond & (p < a)).alias(f"{tag}_under"),
+            (F.avg(hit) * F.lit(100.0)).alias(f"{tag}_acc"),
+        ]
+    g = t.groupBy(*site, "period_start").agg(*aggs).filter(F.col("cur_rows") > 0)
+    has_prev = F.col("prev_rows") > 0
+    end = _unit_end(F.col("period_start"), unit)
+    return g.select(
+        *site, "period_start", end.alias("period_end"),
+        F.col("cur_rows").alias("rows"), "prev_rows",
+        F.col("cur_mae").alias("mae"), F.col("cur_acc").alias("accuracy_rate"),
+        F.col("cur_over").alias("over_predicted"), F.col("cur_under").alias("under_predicted"),
+        F.when(has_prev, F.col("cur_mae") - F.col("prev_mae")).alias("mae_delta"),
+        F.when(has_prev, F.col("cur_acc") - F.col("prev_acc")).alias("accuracy_delta"),
+        F.when(has_prev, F.col("cur_over") - F.col("prev_over")).alias("over_delta"),
+        F.when(has_prev, F.col("cur_under") - F.col("prev_under")).alias("under_delta"),
+    )

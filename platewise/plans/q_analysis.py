@@ -3,6 +3,8 @@ PRJ-5/6, AGG-1...4)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from platewise import fixtures as fx
 from platewise.operators import compare as C
 from platewise.plans.catalog import register
@@ -72,3 +74,205 @@ def agg_metrics_fraction(spark, sf):
     a = fx.actual_sales(spark, sf)
     j = C.join_actuals(fx.predictions(spark, sf, a), a)
     return C.metrics(j, by=["weekday"], tolerance=0.05, tolerance_unit="fraction")
+
+
+# --- FLT-1 / FLT-2 / SRC-4 ----------------------------------------------------
+RANGE = ("1996-01-01", "1999-12-31")
+AS_OF = "2001-06-13"
+
+
+@register("flt_date_range", f"""
+SELECT * FROM predictions WHERE date BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}'""")
+def flt_date_range(spark, sf):
+    """FLT-1: inclusive date range, pushed to the scan."""
+    return C.date_range(fx.predictions(spark, sf), *RANGE)
+
+
+@register("flt_from_monday", f"""
+SELECT * FROM predictions WHERE date >= CAST(date_trunc('week', DATE '{AS_OF}') AS DATE)""")
+def flt_from_monday(spark, sf):
+    """FLT-2: from Monday of the as-of week on, no upper bound (Q16)."""
+    return C.from_week_start(fx.predictions(spark, sf), AS_OF)
+
+
+@register("src_param_sql", f"""
+SELECT * FROM holidays WHERE date >= DATE '{RANGE[0]}' AND date <= DATE '{RANGE[1]}'""")
+def src_param_sql(spark, sf):
+    """SRC-4: parameterised SQL over a catalog view with bound named args."""
+    from platewise.sources.tables import param_sql
+    fx.holidays(spark, sf).createOrReplaceTempView("pw_holidays")
+    return param_sql(spark, "SELECT * FROM pw_holidays WHERE date >= :start_date AND date <= :end_date",
+                     start_date=RANGE[0], end_date=RANGE[1])
+
+
+# --- JON-4 / JON-8 / AGG-11 -----------------------------------------------------
+@register("jon_missing_actuals", """
+SELECT p.date, p.final_prediction, p.day_theme, p.predicted_meals_veg, p.predicted_meals_non_veg,
+       p.predicted_meals_salad, CAST(NULL AS BIGINT) AS actual_meals, CAST(NULL AS BIGINT) AS actual_meals_veg,
+       CAST(NULL AS BIGINT) AS actual_meals_non_veg, CAST(NULL AS DOUBLE) AS actual_meals_salad
+FROM predictions p LEFT JOIN actual_sales a ON p.date = a.date AND NOT (day(a.date) = 1)
+WHERE a.date IS NULL""")
+def jon_missing_actuals(spark, sf):
+    """JON-4: predicted days without actuals; the actuals table here lacks
+    the first day of every month (not yet imported)."""
+    a = fx.actual_sales(spark, sf)
+    imported = a.filter(F.dayofmonth("date") != 1)
+    return C.missing_actuals(fx.predictions(spark, sf, a), imported)
+
+
+def batched_predictions(spark, sf):
+    """Predictions saved in monthly batches: the batch timestamp is the last
+    day of the previous month, 08:00."""
+    p = fx.predictions(spark, sf)
+    ts = F.date_sub(F.date_trunc("month", "date").cast("date"), 1).cast("timestamp_ntz") + F.expr("INTERVAL 8 HOURS")
+    return p.withColumn("prediction_timestamp", ts)
+
+
+_BATCHED = """
+, batched AS (SELECT * REPLACE (CAST(CAST(date_trunc('month', date) AS DATE) - 1 AS TIMESTAMP)
+                                 + INTERVAL 8 HOUR AS prediction_timestamp) FROM predictions)"""
+
+
+@register("jon_latest_batch", _BATCHED + """
+SELECT * FROM batched WHERE prediction_timestamp = (SELECT max(prediction_timestamp) FROM batched)""")
+def jon_latest_batch(spark, sf):
+    """JON-8: rows of the most recent batch (scalar-subquery equality)."""
+    return C.latest_batch(batched_predictions(spark, sf))
+
+
+@register("agg_last_prediction", _BATCHED + """
+SELECT max(prediction_timestamp) AS timestamp,
+       min(date) FILTER (WHERE prediction_timestamp = (SELECT max(prediction_timestamp) FROM batched)) AS start_date,
+       max(date) FILTER (WHERE prediction_timestamp = (SELECT max(prediction_timestamp) FROM batched)) AS end_date
+FROM batched""")
+def agg_last_prediction(spark, sf):
+    """AGG-11 / SRT-2: latest batch timestamp, its first and last date."""
+    return C.last_prediction_info(batched_predictions(spark, sf))
+
+
+# --- AGG-6...9 ------------------------------------------------------------------
+@register("agg_kpis", """
+SELECT CAST(date_trunc('month', date) AS DATE) AS month_start,
+       CAST(sum(final_prediction) AS BIGINT) AS total_meals,
+       CAST(sum(predicted_meals_veg) AS BIGINT) AS total_veg,
+       CAST(sum(predicted_meals_non_veg) AS BIGINT) AS total_non_veg,
+       round(sum(predicted_meals_salad), 2) AS total_salad,
+       avg(final_prediction) AS avg_meals,
+       CAST(trunc(avg(final_prediction)) AS BIGINT) AS avg_meals_display,
+       count(*) AS days
+FROM predictions GROUP BY 1""")
+def agg_kpis(spark, sf):
+    """AGG-6 / AGG-7: forecast totals and daily mean per month."""
+    p = fx.predictions(spark, sf).withColumn("month_start", F.date_trunc("month", "date").cast("date"))
+    k = C.forecast_kpis(p, by=["month_start"])
+    return k.withColumn("total_salad", F.round("total_salad", 2))
+
+
+@register("agg_peak_day", """
+SELECT week_start, date, final_prediction, predicted_meals_veg, predicted_meals_non_veg FROM (
+  SELECT CAST(date_trunc('week', date) AS DATE) AS week_start, date, final_prediction,
+         predicted_meals_veg, predicted_meals_non_veg,
+         row_number() OVER (PARTITION BY date_trunc('week', date) ORDER BY final_prediction DESC, date) AS rn
+  FROM predictions) t WHERE rn = 1""")
+def agg_peak_day(spark, sf):
+    """AGG-8: peak day per planning week, earliest day on ties."""
+    p = fx.predictions(spark, sf).withColumn("week_start", F.date_trunc("week", "date").cast("date"))
+    return C.peak_day(p, by=["week_start"])
+
+
+@register("agg_date_bounds", """
+SELECT site_id, min(date) AS min_date, max(date) AS max_date FROM site_sales GROUP BY 1""")
+def agg_date_bounds(spark, sf):
+    """AGG-9: first and last day of history per site."""
+    return C.date_bounds(fx.site_sales(spark, sf), by=["site_id"])
+
+
+# --- AGG-10 / FN-5 / FLOW-2 -------------------------------------------------------
+def _pop_sql(unit: str) -> str:
+    start = "CAST(date_trunc('month', date) AS DATE)" if unit == "month" else "CAST(date_trunc('week', date) AS DATE)"
+    end = "CAST(last_day(period_start) AS DATE)" if unit == "month" else "period_start + 4"
+    return f"""
+, j AS (SELECT p.date, p.final_prediction AS pr, a.actual_meals AS ac {_PA}),
+per AS (SELECT DISTINCT {start} AS period_start FROM j),
+per2 AS (SELECT period_start, {end} AS period_end, period_start - 1 AS prev_end,
+                period_start - 1 - CAST({end} - period_start AS INTEGER) AS prev_start FROM per),
+t AS (SELECT per2.period_start, per2.period_end, j.date >= per2.period_start AS cur, j.ac, j.pr,
+             CASE WHEN COALESCE(CAST(abs(j.ac - j.pr) AS DOUBLE) / CAST(NULLIF(j.pr, 0) AS DOUBLE) * 100 <= 0.05, false)
+                  THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS hit
+      FROM per2 JOIN j ON j.date BETWEEN per2.prev_start AND per2.period_end),
+g AS (SELECT period_start, period_end,
+             count(*) FILTER (WHERE cur) AS cur_rows, count(*) FILTER (WHERE NOT cur) AS prev_rows,
+             avg(abs(ac - pr)) FILTER (WHERE cur) AS cur_mae, avg(abs(ac - pr)) FILTER (WHERE NOT cur) AS prev_mae,
+             count(*) FILTER (WHERE cur AND pr > ac) AS cur_over, count(*) FILTER (WHERE NOT cur AND pr > ac) AS prev_over,
+             count(*) FILTER (WHERE cur AND pr < ac) AS cur_under, count(*) FILTER (WHERE NOT cur AND pr < ac) AS prev_under,
+             avg(hit) FILTER (WHERE cur) * 100 AS cur_acc, avg(hit) FILTER (WHERE NOT cur) * 100 AS prev_acc
+      FROM t GROUP BY 1, 2)
+SELECT period_start, period_end, cur_rows AS rows, prev_rows, cur_mae AS mae, cur_acc AS accuracy_rate,
+       cur_over AS over_predicted, cur_under AS under_predicted,
+       CASE WHEN prev_rows > 0 THEN cur_mae - prev_mae END AS mae_delta,
+       CASE WHEN prev_rows > 0 THEN cur_acc - prev_acc END AS accuracy_delta,
+       CASE WHEN prev_rows > 0 THEN cur_over - prev_over END AS over_delta,
+       CASE WHEN prev_rows > 0 THEN cur_under - prev_under END AS under_delta
+FROM g WHERE cur_rows > 0"""
+
+
+@register("agg_period_delta", _pop_sql("month"))
+def agg_period_delta(spark, sf):
+    """AGG-10: every month against the equally long span before it."""
+    a = fx.actual_sales(spark, sf)
+    return C.period_over_period_all(fx.predictions(spark, sf, a), a, unit="month")
+
+
+@register("flow_compare", _pop_sql("week"))
+def flow_compare(spark, sf):
+    """FLOW-2: the analysis page for every Mon-Fri week: join, errors,
+    metrics, previous equally long period, deltas."""
+    a = fx.actual_sales(spark, sf)
+    return C.period_over_period_all(fx.predictions(spark, sf, a), a, unit="week")
+
+
+@register("fn_periods", """
+SELECT as_of, last_week_start, last_week_start + 4 AS last_week_end,
+       last_week_start - 1 - 4 AS prev_start, last_week_start - 1 AS prev_end
+FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS as_of,
+             CAST(date_trunc('week', CAST(o_orderdate AS DATE)) AS DATE) - 7 AS last_week_start
+      FROM orders) t""")
+def fn_periods(spark, sf):
+    """FN-5: default window (last full Mon-Fri week) and its previous period
+    for every order date taken as the as-of day."""
+    from platewise.functions.calendar import last_full_week, previous_period
+    d = fx.table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("as_of")).distinct()
+    w = d.withColumn("_w", last_full_week(F.col("as_of")))
+    w = w.withColumn("_p", previous_period(F.col("_w.start"), F.col("_w.end")))
+    return w.select("as_of", F.col("_w.start").alias("last_week_start"), F.col("_w.end").alias("last_week_end"),
+                    F.col("_p.prev_start").alias("prev_start"), F.col("_p.prev_end").alias("prev_end"))
+
+
+# --- PRJ-7 / FN-10 ----------------------------------------------------------------
+@register("cmp_table", f"""
+SELECT p.date, p.final_prediction, a.actual_meals,
+       round_even(CAST(a.actual_meals - p.final_prediction AS DOUBLE) / CAST(NULLIF(p.final_prediction, 0) AS DOUBLE) * 100, 0) AS pct_error,
+       round_even(CAST(a.actual_meals_veg - p.predicted_meals_veg AS DOUBLE) / CAST(NULLIF(p.predicted_meals_veg, 0) AS DOUBLE) * 100, 0) AS pct_error_veg,
+       round_even(CAST(a.actual_meals_non_veg - p.predicted_meals_non_veg AS DOUBLE) / CAST(NULLIF(p.predicted_meals_non_veg, 0) AS DOUBLE) * 100, 0) AS pct_error_non_veg,
+       round_even((a.actual_meals_salad - p.predicted_meals_salad) / NULLIF(p.predicted_meals_salad, 0) * 100, 0) AS pct_error_salad
+{_PA}""")
+def cmp_table(spark, sf):
+    """PRJ-7: the comparison table with whole-percent errors (half-even)."""
+    from platewise.functions.formats import pct_display
+    a = fx.actual_sales(spark, sf)
+    j = C.join_actuals(fx.predictions(spark, sf, a), a)
+    return j.select("date", "final_prediction", "actual_meals",
+                    *[pct_display(c).alias(c) for c in
+                      ("pct_error", "pct_error_veg", "pct_error_non_veg", "pct_error_salad")])
+
+
+@register("fn_sign_class", f"""
+SELECT p.date, a.actual_meals - p.final_prediction AS difference,
+       CASE WHEN a.actual_meals - p.final_prediction > 0 THEN 'green' ELSE 'red' END AS difference_class
+{_PA}""")
+def fn_sign_class(spark, sf):
+    """FN-10: colour class of each day's difference (0 is red)."""
+    from platewise.functions.formats import sign_class
+    a = fx.actual_sales(spark, sf)
+    j = C.join_actuals(fx.predictions(spark, sf, a), a)
+    return j.select("date", "difference", sign_class("difference").alias("difference_class"))
