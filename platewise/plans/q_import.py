@@ -1 +1,227 @@
-"""Registered queries (see catalog)."""
+"""Queries: import validation and manual correction (VAL-1...6, WIN-2,
+PRJ-12, JON-7, FLOW-3, FLOW-4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from platewise import fixtures as fx
+from platewise.operators import upsert as UP
+from platewise.operators import validate as V
+from platewise.operators.compare import missing_actuals
+from platewise.plans.catalog import register
+from platewise.plans.q_split import EDITS_SQL, edits
+
+HEADERS = {"date": "Datum", "actual_meals": "Gesamt", "actual_meals_veg": "Veg",
+           "actual_meals_non_veg": "Non-Veg", "actual_meals_salad": "SALAT"}
+
+
+def import_files(spark, sf):
+    """The ``import_rows`` view: actual_sales as uploaded text, one file per
+    month (``batch``), German / mixed-case headers. Every 17th day of the
+    year is broken, the kind cycling with ``dayofyear / 17``: 0 bad date
+    format, 1 half meals, 2 missing veg, 3 wrong total, 4 decimal salad,
+    5 integral float (valid)."""
+    a = fx.actual_sales(spark, sf)
+    doy = F.dayofyear("date")
+    broken = (doy % 17) == 0
+    kind = F.floor(doy / 17) % 6
+
+    def s(c):
+        return F.col(c).cast("string")
+
+    return a.select(
+        F.date_format("date", "yyyy-MM").alias("batch"),
+        F.when(broken & (kind == 0), F.date_format("date", "dd.MM.yyyy"))
+         .otherwise(F.date_format("date", "yyyy-MM-dd")).alias(HEADERS["date"]),
+        F.when(broken & (kind == 1), F.concat(s("actual_meals"), F.lit(".5")))
+         .when(broken & (kind == 3), (F.col("actual_meals") + 1).cast("string"))
+         .when(broken & (kind == 5), F.concat(s("actual_meals"), F.lit(".0")))
+         .otherwise(s("actual_meals")).alias(HEADERS["actual_meals"]),
+        F.when(broken & (kind == 2), F.lit(None).cast("string"))
+         .otherwise(s("actual_meals_veg")).alias(HEADERS["actual_meals_veg"]),
+        s("actual_meals_non_veg").alias(HEADERS["actual_meals_non_veg"]),
+        F.when(broken & (kind == 4), s("actual_meals_salad"))
+         .otherwise(F.floor("actual_meals_salad").cast("string")).alias(HEADERS["actual_meals_salad"]),
+    )
+
+
+def resolved(spark, sf):
+    return V.resolve_columns(import_files(spark, sf), keep=["batch"])
+
+
+def checked(spark, sf):
+    rows = V.ordinal_within(resolved(spark, sf), "batch", ["date"])
+    return V.validate_rows(rows.withColumn("raw_date", F.col("date")))
+
+
+IMPORT_SQL = """
+import_rows AS (
+  SELECT strftime(date, '%Y-%m') AS batch,
+         CASE WHEN dayofyear(date) % 17 = 0 AND (dayofyear(date) // 17) % 6 = 0 THEN strftime(date, '%d.%m.%Y')
+              ELSE strftime(date, '%Y-%m-%d') END AS date,
+         CASE WHEN dayofyear(date) % 17 = 0 AND (dayofyear(date) // 17) % 6 = 1 THEN CAST(actual_meals AS VARCHAR) || '.5'
+              WHEN dayofyear(date) % 17 = 0 AND (dayofyear(date) // 17) % 6 = 3 THEN CAST(actual_meals + 1 AS VARCHAR)
+              WHEN dayofyear(date) % 17 = 0 AND (dayofyear(date) // 17) % 6 = 5 THEN CAST(actual_meals AS VARCHAR) || '.0'
+              ELSE CAST(actual_meals AS VARCHAR) END AS actual_meals,
+         CASE WHEN dayofyear(date) % 17 = 0 AND (dayofyear(date) // 17) % 6 = 2 THEN NULL
+              ELSE CAST(actual_meals_veg AS VARCHAR) END AS actual_meals_veg,
+         CAST(actual_meals_non_veg AS VARCHAR) AS actual_meals_non_veg,
+         CASE WHEN dayofyear(date) % 17 = 0 AND (dayofyear(date) // 17) % 6 = 4 THEN CAST(actual_meals_salad AS VARCHAR)
+              ELSE CAST(CAST(floor(actual_meals_salad) AS BIGINT) AS VARCHAR) END AS actual_meals_salad,
+         date AS true_date
+  FROM actual_sales),
+checked AS (
+  SELECT *,
+         CAST(row_number() OVER (PARTITION BY batch ORDER BY date) - 1 AS BIGINT) AS ordinal,
+         concat_ws(',',
+           CASE WHEN NOT COALESCE(regexp_full_match(trim(date), '\\d{4}-\\d{2}-\\d{2}')
+                                  AND try_strptime(trim(date), '%Y-%m-%d') IS NOT NULL, false) THEN 'date' END,
+           CASE WHEN NOT COALESCE(TRY_CAST(trim(actual_meals) AS DOUBLE) = floor(TRY_CAST(trim(actual_meals) AS DOUBLE)), false) THEN 'actual_meals' END,
+           CASE WHEN NOT COALESCE(TRY_CAST(trim(actual_meals_veg) AS DOUBLE) = floor(TRY_CAST(trim(actual_meals_veg) AS DOUBLE)), false) THEN 'actual_meals_veg' END,
+           CASE WHEN NOT COALESCE(TRY_CAST(trim(actual_meals_non_veg) AS DOUBLE) = floor(TRY_CAST(trim(actual_meals_non_veg) AS DOUBLE)), false) THEN 'actual_meals_non_veg' END,
+           CASE WHEN NOT COALESCE(TRY_CAST(trim(actual_meals_salad) AS DOUBLE) = floor(TRY_CAST(trim(actual_meals_salad) AS DOUBLE)), false) THEN 'actual_meals_salad' END
+         ) AS errors,
+         CAST(try_strptime(trim(date), '%Y-%m-%d') AS DATE) AS t_date,
+         CAST(trunc(TRY_CAST(trim(actual_meals) AS DOUBLE)) AS BIGINT) AS t_meals,
+         CAST(trunc(TRY_CAST(trim(actual_meals_veg) AS DOUBLE)) AS BIGINT) AS t_veg,
+         CAST(trunc(TRY_CAST(trim(actual_meals_non_veg) AS DOUBLE)) AS BIGINT) AS t_non_veg,
+         TRY_CAST(trim(actual_meals_salad) AS DOUBLE) AS t_salad
+  FROM import_rows),
+checked2 AS (
+  SELECT *, errors = '' AND NOT COALESCE(t_meals = t_veg + t_non_veg, false) AS sum_error FROM checked),
+verdicts AS (
+  SELECT batch, count(*) AS rows,
+         count(*) FILTER (WHERE errors <> '') AS value_error_rows,
+         count(*) FILTER (WHERE sum_error) AS sum_error_rows,
+         CASE WHEN count(*) FILTER (WHERE errors <> '') > 0 THEN 'invalid_values'
+              WHEN count(*) FILTER (WHERE sum_error) > 0 THEN 'sum_mismatch' ELSE 'ok' END AS status,
+         CASE WHEN count(*) FILTER (WHERE errors <> '') = 0 AND count(*) FILTER (WHERE sum_error) > 0
+              THEN min(ordinal) FILTER (WHERE sum_error) END AS first_bad_row,
+         CASE WHEN count(*) FILTER (WHERE errors <> '') = 0 AND count(*) FILTER (WHERE sum_error) = 0
+              THEN count(*) ELSE 0 END AS published_rows
+  FROM checked2 GROUP BY batch)"""
+
+
+def _sql(body: str) -> str:
+    return f"\n, {IMPORT_SQL.strip()}\n{body}"
+
+
+@register("val_columns", _sql("""
+SELECT batch, date, actual_meals, actual_meals_veg, actual_meals_non_veg, actual_meals_salad FROM import_rows"""))
+def val_columns(spark, sf):
+    """VAL-1: header aliases resolved (Datum, Gesamt, Veg, Non-Veg, SALAT)."""
+    return resolved(spark, sf)
+
+
+@register("val_values", _sql("""
+SELECT batch, ordinal, date AS raw_date, errors FROM checked WHERE errors <> ''"""))
+def val_values(spark, sf):
+    """VAL-2 / WIN-2: rows with invalid values, their in-file position and
+    the offending columns."""
+    c = checked(spark, sf)
+    return c.filter(F.size("value_errors") > 0).select(
+        "batch", "ordinal", "raw_date", F.array_join("value_errors", ",").alias("errors"))
+
+
+@register("val_sum", _sql("""
+SELECT batch, ordinal, t_date AS date, t_meals AS actual_meals, t_veg AS actual_meals_veg,
+       t_non_veg AS actual_meals_non_veg
+FROM checked2 WHERE sum_error"""))
+def val_sum(spark, sf):
+    """VAL-3 / VAL-4: valid rows whose total is not veg + non-veg."""
+    c = checked(spark, sf)
+    return c.filter("sum_error").select("batch", "ordinal", "date", "actual_meals", "actual_meals_veg",
+                                        "actual_meals_non_veg")
+
+
+@register("val_manual", _sql("""
+SELECT t_date AS date, t_meals AS actual_meals, t_veg AS actual_meals_veg, t_non_veg AS actual_meals_non_veg
+FROM checked WHERE t_meals <> t_veg + t_non_veg"""))
+def val_manual(spark, sf):
+    """VAL-5: entry-grid check; rows with a null part are not mismatches."""
+    t = V.typed(resolved(spark, sf))
+    return V.manual_mismatches(t).select("date", "actual_meals", "actual_meals_veg", "actual_meals_non_veg")
+
+
+@register("val_batch", _sql("SELECT * FROM verdicts"))
+def val_batch(spark, sf):
+    """VAL-6: one verdict per monthly file, short-circuit order, all or nothing."""
+    return V.validate_batches(checked(spark, sf))
+
+
+@register("flow_import", _sql("""
+, good AS (SELECT c.t_date AS date, c.t_meals AS actual_meals, c.t_veg AS actual_meals_veg,
+                  c.t_non_veg AS actual_meals_non_veg, c.t_salad AS actual_meals_salad
+           FROM checked2 c JOIN verdicts v ON c.batch = v.batch WHERE v.status = 'ok'),
+db AS (SELECT * FROM actual_sales WHERE day(date) > 7 AND date NOT IN (SELECT date FROM good)
+       UNION ALL SELECT * FROM good)
+SELECT p.date, p.final_prediction, p.day_theme, p.predicted_meals_veg, p.predicted_meals_non_veg,
+       p.predicted_meals_salad, CAST(NULL AS BIGINT) AS actual_meals, CAST(NULL AS BIGINT) AS actual_meals_veg,
+       CAST(NULL AS BIGINT) AS actual_meals_non_veg, CAST(NULL AS DOUBLE) AS actual_meals_salad
+FROM predictions p WHERE p.date NOT IN (SELECT date FROM db)"""))
+def flow_import(spark, sf):
+    """FLOW-3: monthly files -> resolve -> validate -> upsert the files that
+    pass (all or nothing per file) into a table lacking each month's first
+    week -> the refreshed list of days still missing actuals."""
+    a = fx.actual_sales(spark, sf)
+    rows = checked(spark, sf)
+    verdicts = V.validate_batches(rows)
+    good = V.good_rows(rows, verdicts).select("date", *V.VALUE_COLUMNS)
+    db = UP.upsert(a.filter(F.dayofmonth("date") > 7), good, ["date"])
+    return missing_actuals(fx.predictions(spark, sf, a), db)
+
+
+@register("prj_auto_total", f"""
+, {EDITS_SQL.strip()}
+SELECT e.date,
+       CASE WHEN e.actual_meals_veg IS DISTINCT FROM a.actual_meals_veg
+              OR e.actual_meals_non_veg IS DISTINCT FROM a.actual_meals_non_veg
+            THEN COALESCE(e.actual_meals_veg, 0) + COALESCE(e.actual_meals_non_veg, 0)
+            ELSE e.actual_meals END AS actual_meals,
+       e.actual_meals_veg, e.actual_meals_non_veg, e.actual_meals_salad
+FROM edits e LEFT JOIN actual_sales a ON e.date = a.date""")
+def prj_auto_total(spark, sf):
+    """PRJ-12: totals follow edited veg / non-veg cells."""
+    return V.auto_total(edits(spark, sf), fx.actual_sales(spark, sf))
+
+
+@register("jon_changed_rows", f"""
+, {EDITS_SQL.strip()}
+SELECT e.* FROM edits e LEFT JOIN actual_sales a ON e.date = a.date
+WHERE e.actual_meals IS DISTINCT FROM a.actual_meals OR e.actual_meals_veg IS DISTINCT FROM a.actual_meals_veg
+   OR e.actual_meals_non_veg IS DISTINCT FROM a.actual_meals_non_veg
+   OR e.actual_meals_salad IS DISTINCT FROM a.actual_meals_salad""")
+def jon_changed_rows(spark, sf):
+    """JON-7: edited rows that differ from the stored ones (null = null)."""
+    return V.changed_rows(edits(spark, sf), fx.actual_sales(spark, sf))
+
+
+@register("flow_manual", f"""
+, {EDITS_SQL.strip()},
+fixed AS (
+  SELECT e.date,
+         CASE WHEN e.actual_meals_veg IS DISTINCT FROM a.actual_meals_veg
+                OR e.actual_meals_non_veg IS DISTINCT FROM a.actual_meals_non_veg
+              THEN COALESCE(e.actual_meals_veg, 0) + COALESCE(e.actual_meals_non_veg, 0)
+              ELSE e.actual_meals END AS actual_meals,
+         e.actual_meals_veg, e.actual_meals_non_veg, e.actual_meals_salad
+  FROM edits e LEFT JOIN actual_sales a ON e.date = a.date),
+changed AS (
+  SELECT f.* FROM fixed f LEFT JOIN actual_sales a ON f.date = a.date
+  WHERE f.actual_meals IS DISTINCT FROM a.actual_meals OR f.actual_meals_veg IS DISTINCT FROM a.actual_meals_veg
+     OR f.actual_meals_non_veg IS DISTINCT FROM a.actual_meals_non_veg
+     OR f.actual_meals_salad IS DISTINCT FROM a.actual_meals_salad)
+SELECT * FROM actual_sales WHERE date NOT IN (SELECT date FROM changed)
+UNION ALL SELECT * FROM changed""")
+def flow_manual(spark, sf):
+    """FLOW-4: auto total -> mismatch check -> changed rows only -> upsert.
+
+    The mismatch check is a ``limit(1)`` probe; a mismatch aborts the save
+    (nothing is written), as in the entry grid.
+    """
+    original = fx.actual_sales(spark, sf)
+    fixed = V.auto_total(edits(spark, sf), original)
+    if V.manual_mismatches(fixed).limit(1).count() > 0:
+        raise ValueError("actual_meals must equal veg + non-veg")
+    return UP.upsert(original, V.changed_rows(fixed, original), ["date"])
