@@ -72,8 +72,8 @@ def day_label(is_school_break, is_bridge_day, description, translated=None,
         generic_break = F.lit(generic_break)
     if isinstance(generic_bridge, str):
         generic_bridge = F.lit(generic_bridge)
-    desc = F.nullif(_col(description), F.lit(""))
-    text = F.coalesce(_col(translated), desc) if translated is not None else desc
+    desc = _col(description)
+    text = F.nullif(F.coalesce(_col(translated), desc) if translated is not None else desc, F.lit(""))
     return (F.when(F.coalesce(_col(is_school_break), F.lit(False)), F.coalesce(text, generic_break))
              .when(F.coalesce(_col(is_bridge_day), F.lit(False)), F.coalesce(text, generic_bridge))
              .otherwise(text))

@@ -1 +1,388 @@
-"""Registered queries (see catalog)."""
+"""Queries: labels, display formats, reports and rule-based insights
+(SRC-6, SRC-7, SRC-8, SRC-11, JON-6, FN-7, FN-8, FN-9, FN-11, FN-13, SNK-6,
+SNK-9, SNK-10, AIM-3...6, FLOW-6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from platewise import fixtures as fx
+from platewise.constants import GERMAN_MONTHS, GERMAN_WEEKDAYS, GERMAN_WEEKDAYS_SHORT, LABELS
+from platewise.fixtures_sql import q, theme_case
+from platewise.functions.calendar import date_label
+from platewise.functions.formats import day_label, thousands
+from platewise.functions.weather import weather_label
+from platewise.operators import compare as C
+from platewise.operators import insights as INS
+from platewise.operators import labels as LB
+from platewise.plans.catalog import register
+from platewise.schemas import PREDICTIONS, PREDICTIONS_BASE
+from platewise.sinks import reports as REP
+from platewise.sources import tables as TB
+
+_PA = "FROM predictions p JOIN actual_sales a ON p.date = a.date"
+
+
+def _labels_sql() -> str:
+    rows = ", ".join(f"({q(layer)}, {prec}, {q(lang)}, {q(sec)}, {q(key)}, {q(label)})"
+                     for layer, prec, lang, sec, key, label in LB.label_rows())
+    return f"""
+, ui_labels AS (SELECT * FROM (VALUES {rows}) t(layer, precedence, lang, section, key, label)),
+eff AS (SELECT lang, section, key, arg_max(label, precedence) AS label FROM ui_labels
+        WHERE layer IN ('common', 'predictions') GROUP BY ALL)"""
+
+
+def _lookup(lang: str, section: str, key_expr: str) -> str:
+    return (f"(SELECT label FROM eff WHERE lang = {q(lang)} AND section = {q(section)} "
+            f"AND key = {key_expr})")
+
+
+def _eff(spark):
+    return LB.effective_labels(LB.label_table(spark), page="predictions")
+
+
+# --- SRC-8 / JON-6 ------------------------------------------------------------------
+@register("jon_translate", _labels_sql() + f"""
+SELECT date,
+       {_lookup("DE", "weather_condition", "lower(weather_condition)")} AS weather_condition_label,
+       {_lookup("DE", "day_themes", "day_theme")} AS day_theme_label,
+       COALESCE({_lookup("DE", "holiday_descriptions", "holiday_desc")}, holiday_desc) AS holiday_desc_label
+FROM predictions""")
+def jon_translate(spark, sf):
+    """SRC-8 + JON-6: German labels for every stored prediction; weather and
+    theme miss -> null (``Sunny`` has no label, Q11), holiday miss -> text."""
+    labels = _eff(spark)
+    p = fx.predictions(spark, sf).select("date", "weather_condition", "day_theme", "holiday_desc")
+    p = LB.translate(p, "weather_condition", labels, "DE", "weather_condition", lower_key=True)
+    p = LB.translate(p, "day_theme", labels, "DE", "day_themes")
+    p = LB.translate(p, "holiday_desc", labels, "DE", "holiday_descriptions", on_miss="key")
+    return p.select("date", "weather_condition_label", "day_theme_label", "holiday_desc_label")
+
+
+# --- FN-7 -------------------------------------------------------------------------------
+def _de_case(mapping: dict, expr: str) -> str:
+    arms = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in mapping.items())
+    return f"(CASE {expr} {arms} END)"
+
+
+_DE_WD = _de_case(GERMAN_WEEKDAYS, "dayname(date)")
+_DE_WDS = _de_case(GERMAN_WEEKDAYS_SHORT, "dayname(date)")
+_DE_MON = _de_case(GERMAN_MONTHS, "monthname(date)")
+
+STYLES = ["long", "peak", "chart", "table", "compare", "compact"]
+
+
+@register("fn_date_labels", f"""
+SELECT date,
+       strftime(date, '%A, %d. %B') AS en_long, strftime(date, '%a, %b %d') AS en_peak,
+       strftime(date, '%a %d/%m') AS en_chart, strftime(date, '%a, %d. %B') AS en_table,
+       strftime(date, '%a %m/%d') AS en_compare, strftime(date, '%a, %d.%B') AS en_compact,
+       {_DE_WD} || ', ' || strftime(date, '%d') || '. ' || {_DE_MON} AS de_long,
+       {_DE_WDS} || ', ' || substr({_DE_MON}, 1, 3) || ' ' || strftime(date, '%d') AS de_peak,
+       {_DE_WDS} || ' ' || strftime(date, '%d/%m') AS de_chart,
+       {_DE_WDS} || ', ' || strftime(date, '%d') || '. ' || {_DE_MON} AS de_table,
+       {_DE_WDS} || ' ' || strftime(date, '%m/%d') AS de_compare,
+       {_DE_WDS} || ', ' || strftime(date, '%d') || '.' || {_DE_MON} AS de_compact,
+       strftime(prediction_timestamp, '%Y-%m-%d %H:%M') AS stamp
+FROM predictions""")
+def fn_date_labels(spark, sf):
+    """FN-7: every display date format, English and German."""
+    p = fx.predictions(spark, sf)
+    cols = [date_label("date", s, "EN").alias(f"en_{s}") for s in STYLES]
+    cols += [date_label("date", s, "DE").alias(f"de_{s}") for s in STYLES]
+    return p.select("date", *cols, date_label("prediction_timestamp", "stamp").alias("stamp"))
+
+
+# --- FN-8 / FN-9 ---------------------------------------------------------------------------
+_GEN = LABELS["common"]["DE"]["generic"]
+
+
+@register("fn_day_label", _labels_sql() + f"""
+, t AS (SELECT date, is_school_break, is_bridge_day,
+               NULLIF(COALESCE({_lookup("DE", "holiday_descriptions", "holiday_desc")}, holiday_desc), '') AS txt
+        FROM predictions)
+SELECT date,
+       CASE WHEN is_school_break THEN COALESCE(txt, {q(_GEN["is_school_break"])})
+            WHEN is_bridge_day THEN COALESCE(txt, {q(_GEN["bridge_day"])})
+            ELSE txt END AS day_label
+FROM t""")
+def fn_day_label(spark, sf):
+    """FN-8: one badge text per day (German)."""
+    p = fx.predictions(spark, sf).select("date", "is_school_break", "is_bridge_day", "holiday_desc")
+    p = LB.translate(p, "holiday_desc", _eff(spark), "DE", "holiday_descriptions", on_miss="key", out="_tr")
+    return p.select("date", day_label("is_school_break", "is_bridge_day", "holiday_desc", F.col("_tr"),
+                                      _GEN["is_school_break"], _GEN["bridge_day"]).alias("day_label"))
+
+
+@register("fn_weather_label", _labels_sql() + f"""
+SELECT date,
+       CASE WHEN temperature_max IS NOT NULL AND temperature_max <> 0
+            THEN CAST(temperature_max AS VARCHAR) || '°C ' ||
+                 COALESCE({_lookup("DE", "weather_condition", "lower(weather_condition)")}, lower(weather_condition))
+       END AS weather_label
+FROM predictions""")
+def fn_weather_label(spark, sf):
+    """FN-9: ``22.5°C Regen``; unknown conditions keep their lower-case key."""
+    p = fx.predictions(spark, sf).select("date", "temperature_max", F.lower("weather_condition").alias("cond"))
+    p = LB.translate(p, "cond", _eff(spark), "DE", "weather_condition", on_miss="key", out="cond_label")
+    return p.select("date", weather_label("temperature_max", "cond_label").alias("weather_label"))
+
+
+# --- FN-11 ---------------------------------------------------------------------------------
+@register("fn_formats", f"""
+, k AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month_start, CAST(sum(final_prediction) AS BIGINT) AS total
+        FROM predictions GROUP BY 1),
+d AS (SELECT CAST(date_trunc('month', p.date) AS DATE) AS month_start,
+             count(*) FILTER (WHERE p.final_prediction > a.actual_meals) AS over_n,
+             count(*) FILTER (WHERE p.final_prediction < a.actual_meals) AS under_n
+      {_PA} GROUP BY 1)
+SELECT k.month_start, format('{{:,}}', k.total) AS total_text,
+       printf('%+d', d.over_n - d.under_n) AS balance_text
+FROM k JOIN d ON k.month_start = d.month_start""")
+def fn_formats(spark, sf):
+    """FN-11: thousands separators and signed counts for the KPI tiles."""
+    a = fx.actual_sales(spark, sf)
+    p = fx.predictions(spark, sf, a).withColumn("month_start", F.date_trunc("month", "date").cast("date"))
+    k = C.forecast_kpis(p, by=["month_start"]).select("month_start", thousands("total_meals").alias("total_text"))
+    j = C.join_actuals(p, a).withColumn("month_start", F.date_trunc("month", "date").cast("date"))
+    m = C.metrics(j, by=["month_start"])
+    m = m.select("month_start", F.format_string("%+d", F.col("over_predicted") - F.col("under_predicted"))
+                 .alias("balance_text"))
+    return k.join(m, "month_start")
+
+
+# --- AIM-3 / FN-13 ---------------------------------------------------------------------------
+_LONG_SQL = f"""
+, j AS (SELECT CAST(date_trunc('month', p.date) AS DATE) AS month, dayname(p.date) AS weekday,
+               a.actual_meals, p.final_prediction, a.actual_meals_veg, p.predicted_meals_veg,
+               a.actual_meals_non_veg, p.predicted_meals_non_veg, a.actual_meals_salad, p.predicted_meals_salad
+        {_PA}),
+long AS (
+  SELECT month, weekday, 'total' AS category, actual_meals AS au, final_prediction AS pu FROM j
+  UNION ALL SELECT month, weekday, 'veg', actual_meals_veg, predicted_meals_veg FROM j
+  UNION ALL SELECT month, weekday, 'non_veg', actual_meals_non_veg, predicted_meals_non_veg FROM j
+  UNION ALL SELECT month, weekday, 'salad', CAST(round(actual_meals_salad * 100) AS BIGINT),
+                   CAST(round(predicted_meals_salad * 100) AS BIGINT) FROM j),
+g AS (SELECT month, weekday, category, count(*) AS days, CAST(sum(au) AS BIGINT) AS actual_units,
+             CAST(sum(pu) AS BIGINT) AS predicted_units,
+             CAST(sum(au) - sum(pu) AS DOUBLE) / CAST(NULLIF(sum(pu), 0) AS DOUBLE) AS rel_bias
+      FROM long GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY abs(rel_bias) DESC NULLS LAST, weekday, category) AS rank
+      FROM g)"""
+
+
+@register("aim_bias_insights", _LONG_SQL + """
+SELECT month, CAST(rank AS INTEGER) AS rank, weekday, category, days, actual_units, predicted_units, rel_bias,
+       CASE WHEN rel_bias IS NULL THEN 'info' WHEN abs(rel_bias) > 0.05 THEN 'error'
+            WHEN abs(rel_bias) >= 0.03 THEN 'warning' WHEN abs(rel_bias) < 0.01 THEN 'success' ELSE 'info' END AS type,
+       weekday || ' ' || category AS title,
+       printf('%s %s: %s by %+d%% over %d days', weekday, category,
+              CASE WHEN rel_bias > 0 THEN 'under-forecast' WHEN rel_bias < 0 THEN 'over-forecast' ELSE 'on target' END,
+              COALESCE(CAST(round_even(rel_bias * 100, 0) AS INTEGER), 0), days) AS message
+FROM r WHERE rank <= 3""")
+def aim_bias_insights(spark, sf):
+    """AIM-3: the three worst weekday x category biases of every month."""
+    a = fx.actual_sales(spark, sf)
+    j = C.join_actuals(fx.predictions(spark, sf, a), a)
+    j = j.withColumn("month", F.date_trunc("month", "date").cast("date"))
+    return INS.bias_insights(j, period="month", by=["weekday"])
+
+
+def insight_documents(spark, sf):
+    """Insight responses as text, one per month, in the shapes a model
+    returns: plain JSON, JSON in a code fence (even months), and cut-off
+    text (every third month) that must fall back to the raw message."""
+    ins = aim_bias_insights(spark, sf)
+    g = ins.groupBy("month").agg(F.sort_array(F.collect_list(F.struct("rank", "type", "title", "message")))
+                                 .alias("items"))
+    body = F.to_json(F.transform("items", lambda x: F.struct(x["type"].alias("type"), x["title"].alias("title"),
+                                                              x["message"].alias("message"))))
+    m = F.month("month")
+    text = (F.when(m % 3 == 0, F.substring(body, 1, 40))
+             .when(m % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+             .otherwise(body))
+    return g.select("month", text.alias("response"))
+
+
+@register("fn_parse_insights")
+def fn_parse_insights(spark, sf):
+    """FN-13: strip fences, parse the insight array; unparseable text is kept
+    as one raw ``info`` message."""
+    from platewise.functions.formats import parse_insights
+    docs = insight_documents(spark, sf)
+    return docs.select("month", F.inline(parse_insights("response")))
+
+
+# --- AIM-4 / AIM-5 / AIM-6 -------------------------------------------------------------------
+@register("aim_plan_anomalies", f"""
+, st AS (SELECT {theme_case("date")} AS day_theme, avg(actual_meals) AS theme_mean,
+                stddev_samp(actual_meals) AS theme_std
+         FROM actual_sales WHERE {theme_case("date")} IS NOT NULL GROUP BY 1),
+f AS (SELECT p.*, CAST(date_trunc('week', p.date) AS DATE) AS week_start,
+             round((p.final_prediction - st.theme_mean) / NULLIF(st.theme_std, 0), 4) AS z
+      FROM predictions p LEFT JOIN st ON p.day_theme = st.day_theme),
+s AS (SELECT *,
+             COALESCE(abs(z) > 2.0, false) AS f_u, COALESCE(is_school_break, false) AS f_b,
+             COALESCE(is_bridge_day, false) AS f_d,
+             COALESCE(weather_condition IN ('Rainy', 'Snowy', 'Stormy'), false) AS f_w
+      FROM f),
+s2 AS (SELECT *, concat_ws(', ', CASE WHEN f_u THEN 'unusual volume' END, CASE WHEN f_b THEN 'school break' END,
+                           CASE WHEN f_d THEN 'bridge day' END, CASE WHEN f_w THEN 'bad weather' END) AS reasons,
+              COALESCE(abs(z), 0) + CAST(f_u AS INTEGER) + CAST(f_b AS INTEGER) + CAST(f_d AS INTEGER)
+                + CAST(f_w AS INTEGER) AS score
+       FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY week_start ORDER BY score DESC, date) AS rank
+      FROM s2 WHERE reasons <> '')
+SELECT week_start, CAST(rank AS INTEGER) AS rank, date, day_theme, final_prediction, z, reasons
+FROM r WHERE rank <= 3""")
+def aim_plan_anomalies(spark, sf):
+    """AIM-4: up to three days per planning week worth a second look."""
+    a = fx.actual_sales(spark, sf)
+    p = fx.predictions(spark, sf, a).withColumn("week_start", F.date_trunc("week", "date").cast("date"))
+    return INS.plan_anomalies(p, a)
+
+
+def _series_sql() -> str:
+    parts = []
+    for name, (a, p, _) in INS.CATEGORY_COLUMNS.items():
+        parts.append(f"SELECT p.date, 'predicted_{name}' AS series, CAST(p.{p} AS DOUBLE) AS value {_PA}")
+        parts.append(f"SELECT p.date, 'actual_{name}', CAST(a.{a} AS DOUBLE) {_PA}")
+        parts.append(f"SELECT p.date, 'difference_{name}', CAST(a.{a} - p.{p} AS DOUBLE) {_PA}")
+    return "\n" + "\nUNION ALL ".join(parts)
+
+
+@register("aim_series_long", _series_sql())
+def aim_series_long(spark, sf):
+    """AIM-5: long-form chart data (predicted / actual / difference x 4)."""
+    a = fx.actual_sales(spark, sf)
+    return INS.series_long(C.join_actuals(fx.predictions(spark, sf, a), a))
+
+
+HEALTH_AS_OF = "2001-12-31"
+
+
+@register("aim_health", "\n" + "\nUNION ALL ".join(
+    f"SELECT {q(t)} AS table_name, count(*) AS rows, min(date) AS first_date, max(date) AS last_date, "
+    f"CAST(DATE '{HEALTH_AS_OF}' - max(date) AS INTEGER) AS days_since_last FROM {t}"
+    for t in ("predictions", "actual_sales", "holidays")))
+def aim_health(spark, sf):
+    """AIM-6: row counts and freshness of every table."""
+    a = fx.actual_sales(spark, sf)
+    return INS.health({"predictions": fx.predictions(spark, sf, a), "actual_sales": a,
+                       "holidays": fx.holidays(spark, sf)}, HEALTH_AS_OF)
+
+
+# --- SNK-6 / SNK-9 / SNK-10 ------------------------------------------------------------------
+@register("snk_csv_norm", """
+SELECT strftime(date, '%Y-%m-%d') AS date, actual_meals FROM actual_sales""")
+def snk_csv_norm(spark, sf):
+    """SNK-6: ``MM/dd/yy`` history rewritten with ISO dates (1995-1999 keep
+    their century: POSIX two-digit-year pivot)."""
+    a = fx.actual_sales(spark, sf).select(F.date_format("date", "MM/dd/yy").alias("date"), "actual_meals")
+    return REP.normalise_dates(a)
+
+
+_REPORT_COLS = LABELS["predictions"]["EN"]["display_columns"]
+
+
+@register("snk_report", _labels_sql() + f"""
+SELECT strftime(date, '%a, %d. %B') AS "{_REPORT_COLS['date']}",
+       {_lookup("EN", "day_themes", "day_theme")} AS "{_REPORT_COLS['day_theme']}",
+       final_prediction AS "{_REPORT_COLS['final_prediction']}",
+       predicted_meals_veg AS "{_REPORT_COLS['predicted_meals_veg']}",
+       predicted_meals_non_veg AS "{_REPORT_COLS['predicted_meals_non_veg']}",
+       predicted_meals_salad AS "{_REPORT_COLS['predicted_meals_salad']}"
+FROM predictions""")
+def snk_report(spark, sf):
+    """SNK-9: the planning-table download (drop, keep, order, rename)."""
+    p = fx.predictions(spark, sf)
+    p = LB.translate(p, "day_theme", _eff(spark), "EN", "day_themes", out="_theme")
+    p = p.withColumn("day_theme", F.col("_theme")).drop("_theme")
+    p = p.withColumn("date", date_label("date", "table", "EN"))
+    return REP.report_table(p, _REPORT_COLS)
+
+
+@register("snk_json_payload")
+def snk_json_payload(spark, sf):
+    """SNK-10: one JSON array of forecast rows per planning week."""
+    p = fx.predictions(spark, sf).withColumn("week_start", F.date_trunc("week", "date").cast("date"))
+    return REP.json_payload(p.select("week_start", "date", "day_theme", "final_prediction",
+                                     "predicted_meals_veg", "predicted_meals_non_veg"), group=["week_start"])
+
+
+# --- SRC-6 / SRC-7 / SRC-11 --------------------------------------------------------------------
+PRIORITY_CATEGORY = [("1-URGENT", "veg"), ("2-HIGH", "veg"), ("3-MEDIUM", "non_veg"),
+                     ("4-NOT SPECIFIED", "non_veg"), ("5-LOW", "non_veg")]
+
+
+@register("src_values", "\n, m AS (SELECT * FROM (VALUES " +
+          ", ".join(f"({q(a)}, {q(b)})" for a, b in PRIORITY_CATEGORY) + """) t(priority, category))
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, m.category, count(*) AS orders
+FROM orders o JOIN m ON o.o_orderpriority = m.priority GROUP BY 1, 2""")
+def src_values(spark, sf):
+    """SRC-6: an inline VALUES table (priority -> meal category) joined to orders."""
+    m = TB.values(spark, PRIORITY_CATEGORY, "priority string, category string")
+    o = fx.table(spark, sf, "orders").select(F.year("o_orderdate").alias("year"), "o_orderpriority")
+    j = o.join(F.broadcast(m), o.o_orderpriority == m.priority)
+    return j.groupBy("year", "category").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@register("src_themes", """
+, d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)
+SELECT d.date, dayname(d.date) AS weekday, """ + theme_case("d.date") + """ AS day_theme,
+       CASE isodow(d.date) WHEN 1 THEN 0.5 WHEN 2 THEN 0.43 WHEN 3 THEN 0.43 WHEN 4 THEN 0.37 ELSE 0.5 END::DOUBLE AS veg_ratio,
+       CASE isodow(d.date) WHEN 1 THEN 0.5 WHEN 2 THEN 0.57 WHEN 3 THEN 0.57 WHEN 4 THEN 0.63 ELSE 0.5 END::DOUBLE AS non_veg_ratio
+FROM d WHERE isodow(d.date) <= 5""")
+def src_themes(spark, sf):
+    """SRC-7: the fixed theme dimension joined to every order day."""
+    from platewise.functions.calendar import weekday_name
+    d = fx.table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
+    d = d.withColumn("weekday", weekday_name("date"))
+    return d.join(F.broadcast(TB.themes(spark)), "weekday")
+
+
+@register("src_schema_evolve", "\nSELECT " + ", ".join(
+    (c if c in PREDICTIONS_BASE.names else
+     f"CAST(NULL AS {dict(double='DOUBLE', bigint='BIGINT', string='VARCHAR')[PREDICTIONS[c].dataType.simpleString()]}) AS {c}")
+    for c in PREDICTIONS.names) + " FROM predictions")
+def src_schema_evolve(spark, sf):
+    """SRC-11: a table version written before three columns were added, read
+    under the current schema (added columns are typed nulls)."""
+    old = fx.predictions(spark, sf).select(*PREDICTIONS_BASE.names)
+    return TB.evolve(old, PREDICTIONS)
+
+
+# --- FLOW-6 --------------------------------------------------------------------------------------
+DASH_AS_OF = "2000-01-05"
+
+
+@register("flow_dashboard", _labels_sql() + f"""
+, f AS (SELECT *, CAST(date_trunc('week', date) AS DATE) AS week_start FROM predictions
+        WHERE date >= CAST(date_trunc('week', DATE '{DASH_AS_OF}') AS DATE)),
+k AS (SELECT week_start, CAST(sum(final_prediction) AS BIGINT) AS week_total,
+             CAST(trunc(avg(final_prediction)) AS BIGINT) AS week_daily_avg,
+             arg_max(date, final_prediction * 100000 - (date - DATE '1970-01-01')) AS peak_date
+      FROM f GROUP BY 1)
+SELECT f.date, f.week_start, strftime(f.date, '%a, %d. %B') AS date_label,
+       {_lookup("DE", "day_themes", "f.day_theme")} AS theme_label,
+       f.final_prediction, f.predicted_meals_veg, f.predicted_meals_non_veg, f.predicted_meals_salad,
+       {_lookup("DE", "weather_condition", "lower(f.weather_condition)")} AS weather_label,
+       strftime(f.prediction_timestamp, '%Y-%m-%d %H:%M') AS updated,
+       k.week_total, k.week_daily_avg, k.peak_date
+FROM f JOIN k ON f.week_start = k.week_start""")
+def flow_dashboard(spark, sf):
+    """FLOW-6: forecasts from Monday of the as-of week on, with the week's
+    KPI tiles (total, daily mean, peak day) and the labelled table."""
+    p = C.from_week_start(fx.predictions(spark, sf), DASH_AS_OF)
+    p = p.withColumn("week_start", F.date_trunc("week", "date").cast("date"))
+    k = C.forecast_kpis(p, by=["week_start"]).select(
+        "week_start", F.col("total_meals").alias("week_total"), F.col("avg_meals_display").alias("week_daily_avg"))
+    peak = C.peak_day(p, by=["week_start"]).select("week_start", F.col("date").alias("peak_date"))
+    labels = _eff(spark)
+    t = LB.translate(p, "day_theme", labels, "DE", "day_themes", out="theme_label")
+    t = LB.translate(t, "weather_condition", labels, "DE", "weather_condition", out="weather_label",
+                     lower_key=True)
+    t = t.select("date", "week_start", date_label("date", "table", "EN").alias("date_label"), "theme_label",
+                 "final_prediction", "predicted_meals_veg", "predicted_meals_non_veg", "predicted_meals_salad",
+                 "weather_label", date_label("prediction_timestamp", "stamp").alias("updated"))
+    return t.join(k, "week_start").join(peak, "week_start")
