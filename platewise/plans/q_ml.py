@@ -1 +1,236 @@
-"""Registered queries (see catalog)."""
+"""Queries: training frame, holdout, encoding, forest, evaluation, scoring
+(ML-1...7, WIN-1, AGG-12...15, SNK-7, SNK-8, FLOW-1, FLOW-5)."""
+
+from __future__ import annotations
+
+import datetime as dt
+import os
+
+from pyspark.sql import functions as F
+
+from platewise import fixtures as fx
+from platewise.fixtures_sql import q, theme_case
+from platewise.operators import ml as ML
+from platewise.operators import split as SP
+from platewise.operators import upsert as UP
+from platewise.plans.catalog import register
+from platewise.plans.q_features import _REQ_SQL, flow_prepare
+from platewise.schemas import PREDICTION_COLUMNS
+
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August",
+          "September", "October", "November", "December"]
+CONDITIONS = ["Cloudy", "Rainy", "Snowy", "Stormy", "Sunny"]
+THEMES = ["Chicken", "Fish", "Sausage", "Schnitzel", "Vital"]
+AS_OF = dt.datetime(2001, 8, 1, 8, 0)
+
+_FRAME_SQL = f"""
+, tf AS (
+  SELECT a.date, a.actual_meals AS total_meals, dayname(a.date) AS weekday, monthname(a.date) AS month,
+         {theme_case("a.date")} AS day_theme, w.temperature_max, w.weather_condition,
+         COALESCE(h.is_school_break, false) AS is_semester_break, COALESCE(h.is_bridge_day, false) AS is_bridge_day
+  FROM actual_sales a LEFT JOIN weather w ON a.date = w.date LEFT JOIN holidays h ON a.date = h.date),
+sp AS (
+  SELECT *, CASE WHEN date >= (SELECT min(date) FROM (SELECT date FROM tf ORDER BY date DESC LIMIT {ML.HOLDOUT_DAYS}) t)
+                 THEN 'test' ELSE 'train' END AS split
+  FROM tf)"""
+
+
+def _onehot_sql(src: str, flag: str = "is_semester_break") -> str:
+    cols = [f"CAST(temperature_max AS DOUBLE) AS temperature_max",
+            f"CAST({flag} AS DOUBLE) AS is_semester_break", "CAST(is_bridge_day AS DOUBLE) AS is_bridge_day"]
+    for col, values in (("month", MONTHS), ("weather_condition", CONDITIONS), ("day_theme", THEMES)):
+        for v in sorted(values):
+            cols.append(f"CASE WHEN {col} = {q(v)} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS {col}_{v}")
+    return f"SELECT date, {', '.join(cols)} FROM {src}"
+
+
+def frame(spark, sf):
+    a = fx.actual_sales(spark, sf)
+    return ML.training_frame(a, fx.weather(spark, sf), fx.holidays(spark, sf))
+
+
+@register("ml_training_frame", _FRAME_SQL + "\nSELECT * FROM tf")
+def ml_training_frame(spark, sf):
+    """ML-1: daily totals with calendar, weather and holiday features."""
+    return frame(spark, sf)
+
+
+@register("win_holdout", _FRAME_SQL + "\nSELECT date, total_meals, split FROM sp")
+def win_holdout(spark, sf):
+    """WIN-1: the last 10 days are the holdout, never shuffled."""
+    return ML.temporal_split(frame(spark, sf)).select("date", "total_meals", "split")
+
+
+@register("ml_one_hot", _FRAME_SQL + "\n" + _onehot_sql("tf"))
+def ml_one_hot(spark, sf):
+    """ML-2: numeric features plus one column per observed category."""
+    f = frame(spark, sf)
+    cats = ML.categories(f)
+    return ML.one_hot(f, cats).select("date", *ML.feature_columns(cats))
+
+
+@register("ml_align", _FRAME_SQL + "\n, " + _REQ_SQL.strip() + """,
+prep AS (
+  SELECT b.start_date, b.date, monthname(b.date) AS month, """ + theme_case("b.date") + """ AS day_theme,
+         w.temperature_max, w.weather_condition,
+         COALESCE(h.is_school_break, false) AS is_school_break, COALESCE(h.is_bridge_day, false) AS is_bridge_day
+  FROM bd b LEFT JOIN weather w ON b.date = w.date LEFT JOIN holidays h ON b.date = h.date
+  WHERE b.day_index <= b.n_days AND (h.is_bank_holiday IS NULL OR NOT h.is_bank_holiday))
+""" + _onehot_sql("prep", "is_school_break").replace("SELECT date,", "SELECT start_date, date,"))
+def ml_align(spark, sf):
+    """ML-3: every forecast request's inference frame encoded with the stored
+    training feature list (missing categories 0, extras dropped, in order)."""
+    f = frame(spark, sf)
+    features = ML.feature_columns(ML.categories(f))
+    prep = flow_prepare(spark, sf).withColumnRenamed("is_school_break", "is_semester_break")
+    return ML.encode_for(prep, features, keep=["start_date", "date"])
+
+
+@register("ml_baseline", _FRAME_SQL + """
+, m AS (SELECT avg(total_meals) AS train_mean FROM sp WHERE split = 'train')
+SELECT round(m.train_mean, 6) AS train_mean, round(avg(abs(sp.total_meals - m.train_mean)), 6) AS baseline_mae
+FROM sp, m WHERE sp.split = 'test' GROUP BY m.train_mean""")
+def ml_baseline(spark, sf):
+    """AGG-12: the training mean and its MAE on the holdout."""
+    b = ML.naive_baseline(ML.temporal_split(frame(spark, sf)))
+    return b.groupBy("train_mean").agg(F.avg(F.abs(F.col("total_meals") - F.col("train_mean"))).alias("baseline_mae")) \
+            .select(F.round("train_mean", 6).alias("train_mean"), F.round("baseline_mae", 6).alias("baseline_mae"))
+
+
+@register("ml_eval_naive", _FRAME_SQL + """
+, m AS (SELECT avg(total_meals) AS train_mean FROM sp WHERE split = 'train'),
+t AS (SELECT CAST(total_meals AS DOUBLE) AS y, m.train_mean AS p FROM sp, m WHERE split = 'test')
+SELECT count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse,
+       round(avg(abs((y - p) / NULLIF(y, 0))), 6) AS mape,
+       round(1 - sum((y - p) * (y - p)) / NULLIF(var_pop(y) * count(*), 0), 6) AS r2
+FROM t""")
+def ml_eval_naive(spark, sf):
+    """AGG-13 / AGG-14: MAE, RMSE, R², MAPE of the naive predictor."""
+    b = ML.naive_baseline(ML.temporal_split(frame(spark, sf)))
+    m = ML.regression_metrics(b)
+    return m.select("n", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "mape", "r2")])
+
+
+# --- model-backed queries (rows-only checks) ---------------------------------------------------
+_MODELS: dict = {}
+
+
+def trained(spark, sf):
+    """Fit once per (session, data set): frame -> holdout -> one-hot -> forest."""
+    key = (id(spark), sf)
+    if key not in _MODELS:
+        f = ML.temporal_split(frame(spark, sf))
+        cats = ML.categories(f.filter(F.col("split") == "train"))
+        features = ML.feature_columns(cats)
+        enc = ML.one_hot(f, cats).select("date", "split", ML.LABEL, *features)
+        model = ML.fit_forest(enc.filter(F.col("split") == "train"), features)
+        _MODELS[key] = (model, features, enc)
+    return _MODELS[key]
+
+
+@register("ml_train")
+def ml_train(spark, sf):
+    """ML-5: the forest's predictions for the holdout days."""
+    model, features, enc = trained(spark, sf)
+    return model.transform(enc.filter(F.col("split") == "test")).select("date", ML.LABEL, "prediction")
+
+
+@register("ml_eval")
+def ml_eval(spark, sf):
+    """AGG-13 / AGG-14 for the forest, next to the naive baseline."""
+    model, features, enc = trained(spark, sf)
+    m = ML.regression_metrics(model.transform(enc.filter(F.col("split") == "test"))).withColumn("model", F.lit("forest"))
+    b = ML.regression_metrics(ML.naive_baseline(enc)).withColumn("model", F.lit("train_mean"))
+    return m.unionByName(b)
+
+
+@register("ml_score")
+def ml_score(spark, sf):
+    """ML-4: score every forecast request: predict, ceil, stamp, split."""
+    model, features, _ = trained(spark, sf)
+    prep = flow_prepare(spark, sf)
+    ratios = SP.theme_ratios(fx.actual_sales(spark, sf))
+    return ML.score(model, prep, features, ratios, AS_OF)
+
+
+@register("ml_backtest")
+def ml_backtest(spark, sf):
+    """ML-6: rolling-origin validation (stands in for the out-of-bag score):
+    for each yearly origin, fit on the days before it and test on the next
+    10 working days."""
+    f = frame(spark, sf)
+    cats = ML.categories(f)
+    features = ML.feature_columns(cats)
+    enc = ML.one_hot(f, cats)
+    years = sorted(r[0] for r in f.select(F.year("date").alias("y")).distinct().collect())[1:]
+    out = None
+    for y in years:
+        origin = dt.date(y, 1, 1)
+        train = enc.filter(F.col("date") < F.lit(origin))
+        test = enc.filter(F.col("date") >= F.lit(origin)).orderBy("date").limit(ML.HOLDOUT_DAYS)
+        model = ML.fit_forest(train, features)
+        m = ML.regression_metrics(model.transform(test)).withColumn("origin", F.lit(origin))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def metadata_record(spark, sf):
+    """SNK-8 / AGG-15: counts, holdout metrics, feature list, source; one
+    aggregate over the scored frame (holdout metrics are conditional)."""
+    model, features, enc = trained(spark, sf)
+    s = model.transform(enc)
+    t = F.col("split") == "test"
+    y, p = F.when(t, F.col(ML.LABEL).cast("double")), F.when(t, F.col("prediction"))
+    return s.agg(
+        F.count(F.lit(1)).alias("training_row_count"),
+        F.count_if(t).alias("holdout_row_count"),
+        F.avg(F.abs(y - p)).alias("baseline_mae"),
+        F.sqrt(F.avg(F.pow(y - p, 2))).alias("baseline_rmse"),
+        F.avg(F.abs((y - p) / F.nullif(y, F.lit(0.0)))).alias("baseline_mape"),
+    ).select(
+        F.lit(len(features)).cast("bigint").alias("number_of_features"),
+        F.lit(AS_OF.isoformat()).alias("training_timestamp"),
+        "training_row_count", "holdout_row_count", "baseline_mae", "baseline_rmse", "baseline_mape",
+        F.array(*[F.lit(c) for c in features]).alias("feature_columns"),
+        F.lit(f"{sf}/orders.parquet").alias("data_source"),
+        F.lit(True).alias("trained_on_real_data"))
+
+
+@register("ml_metadata")
+def ml_metadata(spark, sf):
+    """SNK-8: the metadata record of the trained model."""
+    return metadata_record(spark, sf)
+
+
+@register("flow_train")
+def flow_train(spark, sf):
+    """FLOW-5: train, evaluate and publish (model directory + metadata JSON
+    under a new version in the shared checkpoint folder; the pointer moves
+    only after both are written)."""
+    from platewise.session import checkpoint_dir
+    from platewise.sinks.tables import _write_text, write_json_record
+    model, features, enc = trained(spark, sf)
+    root = os.path.join(checkpoint_dir(spark), "models", "demand_forest")
+    version = f"v-{int(dt.datetime.now().timestamp() * 1000)}"
+    model.write().overwrite().save(os.path.join(root, version, "model"))
+    rec = metadata_record(spark, sf)
+    write_json_record(spark, os.path.join(root, version, "model_metadata.json"), rec)
+    _write_text(spark, os.path.join(root, "_CURRENT"), version)
+    return spark.read.option("multiLine", True).json(os.path.join(root, version, "model_metadata.json"))
+
+
+@register("flow_forecast")
+def flow_forecast(spark, sf):
+    """FLOW-1: requests -> features -> score -> split -> overrides -> final ->
+    upsert into the stored predictions (whole table returned)."""
+    model, features, _ = trained(spark, sf)
+    a = fx.actual_sales(spark, sf)
+    ratios = SP.theme_ratios(a)
+    scored = ML.score(model, flow_prepare(spark, sf), features, ratios, AS_OF)
+    review = scored.select(
+        "date",
+        F.when(F.dayofmonth("date") % 7 == 0, F.col("predicted_meals") + 25).alias("override_meal_prediction"),
+        F.when(F.dayofmonth("date") % 7 == 0, F.lit("Event")).alias("override_reason"),
+        F.lit(0.0).alias("predicted_meals_salad"))
+    forecast = SP.apply_overrides(scored.drop("start_date", "weather_icon"), review, ratios)
+    return UP.upsert(fx.predictions(spark, sf, a), forecast.select(*PREDICTION_COLUMNS), ["date"])
