@@ -1 +1,104 @@
-"""Registered queries (see catalog)."""
+"""Queries: file sources and the incremental ingest (SRC-1, SRC-2, SRC-3,
+AIM-2). Each writes files that Spark derives from the test tables into a
+fresh folder under the shared checkpoint folder, then reads them back with
+the source operators."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from platewise import fixtures as fx
+from platewise.operators import validate as V
+from platewise.plans.catalog import register
+from platewise.plans.q_import import IMPORT_SQL, import_files
+from platewise.session import scratch_dir
+from platewise.sinks.tables import publish, read_table
+from platewise.sources import files as SRC
+from platewise.streaming.ingest import landing_layout, start_ingest
+
+SEPARATORS = {0: ";", 1: ",", 2: "\t"}
+
+
+@register("src_holidays", "SELECT * FROM holidays")
+def src_holidays(spark, sf):
+    """SRC-1: the holiday table written as CSV (TRUE / FALSE flags) and read back."""
+    path = scratch_dir(spark, "holidays")
+    h = fx.holidays(spark, sf)
+    h.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "description",
+             *[F.upper(F.col(c).cast("string")).alias(c) for c in ("is_bank_holiday", "is_school_break",
+                                                                    "is_bridge_day")]) \
+     .write.option("header", True).csv(path)
+    return SRC.read_holidays(spark, path)
+
+
+@register("src_sales", """
+SELECT date, actual_meals AS total_meals, actual_meals_veg AS veg, actual_meals_non_veg AS non_veg
+FROM actual_sales""")
+def src_sales(spark, sf):
+    """SRC-2: history as ``;`` CSV with ``MM/dd/yy`` dates, read back
+    (1995-1999 dates keep their century)."""
+    path = scratch_dir(spark, "sales")
+    a = fx.actual_sales(spark, sf)
+    a.select(F.date_format("date", "MM/dd/yy").alias("date"), F.col("actual_meals").alias("total_day"),
+             F.col("actual_meals_veg").alias("veg"), F.col("actual_meals_non_veg").alias("non_veg")) \
+     .write.option("header", True).option("sep", ";").csv(path)
+    return SRC.read_sales(spark, path)
+
+
+def write_import_files(spark, sf, root: str) -> None:
+    """One CSV per monthly batch; the separator cycles ``;`` / ``,`` / tab by month."""
+    f = import_files(spark, sf).withColumn("_m", F.substring("batch", 6, 2).cast("int") % 3)
+    for k, sep in SEPARATORS.items():
+        part = f.filter(F.col("_m") == k).drop("_m")
+        (part.repartition("batch").sortWithinPartitions("batch", "Datum")
+             .write.mode("append").partitionBy("batch").option("header", True).option("sep", sep).csv(root))
+
+
+def _batch_of(path_col):
+    return F.regexp_extract(path_col, r"batch=([0-9]{4}-[0-9]{2})", 1)
+
+
+@register("src_sniff", f"""
+, {IMPORT_SQL.strip()}
+SELECT batch, ordinal, date, actual_meals, actual_meals_veg, actual_meals_non_veg, actual_meals_salad
+FROM checked""")
+def src_sniff(spark, sf):
+    """SRC-3 + VAL-1 + WIN-2: files of unknown separator and German headers,
+    read in one scan per header variant, each row with its in-file position."""
+    root = scratch_dir(spark, "import")
+    write_import_files(spark, sf, root)
+    out = None
+    for _, df in SRC.read_csv_files(spark, root):
+        r = V.resolve_columns(df, keep=["_file", "ordinal"])
+        r = r.select(_batch_of(F.col("_file")).alias("batch"), "ordinal", *[c for c in r.columns
+                                                                           if c not in ("_file", "ordinal")])
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("aim_ingest", f"""
+, {IMPORT_SQL.strip()},
+good AS (SELECT c.t_date AS date, c.t_meals AS actual_meals, c.t_veg AS actual_meals_veg,
+                c.t_non_veg AS actual_meals_non_veg, c.t_salad AS actual_meals_salad
+         FROM checked2 c JOIN verdicts v ON c.batch = v.batch WHERE v.status = 'ok')
+SELECT * FROM actual_sales WHERE day(date) > 7 AND date NOT IN (SELECT date FROM good)
+UNION ALL SELECT * FROM good""")
+def aim_ingest(spark, sf):
+    """AIM-2: monthly files land in a folder; a Structured Streaming job
+    (availableNow) validates each file and upserts the ones that pass into
+    the actuals table (which lacks every month's first week)."""
+    paths = landing_layout(scratch_dir(spark, "ingest"))
+    write_import_files(spark, sf, paths["landing"])
+    ok, err = publish(fx.actual_sales(spark, sf).filter(F.dayofmonth("date") > 7), paths["table"])
+    if not ok:
+        raise RuntimeError(err)
+    q = start_ingest(spark, paths["landing"], paths["table"], paths["quarantine"], paths["checkpoint"])
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return read_table(spark, paths["table"])
+
+
+__all__ = ["write_import_files", "os"]

@@ -59,3 +59,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate files under the shared checkpoint
+    folder (never a machine-local temp dir on a cluster)."""
+    import uuid
+    return os.path.join(checkpoint_dir(spark), "scratch", f"{name}-{uuid.uuid4().hex[:12]}")

@@ -31,10 +31,12 @@ def read_holidays(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-2: ``;``-separated history, ``MM/dd/yy`` dates, ``total_day`` as total."""
+    """SRC-2: ``;``-separated history, ``MM/dd/yy`` dates (two-digit years
+    pivot at 69 like POSIX ``%y``), ``total_day`` as total."""
+    from platewise.sinks.reports import us_short_date
     raw = spark.read.csv(path, sep=";", header=True, schema=SALES_FILE)
     return raw.select(
-        F.to_date("date", "MM/dd/yy").alias("date"),
+        us_short_date("date").alias("date"),
         F.col("total_day").alias("total_meals"),
         F.col("veg").alias("veg"),
         F.col("non_veg").alias("non_veg"),
@@ -47,15 +49,10 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     Reads one line (``limit(1)``: a single small task), counts each candidate
     and returns the most frequent; ties go to the earlier candidate.
     """
-    head = spark.read.text(path).limit(1)
-    counts = head.select(*[
-        (F.size(F.split(F.col("value"), "\\" + s if s in "|" else s)) - 1).alias(f"c{i}")
-        for i, s in enumerate(CANDIDATE_SEPARATORS)
-    ]).first()
-    if counts is None:
+    head = spark.read.text(path).limit(1).first()
+    if head is None:
         raise ValueError(f"empty or unreadable file: {path}")
-    best = max(range(len(CANDIDATE_SEPARATORS)), key=lambda i: (counts[i], -i))
-    return CANDIDATE_SEPARATORS[best]
+    return choose_separator(head[0])
 
 
 def read_sniffed(spark: SparkSession, path: str) -> tuple[DataFrame | None, str | None]:
@@ -126,3 +123,66 @@ def read_model_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def read_model_metadata_full(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(MODEL_METADATA).json(path)
+
+
+def file_headers(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """First line of every file, in one distributed job.
+
+    A file's first line is the first row of its split that starts at byte 0;
+    ``monotonically_increasing_id`` preserves in-partition order, so
+    ``min_by(value, id)`` over those rows is the header. Returns
+    ``(file_path, header)``.
+    """
+    t = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        "value", F.monotonically_increasing_id().alias("_id"))
+    return (t.filter(F.col("block_start") == 0)
+             .groupBy("file_path").agg(F.min_by("value", "_id").alias("header")))
+
+
+def choose_separator(header: str) -> str:
+    """SRC-3 on one header line: the most frequent candidate, earlier wins."""
+    counts = [header.count(s) for s in CANDIDATE_SEPARATORS]
+    best = max(range(len(CANDIDATE_SEPARATORS)), key=lambda i: (counts[i], -i))
+    return CANDIDATE_SEPARATORS[best]
+
+
+def with_file_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
+    """WIN-2 for file reads: 0-based data-row position inside each file.
+
+    Rows of one file split are consecutive in their partition, so
+    ``id - min(id)`` per (file, split) is the position inside the split;
+    per-file offsets are running sums over the (small) split-count frame.
+    No window ever holds a whole file. ``df`` must come straight from a
+    file scan (it uses the hidden ``_metadata`` columns).
+    """
+    x = df.select("*", F.col("_metadata.file_path").alias("_file"),
+                  F.col("_metadata.file_block_start").alias("_blk"),
+                  F.monotonically_increasing_id().alias("_id"))
+    blocks = x.groupBy("_file", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    from pyspark.sql.window import Window
+    w = Window.partitionBy("_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("_file", "_blk", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (x.join(offsets, ["_file", "_blk"])
+             .withColumn(name, F.col("_id") - F.col("_first") + F.col("_off"))
+             .drop("_blk", "_id", "_first", "_off"))
+
+
+def read_csv_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, DataFrame]]:
+    """SRC-3 for many files: headers in one job, files grouped by header
+    line, each group read with its sniffed separator in one scan. Returns
+    ``(header, df)`` pairs; ``df`` has every column as string plus
+    ``_file`` and ``ordinal`` (position inside its file)."""
+    heads = file_headers(spark, paths).collect()  # one short line per file
+    groups: dict[str, list[str]] = {}
+    for r in heads:
+        groups.setdefault(r["header"], []).append(r["file_path"])
+    out = []
+    for header, files in groups.items():
+        sep = choose_separator(header)
+        names = [h.strip() for h in header.split(sep)]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        df = spark.read.csv(files, sep=sep, header=True, schema=schema, enforceSchema=True)
+        out.append((header, with_file_ordinal(df)))
+    return out
