@@ -41,13 +41,14 @@ FOREST = dict(numTrees=200, maxDepth=4, minInstancesPerNode=3, seed=0,
 
 
 def training_frame(sales: DataFrame, weather: DataFrame, holidays: DataFrame,
-                   keys: Sequence[str] = ("date",), strict: bool = True) -> DataFrame:
+                   keys: Sequence[str] = ("date",), on_missing_weather: str = "raise") -> DataFrame:
     """ML-1: daily totals + calendar + weather + holidays.
 
     ``sales`` has ``keys`` and ``actual_meals`` (or ``total_meals``). The
     school-break flag is named ``is_semester_break`` for the model, at both
-    training and scoring time (Q2 is not reproduced). ``strict`` refuses
-    days without weather (FLT-6).
+    training and scoring time (Q2 is not reproduced). Days without weather
+    are refused (``on_missing_weather='raise'``, FLT-6) or left out
+    (``'drop'``; ``features.missing_weather`` reports them).
     """
     keys = list(keys)
     total = "total_meals" if "total_meals" in sales.columns else "actual_meals"
@@ -59,9 +60,12 @@ def training_frame(sales: DataFrame, weather: DataFrame, holidays: DataFrame,
         "is_semester_break": F.coalesce(F.col("is_semester_break"), F.lit(False)),
         "is_bridge_day": F.coalesce(F.col("is_bridge_day"), F.lit(False)),
     })
-    if strict:
+    if on_missing_weather == "raise":
         missing_weather(df, strict=True)
-    return df
+        return df
+    if on_missing_weather == "drop":
+        return df.filter(F.col("temperature_max").isNotNull() & F.col("weather_condition").isNotNull())
+    raise ValueError("on_missing_weather must be 'raise' or 'drop'")
 
 
 def holdout_cutoff(frame: DataFrame, n: int = HOLDOUT_DAYS) -> dt.date | None:

@@ -28,7 +28,8 @@ _FRAME_SQL = f"""
   SELECT a.date, a.actual_meals AS total_meals, dayname(a.date) AS weekday, monthname(a.date) AS month,
          {theme_case("a.date")} AS day_theme, w.temperature_max, w.weather_condition,
          COALESCE(h.is_school_break, false) AS is_semester_break, COALESCE(h.is_bridge_day, false) AS is_bridge_day
-  FROM actual_sales a LEFT JOIN weather w ON a.date = w.date LEFT JOIN holidays h ON a.date = h.date),
+  FROM actual_sales a LEFT JOIN weather w ON a.date = w.date LEFT JOIN holidays h ON a.date = h.date
+  WHERE w.temperature_max IS NOT NULL AND w.weather_condition IS NOT NULL),
 sp AS (
   SELECT *, CASE WHEN date >= (SELECT min(date) FROM (SELECT date FROM tf ORDER BY date DESC LIMIT {ML.HOLDOUT_DAYS}) t)
                  THEN 'test' ELSE 'train' END AS split
@@ -46,7 +47,8 @@ def _onehot_sql(src: str, flag: str = "is_semester_break") -> str:
 
 def frame(spark, sf):
     a = fx.actual_sales(spark, sf)
-    return ML.training_frame(a, fx.weather(spark, sf), fx.holidays(spark, sf))
+    # days without weather are left out here (and listed by flt_missing_weather)
+    return ML.training_frame(a, fx.weather(spark, sf), fx.holidays(spark, sf), on_missing_weather="drop")
 
 
 @register("ml_training_frame", _FRAME_SQL + "\nSELECT * FROM tf")
