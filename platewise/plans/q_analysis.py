@@ -15,13 +15,13 @@ _PA = "FROM predictions p JOIN actual_sales a ON p.date = a.date"
 @register("aim_daily_rollup", "SELECT * FROM site_sales")
 def aim_daily_rollup(spark, sf):
     """AIM-1: order lines -> daily demand per (site, date)."""
-    return fx.site_sales(spark, sf)
+    return fx.build_site_sales(spark, sf)
 
 
 @register("aim_daily_rollup_total", "SELECT * FROM actual_sales")
 def aim_daily_rollup_total(spark, sf):
     """AIM-1 without a site: one row per working day."""
-    return fx.actual_sales(spark, sf)
+    return fx.build_actual_sales(spark, sf)
 
 
 _CMP_SQL = f"""

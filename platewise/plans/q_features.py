@@ -72,7 +72,7 @@ def prj_calendar(spark, sf):
 @register("fn_weather_category", "SELECT date, weather_code, weather_icon, weather_condition FROM weather")
 def fn_weather_category(spark, sf):
     """FN-2: weather code -> (icon, condition) for every day."""
-    return fx.weather(spark, sf).select("date", "weather_code", "weather_icon", "weather_condition")
+    return fx.build_weather(spark, sf).select("date", "weather_code", "weather_icon", "weather_condition")
 
 
 def landed_weather_json(spark, sf):
