@@ -53,7 +53,7 @@ def add_errors(df: DataFrame) -> DataFrame:
 
 
 def join_actuals(predictions: DataFrame, actuals: DataFrame, start=None, end=None,
-                 keys: Sequence[str] = ("date",), with_errors: bool = True) -> DataFrame:
+                 keys: Sequence[str] = ("date",), with_errors: bool = True, ordered: bool = False) -> DataFrame:
     """JON-3: predictions x actuals for a period, errors attached.
 
     The range filter is applied to both inputs before the join so that both
@@ -66,7 +66,9 @@ def join_actuals(predictions: DataFrame, actuals: DataFrame, start=None, end=Non
     if start is not None:
         p, a = date_range(p, start, end), date_range(a, start, end)
     j = p.join(a, keys, "inner")
-    return add_errors(j) if with_errors else j
+    j = add_errors(j) if with_errors else j
+    # SRT-1: date order on request (a range-partitioned distributed sort)
+    return j.orderBy(*keys) if ordered else j
 
 
 def missing_actuals(predictions: DataFrame, actuals: DataFrame, keys: Sequence[str] = ("date",)) -> DataFrame:

@@ -276,3 +276,29 @@ def fn_sign_class(spark, sf):
     a = fx.actual_sales(spark, sf)
     j = C.join_actuals(fx.predictions(spark, sf, a), a)
     return j.select("date", "difference", sign_class("difference").alias("difference_class"))
+
+
+@register("prj_casts", """
+SELECT p.date, CAST(COALESCE(p.final_prediction, 0) AS BIGINT) AS final_prediction,
+       CAST(COALESCE(p.predicted_meals_veg, 0) AS BIGINT) AS predicted_meals_veg,
+       CAST(COALESCE(p.predicted_meals_non_veg, 0) AS BIGINT) AS predicted_meals_non_veg,
+       CAST(NULL AS BIGINT) AS actual_meals, CAST(NULL AS BIGINT) AS actual_meals_veg,
+       CAST(NULL AS BIGINT) AS actual_meals_non_veg
+FROM predictions p LEFT JOIN actual_sales a ON p.date = a.date AND NOT (day(a.date) = 1)
+WHERE a.date IS NULL""")
+def prj_casts(spark, sf):
+    """PRJ-9: the missing-actuals grid as displayed: predicted counts filled
+    with 0 and whole, actual counts nullable whole numbers."""
+    from platewise.functions.formats import int_or_zero
+    m = jon_missing_actuals(spark, sf)
+    return m.select("date", *[int_or_zero(c).alias(c) for c in
+                              ("final_prediction", "predicted_meals_veg", "predicted_meals_non_veg")],
+                    *[F.col(c).cast("bigint").alias(c) for c in
+                      ("actual_meals", "actual_meals_veg", "actual_meals_non_veg")])
+
+
+@register("srt_cmp_ordered", _CMP_SQL)
+def srt_cmp_ordered(spark, sf):
+    """SRT-1: the comparison in date order (distributed range sort)."""
+    a = fx.actual_sales(spark, sf)
+    return C.join_actuals(fx.predictions(spark, sf, a), a, ordered=True)

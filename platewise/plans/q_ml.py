@@ -236,3 +236,35 @@ def flow_forecast(spark, sf):
         F.lit(0.0).alias("predicted_meals_salad"))
     forecast = SP.apply_overrides(scored.drop("start_date", "weather_icon"), review, ratios)
     return UP.upsert(fx.predictions(spark, sf, a), forecast.select(*PREDICTION_COLUMNS), ["date"])
+
+
+def published_model(spark, sf):
+    """Train and publish once, return the published version folder."""
+    from platewise.sinks.tables import current_version
+    from platewise.session import checkpoint_dir
+    root = os.path.join(checkpoint_dir(spark), "models", "demand_forest")
+    flow_train(spark, sf)
+    return current_version(spark, root)
+
+
+@register("src_model_meta")
+def src_model_meta(spark, sf):
+    """SRC-9: training timestamp of the published model (null when the
+    metadata file or key is missing)."""
+    from platewise.sources.files import read_model_metadata
+    return read_model_metadata(spark, os.path.join(published_model(spark, sf), "model_metadata.json"))
+
+
+@register("src_model_load")
+def src_model_load(spark, sf):
+    """SRC-10: load the published model and its ordered feature list, then
+    score every forecast request with it."""
+    from pyspark.ml import PipelineModel
+
+    from platewise.sources.files import read_model_metadata_full
+    version = published_model(spark, sf)
+    model = PipelineModel.load(os.path.join(version, "model"))
+    meta = read_model_metadata_full(spark, os.path.join(version, "model_metadata.json")).first()
+    features = list(meta["feature_columns"])  # the stored, ordered list (a few dozen names)
+    ratios = SP.theme_ratios(fx.actual_sales(spark, sf))
+    return ML.score(model, flow_prepare(spark, sf), features, ratios, AS_OF)

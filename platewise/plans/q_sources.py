@@ -102,3 +102,20 @@ def aim_ingest(spark, sf):
 
 
 __all__ = ["write_import_files", "os"]
+
+
+@register("snk_overwrite", """
+SELECT * FROM actual_sales
+WHERE date NOT IN (SELECT date FROM holidays WHERE is_bank_holiday)""")
+def snk_overwrite(spark, sf):
+    """SNK-4 / SNK-12: publish the actuals table, then replace it wholesale
+    (delete all, reload without bank holidays) as a new version; readers see
+    the last complete version only."""
+    from platewise.operators.upsert import delete_keys
+    root = scratch_dir(spark, "overwrite")
+    ok1, e1 = publish(fx.actual_sales(spark, sf), root)
+    current = read_table(spark, root)
+    ok2, e2 = publish(delete_keys(current, fx.holidays(spark, sf).filter("is_bank_holiday")), root)
+    if not (ok1 and ok2):
+        raise RuntimeError(e1 or e2)
+    return read_table(spark, root)

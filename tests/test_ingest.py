@@ -39,3 +39,22 @@ def test_streaming_ingest_all_or_nothing(spark, tmp_dir):
     assert read_table(spark, p["table"]).count() == 2
     assert spark.read.parquet(p["quarantine"]).count() == 1
     assert F is not None
+
+
+def test_publish_is_all_or_nothing(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "t")
+    ok, err = publish(spark.createDataFrame([(D(2026, 7, 13), 1, 1, 0, 0.0)], S), root)
+    assert ok and err is None
+    bad = spark.createDataFrame([(D(2026, 7, 14), 1, 1, 0, 0.0)], S).withColumn(
+        "actual_meals", F.assert_true(F.lit(False), F.lit("boom")).cast("long"))
+    ok, err = publish(bad, root)
+    assert not ok and "boom" in err
+    assert [r["date"] for r in read_table(spark, root).collect()] == [D(2026, 7, 13)]
+
+
+def test_ensure_override_columns(spark):
+    from platewise.operators.split import with_final_prediction
+    df = spark.createDataFrame([(60,)], "predicted_meals long")
+    out = with_final_prediction(df)
+    assert {"override_meal_prediction", "override_reason", "final_prediction"} <= set(out.columns)
+    assert out.first()["final_prediction"] == 60
