@@ -204,7 +204,25 @@ def insight_documents(spark, sf):
     return g.select("month", text.alias("response"))
 
 
-@register("fn_parse_insights")
+_INSIGHT_ROWS = _LONG_SQL + """,
+ins AS (
+  SELECT month, CAST(rank AS INTEGER) AS rank,
+         CASE WHEN rel_bias IS NULL THEN 'info' WHEN abs(rel_bias) > 0.05 THEN 'error'
+              WHEN abs(rel_bias) >= 0.03 THEN 'warning' WHEN abs(rel_bias) < 0.01 THEN 'success' ELSE 'info' END AS type,
+         weekday || ' ' || category AS title,
+         printf('%s %s: %s by %+d%% over %d days', weekday, category,
+                CASE WHEN rel_bias > 0 THEN 'under-forecast' WHEN rel_bias < 0 THEN 'over-forecast' ELSE 'on target' END,
+                COALESCE(CAST(round_even(rel_bias * 100, 0) AS INTEGER), 0), days) AS message
+  FROM r WHERE rank <= 3),
+docs AS (
+  SELECT month, to_json(list({'type': type, 'title': title, 'message': message} ORDER BY rank)) AS body
+  FROM ins GROUP BY month)"""
+
+
+@register("fn_parse_insights", _INSIGHT_ROWS + """
+SELECT i.month, i.type, i.title, i.message FROM ins i WHERE month(i.month) % 3 <> 0
+UNION ALL
+SELECT month, 'info', CAST(NULL AS VARCHAR), substr(body, 1, 40) FROM docs WHERE month(month) % 3 = 0""")
 def fn_parse_insights(spark, sf):
     """FN-13: strip fences, parse the insight array; unparseable text is kept
     as one raw ``info`` message."""
@@ -302,7 +320,15 @@ def snk_report(spark, sf):
     return REP.report_table(p, _REPORT_COLS)
 
 
-@register("snk_json_payload")
+@register("snk_json_payload", """
+, w AS (SELECT CAST(date_trunc('week', date) AS DATE) AS week_start, date, day_theme, final_prediction,
+               predicted_meals_veg, predicted_meals_non_veg FROM predictions)
+SELECT week_start,
+       '[' || string_agg(to_json({'week_start': week_start, 'date': date, 'day_theme': day_theme,
+                                  'final_prediction': final_prediction, 'predicted_meals_veg': predicted_meals_veg,
+                                  'predicted_meals_non_veg': predicted_meals_non_veg}), ',' ORDER BY date) || ']'
+         AS json
+FROM w GROUP BY week_start""")
 def snk_json_payload(spark, sf):
     """SNK-10: one JSON array of forecast rows per planning week."""
     p = fx.predictions(spark, sf).withColumn("week_start", F.date_trunc("week", "date").cast("date"))
