@@ -160,6 +160,28 @@ def build_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*PREDICTION_COLUMNS)
 
 
+def build_site_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-site predictions derived from ``site_sales``: the seasonal mean
+    per (site, weekday), split by the site's own theme ratio (with the fixed
+    fallbacks). Windows partition by (site, weekday)."""
+    keys = ["site_id", "date"]
+    a = site_sales(spark, sf_dir)
+    w_prev = Window.partitionBy("site_id", F.weekday("date")).orderBy("date")
+    base = a.select(
+        "site_id", "date",
+        day_theme("date").alias("day_theme"),
+        seasonal_mean(site=["site_id"]).alias("predicted_meals"),
+        F.coalesce(F.lag("actual_meals_salad").over(w_prev), F.lit(0.0)).alias("predicted_meals_salad"),
+        F.date_sub("date", 7).cast("timestamp_ntz").alias("prediction_timestamp"),
+    )
+    base = with_theme_ratio(base, theme_ratios(a, keys), keys)
+    sp = split_total(F.col("predicted_meals"), F.col("veg_ratio"))
+    return base.select("site_id", "date", "day_theme", "predicted_meals",
+                       sp["veg"].alias("predicted_meals_veg"), sp["non_veg"].alias("predicted_meals_non_veg"),
+                       "predicted_meals_salad", "prediction_timestamp",
+                       F.col("predicted_meals").alias("final_prediction"))
+
+
 # --- materialised views --------------------------------------------------------
 # The daily tables are what every downstream operator reads. As in
 # production, they are computed once from the raw tables and written as a
@@ -173,10 +195,12 @@ _BUILDERS = {
     "weather": build_weather,
     "holidays": build_holidays,
     "predictions": build_predictions,
+    "site_predictions": build_site_predictions,
 }
 _INPUTS = {
     "actual_sales": ["orders"], "site_sales": ["orders", "customer"], "weather": ["lineitem"],
     "holidays": ["orders"], "predictions": ["orders", "lineitem"],
+    "site_predictions": ["orders", "customer"],
 }
 _VIEW_VERSION = "1"
 
@@ -228,6 +252,10 @@ def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "holidays")
 
 
+def site_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "site_predictions")
+
+
 def predictions(spark: SparkSession, sf_dir: str, actuals: DataFrame | None = None) -> DataFrame:
     """The predictions table; ``actuals`` is accepted for call-site symmetry
     (the view is always derived from the ``actual_sales`` view)."""

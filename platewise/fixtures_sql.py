@@ -137,6 +137,30 @@ FROM pred_base b
 LEFT JOIN weather w ON w.date = b.date
 LEFT JOIN holidays h ON h.date = b.date
 LEFT JOIN theme_ratio r ON r.day_theme = b.day_theme""",
+    "site_ratio": f"""
+SELECT site_id, day_theme,
+       avg_veg / NULLIF(avg_veg + avg_non_veg, 0) AS veg_ratio
+FROM (SELECT site_id, {theme_case("date")} AS day_theme,
+             avg(actual_meals_veg) AS avg_veg, avg(actual_meals_non_veg) AS avg_non_veg
+      FROM site_sales
+      WHERE actual_meals_veg IS NOT NULL AND actual_meals_non_veg IS NOT NULL
+        AND {theme_case("date")} IS NOT NULL
+      GROUP BY 1, 2) t""",
+    "site_predictions": f"""
+SELECT b.site_id, b.date, b.day_theme, b.predicted_meals,
+       CAST(ceil(CAST(b.predicted_meals AS DOUBLE)
+                 * COALESCE(r.veg_ratio, {ratio_fallback("b.day_theme", 0)})) AS BIGINT) AS predicted_meals_veg,
+       b.predicted_meals - CAST(ceil(CAST(b.predicted_meals AS DOUBLE)
+                 * COALESCE(r.veg_ratio, {ratio_fallback("b.day_theme", 0)})) AS BIGINT) AS predicted_meals_non_veg,
+       b.predicted_meals_salad, b.prediction_timestamp, b.predicted_meals AS final_prediction
+FROM (SELECT s.site_id, s.date, {theme_case("s.date")} AS day_theme,
+             CAST(COALESCE(ceil(avg(s.actual_meals) OVER w4), 7) AS BIGINT) AS predicted_meals,
+             COALESCE(lag(s.actual_meals_salad) OVER w1, CAST(0 AS DOUBLE)) AS predicted_meals_salad,
+             CAST(s.date - 7 AS TIMESTAMP) AS prediction_timestamp
+      FROM site_sales s
+      WINDOW w4 AS (PARTITION BY s.site_id, isodow(s.date) ORDER BY s.date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING),
+             w1 AS (PARTITION BY s.site_id, isodow(s.date) ORDER BY s.date)) b
+LEFT JOIN site_ratio r ON r.site_id = b.site_id AND r.day_theme = b.day_theme""",
 }
 
 

@@ -302,3 +302,66 @@ def srt_cmp_ordered(spark, sf):
     """SRT-1: the comparison in date order (distributed range sort)."""
     a = fx.actual_sales(spark, sf)
     return C.join_actuals(fx.predictions(spark, sf, a), a, ordered=True)
+
+
+# --- per-site variants (keys = site_id, date) ------------------------------------------
+_SPA = "FROM site_predictions p JOIN site_sales a ON p.site_id = a.site_id AND p.date = a.date"
+SITE_KEYS = ["site_id", "date"]
+
+
+@register("cmp_site_metrics", f"""
+SELECT p.site_id,
+       avg(abs(a.actual_meals - p.final_prediction)) AS mae,
+       count(*) FILTER (WHERE p.final_prediction > a.actual_meals) AS over_predicted,
+       count(*) FILTER (WHERE p.final_prediction < a.actual_meals) AS under_predicted,
+       avg(CASE WHEN CAST(abs(a.actual_meals - p.final_prediction) AS DOUBLE)
+                     / CAST(NULLIF(p.final_prediction, 0) AS DOUBLE) * 100 <= 5.0
+                THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * 100 AS accuracy_rate
+{_SPA}
+GROUP BY 1""")
+def cmp_site_metrics(spark, sf):
+    """JON-3 + AGG-1...4 per site (keys site_id, date): one grouped aggregate."""
+    j = C.join_actuals(fx.site_predictions(spark, sf), fx.site_sales(spark, sf), keys=SITE_KEYS)
+    return C.metrics(j, by=["site_id"], tolerance=0.05, tolerance_unit="fraction")
+
+
+@register("agg_period_delta_site", f"""
+, j AS (SELECT p.site_id, p.date, p.final_prediction AS pr, a.actual_meals AS ac {_SPA}),
+per AS (SELECT DISTINCT site_id, CAST(date_trunc('month', date) AS DATE) AS period_start FROM j),
+per2 AS (SELECT site_id, period_start, CAST(last_day(period_start) AS DATE) AS period_end,
+                period_start - 1 - CAST(CAST(last_day(period_start) AS DATE) - period_start AS INTEGER) AS prev_start
+         FROM per),
+t AS (SELECT per2.site_id, per2.period_start, per2.period_end, j.date >= per2.period_start AS cur, j.ac, j.pr,
+             CASE WHEN COALESCE(CAST(abs(j.ac - j.pr) AS DOUBLE) / CAST(NULLIF(j.pr, 0) AS DOUBLE) * 100 <= 0.05, false)
+                  THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS hit
+      FROM per2 JOIN j ON j.site_id = per2.site_id AND j.date BETWEEN per2.prev_start AND per2.period_end),
+g AS (SELECT site_id, period_start, period_end,
+             count(*) FILTER (WHERE cur) AS cur_rows, count(*) FILTER (WHERE NOT cur) AS prev_rows,
+             avg(abs(ac - pr)) FILTER (WHERE cur) AS cur_mae, avg(abs(ac - pr)) FILTER (WHERE NOT cur) AS prev_mae,
+             count(*) FILTER (WHERE cur AND pr > ac) AS cur_over, count(*) FILTER (WHERE NOT cur AND pr > ac) AS prev_over,
+             count(*) FILTER (WHERE cur AND pr < ac) AS cur_under, count(*) FILTER (WHERE NOT cur AND pr < ac) AS prev_under,
+             avg(hit) FILTER (WHERE cur) * 100 AS cur_acc, avg(hit) FILTER (WHERE NOT cur) * 100 AS prev_acc
+      FROM t GROUP BY 1, 2, 3)
+SELECT site_id, period_start, period_end, cur_rows AS rows, prev_rows, cur_mae AS mae, cur_acc AS accuracy_rate,
+       cur_over AS over_predicted, cur_under AS under_predicted,
+       CASE WHEN prev_rows > 0 THEN cur_mae - prev_mae END AS mae_delta,
+       CASE WHEN prev_rows > 0 THEN cur_acc - prev_acc END AS accuracy_delta,
+       CASE WHEN prev_rows > 0 THEN cur_over - prev_over END AS over_delta,
+       CASE WHEN prev_rows > 0 THEN cur_under - prev_under END AS under_delta
+FROM g WHERE cur_rows > 0""")
+def agg_period_delta_site(spark, sf):
+    """AGG-10 per (site, month): every site's months against the span before."""
+    return C.period_over_period_all(fx.site_predictions(spark, sf), fx.site_sales(spark, sf), unit="month",
+                                    keys=SITE_KEYS)
+
+
+@register("fn_split_site", "SELECT site_id, date, day_theme, predicted_meals, predicted_meals_veg, "
+                           "predicted_meals_non_veg FROM site_predictions")
+def fn_split_site(spark, sf):
+    """AGG-5 + JON-5 + FN-3 per site: each site's forecast split with the
+    site's own empirical theme ratio (computed from that site's history)."""
+    from platewise.operators import split as SP
+    keys = SITE_KEYS
+    a = fx.site_sales(spark, sf)
+    p = fx.site_predictions(spark, sf).select("site_id", "date", "day_theme", "predicted_meals")
+    return SP.split_forecast(p, SP.theme_ratios(a, keys), keys)
