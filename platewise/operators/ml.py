@@ -89,11 +89,10 @@ def temporal_split(frame: DataFrame, n: int = HOLDOUT_DAYS, keys: Sequence[str]
 
 
 def categories(frame: DataFrame, columns: Sequence[str] = CATEGORICAL) -> dict[str, list[str]]:
-    """Observed values per categorical column (bounded: months, conditions, themes)."""
-    out = {}
-    for c in columns:
-        out[c] = sorted(r[0] for r in frame.select(c).where(F.col(c).isNotNull()).distinct().collect())
-    return out
+    """Observed values per categorical column, in one aggregate job
+    (bounded: 12 months, 5 weather conditions, 5 themes)."""
+    row = frame.agg(*[F.collect_set(c).alias(c) for c in columns]).first()
+    return {c: sorted(row[c] or []) for c in columns}
 
 
 def feature_columns(cats: dict[str, list[str]]) -> list[str]:

@@ -196,11 +196,19 @@ def ordinal_within(df: DataFrame, batch_col: str, order_cols: Sequence[str], nam
     """WIN-2 per batch: 0-based position of each row inside its batch (file)
     in ``order_cols`` order.
 
-    A distributed range sort plus ``with_ordinal`` gives global positions;
-    subtracting each batch's first position (a grouped min, one row per
-    batch) gives the in-batch position. No window holds a whole batch in one
-    task, so a batch with a third of all rows still spreads over the cluster.
+    After a distributed range sort on (batch, order) a batch's rows are
+    contiguous inside each partition. Per (partition, batch) counts and first
+    positions form a small frame (partitions x batches); a running sum over
+    the partitions of each batch gives the rows that precede in earlier
+    partitions. No window ever holds a batch's rows, so a batch with a third
+    of all rows still spreads over the cluster.
     """
-    g = with_ordinal(df.orderBy(batch_col, *order_cols), "_g")
-    first = g.groupBy(batch_col).agg(F.min("_g").alias("_first"))
-    return g.join(first, batch_col).withColumn(name, F.col("_g") - F.col("_first")).drop("_g", "_first")
+    x = df.orderBy(batch_col, *order_cols).select(
+        "*", F.spark_partition_id().alias("_pid"),
+        (F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)).alias("_pos"))
+    parts = x.groupBy("_pid", batch_col).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    w = Window.partitionBy(batch_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_pid", batch_col, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (x.join(parts, ["_pid", batch_col])
+             .withColumn(name, F.col("_off") + F.col("_pos") - F.col("_first"))
+             .drop("_pid", "_pos", "_first", "_off"))

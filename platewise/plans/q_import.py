@@ -164,8 +164,9 @@ def flow_import(spark, sf):
     """FLOW-3: monthly files -> resolve -> validate -> upsert the files that
     pass (all or nothing per file) into a table lacking each month's first
     week -> the refreshed list of days still missing actuals."""
+    from platewise.session import cut_lineage
     a = fx.actual_sales(spark, sf)
-    rows = checked(spark, sf)
+    rows = cut_lineage(checked(spark, sf))  # feeds the verdicts and the good rows
     verdicts = V.validate_batches(rows)
     good = V.good_rows(rows, verdicts).select("date", *V.VALUE_COLUMNS)
     db = UP.upsert(a.filter(F.dayofmonth("date") > 7), good, ["date"])

@@ -66,3 +66,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     folder (never a machine-local temp dir on a cluster)."""
     import uuid
     return os.path.join(checkpoint_dir(spark), "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the shared checkpoint folder and return a
+    DataFrame that reads it back (reliable ``checkpoint``, never the
+    executor-local variant): used where one intermediate result feeds
+    several branches of a flow."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

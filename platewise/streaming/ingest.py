@@ -40,7 +40,8 @@ def validate_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Da
         rows = r if rows is None else rows.unionByName(r)
     verdicts = None
     if rows is not None:
-        rows = V.validate_rows(rows)
+        from platewise.session import cut_lineage
+        rows = cut_lineage(V.validate_rows(rows))  # feeds the verdicts and the upsert
         verdicts = V.validate_batches(rows).withColumn("message", F.lit(None).cast("string"))
     for b in bad_cols:
         v = b.select("batch", F.lit(0).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("value_error_rows"),
