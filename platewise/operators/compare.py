@@ -165,9 +165,14 @@ def period_over_period(predictions: DataFrame, actuals: DataFrame, start, end,
     return out
 
 
-def forecast_kpis(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """AGG-6 / AGG-7: totals and the daily mean (truncated for display)."""
-    return predictions.groupBy(*by).agg(
+def forecast_kpis(predictions: DataFrame, by: Sequence[str] = (), with_peak: bool = False) -> DataFrame:
+    """AGG-6 / AGG-7: totals and the daily mean (truncated for display);
+    ``with_peak`` adds the AGG-8 peak day in the same aggregate."""
+    extra = []
+    if with_peak:
+        order = F.struct(F.col("final_prediction"), (-F.unix_date("date")).alias("neg_day"))
+        extra = [F.max_by("date", order).alias("peak_date")]
+    return predictions.groupBy(*by).agg(*extra,
         F.sum("final_prediction").alias("total_meals"),
         F.sum("predicted_meals_veg").alias("total_veg"),
         F.sum("predicted_meals_non_veg").alias("total_non_veg"),

@@ -401,9 +401,9 @@ def flow_dashboard(spark, sf):
     KPI tiles (total, daily mean, peak day) and the labelled table."""
     p = C.from_week_start(fx.predictions(spark, sf), DASH_AS_OF)
     p = p.withColumn("week_start", F.date_trunc("week", "date").cast("date"))
-    k = C.forecast_kpis(p, by=["week_start"]).select(
-        "week_start", F.col("total_meals").alias("week_total"), F.col("avg_meals_display").alias("week_daily_avg"))
-    peak = C.peak_day(p, by=["week_start"]).select("week_start", F.col("date").alias("peak_date"))
+    k = C.forecast_kpis(p, by=["week_start"], with_peak=True).select(
+        "week_start", F.col("total_meals").alias("week_total"), F.col("avg_meals_display").alias("week_daily_avg"),
+        "peak_date")
     labels = _eff(spark)
     t = LB.translate(p, "day_theme", labels, "DE", "day_themes", out="theme_label")
     t = LB.translate(t, "weather_condition", labels, "DE", "weather_condition", out="weather_label",
@@ -411,4 +411,4 @@ def flow_dashboard(spark, sf):
     t = t.select("date", "week_start", date_label("date", "table", "EN").alias("date_label"), "theme_label",
                  "final_prediction", "predicted_meals_veg", "predicted_meals_non_veg", "predicted_meals_salad",
                  "weather_label", date_label("prediction_timestamp", "stamp").alias("updated"))
-    return t.join(k, "week_start").join(peak, "week_start")
+    return t.join(k, "week_start")

@@ -111,21 +111,21 @@ def prj_apply_override(spark, sf):
 
 def _prediction_batch(spark, sf):
     """A re-saved forecast batch: every Friday twice (ordinal 1: +1, ordinal
-    2: +5 meals, no override) and a new Saturday row after each Friday."""
+    2: +5 meals, no override) and a new Saturday row after each Friday.
+    The three versions come from one scan (a bounded explode)."""
     p = fx.predictions(spark, sf)
     fri = p.filter(F.col("weekday") == "Friday")
-
-    def version(df, add, ordinal, shift=0):
-        d = F.date_add("date", shift)
-        pm = F.col("predicted_meals") + F.lit(add)
-        return df.withColumns({
-            "date": d, "weekday": weekday_name(d), "month": month_name(d), "day_theme": day_theme(d),
-            "predicted_meals": pm, "override_meal_prediction": F.lit(None).cast("bigint"),
-            "override_reason": F.lit(None).cast("string"), "final_prediction": pm,
-            "_ord": F.lit(ordinal),
-        })
-
-    return p, version(fri, 1, 1).unionByName(version(fri, 5, 2)).unionByName(version(fri, 5, 3, 1))
+    versions = F.array(*[F.struct(F.lit(add).alias("add"), F.lit(o).alias("ord"), F.lit(shift).alias("shift"))
+                         for add, o, shift in ((1, 1, 0), (5, 2, 0), (5, 3, 1))])
+    v = fri.select("*", F.inline(versions))
+    d = F.date_add("date", F.col("shift"))
+    pm = F.col("predicted_meals") + F.col("add")
+    batch = v.withColumns({
+        "date": d, "weekday": weekday_name(d), "month": month_name(d), "day_theme": day_theme(d),
+        "predicted_meals": pm, "override_meal_prediction": F.lit(None).cast("bigint"),
+        "override_reason": F.lit(None).cast("string"), "final_prediction": pm,
+    }).withColumnRenamed("ord", "_ord").drop("add", "shift")
+    return p, batch
 
 
 _BATCH_SQL = """
