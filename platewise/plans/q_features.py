@@ -87,7 +87,7 @@ def landed_weather_json(spark, sf):
         F.transform("days", lambda x: F.date_format(x["date"], "yyyy-MM-dd")).alias("time"),
         F.transform("days", lambda x: x["temperature_max"]).alias("temperature_2m_max"),
         F.transform("days", lambda x: x["weather_code"]).alias("weather_code"))
-    good = F.struct(F.lit(50.133).alias("latitude"), F.lit(8.6807).alias("longitude"), daily.alias("daily"))
+    good = F.struct(F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"), daily.alias("daily"))
     bad = F.struct(F.lit("No data is available for this location").alias("reason"))
     doc = F.when(F.month("month") == 2, F.to_json(bad)).otherwise(F.to_json(good))
     return per_month.select("month", doc.alias("json"))

@@ -63,3 +63,32 @@ def test_date_labels(spark):
     assert r["en"] == "Friday, 06. February"
     assert r["de"] == "Freitag, 06. Februar"
     assert r["chart"] == "Fr. 06/02"
+
+
+def test_parse_date(spark):
+    from pyspark.errors import PySparkException
+    from pyspark.sql.utils import AnalysisException  # noqa: F401
+
+    from platewise.functions.calendar import parse_date
+    df = spark.createDataFrame([("2026-02-06T10:00:00",), ("2026-02-06",), ("not-a-date",)], "s string")
+    assert [r[0] for r in df.select(parse_date("s", strict=False)).collect()] == [D(2026, 2, 6), D(2026, 2, 6), None]
+    with pytest.raises((PySparkException, Exception)):
+        df.select(parse_date("s", strict=True)).collect()
+
+
+def test_weather_left_join_keeps_rows(spark):
+    from platewise.operators.features import join_weather
+    df = spark.createDataFrame([(D(2026, 2, 6),), (D(2026, 2, 7),)], "date date")
+    w = spark.createDataFrame([(D(2026, 2, 6), "sun", 10.0, "clear")],
+                              "date date, weather_icon string, temperature_max double, weather_condition string")
+    rows = {r["date"]: r for r in join_weather(df, w).collect()}
+    assert len(rows) == 2 and rows[D(2026, 2, 7)]["weather_icon"] is None
+
+
+def test_holiday_flags_from_ints_and_dedupe(spark):
+    from platewise.operators.features import clean_holidays
+    h = spark.createDataFrame([(D(2026, 6, 4), "x", 0, 0, 0), (D(2026, 6, 5), "y", 0, 0, 1),
+                               (D(2026, 6, 5), "y", 0, 0, 1)],
+                              "date date, description string, is_bank_holiday int, is_school_break int, is_bridge_day int")
+    rows = sorted(clean_holidays(h).collect())
+    assert [r["is_bridge_day"] for r in rows] == [False, True]  # one row per date after the dedupe
