@@ -365,3 +365,34 @@ def fn_split_site(spark, sf):
     a = fx.site_sales(spark, sf)
     p = fx.site_predictions(spark, sf).select("site_id", "date", "day_theme", "predicted_meals")
     return SP.split_forecast(p, SP.theme_ratios(a, keys), keys)
+
+
+WINDOW = ("2000-03-06", "2000-03-10")
+
+
+@register("agg_period_delta_window", f"""
+, j AS (SELECT p.date, p.final_prediction AS pr, a.actual_meals AS ac {_PA}
+        WHERE p.date BETWEEN DATE '{WINDOW[0]}' - 5 AND DATE '{WINDOW[1]}'),
+t AS (SELECT date >= DATE '{WINDOW[0]}' AS cur, ac, pr,
+             CASE WHEN COALESCE(CAST(abs(ac - pr) AS DOUBLE) / CAST(NULLIF(pr, 0) AS DOUBLE) * 100 <= 0.05, false)
+                  THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS hit FROM j),
+g AS (SELECT count(*) FILTER (WHERE cur) AS cur_rows, count(*) FILTER (WHERE NOT cur) AS prev_rows,
+             avg(abs(ac - pr)) FILTER (WHERE cur) AS cur_mae, avg(abs(ac - pr)) FILTER (WHERE NOT cur) AS prev_mae,
+             count(*) FILTER (WHERE cur AND pr > ac) AS cur_over, count(*) FILTER (WHERE NOT cur AND pr > ac) AS prev_over,
+             count(*) FILTER (WHERE cur AND pr < ac) AS cur_under, count(*) FILTER (WHERE NOT cur AND pr < ac) AS prev_under,
+             avg(hit) FILTER (WHERE cur) * 100 AS cur_acc, avg(hit) FILTER (WHERE NOT cur) * 100 AS prev_acc
+      FROM t)
+SELECT DATE '{WINDOW[0]}' AS period_start, DATE '{WINDOW[1]}' AS period_end,
+       DATE '{WINDOW[0]}' - 5 AS prev_start, DATE '{WINDOW[0]}' - 1 AS prev_end,
+       cur_rows AS rows, prev_rows, cur_mae AS mae, cur_acc AS accuracy_rate,
+       cur_over AS over_predicted, cur_under AS under_predicted,
+       CASE WHEN prev_rows > 0 THEN cur_mae - prev_mae END AS mae_delta,
+       CASE WHEN prev_rows > 0 THEN cur_acc - prev_acc END AS accuracy_delta,
+       CASE WHEN prev_rows > 0 THEN cur_over - prev_over END AS over_delta,
+       CASE WHEN prev_rows > 0 THEN cur_under - prev_under END AS under_delta
+FROM g""")
+def agg_period_delta_window(spark, sf):
+    """AGG-10 for one chosen window (Mon-Fri) and the equally long span before
+    it (Wednesday to Sunday of the week before), one scan, one aggregate."""
+    a = fx.actual_sales(spark, sf)
+    return C.period_over_period(fx.predictions(spark, sf, a), a, *WINDOW)

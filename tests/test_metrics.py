@@ -42,3 +42,26 @@ def test_percent_display_half_even(spark):
     df = spark.createDataFrame([(0.005,), (0.015,), (-0.025,)], "r double")
     assert [r[0] for r in df.select(pct_display("r")).collect()] == [0.0, 2.0, -2.0]
     assert df.select(F.round(F.lit(0.5), 0)).first()[0] == 1.0  # round is half-up; display uses bround
+
+
+def test_period_over_period_empty_previous(spark):
+    import datetime as dt
+
+    from platewise.operators.compare import period_over_period, period_over_period_all
+    D = dt.date
+    p = spark.createDataFrame(
+        [(D(2026, 7, 13), 100, None, "Sausage", 50, 50, 0.0), (D(2026, 7, 14), 110, None, "Vital", 50, 60, 0.0),
+         (D(2026, 7, 8), 100, None, "Chicken", 50, 50, 0.0)],
+        "date date, final_prediction long, prediction_timestamp timestamp_ntz, day_theme string, "
+        "predicted_meals_veg long, predicted_meals_non_veg long, predicted_meals_salad double")
+    a = spark.createDataFrame([(D(2026, 7, 13), 90, 45, 45, 0.0), (D(2026, 7, 14), 120, 60, 60, 0.0),
+                               (D(2026, 7, 8), 100, 50, 50, 0.0)],
+                              "date date, actual_meals long, actual_meals_veg long, actual_meals_non_veg long, "
+                              "actual_meals_salad double")
+    r = period_over_period(p, a, "2026-07-13", "2026-07-17").first()
+    # previous span: 2026-07-08 .. 2026-07-12 holds one exact day
+    assert (r["rows"], r["prev_rows"], r["mae"], r["mae_delta"]) == (2, 1, 10.0, 10.0)
+    r2 = period_over_period(p.filter("date > '2026-07-10'"), a, "2026-07-13", "2026-07-17").first()
+    assert r2["prev_rows"] == 0 and r2["mae_delta"] is None and r2["over_delta"] is None
+    weeks = {x["period_start"]: x for x in period_over_period_all(p, a, unit="week").collect()}
+    assert weeks[D(2026, 7, 13)]["prev_rows"] == 1 and weeks[D(2026, 7, 6)]["mae_delta"] is None
