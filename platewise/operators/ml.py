@@ -186,7 +186,9 @@ def score(model: PipelineModel, frame: DataFrame, features: Sequence[str], ratio
     out = scored.select(*keep, *restored, ceil_prediction("prediction").alias("predicted_meals"))
     if renamed:
         out = out.withColumnRenamed("is_semester_break", "is_school_break")
-    ts = as_of if isinstance(as_of, F.Column) else F.lit(as_of).cast("timestamp_ntz")
+    # a wall-clock literal parsed from text: independent of the session time zone
+    ts = as_of if isinstance(as_of, F.Column) else F.lit(
+        as_of.isoformat(sep=" ") if isinstance(as_of, dt.datetime) else str(as_of)).cast("timestamp_ntz")
     out = out.withColumn("prediction_timestamp", ts)
     return split_forecast(out, ratios, keys)
 
