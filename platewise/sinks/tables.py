@@ -88,3 +88,19 @@ def write_json_record(spark: SparkSession, path: str, record: DataFrame) -> None
     """SNK-8: a one-row record as a single JSON document (atomic)."""
     text = record.toJSON().first()
     _write_text(spark, path, text or "{}")
+
+
+def retain_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Delete published versions older than the newest ``keep`` (the current
+    one is always kept). Returns the removed version names."""
+    p, fs, jvm = _fs(spark, root)
+    current = _read_text(spark, os.path.join(root, POINTER))
+    names = sorted(st.getPath().getName() for st in fs.listStatus(p)
+                   if st.isDirectory() and st.getPath().getName().startswith("v-"))
+    keep_set = set(names[-keep:]) | ({current} if current else set())
+    removed = []
+    for n in names:
+        if n not in keep_set:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(os.path.join(root, n)), True)
+            removed.append(n)
+    return removed

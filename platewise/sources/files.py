@@ -169,20 +169,24 @@ def with_file_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
              .drop("_blk", "_id", "_first", "_off"))
 
 
-def read_csv_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, DataFrame]]:
+def read_csv_files(spark: SparkSession, paths: list[str] | str) -> list[tuple[str, DataFrame]]:
     """SRC-3 for many files: headers in one job, files grouped by header
-    line, each group read with its sniffed separator in one scan. Returns
-    ``(header, df)`` pairs; ``df`` has every column as string plus
-    ``_file`` and ``ordinal`` (position inside its file)."""
-    heads = file_headers(spark, paths).collect()  # one short line per file
+    line, each group read once with the separator sniffed from its header.
+    Returns ``(header, df)`` pairs; ``df`` has every column as string plus
+    ``_file`` and ``ordinal`` (position inside its file).
+
+    The driver receives one short header line per file: file-level metadata
+    that Spark's file index keeps on the driver for any scan anyway; no data
+    row leaves the executors.
+    """
     groups: dict[str, list[str]] = {}
-    for r in heads:
+    for r in file_headers(spark, paths).collect():
         groups.setdefault(r["header"], []).append(r["file_path"])
     out = []
-    for header, files in groups.items():
+    for header in sorted(groups):
         sep = choose_separator(header)
         names = [h.strip() for h in header.split(sep)]
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = spark.read.csv(files, sep=sep, header=True, schema=schema, enforceSchema=True)
+        df = spark.read.csv(sorted(groups[header]), sep=sep, header=True, schema=schema, enforceSchema=True)
         out.append((header, with_file_ordinal(df)))
     return out

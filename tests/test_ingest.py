@@ -58,3 +58,18 @@ def test_ensure_override_columns(spark):
     out = with_final_prediction(df)
     assert {"override_meal_prediction", "override_reason", "final_prediction"} <= set(out.columns)
     assert out.first()["final_prediction"] == 60
+
+
+def test_retain_versions(spark, tmp_dir):
+    import time
+
+    from platewise.sinks.tables import current_version, retain_versions
+    root = os.path.join(tmp_dir, "r")
+    for i in range(4):
+        ok, _ = publish(spark.createDataFrame([(D(2026, 7, 13), i, 1, 0, 0.0)], S), root)
+        assert ok
+        time.sleep(0.01)
+    removed = retain_versions(spark, root, keep=2)
+    assert len(removed) == 2
+    assert read_table(spark, root).first()["actual_meals"] == 3
+    assert current_version(spark, root) is not None
