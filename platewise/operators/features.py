@@ -20,11 +20,6 @@ from platewise.functions.calendar import business_days, day_theme, month_name, w
 from platewise.functions.formats import blank_if_null, to_flag
 from platewise.functions.weather import weather_category
 
-# A holiday table holds at most one row per calendar date; this many rows
-# (a century of dates) is the size proven small enough to broadcast.
-HOLIDAY_BROADCAST_MAX_DATES = 36_600
-
-
 def add_calendar(df: DataFrame, date_col: str = "date") -> DataFrame:
     """PRJ-2: weekday and month names and the menu theme."""
     d = F.col(date_col)
@@ -95,12 +90,18 @@ def clean_holidays(holidays: DataFrame, keys: Sequence[str] = ("date",)) -> Data
 
 def join_holidays(df: DataFrame, holidays: DataFrame, keys: Sequence[str] = ("date",),
                   rename_description: str = "holiday_desc", dedupe: bool = True) -> DataFrame:
-    """JON-2: left join of holidays on date (broadcast: one row per date)."""
+    """JON-2: left join of holidays on date.
+
+    Keyed by date alone the deduplicated table holds at most one row per
+    calendar date (36,600 rows cover a century), so it is broadcast; with
+    site-specific holidays (more keys) it grows with the sites and the
+    planner / AQE choose the strategy from measured sizes.
+    """
     keys = list(keys)
     h = clean_holidays(holidays, keys) if dedupe else holidays
     h = h.select(*keys, F.col("description").alias(rename_description),
                  "is_bank_holiday", "is_school_break", "is_bridge_day")
-    return df.join(F.broadcast(h), keys, "left")
+    return df.join(F.broadcast(h) if keys == ["date"] else h, keys, "left")
 
 
 def exclude_bank_holidays(df: DataFrame, flag: str = "is_bank_holiday", drop: bool = True) -> DataFrame:

@@ -209,13 +209,21 @@ edits AS (
 
 @register("snk_upsert_actuals", f"""
 , {_WEEKEND_SQL.strip()}, {EDITS_SQL.strip()},
-upd AS (SELECT * FROM edits WHERE day(date) % 5 IN (0, 1) UNION ALL SELECT * FROM weekend)
+changed AS (
+  SELECT e.* FROM edits e JOIN actual_sales a ON e.date = a.date
+  WHERE e.actual_meals IS DISTINCT FROM a.actual_meals OR e.actual_meals_veg IS DISTINCT FROM a.actual_meals_veg
+     OR e.actual_meals_non_veg IS DISTINCT FROM a.actual_meals_non_veg
+     OR e.actual_meals_salad IS DISTINCT FROM a.actual_meals_salad),
+upd AS (SELECT * FROM changed UNION ALL SELECT * FROM weekend)
 SELECT * FROM actual_sales WHERE date NOT IN (SELECT date FROM upd)
 UNION ALL SELECT * FROM upd""")
 def snk_upsert_actuals(spark, sf):
-    """SNK-2: actuals upsert of corrected weekdays plus new weekend days."""
-    upd = edits(spark, sf).filter((F.dayofmonth("date") % 5).isin(0, 1)).unionByName(weekend_sales(spark, sf))
-    return UP.upsert(fx.actual_sales(spark, sf), upd, ["date"])
+    """SNK-2: actuals upsert of every corrected weekday (the rows that differ
+    from the stored ones) plus the new weekend days."""
+    from platewise.operators.validate import changed_rows
+    a = fx.actual_sales(spark, sf)
+    upd = changed_rows(edits(spark, sf), a).unionByName(weekend_sales(spark, sf))
+    return UP.upsert(a, upd, ["date"])
 
 
 @register("snk_append", f"""
