@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from platewise.functions.calendar import day_theme, is_working_day, month_name, weekday_name
+from platewise.functions.calendar import day_theme, month_name, weekday_name
 from platewise.functions.split import final_prediction, split_total
 from platewise.operators.features import fill_day_flags, join_holidays, weather_days
-from platewise.operators.rollup import daily_demand, daily_demand_by_site, half_up
+from platewise.operators.rollup import daily_demand, daily_demand_by_site
 from platewise.operators.split import theme_ratios, with_theme_ratio
 from platewise.schemas import PREDICTION_COLUMNS
 
@@ -272,5 +272,5 @@ def predictions(spark: SparkSession, sf_dir: str, actuals: DataFrame | None = No
     return view(spark, sf_dir, "predictions")
 
 
-__all__ = ["table", "actual_sales", "site_sales", "weather", "holidays", "predictions",
-           "is_working_day", "half_up"]
+__all__ = ["table", "view", "actual_sales", "site_sales", "weather", "holidays", "predictions",
+           "site_predictions"]

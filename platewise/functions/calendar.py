@@ -17,7 +17,6 @@ from platewise.constants import (
     GERMAN_MONTHS, GERMAN_WEEKDAYS, GERMAN_WEEKDAYS_SHORT, WEEKDAY_THEMES,
 )
 
-ColumnOrName = "Column | str"
 
 
 def _col(c) -> Column:

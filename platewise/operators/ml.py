@@ -19,7 +19,6 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,7 +196,3 @@ def feature_importances(model: PipelineModel, features: Sequence[str]) -> list[t
     imp = model.stages[-1].featureImportances
     return sorted(zip(features, imp.toArray().tolist()), key=lambda kv: -kv[1])
 
-
-__all__ = ["training_frame", "temporal_split", "categories", "feature_columns", "one_hot", "align",
-           "encode_for", "fit_forest", "regression_metrics", "naive_baseline", "score",
-           "holdout_cutoff", "feature_importances", "vector_to_array"]

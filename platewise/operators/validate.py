@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from platewise.constants import IMPORT_ALIASES
@@ -187,10 +186,6 @@ def changed_rows(edited: DataFrame, original: DataFrame, keys: Sequence[str] = (
     return j.filter(diff).select(*keys, *columns)
 
 
-__all__ = ["ColumnError", "resolve_columns", "with_ordinal", "value_errors", "typed", "sum_ok",
-           "sum_mismatches", "manual_mismatches", "validate_rows", "validate_batches", "good_rows",
-           "auto_total", "changed_rows", "T"]
-
 
 def ordinal_within(df: DataFrame, batch_col: str, order_cols: Sequence[str], name: str = "ordinal") -> DataFrame:
     """WIN-2 per batch: 0-based position of each row inside its batch (file)

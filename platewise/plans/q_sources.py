@@ -5,8 +5,6 @@ the source operators."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from platewise import fixtures as fx
@@ -101,8 +99,6 @@ def aim_ingest(spark, sf):
     return read_table(spark, paths["table"])
 
 
-__all__ = ["write_import_files", "os"]
-
 
 @register("snk_overwrite", """
 SELECT * FROM actual_sales
