@@ -18,7 +18,6 @@ from platewise.constants import (
 )
 
 
-
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

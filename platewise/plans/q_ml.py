@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -122,7 +123,7 @@ def trained(spark, sf):
     key = (id(spark), sf)
     if key not in _MODELS:
         f = ML.temporal_split(frame(spark, sf))
-        cats = ML.categories(f.filter(F.col("split") == "train"))
+        cats = ML.categories(f)  # encoded over the whole frame, holdout included
         features = ML.feature_columns(cats)
         enc = ML.one_hot(f, cats).select("date", "split", ML.LABEL, *features)
         model = ML.fit_forest(enc.filter(F.col("split") == "train"), features)
@@ -213,7 +214,7 @@ def flow_train(spark, sf):
     from platewise.sinks.tables import _write_text, write_json_record
     model, features, enc = trained(spark, sf)
     root = os.path.join(checkpoint_dir(spark), "models", "demand_forest")
-    version = f"v-{int(dt.datetime.now().timestamp() * 1000)}"
+    version = f"v-{int(dt.datetime.now().timestamp() * 1000)}-{uuid.uuid4().hex[:8]}"
     model.write().overwrite().save(os.path.join(root, version, "model"))
     rec = metadata_record(spark, sf)
     write_json_record(spark, os.path.join(root, version, "model_metadata.json"), rec)
