@@ -316,7 +316,7 @@ def snk_report(spark, sf):
     p = fx.predictions(spark, sf)
     p = LB.translate(p, "day_theme", _eff(spark), "EN", "day_themes", out="_theme")
     p = p.withColumn("day_theme", F.col("_theme")).drop("_theme")
-    p = p.withColumn("date", date_label("date", "table", "EN"))
+    p = p.orderBy("date").withColumn("date", date_label("date", "table", "EN"))  # SRT-1: date order
     return REP.report_table(p, _REPORT_COLS)
 
 
@@ -411,4 +411,4 @@ def flow_dashboard(spark, sf):
     t = t.select("date", "week_start", date_label("date", "table", "EN").alias("date_label"), "theme_label",
                  "final_prediction", "predicted_meals_veg", "predicted_meals_non_veg", "predicted_meals_salad",
                  "weather_label", date_label("prediction_timestamp", "stamp").alias("updated"))
-    return t.join(k, "week_start")
+    return t.join(k, "week_start").orderBy("date")
