@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -133,7 +134,15 @@ def fit_forest(train: DataFrame, features: Sequence[str], **overrides) -> Pipeli
     params = {**FOREST, **overrides}
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     rf = RandomForestRegressor(featuresCol="features", labelCol=LABEL, predictionCol="prediction", **params)
-    return Pipeline(stages=[asm, rf]).fit(train)
+    # the forest makes several passes over its input (metadata, split
+    # candidates, one pass per tree level): keep the joined training rows
+    # instead of recomputing them each time (recomputed from lineage if an
+    # executor is lost)
+    data = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=[asm, rf]).fit(data)
+    finally:
+        data.unpersist()
 
 
 def regression_metrics(df: DataFrame, label: str = LABEL, pred: str = "prediction",
