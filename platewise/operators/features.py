@@ -33,17 +33,16 @@ def add_calendar(df: DataFrame, date_col: str = "date") -> DataFrame:
 def require_working_days(df: DataFrame, date_col: str = "date", strict: bool = True) -> DataFrame:
     """FLT-3: working days only.
 
-    ``strict`` raises ``ValueError`` when any weekend date is present. The
-    check is a ``limit(1)`` probe (one row at most reaches the driver); an
-    ``assert_true`` filter is not used because the optimizer may copy it to
-    the other side of a later join, where weekend rows are legitimate.
-    Otherwise weekend rows are filtered out.
+    ``strict`` fails the job on a weekend date: the date column itself is
+    rewritten as ``when(weekday < 5, date).otherwise(raise_error(...))``, so
+    the guard runs inside the same job as the rest of the plan (no probe job)
+    and, being a projection rather than a filter, is never copied to the
+    other side of a later join. Otherwise weekend rows are filtered out.
     """
     ok = F.weekday(F.col(date_col)) < 5
     if strict:
-        if df.filter(~ok).select(date_col).limit(1).count() > 0:
-            raise ValueError("dates must only contain weekdays (Mon–Fri)")
-        return df
+        guard = F.raise_error(F.lit("dates must only contain weekdays (Mon–Fri)")).cast("date")
+        return df.withColumn(date_col, F.when(ok | F.col(date_col).isNull(), F.col(date_col)).otherwise(guard))
     return df.filter(ok)
 
 

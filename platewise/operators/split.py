@@ -56,18 +56,18 @@ def with_theme_ratio(df: DataFrame, ratios: DataFrame, keys: Sequence[str] = ("d
     """JON-5: attach (veg_ratio, non_veg_ratio): empirical, else the fixed
     theme ratio, else (0.5, 0.5)."""
     site = _site_keys(keys)
-    r = ratios.select(*site, F.col("day_theme").alias("_theme"),
+    # renamed copies of the key columns keep the join free of self-join
+    # ambiguity when both sides come from the same source
+    r = ratios.select(*[F.col(k).alias(f"_r_{k}") for k in site], F.col("day_theme").alias("_theme"),
                       F.col("veg_ratio").alias("_emp_veg"), F.col("non_veg_ratio").alias("_emp_non_veg"))
     if not site:
         r = F.broadcast(r)  # at most one row per theme: a fixed bound
-    cond = [df[k] == r[k] for k in site] + [df[theme_col] == r["_theme"]]
+    cond = [F.col(k) == F.col(f"_r_{k}") for k in site] + [F.col(theme_col) == F.col("_theme")]
     j = df.join(r, cond, "left")
-    for k in site:
-        j = j.drop(r[k])
     return j.withColumns({
         "veg_ratio": F.coalesce(F.col("_emp_veg"), _fallback(theme_col, 0)),
         "non_veg_ratio": F.coalesce(F.col("_emp_non_veg"), _fallback(theme_col, 1)),
-    }).drop("_theme", "_emp_veg", "_emp_non_veg")
+    }).drop("_theme", "_emp_veg", "_emp_non_veg", *[f"_r_{k}" for k in site])
 
 
 def split_forecast(df: DataFrame, ratios: DataFrame, keys: Sequence[str] = ("date",),

@@ -71,7 +71,9 @@ ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 def _whole_number(c: Column) -> Column:
     """Text that is an integer, or an integral float such as ``12.0`` (Q7)."""
     d = c.try_cast("double")
-    return d.isNotNull() & (d == F.floor(d)) & ~F.isnan(d)
+    # bround keeps doubles (no bigint overflow); the last test rejects values
+    # outside the bigint range and infinities
+    return d.isNotNull() & ~F.isnan(d) & (d == F.bround(d, 0)) & d.try_cast("bigint").isNotNull()
 
 
 def value_errors(df: DataFrame, salad_integer: bool = True) -> Column:
@@ -99,7 +101,7 @@ def typed(df: DataFrame) -> DataFrame:
     out = {"date": F.try_to_date(F.trim(F.col("date").cast("string")), "yyyy-MM-dd")}
     for c in VALUE_COLUMNS:
         v = F.trim(F.col(c).cast("string")).try_cast("double")
-        out[c] = v if c == "actual_meals_salad" else v.cast("bigint")
+        out[c] = v if c == "actual_meals_salad" else v.try_cast("bigint")
     return df.withColumns(out)
 
 

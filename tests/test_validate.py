@@ -101,3 +101,10 @@ def test_ordinal_within_batches(spark):
     got = sorted((r["batch"], r["k"], r["ordinal"]) for r in V.ordinal_within(df, "batch", ["k"]).collect())
     assert got == [("x", 1, 0), ("x", 2, 1), ("x", 3, 2), ("y", 2, 0)]
     assert F is not None
+
+
+def test_value_errors_extremes(spark):
+    rows = [("2026-07-13", "1e20", "4", "6", "1"), ("2026-07-13", "NaN", "4", "6", "1"),
+            ("2026-07-13", "Infinity", "4", "6", "1"), ("2026-07-13", " 10 ", "4", "6", "1")]
+    got = [r["value_errors"] for r in V.validate_rows(_raw(spark, rows)).collect()]
+    assert got == [["actual_meals"], ["actual_meals"], ["actual_meals"], []]
