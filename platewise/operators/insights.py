@@ -51,16 +51,16 @@ def severity(rel_bias) -> F.Column:
 
 
 def bias_insights(compared: DataFrame, period: str = "month", by: Sequence[str] = ("weekday",),
-                  top: int = 3) -> DataFrame:
-    """AIM-3: per period, the ``top`` worst (weekday x category) biases.
+                  top: int = 3, site: Sequence[str] = ()) -> DataFrame:
+    """AIM-3: per (site?, period), the ``top`` worst (weekday x category) biases.
 
     bias = (sum actual - sum predicted) / sum predicted; worst = largest
     absolute bias (ties: by the grouping values). Output mirrors the insight
     objects: type, title, message, plus the numbers behind them.
     """
-    by = list(by)
-    long = categories_long(compared, [period, *by])
-    g = long.groupBy(period, *by, "category").agg(
+    by, site = list(by), list(site)
+    long = categories_long(compared, [*site, period, *by])
+    g = long.groupBy(*site, period, *by, "category").agg(
         F.count(F.lit(1)).alias("days"),
         F.sum("actual_units").alias("actual_units"),
         F.sum("predicted_units").alias("predicted_units"),
@@ -68,7 +68,7 @@ def bias_insights(compared: DataFrame, period: str = "month", by: Sequence[str]
     bias = (F.col("actual_units") - F.col("predicted_units")).cast("double") / \
         F.nullif(F.col("predicted_units"), F.lit(0)).cast("double")
     g = g.withColumn("rel_bias", bias)
-    w = Window.partitionBy(period).orderBy(F.abs("rel_bias").desc_nulls_last(), *by, "category")
+    w = Window.partitionBy(*site, period).orderBy(F.abs("rel_bias").desc_nulls_last(), *by, "category")
     top_rows = g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
     pct = F.bround(F.col("rel_bias") * F.lit(100.0), 0).cast("int")
     direction = F.when(F.col("rel_bias") > 0, F.lit("under-forecast")) \
@@ -77,7 +77,7 @@ def bias_insights(compared: DataFrame, period: str = "month", by: Sequence[str]
     subject = F.col(by[0]) if by else F.lit("all days")
     message = F.format_string("%s %s: %s by %+d%% over %d days", subject, F.col("category"), direction,
                               F.coalesce(pct, F.lit(0)), F.col("days"))
-    return top_rows.select(period, "rank", *by, "category", "days", "actual_units", "predicted_units",
+    return top_rows.select(*site, period, "rank", *by, "category", "days", "actual_units", "predicted_units",
                            "rel_bias", severity(F.col("rel_bias")).alias("type"),
                            title.alias("title"), message.alias("message"))
 

@@ -412,3 +412,38 @@ def flow_dashboard(spark, sf):
                  "final_prediction", "predicted_meals_veg", "predicted_meals_non_veg", "predicted_meals_salad",
                  "weather_label", date_label("prediction_timestamp", "stamp").alias("updated"))
     return t.join(k, "week_start").orderBy("date")
+
+
+@register("aim_bias_insights_site", f"""
+, j AS (SELECT p.site_id, CAST(date_trunc('month', p.date) AS DATE) AS month, dayname(p.date) AS weekday,
+               a.actual_meals, p.final_prediction, a.actual_meals_veg, p.predicted_meals_veg,
+               a.actual_meals_non_veg, p.predicted_meals_non_veg, a.actual_meals_salad, p.predicted_meals_salad
+        FROM site_predictions p JOIN site_sales a ON p.site_id = a.site_id AND p.date = a.date),
+long AS (
+  SELECT site_id, month, weekday, 'total' AS category, actual_meals AS au, final_prediction AS pu FROM j
+  UNION ALL SELECT site_id, month, weekday, 'veg', actual_meals_veg, predicted_meals_veg FROM j
+  UNION ALL SELECT site_id, month, weekday, 'non_veg', actual_meals_non_veg, predicted_meals_non_veg FROM j
+  UNION ALL SELECT site_id, month, weekday, 'salad', CAST(round(actual_meals_salad * 100) AS BIGINT),
+                   CAST(round(predicted_meals_salad * 100) AS BIGINT) FROM j),
+g AS (SELECT site_id, month, weekday, category, count(*) AS days, CAST(sum(au) AS BIGINT) AS actual_units,
+             CAST(sum(pu) AS BIGINT) AS predicted_units,
+             CAST(sum(au) - sum(pu) AS DOUBLE) / CAST(NULLIF(sum(pu), 0) AS DOUBLE) AS rel_bias
+      FROM long GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY site_id, month
+                                   ORDER BY abs(rel_bias) DESC NULLS LAST, weekday, category) AS rank FROM g)
+SELECT site_id, month, CAST(rank AS INTEGER) AS rank, weekday, category, days, actual_units, predicted_units,
+       rel_bias,
+       CASE WHEN rel_bias IS NULL THEN 'info' WHEN abs(rel_bias) > 0.05 THEN 'error'
+            WHEN abs(rel_bias) >= 0.03 THEN 'warning' WHEN abs(rel_bias) < 0.01 THEN 'success' ELSE 'info' END AS type,
+       weekday || ' ' || category AS title,
+       printf('%s %s: %s by %+d%% over %d days', weekday, category,
+              CASE WHEN rel_bias > 0 THEN 'under-forecast' WHEN rel_bias < 0 THEN 'over-forecast' ELSE 'on target' END,
+              COALESCE(CAST(round_even(rel_bias * 100, 0) AS INTEGER), 0), days) AS message
+FROM r WHERE rank <= 3""")
+def aim_bias_insights_site(spark, sf):
+    """AIM-3 per site: the three worst weekday x category biases of every
+    (site, month); the window partitions by (site, month)."""
+    keys = ["site_id", "date"]
+    j = C.join_actuals(fx.site_predictions(spark, sf), fx.site_sales(spark, sf), keys=keys)
+    j = j.withColumn("month", F.date_trunc("month", "date").cast("date"))
+    return INS.bias_insights(j, period="month", by=["weekday"], site=["site_id"])

@@ -241,3 +241,21 @@ def snk_delete_keys(spark, sf):
     """SNK-5: delete the actuals of bank holidays by key."""
     doomed = fx.holidays(spark, sf).filter("is_bank_holiday")
     return UP.delete_keys(fx.actual_sales(spark, sf), doomed)
+
+
+@register("snk_upsert_site", """
+, upd AS (SELECT site_id, date + 7 AS date, day_theme, predicted_meals, predicted_meals_veg, predicted_meals_non_veg,
+                 predicted_meals_salad, prediction_timestamp, final_prediction + 1 AS final_prediction
+          FROM site_predictions WHERE date >= (SELECT max(date) FROM site_predictions) - 27)
+SELECT * FROM site_predictions p
+WHERE NOT EXISTS (SELECT 1 FROM upd u WHERE u.site_id = p.site_id AND u.date = p.date)
+UNION ALL SELECT * FROM upd""")
+def snk_upsert_site(spark, sf):
+    """SNK-1 with keys (site_id, date): every site re-saves its last four
+    weeks one week ahead (+1 meal): overlapping days are replaced, the
+    newest week is inserted."""
+    p = fx.site_predictions(spark, sf)
+    last = p.agg(F.max("date")).first()[0]  # one scalar
+    upd = (p.filter(F.col("date") >= F.date_sub(F.lit(last), 27))
+            .withColumns({"date": F.date_add("date", 7), "final_prediction": F.col("final_prediction") + 1}))
+    return UP.upsert(p, upd, ["site_id", "date"])
