@@ -41,7 +41,8 @@ FOREST = dict(numTrees=200, maxDepth=4, minInstancesPerNode=3, seed=0,
 
 
 def training_frame(sales: DataFrame, weather: DataFrame, holidays: DataFrame,
-                   keys: Sequence[str] = ("date",), on_missing_weather: str = "raise") -> DataFrame:
+                   keys: Sequence[str] = ("date",), on_missing_weather: str = "raise",
+                   dim_keys: Sequence[str] | None = None) -> DataFrame:
     """ML-1: daily totals + calendar + weather + holidays.
 
     ``sales`` has ``keys`` and ``actual_meals`` (or ``total_meals``). The
@@ -51,11 +52,12 @@ def training_frame(sales: DataFrame, weather: DataFrame, holidays: DataFrame,
     (``'drop'``; ``features.missing_weather`` reports them).
     """
     keys = list(keys)
+    dims = list(dim_keys) if dim_keys else keys  # e.g. ["date"] when weather is regional, not per site
     total = "total_meals" if "total_meals" in sales.columns else "actual_meals"
     df = sales.select(*keys, F.col(total).alias(LABEL))
     df = add_calendar(df)
-    df = join_weather(df, weather, keys, columns=("temperature_max", "weather_condition"))
-    df = join_holidays(df, holidays, keys).drop("holiday_desc", "is_bank_holiday")
+    df = join_weather(df, weather, dims, columns=("temperature_max", "weather_condition"))
+    df = join_holidays(df, holidays, dims).drop("holiday_desc", "is_bank_holiday")
     df = df.withColumnRenamed("is_school_break", "is_semester_break").withColumns({
         "is_semester_break": F.coalesce(F.col("is_semester_break"), F.lit(False)),
         "is_bridge_day": F.coalesce(F.col("is_bridge_day"), F.lit(False)),
@@ -129,11 +131,11 @@ def encode_for(frame: DataFrame, features: Sequence[str], keep: Sequence[str] =
     return align(one_hot(frame, cats), features, keep)
 
 
-def fit_forest(train: DataFrame, features: Sequence[str], **overrides) -> PipelineModel:
+def fit_forest(train: DataFrame, features: Sequence[str], label: str = LABEL, **overrides) -> PipelineModel:
     """ML-5: assemble + random forest on the training rows."""
     params = {**FOREST, **overrides}
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    rf = RandomForestRegressor(featuresCol="features", labelCol=LABEL, predictionCol="prediction", **params)
+    rf = RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", **params)
     # the forest makes several passes over its input (metadata, split
     # candidates, one pass per tree level): keep the joined training rows
     # instead of recomputing them each time (recomputed from lineage if an
@@ -205,3 +207,39 @@ def feature_importances(model: PipelineModel, features: Sequence[str]) -> list[t
     imp = model.stages[-1].featureImportances
     return sorted(zip(features, imp.toArray().tolist()), key=lambda kv: -kv[1])
 
+
+
+# --- many sites: one global forest on a per-site normalised target ----------
+# With thousands of sites one model per site cannot be trained in parallel
+# with MLlib, and the calendar / weather features cannot tell sites apart.
+# The global forest therefore learns the *relative* demand (total divided by
+# the site's mean over its training days) from every site's rows at once;
+# each prediction is scaled back by its site's mean. The site means are one
+# grouped aggregate (one row per site), joined back by key.
+
+NORM_LABEL = "relative_meals"
+
+
+def site_scale(split_frame: DataFrame, site: Sequence[str] = ("site_id",)) -> DataFrame:
+    """Mean daily total per site over its training rows."""
+    return (split_frame.filter(F.col("split") == "train").groupBy(*site)
+                       .agg(F.avg(LABEL).alias("site_mean")))
+
+
+def with_relative_label(split_frame: DataFrame, scale: DataFrame, site: Sequence[str] = ("site_id",)) -> DataFrame:
+    j = split_frame.join(scale, list(site), "inner")
+    return j.withColumn(NORM_LABEL, F.col(LABEL) / F.nullif(F.col("site_mean"), F.lit(0.0)))
+
+
+def fit_sites(split_frame: DataFrame, features: Sequence[str], scale: DataFrame,
+              site: Sequence[str] = ("site_id",), **overrides) -> PipelineModel:
+    """ML-5 across sites: one forest on the relative target."""
+    train = with_relative_label(split_frame.filter(F.col("split") == "train"), scale, site)
+    return fit_forest(train.filter(F.col(NORM_LABEL).isNotNull()), features, label=NORM_LABEL, **overrides)
+
+
+def predict_sites(model: PipelineModel, encoded: DataFrame, scale: DataFrame,
+                  site: Sequence[str] = ("site_id",)) -> DataFrame:
+    """Relative prediction x site mean -> ``prediction`` in meals."""
+    j = encoded.join(scale, list(site), "inner")
+    return model.transform(j).withColumn("prediction", F.col("prediction") * F.col("site_mean"))
