@@ -289,3 +289,43 @@ def ml_sites(spark, sf):
     forest = ML.regression_metrics(ML.predict_sites(model, test, scale), by=["site_id"])
     naive = ML.regression_metrics(ML.naive_baseline(enc, by=["site_id"]), by=["site_id"])
     return forest.withColumn("model", F.lit("forest")).unionByName(naive.withColumn("model", F.lit("train_mean")))
+
+
+def site_requests(spark, sf):
+    """One forecast request per site: the 5 business days after the site's
+    last recorded day (one grouped aggregate, then a bounded explode)."""
+    from platewise.functions.calendar import business_days
+    last = fx.site_sales(spark, sf).groupBy("site_id").agg(F.max("date").alias("last_day"))
+    return last.select("site_id", F.explode(business_days(F.date_add("last_day", 1), 5)).alias("date"))
+
+
+@register("flow_forecast_sites")
+def flow_forecast_sites(spark, sf):
+    """FLOW-1 for every site at once: per-site requests -> features (weather
+    and holidays joined by date) -> one global forest on the site-relative
+    target -> ceil -> per-site theme split -> upsert into the per-site
+    predictions table (whole table returned)."""
+    from platewise.functions.split import ceil_prediction, split_total
+    keys = ["site_id", "date"]
+    f = ML.training_frame(fx.site_sales(spark, sf), fx.weather(spark, sf), fx.holidays(spark, sf),
+                          keys=keys, on_missing_weather="drop", dim_keys=["date"])
+    f = ML.temporal_split(f, keys=keys)
+    cats = ML.categories(f)
+    features = ML.feature_columns(cats)
+    enc = ML.one_hot(f, cats)
+    scale = ML.site_scale(enc)
+    model = ML.fit_sites(enc, features, scale)
+    from platewise.operators import features as FE
+    prep = FE.prepare_features(site_requests(spark, sf), fx.weather(spark, sf), fx.holidays(spark, sf),
+                               keys=["date"])
+    prep = prep.withColumnRenamed("is_school_break", "is_semester_break")
+    scored = ML.predict_sites(model, ML.encode_for(prep, features, keep=["site_id", "date", "day_theme"]), scale)
+    ratios = SP.theme_ratios(fx.site_sales(spark, sf), keys)
+    out = SP.with_theme_ratio(scored.withColumn("predicted_meals", ceil_prediction("prediction")), ratios, keys)
+    sp = split_total(F.col("predicted_meals"), F.col("veg_ratio"))
+    batch = out.select("site_id", "date", "day_theme", "predicted_meals",
+                       sp["veg"].alias("predicted_meals_veg"), sp["non_veg"].alias("predicted_meals_non_veg"),
+                       F.lit(0.0).alias("predicted_meals_salad"),
+                       F.lit(AS_OF.isoformat(sep=" ")).cast("timestamp_ntz").alias("prediction_timestamp"),
+                       F.col("predicted_meals").alias("final_prediction"))
+    return UP.upsert(fx.site_predictions(spark, sf), batch, keys)

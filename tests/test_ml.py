@@ -59,3 +59,29 @@ def test_metrics_mape_uses_actual(spark):
     df = spark.createDataFrame([(100.0, 90.0), (0.0, 5.0)], "total_meals double, prediction double")
     r = ML.regression_metrics(df).first()
     assert abs(r["mape"] - 0.1) < 1e-12  # zero actual skipped
+
+
+def test_sites_share_one_forest(spark):
+    rows = []
+    for site, size in ((1, 10), (2, 1000)):
+        d = D(2026, 1, 5)
+        n = 0
+        while n < 60:
+            if d.weekday() < 5:
+                temp = 10.0 + (n * 7) % 20
+                rows.append((site, d, int(size * (1 + temp / 100)), temp, "Sunny", False, False))
+                n += 1
+            d += dt.timedelta(days=1)
+    df = spark.createDataFrame(rows, "site_id int, date date, total_meals long, temperature_max double, "
+                                     "weather_condition string, is_semester_break boolean, is_bridge_day boolean")
+    from platewise.operators.features import add_calendar
+    f = ML.temporal_split(add_calendar(df), keys=["site_id", "date"])
+    assert f.filter("split = 'test'").groupBy("site_id").count().collect()[0]["count"] == ML.HOLDOUT_DAYS
+    cats = ML.categories(f)
+    feats = ML.feature_columns(cats)
+    enc = ML.one_hot(f, cats)
+    scale = ML.site_scale(enc)
+    model = ML.fit_sites(enc, feats, scale, numTrees=20)
+    pred = ML.predict_sites(model, enc.filter("split = 'test'"), scale)
+    m = {r["site_id"]: r["mae"] for r in ML.regression_metrics(pred, by=["site_id"]).collect()}
+    assert m[1] < 2 and m[2] < 100  # each site predicted at its own scale
