@@ -98,10 +98,13 @@ SELECT CAST(date AS VARCHAR) AS time, temperature_max AS temperature_2m_max, wea
        weather_icon, weather_condition, date, temperature_max
 FROM weather WHERE month(date) <> 2""")
 def src_weather_json(spark, sf):
-    """SRC-5: landed JSON responses -> daily rows; error responses dropped
-    (kept apart by ``weather_quarantine``)."""
-    docs = SRC.parse_weather_json(landed_weather_json(spark, sf))
-    return SRC.weather_rows(docs)
+    """SRC-5: landed JSON response files (one document per line) read with
+    the fixed schema -> daily rows; error responses dropped (kept apart by
+    ``weather_quarantine``)."""
+    from platewise.session import scratch_dir
+    path = scratch_dir(spark, "weather")
+    landed_weather_json(spark, sf).select(F.col("json").alias("value")).write.text(path)
+    return SRC.weather_rows(SRC.read_weather_responses(spark, path))
 
 
 @register("src_weather_quarantine", """
