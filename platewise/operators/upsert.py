@@ -40,12 +40,19 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str] = ("date",
     """SNK-1: insert new keys; on a key conflict replace every non-key column.
 
     ``order_col`` (an input ordinal) resolves duplicate keys inside the batch,
-    last one winning (Q14). Columns are aligned by name to the target; update
-    columns missing from the target are an error, target columns missing from
-    the updates become null.
+    last one winning (Q14). Without it a batch carries no order, and
+    duplicate keys resolve deterministically to the greatest row, so the
+    table never holds a key twice. Columns are aligned by name to the
+    target; update columns missing from the target are an error, target
+    columns missing from the updates become null.
     """
     keys = list(keys)
-    u = last_wins(updates, keys, order_col).drop(order_col) if order_col else updates
+    if order_col:
+        u = last_wins(updates, keys, order_col).drop(order_col)
+    else:
+        rest = [c for c in updates.columns if c not in keys]
+        g = updates.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row"))
+        u = g.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
     extra = [c for c in u.columns if c not in target.columns]
     if extra:
         raise ValueError(f"columns not in target: {extra}")

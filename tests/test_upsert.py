@@ -35,3 +35,11 @@ def test_nan_to_null(spark):
     df = spark.createDataFrame([(float("nan"),), (1.0,)], "x double")
     assert [r[0] for r in nan_to_null(df).collect()] == [None, 1.0]
     assert df.select(F.isnan("x")).first()[0]
+
+
+def test_unordered_duplicates_never_duplicate_keys(spark):
+    target = spark.createDataFrame([(D(2026, 1, 1), 1, "a")], S)
+    upd = spark.createDataFrame([(D(2026, 1, 2), 5, "x"), (D(2026, 1, 2), 7, "y")], S)
+    out = upsert(target, upd).collect()
+    assert len(out) == 2 and {r.date for r in out} == {D(2026, 1, 1), D(2026, 1, 2)}
+    assert [r.v for r in out if r.date == D(2026, 1, 2)] == [7]
