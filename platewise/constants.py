@@ -60,6 +60,11 @@ GERMAN_WEEKDAYS_SHORT = {
     "Monday": "Mo.", "Tuesday": "Di.", "Wednesday": "Mi.", "Thursday": "Do.",
     "Friday": "Fr.", "Saturday": "Sa.", "Sunday": "So.",
 }
+GERMAN_MONTHS_SHORT = {
+    "January": "Jan.", "February": "Feb.", "March": "März", "April": "Apr.",
+    "May": "Mai", "June": "Juni", "July": "Juli", "August": "Aug.",
+    "September": "Sept.", "October": "Okt.", "November": "Nov.", "December": "Dez.",
+}
 GERMAN_MONTHS = {
     "January": "Januar", "February": "Februar", "March": "März",
     "April": "April", "May": "Mai", "June": "Juni", "July": "Juli",

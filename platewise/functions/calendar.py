@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from platewise.constants import (
-    GERMAN_MONTHS, GERMAN_WEEKDAYS, GERMAN_WEEKDAYS_SHORT, WEEKDAY_THEMES,
+    GERMAN_MONTHS, GERMAN_MONTHS_SHORT, GERMAN_WEEKDAYS, GERMAN_WEEKDAYS_SHORT, WEEKDAY_THEMES,
 )
 
 
@@ -114,8 +114,8 @@ def german_weekday(d, short: bool = False) -> Column:
     return _map_lit(GERMAN_WEEKDAYS_SHORT if short else GERMAN_WEEKDAYS)[weekday_name(d)]
 
 
-def german_month(d) -> Column:
-    return _map_lit(GERMAN_MONTHS)[month_name(d)]
+def german_month(d, short: bool = False) -> Column:
+    return _map_lit(GERMAN_MONTHS_SHORT if short else GERMAN_MONTHS)[month_name(d)]
 
 
 def date_label(d, style: str, lang: str = "EN") -> Column:
@@ -147,7 +147,7 @@ def date_label(d, style: str, lang: str = "EN") -> Column:
     if style == "long":
         return F.concat(wd, F.lit(", "), day, F.lit(". "), mn)
     if style == "peak":
-        return F.concat(wds, F.lit(", "), F.substring(mn, 1, 3), F.lit(" "), day)
+        return F.concat(wds, F.lit(", "), german_month(d, short=True), F.lit(" "), day)
     if style == "chart":
         return F.concat(wds, F.lit(" "), day, F.lit("/"), mon)
     if style == "table":

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from platewise import fixtures as fx
-from platewise.constants import GERMAN_MONTHS, GERMAN_WEEKDAYS, GERMAN_WEEKDAYS_SHORT, LABELS
+from platewise.constants import GERMAN_MONTHS, GERMAN_MONTHS_SHORT, GERMAN_WEEKDAYS, GERMAN_WEEKDAYS_SHORT, LABELS
 from platewise.fixtures_sql import q, theme_case
 from platewise.functions.calendar import date_label
 from platewise.functions.formats import day_label, thousands
@@ -68,6 +68,7 @@ def _de_case(mapping: dict, expr: str) -> str:
 _DE_WD = _de_case(GERMAN_WEEKDAYS, "dayname(date)")
 _DE_WDS = _de_case(GERMAN_WEEKDAYS_SHORT, "dayname(date)")
 _DE_MON = _de_case(GERMAN_MONTHS, "monthname(date)")
+_DE_MONS = _de_case(GERMAN_MONTHS_SHORT, "monthname(date)")
 
 STYLES = ["long", "peak", "chart", "table", "compare", "compact"]
 
@@ -78,7 +79,7 @@ SELECT date,
        strftime(date, '%a %d/%m') AS en_chart, strftime(date, '%a, %d. %B') AS en_table,
        strftime(date, '%a %m/%d') AS en_compare, strftime(date, '%a, %d.%B') AS en_compact,
        {_DE_WD} || ', ' || strftime(date, '%d') || '. ' || {_DE_MON} AS de_long,
-       {_DE_WDS} || ', ' || substr({_DE_MON}, 1, 3) || ' ' || strftime(date, '%d') AS de_peak,
+       {_DE_WDS} || ', ' || {_DE_MONS} || ' ' || strftime(date, '%d') AS de_peak,
        {_DE_WDS} || ' ' || strftime(date, '%d/%m') AS de_chart,
        {_DE_WDS} || ', ' || strftime(date, '%d') || '. ' || {_DE_MON} AS de_table,
        {_DE_WDS} || ' ' || strftime(date, '%m/%d') AS de_compare,
