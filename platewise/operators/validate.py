@@ -47,16 +47,27 @@ def resolve_columns(df: DataFrame, aliases: dict[str, list[str]] = IMPORT_ALIASE
     return df.select(*keep, *[F.col(f"`{src}`").alias(internal) for internal, src in chosen.items()])
 
 
+def _positions(df: DataFrame) -> DataFrame:
+    """Partition id and in-partition position of every row, materialised
+    once (reliable checkpoint in the shared folder), so that every later use
+    sees the same partitioning: recomputing a shuffle under adaptive
+    execution may coalesce or split its partitions differently."""
+    from platewise.session import cut_lineage
+    x = df.select("*", F.spark_partition_id().alias("_pid"),
+                  (F.monotonically_increasing_id()
+                   - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)).alias("_pos"))
+    return cut_lineage(x)
+
+
 def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     """WIN-2: dense 0-based row position in partition order (file order for a
     file scan, sort order after ``orderBy``).
 
     Per-partition counts (one row per partition) are summed into offsets on
     a tiny frame and broadcast back, so no global window sorts all rows into
-    one task. The input must be deterministic (a file scan or a sort).
+    one task.
     """
-    x = df.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
+    x = _positions(df)
     counts = x.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", F.coalesce(
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
@@ -198,11 +209,10 @@ def ordinal_within(df: DataFrame, batch_col: str, order_cols: Sequence[str], nam
     positions form a small frame (partitions x batches); a running sum over
     the partitions of each batch gives the rows that precede in earlier
     partitions. No window ever holds a batch's rows, so a batch with a third
-    of all rows still spreads over the cluster.
+    of all rows still spreads over the cluster. Positions are materialised
+    once (``_positions``) so both uses agree on the partitioning.
     """
-    x = df.orderBy(batch_col, *order_cols).select(
-        "*", F.spark_partition_id().alias("_pid"),
-        (F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)).alias("_pos"))
+    x = _positions(df.orderBy(batch_col, *order_cols))
     parts = x.groupBy("_pid", batch_col).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     w = Window.partitionBy(batch_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_pid", batch_col, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
