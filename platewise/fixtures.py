@@ -188,7 +188,8 @@ def build_site_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # table in the shared checkpoint folder (which also cuts the lineage); later
 # queries read the small daily table instead of re-aggregating raw lines.
 # The folder is keyed by the input files' paths, sizes and modification
-# times, so changed inputs are never served stale results.
+# times and by the package's source hash, so changed inputs or changed code
+# are never served stale results.
 _BUILDERS = {
     "actual_sales": build_actual_sales,
     "site_sales": build_site_sales,
@@ -202,14 +203,27 @@ _INPUTS = {
     "holidays": ["orders"], "predictions": ["orders", "lineitem"],
     "site_predictions": ["orders", "customer"],
 }
-_VIEW_VERSION = "1"
+_CODE_VERSION: list[str] = []
+
+
+def _code_version() -> str:
+    """Hash of the package sources: any code change gives new view folders,
+    so a materialised view never outlives the code that defined it."""
+    if not _CODE_VERSION:
+        import hashlib
+        from pathlib import Path
+        h = hashlib.sha1()
+        for f in sorted(Path(__file__).resolve().parent.rglob("*.py")):
+            h.update(f.read_bytes())
+        _CODE_VERSION.append(h.hexdigest()[:12])
+    return _CODE_VERSION[0]
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
     import hashlib
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parts = [_VIEW_VERSION]
+    parts = [_code_version()]
     for t in tables:
         path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
         fs = path.getFileSystem(conf)
