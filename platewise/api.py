@@ -146,3 +146,24 @@ def csv_validation(df: DataFrame) -> tuple[bool, str | None, DataFrame | None]:
         return False, f"total differs from veg + non-veg in {v['sum_error_rows']} rows " \
                       f"(first at row {v['first_bad_row']})", None
     return True, None, rows.select("date", *V.VALUE_COLUMNS)
+
+
+def seed_actuals_from_file(store: Store, path: str) -> tuple[bool, str | None]:
+    """Seed script: the ``;`` history file appended to the actuals table
+    (total_day / veg / non_veg become the three counts; no salad)."""
+    from platewise.sources.files import read_sales
+    rows = read_sales(store.spark, path).select(
+        "date", F.col("total_meals").alias("actual_meals"), F.col("veg").alias("actual_meals_veg"),
+        F.col("non_veg").alias("actual_meals_non_veg"), F.lit(None).cast("double").alias("actual_meals_salad"))
+    return publish(UP.append(store.actuals(), rows), store.root("actual_sales"))
+
+
+def seed_holidays_from_file(store: Store, path: str) -> tuple[bool, str | None]:
+    """Seed script: the holiday CSV appended to the holidays table."""
+    from platewise.sources.files import read_holidays
+    return seed_holidays(store, read_holidays(store.spark, path))
+
+
+def delete_all_actuals(store: Store) -> tuple[bool, str | None]:
+    """Maintenance script: empty the actuals table (a new, empty version)."""
+    return publish(store.actuals().limit(0), store.root("actual_sales"))

@@ -48,3 +48,19 @@ def test_csv_validation(spark):
     missing = spark.createDataFrame([("2026-07-13", "10")], "date string, total string")
     ok, msg, _ = api.csv_validation(missing)
     assert not ok and "missing columns" in msg
+
+
+def test_seed_scripts(spark, tmp_dir):
+    import os
+    store = api.Store(spark, os.path.join(tmp_dir, "store"))
+    sales = os.path.join(tmp_dir, "sales.csv")
+    with open(sales, "w") as f:
+        f.write("date;total_day;veg;non_veg\n04/01/26;60;30;30\n04/02/26;50;20;30\n")
+    hol = os.path.join(tmp_dir, "hol.csv")
+    with open(hol, "w") as f:
+        f.write("date,description,is_bank_holiday,is_school_break,is_bridge_day\n2026-04-03,Good Friday,TRUE,TRUE,FALSE\n")
+    assert api.seed_actuals_from_file(store, sales) == (True, None)
+    assert api.seed_holidays_from_file(store, hol) == (True, None)
+    assert sorted(r["actual_meals"] for r in store.actuals().collect()) == [50, 60]
+    assert api.get_holidays(store, "2026-04-01", "2026-04-30").first()["description"] == "Good Friday"
+    assert api.delete_all_actuals(store)[0] and store.actuals().count() == 0
