@@ -8,6 +8,7 @@ so nothing but verdicts and offending rows ever leaves the executors.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,12 @@ def resolve_columns(df: DataFrame, aliases: dict[str, list[str]] = IMPORT_ALIASE
     Raises ``ColumnError`` listing every missing column, or naming both
     headers when two aliases of one column are present (Q5).
     """
+    # repeated headers arrive renamed ``<name>__dup<n>`` (Spark refuses
+    # duplicate column names); any repeat is an error for the whole file
+    lowered = [re.sub(r"__dup\d+$", "", c.lower()) for c in df.columns]
+    dupes = sorted({c for c in lowered if lowered.count(c) > 1})
+    if dupes:
+        raise ColumnError("duplicate columns: " + ", ".join(dupes))
     lower = {c.lower(): c for c in df.columns}
     chosen, missing = {}, []
     for internal, accepted in aliases.items():

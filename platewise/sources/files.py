@@ -169,6 +169,18 @@ def with_file_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
              .drop("_blk", "_id", "_first", "_off"))
 
 
+def unique_names(names: list[str]) -> list[str]:
+    """Header names made unique (case-insensitive): repeats become
+    ``<name>__dup<n>`` so the file can be read and the repeat reported."""
+    seen: dict[str, int] = {}
+    out = []
+    for n in names:
+        k = n.lower()
+        seen[k] = seen.get(k, 0) + 1
+        out.append(n if seen[k] == 1 else f"{n}__dup{seen[k]}")
+    return out
+
+
 def read_csv_files(spark: SparkSession, paths: list[str] | str) -> list[tuple[str, DataFrame]]:
     """SRC-3 for many files: headers in one job, files grouped by header
     line, each group read once with the separator sniffed from its header.
@@ -185,7 +197,7 @@ def read_csv_files(spark: SparkSession, paths: list[str] | str) -> list[tuple[st
     out = []
     for header in sorted(groups):
         sep = choose_separator(header)
-        names = [h.strip() for h in header.split(sep)]
+        names = unique_names([h.strip() for h in header.split(sep)])
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         df = spark.read.csv(sorted(groups[header]), sep=sep, header=True, schema=schema, enforceSchema=True)
         out.append((header, with_file_ordinal(df)))

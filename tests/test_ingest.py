@@ -73,3 +73,13 @@ def test_retain_versions(spark, tmp_dir):
     assert len(removed) == 2
     assert read_table(spark, root).first()["actual_meals"] == 3
     assert current_version(spark, root) is not None
+
+
+def test_duplicate_headers_are_rejected_per_file(spark, tmp_dir):
+    from platewise.streaming.ingest import validate_files
+    _write(os.path.join(tmp_dir, "in", "dup.csv"), "date,total,veg,veg,non-veg,salad\n2026-07-13,10,4,4,6,1\n")
+    _write(os.path.join(tmp_dir, "in", "ok.csv"), "date,total,veg,non-veg,salad\n2026-07-14,10,4,6,1\n")
+    rows, verdicts = validate_files(spark, os.path.join(tmp_dir, "in"))
+    v = {os.path.basename(r["batch"]): r for r in verdicts.collect()}
+    assert v["dup.csv"]["status"] == "missing_columns" and "duplicate" in v["dup.csv"]["message"]
+    assert v["ok.csv"]["status"] == "ok"
