@@ -181,11 +181,13 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def read_csv_files(spark: SparkSession, paths: list[str] | str) -> list[tuple[str, DataFrame]]:
+def read_csv_files(spark: SparkSession, paths: list[str] | str,
+                   unreadable: list[str] | None = None) -> list[tuple[str, DataFrame]]:
     """SRC-3 for many files: headers in one job, files grouped by header
     line, each group read once with the separator sniffed from its header.
     Returns ``(header, df)`` pairs; ``df`` has every column as string plus
-    ``_file`` and ``ordinal`` (position inside its file).
+    ``_file`` and ``ordinal`` (position inside its file). Files without a
+    header line (empty) are appended to ``unreadable`` when given.
 
     The driver receives one short header line per file: file-level metadata
     that Spark's file index keeps on the driver for any scan anyway; no data
@@ -194,6 +196,9 @@ def read_csv_files(spark: SparkSession, paths: list[str] | str) -> list[tuple[st
     groups: dict[str, list[str]] = {}
     for r in file_headers(spark, paths).collect():
         groups.setdefault(r["header"], []).append(r["file_path"])
+    if unreadable is not None and isinstance(paths, list):
+        seen = {f for files in groups.values() for f in files}
+        unreadable.extend(p for p in paths if p not in seen)  # empty files have no header line
     out = []
     for header in sorted(groups):
         sep = choose_separator(header)

@@ -26,18 +26,27 @@ from platewise.sources.files import read_csv_files
 def validate_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows (with ``batch`` = file) and per-file verdicts for a set of files.
 
-    Files whose headers lack a required column get a ``missing_columns``
-    verdict without a value check (the ordered short circuit)."""
+    Files whose headers lack a required column (or repeat one) get a
+    ``missing_columns`` (``duplicate_columns``) verdict without a value
+    check, the ordered short circuit; files named in ``paths`` that have no
+    header line get ``unreadable`` (the streaming source never lists empty
+    files: they carry no rows)."""
     rows, bad_cols = None, []
-    for header, df in read_csv_files(spark, paths):
+    unreadable: list[str] = []
+    for header, df in read_csv_files(spark, paths, unreadable):
         try:
             r = V.resolve_columns(df, keep=["_file", "ordinal"])
         except V.ColumnError as e:
+            status = "duplicate_columns" if str(e).startswith("duplicate") else "missing_columns"
             files = df.select("_file").distinct()
-            bad_cols.append(files.select(F.col("_file").alias("batch"), F.lit(str(e)).alias("message")))
+            bad_cols.append(files.select(F.col("_file").alias("batch"), F.lit(status).alias("status"),
+                                         F.lit(str(e)).alias("message")))
             continue
         r = r.withColumnRenamed("_file", "batch")
         rows = r if rows is None else rows.unionByName(r)
+    if unreadable:
+        bad_cols.append(spark.createDataFrame([(p, "unreadable", "empty or unreadable file") for p in unreadable],
+                                              "batch string, status string, message string"))
     verdicts = None
     if rows is not None:
         from platewise.session import cut_lineage
@@ -45,7 +54,7 @@ def validate_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Da
         verdicts = V.validate_batches(rows).withColumn("message", F.lit(None).cast("string"))
     for b in bad_cols:
         v = b.select("batch", F.lit(0).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("value_error_rows"),
-                     F.lit(0).cast("bigint").alias("sum_error_rows"), F.lit("missing_columns").alias("status"),
+                     F.lit(0).cast("bigint").alias("sum_error_rows"), "status",
                      F.lit(None).cast("bigint").alias("first_bad_row"), F.lit(0).cast("bigint").alias("published_rows"),
                      "message")
         verdicts = v if verdicts is None else verdicts.unionByName(v)

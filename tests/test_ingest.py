@@ -81,5 +81,15 @@ def test_duplicate_headers_are_rejected_per_file(spark, tmp_dir):
     _write(os.path.join(tmp_dir, "in", "ok.csv"), "date,total,veg,non-veg,salad\n2026-07-14,10,4,6,1\n")
     rows, verdicts = validate_files(spark, os.path.join(tmp_dir, "in"))
     v = {os.path.basename(r["batch"]): r for r in verdicts.collect()}
-    assert v["dup.csv"]["status"] == "missing_columns" and "duplicate" in v["dup.csv"]["message"]
+    assert v["dup.csv"]["status"] == "duplicate_columns" and "duplicate" in v["dup.csv"]["message"]
     assert v["ok.csv"]["status"] == "ok"
+
+
+def test_empty_file_is_reported(spark, tmp_dir):
+    from platewise.streaming.ingest import validate_files
+    _write(os.path.join(tmp_dir, "in", "empty.csv"), "")
+    _write(os.path.join(tmp_dir, "in", "ok.csv"), "date,total,veg,non-veg,salad\n2026-07-14,10,4,6,1\n")
+    files = ["file:" + os.path.join(tmp_dir, "in", n) for n in ("empty.csv", "ok.csv")]
+    rows, verdicts = validate_files(spark, files)
+    v = {os.path.basename(r["batch"]): r["status"] for r in verdicts.collect()}
+    assert v == {"empty.csv": "unreadable", "ok.csv": "ok"}
