@@ -120,14 +120,18 @@ def fill_day_flags(df: DataFrame, flags: Sequence[str] = ("is_school_break", "is
 def missing_weather(df: DataFrame, strict: bool = False) -> DataFrame:
     """FLT-6: rows lacking temperature or condition.
 
-    Returns the offending rows; ``strict`` raises ``ValueError`` naming up to
-    ten offending dates instead (the training guard).
+    Returns the offending rows; ``strict`` raises ``ValueError`` instead (the
+    training guard). The message gives the number of such days and the
+    first ten; the full list is ``missing_weather(df)`` (a DataFrame, not
+    shipped to the driver).
     """
     bad = F.col("temperature_max").isNull() | F.col("weather_condition").isNull()
     if strict:
-        sample = [r[0] for r in df.filter(bad).select("date").orderBy("date").limit(10).collect()]
-        if sample:
-            raise ValueError(f"Missing weather data for dates: {sample}")
+        offending = df.filter(bad).select("date")
+        first = [r[0] for r in offending.orderBy("date").limit(10).collect()]
+        if first:
+            n = offending.count()
+            raise ValueError(f"Missing weather data for {n} dates, first: {first}")
         return df
     return df.filter(bad)
 
