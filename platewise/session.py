@@ -45,20 +45,33 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_LOCAL_CHECKPOINT_DIRS: dict[int, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is unset (local runs, tests) a fresh local folder is
-    created and registered; on a cluster the configured shared path is used.
+    Only when the setting is unset (local runs, tests) a fresh local folder
+    is created and registered with the SparkContext (the setting itself is a
+    core config that cannot change at run time); on a cluster the configured
+    shared path is used.
     """
+    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(configured)
         return configured
-    local = tempfile.mkdtemp(prefix="platewise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    key = id(sc)
+    if key not in _LOCAL_CHECKPOINT_DIRS:
+        existing = sc.getCheckpointDir()
+        if existing:
+            _LOCAL_CHECKPOINT_DIRS[key] = existing
+        else:
+            local = tempfile.mkdtemp(prefix="platewise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+            sc.setCheckpointDir(local)
+            _LOCAL_CHECKPOINT_DIRS[key] = local
+    return _LOCAL_CHECKPOINT_DIRS[key]
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
