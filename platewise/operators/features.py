@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.calendar import business_days, day_theme, month_name, weekday_name
@@ -53,9 +53,8 @@ def dates_frame(starts: DataFrame, n, start_col: str = "start_date",
     ``n`` is an int or a column of ``starts``. The explode is bounded by
     ``n`` per input row, so it partitions like its input.
     """
-    n_col = F.col(n) if isinstance(n, str) else n
-    return starts.select(*keep, F.col(start_col),
-                         F.explode(business_days(F.col(start_col), n_col if isinstance(n_col, Column) else n)).alias("date"))
+    count = F.col(n) if isinstance(n, str) else n
+    return starts.select(*keep, F.col(start_col), F.explode(business_days(F.col(start_col), count)).alias("date"))
 
 
 def weather_days(weather: DataFrame, code_col: str = "weather_code") -> DataFrame:
