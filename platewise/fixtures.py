@@ -74,7 +74,7 @@ def build_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(F.sum("q").alias("_q"), F.count(F.lit(1)).alias("_n"),
                   F.sum("l_linenumber").alias("_ln")))
     # round(avg(quantity), 1), computed exactly (quantities are whole numbers)
-    temp = F.floor((F.col("_q") * F.lit(20) + F.col("_n")) / (F.col("_n") * F.lit(2))).cast("double") / F.lit(10.0)
+    temp = F.expr("(_q * 20 + _n) div (_n * 2)").cast("double") / F.lit(10.0)
     w = agg.select("date", temp.alias("temperature_max"),
                    (F.col("_ln") % 100).cast("int").alias("weather_code"))
     return weather_days(w)

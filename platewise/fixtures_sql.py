@@ -42,7 +42,7 @@ _HALF = SALAD_DIVISOR // 2 * 200 // 100  # numerator offset for half-up to 2 pla
 
 def _salad(sum_expr: str) -> str:
     # round(sum_cents / SALAD_DIVISOR, 2), half-up, exact integer arithmetic
-    return (f"CAST(floor((CAST({sum_expr} AS BIGINT) * 200 + {SALAD_DIVISOR}) / {2 * SALAD_DIVISOR}) "
+    return (f"CAST((CAST({sum_expr} AS BIGINT) * 200 + {SALAD_DIVISOR}) // {2 * SALAD_DIVISOR} "
             f"AS DOUBLE) / 100")
 
 
@@ -73,7 +73,7 @@ SELECT date, temperature_max, weather_code,
        {weather_case("weather_code", 1)} AS weather_condition
 FROM (
   SELECT CAST(l_shipdate AS DATE) AS date,
-         CAST(floor((CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) * 20 + count(*)) / (count(*) * 2)) AS DOUBLE) / 10
+         CAST((CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) * 20 + count(*)) // (count(*) * 2) AS DOUBLE) / 10
            AS temperature_max,
          CAST(CAST(sum(l_linenumber) AS BIGINT) % 100 AS INTEGER) AS weather_code
   FROM lineitem GROUP BY 1) w""",

@@ -14,23 +14,22 @@ Scale notes
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.calendar import is_working_day
 
 
-def half_up(numerator: Column, denominator: int, digits: int) -> Column:
-    """Exact half-up rounding of ``numerator / denominator`` to ``digits`` places.
+def half_up(numerator: str, denominator: int, digits: int) -> Column:
+    """Exact half-up rounding of ``numerator / denominator`` to ``digits``
+    places, for a non-negative whole-number column named ``numerator``.
 
-    ``numerator`` must be integral (bigint). Integer arithmetic avoids the
-    binary-fraction ties a double ``round`` runs into.
+    Integer division (``div``) keeps the arithmetic exact at any magnitude a
+    bigint holds; a double ``round`` would meet binary-fraction ties.
     """
     scale = 10 ** digits
-    # round(n / d, k) = floor((2 n s + d) / (2 d)) / s for n >= 0
-    q = F.floor((numerator * F.lit(2 * scale) + F.lit(denominator)) / F.lit(2 * denominator))
+    # round(n / d, k) = ((2 n s + d) div (2 d)) / s  for n >= 0
+    q = F.expr(f"(`{numerator}` * {2 * scale} + {denominator}) div {2 * denominator}")
     return q.cast("double") / F.lit(float(scale))
 
 
@@ -63,7 +62,7 @@ def daily_demand(lines: DataFrame, day: Column, is_veg: Column,
         "actual_meals",
         "actual_meals_veg",
         (F.col("actual_meals") - F.col("actual_meals_veg")).alias("actual_meals_non_veg"),
-        half_up(F.col("_salad_sum"), salad_divisor, 2).alias("actual_meals_salad"),
+        half_up("_salad_sum", salad_divisor, 2).alias("actual_meals_salad"),
     )
 
 
@@ -94,9 +93,5 @@ def daily_demand_by_site(lines: DataFrame, sites: DataFrame, line_key: str, site
     return agg.select(
         "site_id", "date", "actual_meals", "actual_meals_veg",
         (F.col("actual_meals") - F.col("actual_meals_veg")).alias("actual_meals_non_veg"),
-        half_up(F.col("_salad_sum"), salad_divisor, 2).alias("actual_meals_salad"),
+        half_up("_salad_sum", salad_divisor, 2).alias("actual_meals_salad"),
     )
-
-
-def keys_of(keys: Sequence[str] | None) -> list[str]:
-    return list(keys) if keys else ["date"]

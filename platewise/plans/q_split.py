@@ -192,8 +192,8 @@ weekend AS (
          CAST(count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AS BIGINT) AS actual_meals_veg,
          CAST(count(*) - count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AS BIGINT)
            AS actual_meals_non_veg,
-         CAST(floor((CAST(sum(CASE WHEN o_orderstatus = 'F' THEN CAST(round(o_totalprice * 100) AS BIGINT) ELSE 0 END)
-                     AS BIGINT) * 200 + {fx.SALAD_DIVISOR}) / {2 * fx.SALAD_DIVISOR}) AS DOUBLE) / 100 AS actual_meals_salad
+         CAST((CAST(sum(CASE WHEN o_orderstatus = 'F' THEN CAST(round(o_totalprice * 100) AS BIGINT) ELSE 0 END)
+                 AS BIGINT) * 200 + {fx.SALAD_DIVISOR}) // {2 * fx.SALAD_DIVISOR} AS DOUBLE) / 100 AS actual_meals_salad
   FROM orders WHERE isodow(CAST(o_orderdate AS DATE)) >= 6 GROUP BY 1)"""
 
 EDITS_SQL = """
