@@ -35,14 +35,20 @@ def half_up(numerator: str, denominator: int, digits: int) -> Column:
 
 def daily_demand(lines: DataFrame, day: Column, is_veg: Column,
                  salad_units: Column | None = None, salad_divisor: int = 1,
-                 site: Column | None = None, working_days_only: bool = True) -> DataFrame:
+                 site: Column | None = None, working_days_only: bool = True,
+                 where: Column | None = None) -> DataFrame:
     """Daily meals per (site?, date): total, veg, non-veg, salad.
 
     ``day`` is the line's date, ``is_veg`` marks vegetarian lines (everything
     else is non-veg, nulls included), ``salad_units`` an integral per-line
     salad quantity whose sum divided by ``salad_divisor`` gives the salad
-    weight, rounded half-up to two places.
+    weight, rounded half-up to two places. ``where`` is a predicate on the
+    raw columns (e.g. the order timestamp from a cutoff on) applied before
+    anything else, so it reaches the scan as a pushed filter and, on a
+    date-partitioned fact table, prunes partitions: the incremental rollup.
     """
+    if where is not None:
+        lines = lines.filter(where)
     cols = [day.cast("date").alias("date"), is_veg.alias("_veg"),
             (salad_units if salad_units is not None else F.lit(0)).cast("bigint").alias("_salad")]
     keys = ["date"]
