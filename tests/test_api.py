@@ -64,3 +64,34 @@ def test_seed_scripts(spark, tmp_dir):
     assert sorted(r["actual_meals"] for r in store.actuals().collect()) == [50, 60]
     assert api.get_holidays(store, "2026-04-01", "2026-04-30").first()["description"] == "Good Friday"
     assert api.delete_all_actuals(store)[0] and store.actuals().count() == 0
+
+
+def test_prepare_and_score(spark, tmp_dir):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from platewise.operators import ml as ML
+    store = api.Store(spark, os.path.join(tmp_dir, "s2"))
+    # history: 60 working days with a weekday pattern
+    rows, d = [], D(2026, 3, 2)
+    while len(rows) < 60:
+        if d.weekday() < 5:
+            rows.append((d, 50 + 10 * d.weekday(), 25, 25 + 10 * d.weekday(), 0.0))
+        d += dt.timedelta(days=1)
+    assert api.save_actuals(store, spark.createDataFrame(rows, ACTUAL_SALES))[0]
+    weather = spark.createDataFrame([(D(2026, 3, 2) + dt.timedelta(days=i), 15.0, "Sunny", "x") for i in range(120)],
+                                    "date date, temperature_max double, weather_condition string, weather_icon string")
+    hol = spark.createDataFrame([(D(2026, 5, 1), "Labour Day", True, False, False)],
+                                "date date, description string, is_bank_holiday boolean, is_school_break boolean, "
+                                "is_bridge_day boolean")
+    frame = ML.training_frame(store.actuals(), weather, hol)
+    cats = ML.categories(frame)
+    feats = ML.feature_columns(cats)
+    model = ML.fit_forest(ML.one_hot(frame, cats), feats, numTrees=10)
+    prep = api.prepare_data(spark, "2026-04-30", 3, weather, hol)  # Thu, (Fri bank holiday), Mon
+    assert [r["date"] for r in prep.orderBy("date").collect()] == [D(2026, 4, 30), D(2026, 5, 4)]
+    scored = api.get_prediction(store, model, feats, prep, dt.datetime(2026, 4, 29, 8)).orderBy("date").collect()
+    assert all(r["predicted_meals_veg"] + r["predicted_meals_non_veg"] == r["predicted_meals"] for r in scored)
+    assert scored[0]["prediction_timestamp"] == dt.datetime(2026, 4, 29, 8)
+    assert F is not None
