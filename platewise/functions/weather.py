@@ -37,8 +37,9 @@ def weather_category(code) -> Column:
                     weather_condition(c).alias("weather_condition"))
 
 
-def weather_label(temperature, condition_label) -> Column:
-    """FN-9: ``"<t>°C <label>"``; no label when the temperature is 0 or null."""
+def weather_label(temperature, condition_label, icon=None) -> Column:
+    """FN-9: ``"<icon><t>°C <label>"`` (the icon is optional); no label when
+    the temperature is 0 or null."""
     t = _col(temperature)
-    return F.when(t.isNotNull() & (t != 0),
-                  F.concat(t.cast("string"), F.lit("°C "), _col(condition_label)))
+    parts = ([_col(icon)] if icon is not None else []) + [t.cast("string"), F.lit("°C "), _col(condition_label)]
+    return F.when(t.isNotNull() & (t != 0), F.concat(*parts))

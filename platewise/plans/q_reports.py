@@ -118,15 +118,17 @@ def fn_day_label(spark, sf):
 @register("fn_weather_label", _labels_sql() + f"""
 SELECT date,
        CASE WHEN temperature_max IS NOT NULL AND temperature_max <> 0
-            THEN CAST(temperature_max AS VARCHAR) || '°C ' ||
+            THEN weather_icon || CAST(temperature_max AS VARCHAR) || '°C ' ||
                  COALESCE({_lookup("DE", "weather_condition", "lower(weather_condition)")}, lower(weather_condition))
        END AS weather_label
-FROM predictions""")
+FROM weather""")
 def fn_weather_label(spark, sf):
-    """FN-9: ``22.5°C Regen``; unknown conditions keep their lower-case key."""
-    p = fx.predictions(spark, sf).select("date", "temperature_max", F.lower("weather_condition").alias("cond"))
-    p = LB.translate(p, "cond", _eff(spark), "DE", "weather_condition", on_miss="key", out="cond_label")
-    return p.select("date", weather_label("temperature_max", "cond_label").alias("weather_label"))
+    """FN-9: the weather badge of every day, ``🌧️22.5°C Regen``; unknown
+    conditions keep their lower-case key (``sunny``)."""
+    w = fx.weather(spark, sf).select("date", "weather_icon", "temperature_max",
+                                     F.lower("weather_condition").alias("cond"))
+    w = LB.translate(w, "cond", _eff(spark), "DE", "weather_condition", on_miss="key", out="cond_label")
+    return w.select("date", weather_label("temperature_max", "cond_label", "weather_icon").alias("weather_label"))
 
 
 # --- FN-11 ---------------------------------------------------------------------------------
