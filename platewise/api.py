@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from platewise.operators import compare as C
 from platewise.operators import features as FE
@@ -38,9 +39,11 @@ class Store:
         return os.path.join(self.base, name)
 
     def table(self, name: str, schema) -> DataFrame:
-        """Current version, or an empty frame with the table schema."""
+        """Current version, or an empty frame with the table schema (with the
+        site key columns in front when the store is keyed by site)."""
         if current_version(self.spark, self.root(name)) is None:
-            return self.spark.createDataFrame([], schema)
+            extra = [T.StructField(k, T.IntegerType()) for k in self.keys if k not in schema.names]
+            return self.spark.createDataFrame([], T.StructType(extra + list(schema.fields)))
         return read_table(self.spark, self.root(name))
 
     def predictions(self) -> DataFrame:

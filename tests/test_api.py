@@ -95,3 +95,18 @@ def test_prepare_and_score(spark, tmp_dir):
     assert all(r["predicted_meals_veg"] + r["predicted_meals_non_veg"] == r["predicted_meals"] for r in scored)
     assert scored[0]["prediction_timestamp"] == dt.datetime(2026, 4, 29, 8)
     assert F is not None
+
+
+def test_site_keyed_store(spark, tmp_dir):
+    import os
+    store = api.Store(spark, os.path.join(tmp_dir, "s3"), keys=["site_id", "date"])
+    rows = spark.createDataFrame([(1, D(2026, 7, 13), 10, 4, 6, 0.0), (2, D(2026, 7, 13), 20, 8, 12, 0.0)],
+                                 "site_id int, date date, actual_meals long, actual_meals_veg long, "
+                                 "actual_meals_non_veg long, actual_meals_salad double")
+    assert api.save_actuals(store, rows)[0]
+    fix = spark.createDataFrame([(2, D(2026, 7, 13), 21, 9, 12, 0.0)], rows.schema)
+    assert api.save_actuals(store, fix)[0]
+    got = {(r["site_id"], r["actual_meals"]) for r in store.actuals().collect()}
+    assert got == {(1, 10), (2, 21)}
+    ratios = api.get_empirical_veg_ratio(store).collect()
+    assert {r["site_id"] for r in ratios} == {1, 2}
