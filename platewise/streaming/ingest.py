@@ -62,9 +62,14 @@ def validate_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Da
 
 
 def ingest_paths(spark: SparkSession, paths: list[str], table_root: str, quarantine_root: str,
-                 keys: Sequence[str] = ("date",)) -> tuple[bool, str | None]:
+                 keys: Sequence[str] = ("date",), epoch_id: int | None = None) -> tuple[bool, str | None]:
     """One ingest step (batch or micro-batch): validate, upsert good files,
-    publish a new table version, record rejected files."""
+    publish a new table version, record rejected files.
+
+    Both writes are idempotent for a replayed micro-batch: the upsert of the
+    same files gives the same table, and rejected files go to the epoch's own
+    quarantine folder, overwritten on replay.
+    """
     rows, verdicts = validate_files(spark, paths)
     if verdicts is None:
         return True, None
@@ -76,7 +81,10 @@ def ingest_paths(spark: SparkSession, paths: list[str], table_root: str, quarant
             if not ok:
                 return False, err
         rejected = verdicts.filter(F.col("status") != "ok")
-        rejected.write.mode("append").parquet(quarantine_root)
+        if epoch_id is None:
+            rejected.write.mode("append").parquet(quarantine_root)
+        else:
+            rejected.write.mode("overwrite").parquet(os.path.join(quarantine_root, f"epoch={epoch_id}"))
         return True, None
     finally:
         verdicts.unpersist()
@@ -96,7 +104,7 @@ def start_ingest(spark: SparkSession, landing: str, table_root: str, quarantine_
     def process(batch: DataFrame, epoch_id: int) -> None:
         paths = [r[0] for r in batch.select("path").distinct().collect()]  # bounded by maxFilesPerTrigger
         if paths:
-            ok, err = ingest_paths(batch.sparkSession, paths, table_root, quarantine_root)
+            ok, err = ingest_paths(batch.sparkSession, paths, table_root, quarantine_root, epoch_id=epoch_id)
             if not ok:
                 raise RuntimeError(f"ingest of epoch {epoch_id} failed: {err}")
 

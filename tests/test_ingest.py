@@ -93,3 +93,16 @@ def test_empty_file_is_reported(spark, tmp_dir):
     rows, verdicts = validate_files(spark, files)
     v = {os.path.basename(r["batch"]): r["status"] for r in verdicts.collect()}
     assert v == {"empty.csv": "unreadable", "ok.csv": "ok"}
+
+
+def test_replayed_epoch_is_idempotent(spark, tmp_dir):
+    from platewise.streaming.ingest import ingest_paths
+    p = landing_layout(tmp_dir)
+    assert publish(spark.createDataFrame([(D(2026, 7, 13), 1, 1, 0, 0.0)], S), p["table"])[0]
+    _write(os.path.join(p["landing"], "a.csv"), "date,total,veg,non-veg,salad\n2026-07-14,10,4,6,1\n")
+    _write(os.path.join(p["landing"], "b.csv"), "date,total,veg,non-veg,salad\n2026-07-15,10,4,5,1\n")
+    files = ["file:" + os.path.join(p["landing"], n) for n in ("a.csv", "b.csv")]
+    for _ in range(2):  # the same micro-batch twice, as after a failure before the commit
+        assert ingest_paths(spark, files, p["table"], p["quarantine"], epoch_id=7) == (True, None)
+    assert sorted(r["date"] for r in read_table(spark, p["table"]).collect()) == [D(2026, 7, 13), D(2026, 7, 14)]
+    assert spark.read.parquet(p["quarantine"]).count() == 1
