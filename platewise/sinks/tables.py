@@ -34,9 +34,17 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(tmp, p)
+    try:
+        # one atomic replace where the file system offers it (HDFS, local)
+        hfs = jvm.org.apache.hadoop.fs
+        opts = spark.sparkContext._gateway.new_array(hfs.Options.Rename, 1)
+        opts[0] = hfs.Options.Rename.OVERWRITE
+        ctx = hfs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        ctx.rename(tmp, p, opts)
+    except Exception:  # noqa: BLE001  (stores without rename-overwrite)
+        if fs.exists(p):
+            fs.delete(p, False)
+        fs.rename(tmp, p)
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:
