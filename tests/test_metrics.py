@@ -65,3 +65,24 @@ def test_period_over_period_empty_previous(spark):
     assert r2["prev_rows"] == 0 and r2["mae_delta"] is None and r2["over_delta"] is None
     weeks = {x["period_start"]: x for x in period_over_period_all(p, a, unit="week").collect()}
     assert weeks[D(2026, 7, 13)]["prev_rows"] == 1 and weeks[D(2026, 7, 6)]["mae_delta"] is None
+
+
+def test_latest_batch_and_info(spark):
+    import datetime as dt
+
+    from platewise.operators.compare import last_prediction_info, latest_batch, peak_day
+    D, T = dt.date, dt.datetime
+    p = spark.createDataFrame(
+        [(D(2026, 7, 6), T(2026, 7, 1, 8), 60, 30, 30), (D(2026, 7, 7), T(2026, 7, 1, 8), 70, 30, 40),
+         (D(2026, 7, 13), T(2026, 7, 8, 8), 70, 35, 35), (D(2026, 7, 14), T(2026, 7, 8, 8), 70, 30, 40),
+         (D(2026, 7, 15), T(2026, 7, 8, 8), 65, 30, 35)],
+        "date date, prediction_timestamp timestamp_ntz, final_prediction long, predicted_meals_veg long, "
+        "predicted_meals_non_veg long")
+    assert sorted(r["date"] for r in latest_batch(p).collect()) == [D(2026, 7, 13), D(2026, 7, 14), D(2026, 7, 15)]
+    info = last_prediction_info(p).first()
+    assert (info["timestamp"], info["start_date"], info["end_date"]) == (T(2026, 7, 8, 8), D(2026, 7, 13),
+                                                                         D(2026, 7, 15))
+    peak = peak_day(p).first()  # 70 on three days: the earliest wins
+    assert (peak["date"], peak["final_prediction"]) == (D(2026, 7, 7), 70)
+    empty = last_prediction_info(p.limit(0)).first()
+    assert empty["timestamp"] is None
