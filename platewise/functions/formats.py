@@ -50,14 +50,23 @@ def thousands(v) -> Column:
     return F.format_number(_col(v).cast("bigint"), 0)
 
 
+def _one_place(v, fmt: str) -> Column:
+    """Round half-even to one place, then format; a negative value that
+    rounds to zero keeps its sign (``-0.0``), as number formatting does."""
+    v = _col(v)
+    r = F.bround(v, 1)
+    text = F.format_string(fmt, r)
+    return F.when((v < 0) & (r == 0), F.regexp_replace(text, "^[+]?", "-")).otherwise(text)
+
+
 def one_decimal(v, suffix: str = "") -> Column:
     """FN-11: ``12.3`` (value rounded half-even to one place first)."""
-    return F.format_string("%.1f" + suffix.replace("%", "%%"), F.bround(_col(v), 1))
+    return _one_place(v, "%.1f" + suffix.replace("%", "%%"))
 
 
 def signed_one_decimal(v) -> Column:
-    """FN-11: KPI delta text, ``+1.5`` / ``-0.3``."""
-    return F.format_string("%+.1f", F.bround(_col(v), 1))
+    """FN-11: KPI delta text, ``+1.5`` / ``-0.3`` / ``-0.0``."""
+    return _one_place(v, "%+.1f")
 
 
 def day_label(is_school_break, is_bridge_day, description, translated=None,

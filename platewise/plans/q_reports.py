@@ -450,3 +450,35 @@ def aim_bias_insights_site(spark, sf):
     j = C.join_actuals(fx.site_predictions(spark, sf), fx.site_sales(spark, sf), keys=keys)
     j = j.withColumn("month", F.date_trunc("month", "date").cast("date"))
     return INS.bias_insights(j, period="month", by=["weekday"], site=["site_id"])
+
+
+def _kpi_sql() -> str:
+    from platewise.plans.q_analysis import _pop_sql
+    body = _pop_sql("month")
+    head, select = body.split("\nSELECT period_start, period_end, cur_rows AS rows", 1)
+    pop = head + ",\npop AS (SELECT period_start, period_end, cur_rows AS rows" + select + ")"
+    return pop + """
+SELECT period_start,
+       printf('%.1f', round_even(mae, 1)) AS mae_text,
+       printf('%.1f%%', round_even(accuracy_rate, 1)) AS accuracy_text,
+       CASE WHEN mae_delta IS NOT NULL THEN printf('%+.1f', round_even(mae_delta, 1)) END AS mae_delta_text,
+       CASE WHEN over_delta IS NOT NULL THEN printf('%+d', over_delta) END AS over_delta_text
+FROM pop"""
+
+
+@register("fn_kpi_texts", _kpi_sql())
+def fn_kpi_texts(spark, sf):
+    """FN-11: the analysis page's KPI tile texts for every month: MAE and
+    accuracy to one decimal (``12.3``, ``45.6%``) and signed deltas against
+    the previous period (``+1.5``, ``-2``); no delta text without a previous
+    period."""
+    from platewise.functions.formats import one_decimal, signed_one_decimal
+    a = fx.actual_sales(spark, sf)
+    m = C.period_over_period_all(fx.predictions(spark, sf, a), a, unit="month")
+    return m.select(
+        "period_start",
+        one_decimal("mae").alias("mae_text"),
+        one_decimal("accuracy_rate", "%").alias("accuracy_text"),
+        F.when(F.col("mae_delta").isNotNull(), signed_one_decimal("mae_delta")).alias("mae_delta_text"),
+        F.when(F.col("over_delta").isNotNull(), F.format_string("%+d", F.col("over_delta"))).alias("over_delta_text"),
+    )

@@ -34,3 +34,9 @@ def test_number_formats(spark):
 def test_flags(spark):
     df = spark.createDataFrame([("TRUE",), ("false",), ("1",), ("0",), (None,), ("x",)], "s string")
     assert [r[0] for r in df.select(to_flag("s")).collect()] == [True, False, True, False, False, False]
+
+
+def test_negative_zero_keeps_sign(spark):
+    df = spark.createDataFrame([(-0.04,), (0.04,), (-0.06,)], "d double")
+    assert [r[0] for r in df.select(signed_one_decimal("d")).collect()] == ["-0.0", "+0.0", "-0.1"]
+    assert [r[0] for r in df.select(one_decimal("d")).collect()] == ["-0.0", "0.0", "-0.1"]
