@@ -87,11 +87,15 @@ ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 
 
 def _whole_number(c: Column) -> Column:
-    """Text that is an integer, or an integral float such as ``12.0`` (Q7)."""
+    """Text that is an integer, or an integral float such as ``12.0`` (Q7).
+
+    Plain integers take one cast; only other text goes down the double path
+    (bround keeps doubles, so no bigint overflow; the last test rejects
+    values outside the bigint range and infinities).
+    """
     d = c.try_cast("double")
-    # bround keeps doubles (no bigint overflow); the last test rejects values
-    # outside the bigint range and infinities
-    return d.isNotNull() & ~F.isnan(d) & (d == F.bround(d, 0)) & d.try_cast("bigint").isNotNull()
+    as_double = d.isNotNull() & ~F.isnan(d) & (d == F.bround(d, 0)) & d.try_cast("bigint").isNotNull()
+    return F.when(c.try_cast("bigint").isNotNull(), F.lit(True)).otherwise(as_double)
 
 
 def value_errors(df: DataFrame, salad_integer: bool = True) -> Column:
@@ -102,7 +106,9 @@ def value_errors(df: DataFrame, salad_integer: bool = True) -> Column:
     salad: whole number by default, any number with ``salad_integer=False``.
     """
     d = F.trim(F.col("date").cast("string"))
-    checks = [F.when(~F.coalesce(d.rlike(ISO_DATE) & F.try_to_date(d, "yyyy-MM-dd").isNotNull(),
+    # text already shaped yyyy-MM-dd only needs the calendar check, which the
+    # built-in date cast does without a pattern formatter
+    checks = [F.when(~F.coalesce(d.rlike(ISO_DATE) & d.try_cast("date").isNotNull(),
                                  F.lit(False)), F.lit("date"))]
     for c in VALUE_COLUMNS:
         v = F.trim(F.col(c).cast("string"))
@@ -116,10 +122,12 @@ def value_errors(df: DataFrame, salad_integer: bool = True) -> Column:
 
 def typed(df: DataFrame) -> DataFrame:
     """Cast validated text to the table types (date, bigint x3, double)."""
-    out = {"date": F.try_to_date(F.trim(F.col("date").cast("string")), "yyyy-MM-dd")}
+    d = F.trim(F.col("date").cast("string"))
+    out = {"date": F.when(d.rlike(ISO_DATE), d.try_cast("date"))}
     for c in VALUE_COLUMNS:
-        v = F.trim(F.col(c).cast("string")).try_cast("double")
-        out[c] = v if c == "actual_meals_salad" else v.try_cast("bigint")
+        t = F.trim(F.col(c).cast("string"))
+        out[c] = t.try_cast("double") if c == "actual_meals_salad" else \
+            F.coalesce(t.try_cast("bigint"), t.try_cast("double").try_cast("bigint"))
     return df.withColumns(out)
 
 
