@@ -5,9 +5,11 @@ AGG-12...15, SNK-7, SNK-8).
 * The temporal holdout uses a cutoff date found with a bounded top-N
   (``orderBy(desc).limit(N)`` is a per-partition top-N plus a merge, not a
   global sort); with sites it is a window per site.
-* One-hot categories are discovered with a ``distinct`` over three
-  low-cardinality columns (months, five weather conditions, five themes):
-  at most 22 values reach the driver.
+* One-hot categories are discovered with one ``collect_set`` aggregate over
+  three low-cardinality columns (months, five weather conditions, five
+  themes): at most 22 values reach the driver.
+* With many sites one global forest learns a site-relative target; site
+  means are one grouped aggregate joined back by key.
 * The forest is MLlib's distributed ``RandomForestRegressor``; scoring is
   ``PipelineModel.transform`` (JVM, no Python UDF).
 """
