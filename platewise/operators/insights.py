@@ -138,13 +138,17 @@ def series_long(compared: DataFrame, ids: Sequence[str] = ("date",)) -> DataFram
     return wide.unpivot(ids, list(series), "series", "value")
 
 
-def table_health(name: str, df: DataFrame, as_of, date_col: str = "date") -> DataFrame:
-    """AIM-6 building block: one row with rows, first / last date, staleness."""
+def table_health(name: str, df: DataFrame, as_of, date_col: str = "date",
+                 batch_col: str = "prediction_timestamp") -> DataFrame:
+    """AIM-6 building block: one row with rows, first / last date, staleness
+    and, for tables stamped per batch, the latest batch time (AGG-11)."""
     from platewise.functions.calendar import _date_lit
+    last_batch = F.max(batch_col).cast("timestamp_ntz") if batch_col in df.columns \
+        else F.lit(None).cast("timestamp_ntz")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.min(date_col).alias("first_date"),
-                  F.max(date_col).alias("last_date")) \
+                  F.max(date_col).alias("last_date"), last_batch.alias("last_batch")) \
              .select(F.lit(name).alias("table_name"), "rows", "first_date", "last_date",
-                     F.datediff(_date_lit(as_of), F.col("last_date")).alias("days_since_last"))
+                     F.datediff(_date_lit(as_of), F.col("last_date")).alias("days_since_last"), "last_batch")
 
 
 def health(tables: dict[str, DataFrame], as_of) -> DataFrame:

@@ -284,7 +284,8 @@ HEALTH_AS_OF = "2001-12-31"
 
 @register("aim_health", "\n" + "\nUNION ALL ".join(
     f"SELECT {q(t)} AS table_name, count(*) AS rows, min(date) AS first_date, max(date) AS last_date, "
-    f"CAST(DATE '{HEALTH_AS_OF}' - max(date) AS INTEGER) AS days_since_last FROM {t}"
+    f"CAST(DATE '{HEALTH_AS_OF}' - max(date) AS INTEGER) AS days_since_last, "
+    f"{'max(prediction_timestamp)' if t == 'predictions' else 'CAST(NULL AS TIMESTAMP)'} AS last_batch FROM {t}"
     for t in ("predictions", "actual_sales", "holidays")))
 def aim_health(spark, sf):
     """AIM-6: row counts and freshness of every table."""
