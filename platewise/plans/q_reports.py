@@ -483,3 +483,41 @@ def fn_kpi_texts(spark, sf):
         F.when(F.col("mae_delta").isNotNull(), signed_one_decimal("mae_delta")).alias("mae_delta_text"),
         F.when(F.col("over_delta").isNotNull(), F.format_string("%+d", F.col("over_delta"))).alias("over_delta_text"),
     )
+
+
+@register("aim_plan_anomalies_site", f"""
+, st AS (SELECT site_id, {theme_case("date")} AS day_theme, avg(actual_meals) AS theme_mean,
+                stddev_samp(actual_meals) AS theme_std
+         FROM site_sales WHERE {theme_case("date")} IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT p.site_id, p.date, p.day_theme, p.final_prediction, CAST(date_trunc('week', p.date) AS DATE) AS week_start,
+             COALESCE(h.is_school_break, false) AS is_school_break, COALESCE(h.is_bridge_day, false) AS is_bridge_day,
+             w.weather_condition,
+             round((p.final_prediction - st.theme_mean) / NULLIF(st.theme_std, 0), 4) AS z
+      FROM site_predictions p
+      LEFT JOIN st ON p.site_id = st.site_id AND p.day_theme = st.day_theme
+      LEFT JOIN holidays h ON p.date = h.date
+      LEFT JOIN weather w ON p.date = w.date),
+s AS (SELECT *,
+             COALESCE(abs(z) > 2.0, false) AS f_u, COALESCE(is_school_break, false) AS f_b,
+             COALESCE(is_bridge_day, false) AS f_d,
+             COALESCE(weather_condition IN ('Rainy', 'Snowy', 'Stormy'), false) AS f_w
+      FROM f),
+s2 AS (SELECT *, concat_ws(', ', CASE WHEN f_u THEN 'unusual volume' END, CASE WHEN f_b THEN 'school break' END,
+                           CASE WHEN f_d THEN 'bridge day' END, CASE WHEN f_w THEN 'bad weather' END) AS reasons,
+              COALESCE(abs(z), 0) + CAST(f_u AS INTEGER) + CAST(f_b AS INTEGER) + CAST(f_d AS INTEGER)
+                + CAST(f_w AS INTEGER) AS score
+       FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY site_id, week_start ORDER BY score DESC, date) AS rank
+      FROM s2 WHERE reasons <> '')
+SELECT site_id, week_start, CAST(rank AS INTEGER) AS rank, date, day_theme, final_prediction, z, reasons
+FROM r WHERE rank <= 3""")
+def aim_plan_anomalies_site(spark, sf):
+    """AIM-4 per site: up to three days per (site, planning week); theme
+    statistics per (site, theme), weather and holidays joined by date."""
+    from platewise.operators import features as FE
+    keys = ["site_id", "date"]
+    p = fx.site_predictions(spark, sf)
+    p = FE.join_holidays(p, fx.holidays(spark, sf), ["date"]).drop("holiday_desc", "is_bank_holiday")
+    p = FE.join_weather(p, fx.weather(spark, sf), ["date"], columns=("weather_condition",))
+    p = p.withColumn("week_start", F.date_trunc("week", "date").cast("date"))
+    return INS.plan_anomalies(p, fx.site_sales(spark, sf), keys=keys)
