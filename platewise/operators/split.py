@@ -28,7 +28,7 @@ def _site_keys(keys: Sequence[str] | None) -> list[str]:
 def theme_ratios(actuals: DataFrame, keys: Sequence[str] = ("date",)) -> DataFrame:
     """AGG-5: empirical veg share per (site?, theme) from history.
 
-    Only rows with both counts present are used; the theme comes from the
+    Only rows with both counts present are used (FLT-5); the theme comes from the
     row's date. ``veg_ratio`` is ``avg(veg) / (avg(veg) + avg(non_veg))`` and
     null when that total is zero (the caller falls back).
     """

@@ -27,8 +27,8 @@ class ColumnError(ValueError):
 
 def resolve_columns(df: DataFrame, aliases: dict[str, list[str]] = IMPORT_ALIASES,
                     keep: Sequence[str] = ()) -> DataFrame:
-    """VAL-1: rename accepted headers (any case) to internal names, keep the
-    five columns in order (plus ``keep``). Metadata only: no Spark job.
+    """VAL-1 / PRJ-10: rename accepted headers (any case) to internal names,
+    keep the five columns in order (plus ``keep``). Metadata only: no Spark job.
 
     Raises ``ColumnError`` listing every missing column, or naming both
     headers when two aliases of one column are present (Q5).
@@ -143,7 +143,8 @@ def sum_mismatches(df: DataFrame) -> DataFrame:
 
 def manual_mismatches(df: DataFrame) -> DataFrame:
     """VAL-5: hand-edited rows whose total differs from veg + non-veg; a null
-    comparison is *not* a mismatch (SQL three-valued logic)."""
+    comparison is *not* a mismatch (SQL three-valued logic). AGG-16 (any
+    mismatch?) is ``manual_mismatches(df).limit(1).count() > 0``."""
     return df.filter(F.col("actual_meals") != F.col("actual_meals_veg") + F.col("actual_meals_non_veg"))
 
 

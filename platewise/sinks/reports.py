@@ -31,8 +31,9 @@ def clean_cells(df: DataFrame) -> DataFrame:
 
 def report_table(df: DataFrame, display_columns: dict[str, str],
                  drop: Sequence[str] = REPORT_DROP) -> DataFrame:
-    """SNK-9: drop the listed columns that exist (Q17), keep the display
-    columns that remain in display order, rename them to their labels."""
+    """SNK-9 / PRJ-10: drop the listed columns that exist (Q17), keep the
+    display columns that remain in display order, rename them to their
+    labels."""
     present = [c for c in df.columns if c not in set(drop)]
     keep = [c for c in display_columns if c in present]
     return clean_cells(df.select(*[F.col(c).alias(display_columns[c]) for c in keep]))
