@@ -19,6 +19,15 @@ _DEFAULTS = {
 }
 
 
+# Set only when this module builds the session (core settings are fixed once
+# the context runs): checkpoint files of DataFrames that are no longer
+# referenced are removed by the context cleaner instead of piling up in the
+# shared folder.
+_STATIC_DEFAULTS = {
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "platewise") -> SparkSession:
     """Return the active session, or build one with the defaults above.
@@ -35,7 +44,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for k, v in _DEFAULTS.items():
+    for k, v in {**_DEFAULTS, **_STATIC_DEFAULTS}.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
