@@ -74,3 +74,26 @@ def test_label_overlay_and_translate(spark):
     rows = {r["w"]: r for r in t.collect()}
     assert rows["Sunny"]["w_label"] is None and rows["Rainy"]["w_label"] == "Regen"
     assert rows["Sunny"]["h_label"] == "Sommerferien" and rows["Rainy"]["h_label"] == "Labour Day"
+
+
+def test_param_sql_binds_dates(spark):
+    df = spark.createDataFrame([(D(2026, 7, 13),), (D(2026, 8, 1),)], "date date")
+    df.createOrReplaceTempView("t_dates")
+    r = param_sql(spark, "SELECT date FROM t_dates WHERE date >= :start AND date <= :end",
+                  start="2026-07-01", end="2026-07-31").collect()
+    assert [x[0] for x in r] == [D(2026, 7, 13)]
+
+
+def test_json_payload_per_week(spark):
+    import json
+
+    from platewise.sinks.reports import json_payload, report_table
+    df = spark.createDataFrame([(D(2026, 7, 14), 70), (D(2026, 7, 13), 60)], "date date, final_prediction long")
+    out = json_payload(df.selectExpr("date_trunc('week', date) AS week_start", "date", "final_prediction")
+                       .selectExpr("CAST(week_start AS DATE) AS week_start", "date", "final_prediction"),
+                       group=["week_start"]).first()
+    rows = json.loads(out["json"])
+    assert [r["date"] for r in rows] == ["2026-07-13", "2026-07-14"]
+    rep = report_table(spark.createDataFrame([("a\nb", 1, "x")], "day_theme string, final_prediction long, weekday string"),
+                       {"day_theme": "Theme", "final_prediction": "Total"})
+    assert rep.columns == ["Theme", "Total"] and rep.first()["Theme"] == "a b"
