@@ -19,3 +19,26 @@ def test_plan_is_jvm_only_and_cross_join_free(spark, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     bad = [f for f in FORBIDDEN if f in plan]
     assert not bad, (name, bad)
+
+
+def _formatted(spark, df):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
+def test_rollup_prunes_columns(spark):
+    text = _formatted(spark, E.queries()["aim_daily_rollup_total"](spark, SF))
+    schema = [line for line in text.splitlines() if line.startswith("ReadSchema")][0]
+    assert "o_orderdate" in schema and "o_orderkey" not in schema and "o_custkey" not in schema
+
+
+def test_incremental_rollup_pushes_cutoff_to_scan(spark):
+    text = _formatted(spark, E.queries()["aim_rollup_incremental"](spark, SF))
+    assert any("GreaterThanOrEqual(o_orderdate" in line for line in text.splitlines()
+               if line.startswith("PushedFilters"))
+
+
+def test_date_range_reaches_scan(spark):
+    text = _formatted(spark, E.queries()["flt_date_range"](spark, SF))
+    pushed = [line for line in text.splitlines() if line.startswith("PushedFilters")]
+    assert any("GreaterThanOrEqual(date" in p and "LessThanOrEqual(date" in p for p in pushed)
