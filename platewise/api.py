@@ -170,3 +170,14 @@ def seed_holidays_from_file(store: Store, path: str) -> tuple[bool, str | None]:
 def delete_all_actuals(store: Store) -> tuple[bool, str | None]:
     """Maintenance script: empty the actuals table (a new, empty version)."""
     return publish(store.actuals().limit(0), store.root("actual_sales"))
+
+
+def get_last_prediction_info(store: Store) -> DataFrame:
+    """Latest prediction batch: timestamp, first and last date (one row)."""
+    return C.last_prediction_info(store.predictions(), by=[k for k in store.keys if k != "date"])
+
+
+def load_model_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Training timestamp of a published model (null when missing)."""
+    from platewise.sources.files import read_model_metadata
+    return read_model_metadata(spark, path)

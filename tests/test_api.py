@@ -34,6 +34,8 @@ def test_workflow_round_trip(spark, tmp_dir):
         D(2026, 7, 13), D(2026, 7, 14)]
     ratios = {r["day_theme"]: r["veg_ratio"] for r in api.get_empirical_veg_ratio(store).collect()}
     assert ratios["Sausage"] == 0.5 and ratios["Vital"] == 0.43
+    info = api.get_last_prediction_info(store).first()
+    assert (info["start_date"], info["end_date"]) == (D(2026, 7, 13), D(2026, 7, 14))
     period = api.compare_periods(store, "2026-07-13", "2026-07-17").first()
     assert (period["rows"], period["mae"], period["prev_rows"], period["mae_delta"]) == (1, 5.0, 0, None)
 
