@@ -120,7 +120,7 @@ _MODELS: dict = {}
 
 def trained(spark, sf):
     """Fit once per (session, data set): frame -> holdout -> one-hot -> forest."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)  # one fit per application and data set
     if key not in _MODELS:
         f = ML.temporal_split(frame(spark, sf))
         cats = ML.categories(f)  # encoded over the whole frame, holdout included
