@@ -54,7 +54,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
-_LOCAL_CHECKPOINT_DIRS: dict[int, str] = {}
+_LOCAL_CHECKPOINT_DIRS: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -71,7 +71,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
-    key = id(sc)
+    key = sc.applicationId
     if key not in _LOCAL_CHECKPOINT_DIRS:
         existing = sc.getCheckpointDir()
         if existing:
