@@ -55,12 +55,3 @@ def translate(df: DataFrame, column: str, labels: DataFrame, lang: str, section:
     value = F.col(f"_l_{out}") if on_miss == "null" else F.coalesce(F.col(f"_l_{out}"), F.col(column))
     return j.withColumn(out, value).drop(f"_k_{out}", f"_l_{out}")
 
-
-def label_of(labels: DataFrame, lang: str, section: str, key: str) -> Column:
-    """A single label as a literal (resolved on the driver from the fixed
-    dictionary, not from data)."""
-    for layer, langs in sorted(LABELS.items(), key=lambda kv: -LABEL_LAYERS[kv[0]]):
-        v = langs.get(lang, {}).get(section, {}).get(key)
-        if v is not None:
-            return F.lit(v)
-    return F.lit(None).cast("string")

@@ -85,3 +85,12 @@ def test_sites_share_one_forest(spark):
     pred = ML.predict_sites(model, enc.filter("split = 'test'"), scale)
     m = {r["site_id"]: r["mae"] for r in ML.regression_metrics(pred, by=["site_id"]).collect()}
     assert m[1] < 2 and m[2] < 100  # each site predicted at its own scale
+
+
+def test_feature_importances_cover_all_features(spark):
+    f = ML.temporal_split(_frame(spark))
+    cats = ML.categories(f)
+    feats = ML.feature_columns(cats)
+    model = ML.fit_forest(ML.one_hot(f, cats).filter("split = 'train'"), feats, numTrees=10)
+    imp = ML.feature_importances(model, feats)
+    assert sorted(n for n, _ in imp) == sorted(feats) and abs(sum(v for _, v in imp) - 1.0) < 1e-9

@@ -97,3 +97,12 @@ def test_json_payload_per_week(spark):
     rep = report_table(spark.createDataFrame([("a\nb", 1, "x")], "day_theme string, final_prediction long, weekday string"),
                        {"day_theme": "Theme", "final_prediction": "Total"})
     assert rep.columns == ["Theme", "Total"] and rep.first()["Theme"] == "a b"
+
+
+def test_write_csv_round_trip(spark, tmp_dir):
+    from platewise.sinks.reports import normalise_dates, write_csv
+    df = spark.createDataFrame([("04/01/26", 60), ("12/31/99", 50)], "date string, total long")
+    out = os.path.join(tmp_dir, "norm")
+    write_csv(normalise_dates(df), out)
+    back = spark.read.csv(out, header=True).orderBy("date").collect()
+    assert [r["date"] for r in back] == ["1999-12-31", "2026-04-01"]
