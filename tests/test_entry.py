@@ -28,6 +28,10 @@ def _norm(v):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0 and "pct_error" in df.columns
+    # a stable schema: the same columns and types on every call
+    again = E.entry(spark)
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema.fields] == \
+        [(f.name, f.dataType.simpleString()) for f in again.schema.fields]
 
 
 @pytest.fixture(scope="module")
