@@ -108,3 +108,11 @@ def test_value_errors_extremes(spark):
             ("2026-07-13", "Infinity", "4", "6", "1"), ("2026-07-13", " 10 ", "4", "6", "1")]
     got = [r["value_errors"] for r in V.validate_rows(_raw(spark, rows)).collect()]
     assert got == [["actual_meals"], ["actual_meals"], ["actual_meals"], []]
+
+
+def test_unaccepted_aliases_stay_missing(spark):
+    # "non_veg" and "actual_meals_salad" are not accepted headers (Q6)
+    df = _raw(spark, [("2026-07-13", "10", "4", "6", "1")],
+              ("date", "total", "veg", "non_veg", "actual_meals_salad"))
+    with pytest.raises(V.ColumnError, match="actual_meals_non_veg, actual_meals_salad"):
+        V.resolve_columns(df)
