@@ -7,7 +7,7 @@ to the other until one of them holds a whole copy or none, and the other goes
 on to meet the next. The expected copies of a document stay what they were
 and the words of the pair stay together what they were, so a source misses
 its target by no more than its last open document. Documents meet within
-blocks of bounded size; what a block leaves open meets the other blocks'
+blocks of bounded size, long ones first so that a short one is left; what a block leaves open meets the other blocks'
 in the next level of a reduction tree. DataFrame functions only.
 """
 
@@ -108,7 +108,7 @@ def _round(parts: DataFrame) -> DataFrame:
                           F.col("source").eqNullSafe(F.col("_source")))
         dealt = dealt.withColumn("_block", F.pmod(F.xxhash64(F.lit(most), "key"), F.col("_blocks")))
         folded = dealt.groupBy("source", "_block").agg(
-            F.array_sort(F.collect_list(F.struct(F.xxhash64("key").alias("at"), "key", "words", "part"))).alias("items"))
+            F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("at"), "key", "words", "part"))).alias("items"))
         folded = folded.select("source", _meet(F.transform("items", lambda x: F.struct(
             x["key"].alias("key"), x["words"].alias("words"), x["part"].alias("part")))).alias("m"))
         folded = materialise(folded.select("source", "m.done", "m.rest"), "mix-level")

@@ -4,10 +4,13 @@ tables and whole texts, with production parameters."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from platewise.llm.common import table
 from platewise.llm.exact_dedup import exact_dedup
+from platewise.llm.minhash import near_duplicates
 from platewise.llm.mixing import mix
+from platewise.llm.toxicity import score_documents, train
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +24,20 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op8_mixing)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by the bidirectional recurrent network."""
+    docs = table(spark, sf_dir, "documents")
+    net = train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return score_documents(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents by SuperMinHash."""
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op8_mixing, op9_toxicity, op10_minhash)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
