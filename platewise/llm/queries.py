@@ -10,6 +10,7 @@ from platewise.llm.common import table
 from platewise.llm.exact_dedup import exact_dedup
 from platewise.llm.minhash import near_duplicates
 from platewise.llm.mixing import mix
+from platewise.llm.sentencepiece_sa import encode_documents
 from platewise.llm.toxicity import score_documents, train
 
 
@@ -19,6 +20,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded by suffix-array matching."""
+    return encode_documents(table(spark, sf_dir, "documents"), keep_ids=False).drop("row_key")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to their sources' target weights by pivotal rounding."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -37,7 +43,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op8_mixing, op9_toxicity, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_sentencepiece, op8_mixing, op9_toxicity, op10_minhash)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
