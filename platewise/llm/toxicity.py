@@ -2,7 +2,7 @@
 over character and word inputs, in numpy.
 
 A word's input is the embedding of the word (of a vocabulary counted on the
-training sample) next to the mean embedding of its character trigrams. Two
+training sample) next to the mean embedding of its character n-grams. Two
 gated recurrent units read a window of words, one from each end; attention
 pools their states and a logistic unit scores the window. Overlapping windows
 cover the whole text, and the highest window score, calibrated on the
@@ -21,25 +21,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.common import keep_decided, row_key, slices, text_or_empty
+from platewise.llm.labelled import calibrate, labelled_sample, sigmoid
 
 #: Words of a window, and the step from one window to the next.
 WINDOW, STEP = 32, 24
-#: The bounded training sample: documents of either class, windows of each.
-TRAIN_DOCS, TRAIN_WINDOWS = 1000, 8
+#: The bounded sample: documents of either class; windows to train on of each
+#: of the first three quarters, windows to calibrate with of each of the rest.
+TRAIN_DOCS, TRAIN_WINDOWS, CALIBRATE_WINDOWS = 1200, 8, 48
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
-CHAR_BUCKETS = 1 << 13
+CHAR_BUCKETS = 1 << 15
+#: Lengths of the character n-grams, with marks at the word's ends.
+GRAMS = (3, 4, 5)
 #: Words of the vocabulary occur in so many training documents at least.
 LEAST_DOCS = 20
-EPOCHS, BATCH, RATE, DECAY = 4, 64, 0.01, 0.05
+STEPS, BATCH, RATE, DECAY = 900, 64, 0.01, 0.05
 THRESHOLD = 0.5
 _SEED = 11
 _STRIP = "\"'.,;:!?()[]{}<>|*_-"
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
@@ -83,7 +83,7 @@ class BiGru:
     # ---- inputs -----------------------------------------------------------
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of distinct words: vocabulary ids (0: none), the buckets of their
-        character trigrams one word after the other, and where each begins."""
+        character n-grams one word after the other, and where each begins."""
         bare = [w.strip(_STRIP) or w for w in words]
         get = self.vocabulary.get
         vocab = np.fromiter((get(w, 0) for w in bare), np.int64, len(bare))
@@ -91,16 +91,17 @@ class BiGru:
         points = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         lengths = np.fromiter(map(len, bare), np.int64, len(bare)) + 2
         first = np.cumsum(lengths) - lengths
-        mixed = points * np.uint64(0x9E3779B1)
-        mixed[:-1] += points[1:] * np.uint64(0x85EBCA77)
-        mixed[:-2] += points[2:] * np.uint64(0xC2B2AE3D)
-        mixed ^= mixed >> np.uint64(15)
-        buckets = (mixed * np.uint64(0x27D4EB2F) >> np.uint64(13)) % np.uint64(CHAR_BUCKETS)
-        inside = np.ones(len(points), bool)
-        ends = first + lengths
-        inside[ends - 1] = inside[ends - 2] = False
-        begins = first - 2 * np.arange(len(bare))
-        return vocab, buckets[inside].astype(np.int64), begins
+        at = np.arange(len(points) - 2 * len(bare)) + np.repeat(2 * np.arange(len(bare)), lengths - 2)
+        ends = np.repeat(first + lengths, lengths - 2)
+        h = points[at] * np.uint64(0x9E3779B1)
+        grams = np.empty((len(at), len(GRAMS)), np.uint64)
+        for k in range(1, GRAMS[-1]):  # characters past the word's end count as 0
+            h = (h + np.where(at + k < ends, points[np.minimum(at + k, len(points) - 1)], 0)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            if k + 1 in GRAMS:
+                grams[:, GRAMS.index(k + 1)] = h * np.uint64(2 * k + 1)
+        buckets = (grams >> np.uint64(20)) % np.uint64(CHAR_BUCKETS)
+        return vocab, buckets.ravel().astype(np.int64), len(GRAMS) * (first - 2 * np.arange(len(bare)))
 
     def inputs(self, words: list[str]) -> np.ndarray:
         vocab, buckets, begins = self.ids(words)
@@ -154,7 +155,7 @@ class BiGru:
         counts = np.diff(begins, append=len(buckets))[:, None]
         table = np.concatenate([w["word"][vocab], np.add.reduceat(w["char"][buckets], begins, axis=0) / counts], axis=1)
         score = self.forward(self.project(table), at, mask, trace)
-        back = ((_sigmoid(score) - y) / len(y)).astype(np.float32)
+        back = ((sigmoid(score) - y) / len(y)).astype(np.float32)
         both, look, a, pooled = (trace[k] for k in ("both", "look", "a", "pooled"))
         g["out_w"], g["out_b"] = pooled.T @ back, back.sum(keepdims=True)
         dpool = back[:, None] * w["out_w"]
@@ -220,12 +221,13 @@ def fit(windows: list[list[str]], labels: np.ndarray, doc_of: np.ndarray) -> BiG
     rng, step = np.random.default_rng(_SEED), 0
     m = {k: np.zeros_like(v) for k, v in net.weights.items()}
     v = {k: np.zeros_like(x) for k, x in net.weights.items()}
-    for epoch in range(EPOCHS):
+    epochs = max(1, round(STEPS * BATCH / len(windows)))
+    for epoch in range(epochs):
         for chunk in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // BATCH)):
             words, at, mask = _laid_out([windows[i] for i in chunk])
             g = net.gradients(*net.ids(words), at, mask, labels[chunk])
             step += 1
-            rate = RATE * (1 - epoch / EPOCHS)
+            rate = RATE * (1 - epoch / epochs)
             for k, x in g.items():
                 m[k] = 0.9 * m[k] + 0.1 * x
                 v[k] = 0.99 * v[k] + 0.01 * x * x
@@ -265,36 +267,20 @@ def logits(net: BiGru, texts: list[str]) -> np.ndarray:
 
 def scores(net: BiGru, texts: list[str]) -> np.ndarray:
     z = logits(net, texts) if net.weights else np.full(len(texts), np.nan)
-    return np.where(np.isnan(z), net.prior, _sigmoid(net.slope * np.nan_to_num(z) + net.shift))
-
-
-def _sample(docs: DataFrame, labels: DataFrame, held_out_mod: int, held_out: int) -> tuple[list, float]:
-    """(texts' windows, label) of the bounded training sample, and the share
-    of label 1 among all rows that may be learned from."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
-    known = known.filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
-    known = known.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(held_out_mod)) != held_out)
-    share = known.agg(F.avg("y")).first()[0]
-    if share is None:
-        return [], 0.5
-    drawn = [known.filter(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS) for c in (0, 1)]
-    ids = drawn[0].unionByName(drawn[1])  # at most 2 * TRAIN_DOCS rows
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, y, text in zip(*(c.to_pylist() for c in b.columns)):
-                ws = words_of(text)
-                s = windows_of(len(ws))
-                s = s[np.unique(np.linspace(0, len(s) - 1, TRAIN_WINDOWS).astype(int))] if len(s) else s
-                rows.append({"doc_id": i, "y": y, "windows": [" ".join(ws[k:k + WINDOW]) for k in s]})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(
-                [("doc_id", pa.int64()), ("y", pa.int32()), ("windows", pa.list_(pa.string()))]))
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = (texts.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
-            .mapInArrow(cut, "doc_id long, y int, windows array<string>").collect())
-    return sorted((r["doc_id"], r["windows"], r["y"]) for r in rows), float(share)
+    return np.where(np.isnan(z), net.prior, sigmoid(net.slope * np.nan_to_num(z) + net.shift))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text, ``CALIBRATE_WINDOWS`` windows spread over all of it."""
+    for b in batches:
+        rows = []
+        for i, y, text in zip(*(c.to_pylist() for c in b.columns)):
+            ws = words_of(text)
+            s = windows_of(len(ws))
+            s = s[np.unique(np.linspace(0, len(s) - 1, CALIBRATE_WINDOWS).astype(int))] if len(s) else s
+            rows.append({"doc_id": i, "y": y, "windows": [" ".join(ws[k:k + WINDOW]) for k in s]})
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(
+            [("doc_id", pa.int64()), ("y", pa.int32()), ("windows", pa.list_(pa.string()))]))
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5, held_out: int = 0) -> BiGru:
@@ -304,33 +290,29 @@ def train(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5, held_out: i
     null labels are left out, and of several labels the highest counts.
     Without both classes every score is the share of label 1 (0.5 without
     any label)."""
-    sample, share = _sample(docs, labels, held_out_mod, held_out)
-    windows = [w.split(" ") for _, ws, _ in sample for w in ws]
-    y = np.array([y for _, ws, y in sample for _ in ws], np.float32)
-    doc_of = np.array([i for i, (_, ws, _) in enumerate(sample) for _ in ws], int)
-    if not 0 < share < 1 or not len(y) or not 0 < y.mean() < 1:
+    texts, share = labelled_sample(docs, labels, "toxic", held_out_mod, held_out, TRAIN_DOCS)
+    sample = sorted((r["doc_id"], r["windows"], r["y"]) for r in texts.mapInArrow(
+        _cut, "doc_id long, y int, windows array<string>").collect())
+    learn, rest = [x for i, x in enumerate(sample) if i % 4], sample[::4]
+    drawn = [(i, y, ws[k].split(" ")) for i, (_, ws, y) in enumerate(learn)
+             for k in (np.unique(np.linspace(0, len(ws) - 1, TRAIN_WINDOWS).astype(int)) if ws else ())]
+    y = np.array([y for _, y, _ in drawn], np.float32)
+    if not len(y) or not 0 < y.mean() < 1:
         return BiGru(prior=share)
-    net = fit(windows, y, doc_of)
-    # Calibration: the highest window of each training document, weighted so
-    # that the classes have their shares of all labelled rows.
-    z = np.full(len(sample), -np.inf)
-    for k in range(0, len(windows), 4096):
-        words, at, mask = _laid_out(windows[k:k + 4096])
-        np.maximum.at(z, doc_of[k:k + 4096], net.forward(net.project(net.inputs(words)), at, mask))
-    ok, t = np.isfinite(z), np.array([y for _, _, y in sample], float)
-    z, t = np.clip(z[ok], -15, 15), t[ok]
-    weight = np.where(t == 1, share / max(t.mean(), 1e-9), (1 - share) / max(1 - t.mean(), 1e-9))
-    a, b = 1.0, 0.0
-    for _ in range(200):  # damped Newton steps on the weighted log loss
-        p = _sigmoid(a * z + b)
-        r, q = weight * (p - t), weight * p * (1 - p) + 1e-9
-        h = np.array([[(q * z * z).sum() + 1e-3, (q * z).sum()], [(q * z).sum(), q.sum() + 1e-3]])
-        d = np.linalg.solve(h, [(r * z).sum(), r.sum()])
-        a, b = a - 0.5 * d[0], b - 0.5 * d[1]
-    net.slope, net.shift, net.prior = float(a), float(b), float(share)
+    net = fit([w for _, _, w in drawn], y, np.array([i for i, _, _ in drawn]))
+    # the highest window of each document that was not learned from
+    z = np.array([_highest(net, w) for _, w, _ in rest if w])
+    t = np.array([y for _, w, y in rest if w], float)
+    net.slope, net.shift = calibrate(z, t, share) if len(z) else (1.0, 0.0)
+    net.prior = share
     return net
 
 
+def _highest(net: BiGru, windows: list[str]) -> float:
+    words, at, mask = _laid_out([w.split(" ") for w in windows])
+    return float(net.forward(net.project(net.inputs(words)), at, mask).max())
+
+
 def score_documents(docs: DataFrame, net: BiGru) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored):
     doc_id, score, predicted, row_key. Every window of the whole text is
