@@ -6,12 +6,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from platewise.llm import quality, toxicity
 from platewise.llm.common import table
 from platewise.llm.exact_dedup import exact_dedup
 from platewise.llm.minhash import near_duplicates
 from platewise.llm.mixing import mix
+
+from platewise.llm.pii import find_personal_data
 from platewise.llm.sentencepiece_sa import encode_documents
-from platewise.llm.toxicity import score_documents, train
+
+
+def _held_out(mod: int, remainder: int):
+    return (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(mod)) == remainder).alias("held_out")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by compression with two dictionaries."""
+    docs = table(spark, sf_dir, "documents")
+    judge = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, judge).select("doc_id", _held_out(4, 2), "score", "predicted")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +38,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), keep_ids=False).drop("row_key")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: patterns, checksums, context."""
+    return find_personal_data(table(spark, sf_dir, "documents")).drop("found", "row_key")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to their sources' target weights by pivotal rounding."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -33,9 +51,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity by the bidirectional recurrent network."""
     docs = table(spark, sf_dir, "documents")
-    net = train(docs, table(spark, sf_dir, "labels"))
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
-    return score_documents(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, net).select("doc_id", _held_out(5, 0), "score", "predicted")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +60,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_sentencepiece, op8_mixing, op9_toxicity, op10_minhash)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality, op2_exact_dedup, op6_sentencepiece, op7_pii, op8_mixing, op9_toxicity, op10_minhash)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
