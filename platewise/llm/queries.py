@@ -11,9 +11,9 @@ from platewise.llm.common import table
 from platewise.llm.exact_dedup import exact_dedup
 from platewise.llm.minhash import near_duplicates
 from platewise.llm.mixing import mix
-
 from platewise.llm.pii import find_personal_data
 from platewise.llm.sentencepiece_sa import encode_documents
+from platewise.llm.sharding import shard_documents
 
 
 def _held_out(mod: int, remainder: int):
@@ -33,6 +33,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 16 shards of near equal bytes by best-fit decreasing."""
+    return shard_documents(table(spark, sf_dir, "documents"), 16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded by suffix-array matching."""
     return encode_documents(table(spark, sf_dir, "documents"), keep_ids=False).drop("row_key")
@@ -61,7 +68,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_exact_dedup, op6_sentencepiece, op7_pii, op8_mixing, op9_toxicity, op10_minhash)}
+    op1_quality, op2_exact_dedup, op3_sharding, op6_sentencepiece, op7_pii, op8_mixing, op9_toxicity, op10_minhash)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
