@@ -14,6 +14,7 @@ from platewise.llm.mixing import mix
 from platewise.llm.pii import find_personal_data
 from platewise.llm.sentencepiece_sa import encode_documents
 from platewise.llm.sharding import shard_documents
+from platewise.llm.warc import archive_pages
 
 
 def _held_out(mod: int, remainder: int):
@@ -40,6 +41,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back through the capture index."""
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded by suffix-array matching."""
     return encode_documents(table(spark, sf_dir, "documents"), keep_ids=False).drop("row_key")
@@ -68,7 +74,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_exact_dedup, op3_sharding, op6_sentencepiece, op7_pii, op8_mixing, op9_toxicity, op10_minhash)}
+    op1_quality, op2_exact_dedup, op3_sharding, op5_warc, op6_sentencepiece, op7_pii, op8_mixing, op9_toxicity, op10_minhash)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
@@ -81,5 +87,17 @@ WITH n AS (
   FROM n
 )
 SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g
+""",
+    "op5_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
 """,
 }
