@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.llm import quality, toxicity
+from platewise.llm.bm25 import search
 from platewise.llm.common import table
 from platewise.llm.exact_dedup import exact_dedup
 from platewise.llm.minhash import near_duplicates
@@ -41,6 +42,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents by BM25 for the whole text of every document
+    whose id is divisible by 20."""
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search(docs, asked, 10)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back through the capture index."""
     return archive_pages(table(spark, sf_dir, "pages"))
@@ -74,7 +83,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_exact_dedup, op3_sharding, op5_warc, op6_sentencepiece, op7_pii, op8_mixing, op9_toxicity, op10_minhash)}
+    op1_quality, op2_exact_dedup, op3_sharding, op4_search, op5_warc, op6_sentencepiece, op7_pii, op8_mixing, op9_toxicity, op10_minhash)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
