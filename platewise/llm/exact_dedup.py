@@ -58,18 +58,18 @@ def golomb_decode(code: bytes, n: int) -> np.ndarray:
     return np.cumsum((quotients.astype(np.int64) << k) + (low << np.arange(k)).sum(axis=1))
 
 
-def _fingerprints(h: np.ndarray) -> np.ndarray:
-    return (h.astype(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+def _fingerprints(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h.astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _send(owners: int):
+def _send(owners: int, bits: int):
     """Per partition: (part, rows, owner, n, code, repeated); ``repeated``
     has a bit per fingerprint that the partition holds more than once."""
-    span = -(-(1 << BITS) // owners)
+    span = -(-(1 << bits) // owners)
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        got = [_fingerprints(f["h"].to_numpy()) for f in frames]
+        got = [_fingerprints(f["h"].to_numpy(), bits) for f in frames]
         rows = sum(map(len, got))
         if not rows:
             return
@@ -98,16 +98,16 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     return group.assign(repeated=[np.packbits(x).tobytes() for x in np.split(twice, ends)])
 
 
-def _suspects(owners: int):
+def _suspects(owners: int, bits: int):
     """The answers of one partition as elements that pair with its batches of
     rows: the suspect fingerprints first, then nothing for the other batches."""
-    span = -(-(1 << BITS) // owners)
+    span = -(-(1 << bits) // owners)
 
     def elements(replies) -> Iterator:
         found, rows = [], 0
         for _, (rows, owner, n, code, twice) in replies:
-            bits = np.unpackbits(np.frombuffer(twice, np.uint8), count=n).astype(bool)
-            found.append(golomb_decode(code, n)[bits] + owner * span)
+            again = np.unpackbits(np.frombuffer(twice, np.uint8), count=n).astype(bool)
+            found.append(golomb_decode(code, n)[again] + owner * span)
         for i in range(-(-rows // ROWS_PER_ELEMENT)):
             yield set(np.concatenate(found).tolist()) if i == 0 else None
 
@@ -125,17 +125,20 @@ def _batches(rows) -> Iterator[list]:
         yield batch
 
 
-def _mark(part: int, pairs) -> Iterator[tuple]:
-    suspects, pos = set(), 0
-    for batch, found in pairs:
-        suspects = found if found is not None else suspects
-        for doc_id, h, sha, key, text in batch:
-            mine = (h % (1 << 64)) >> (64 - BITS) in suspects
-            yield doc_id, h, sha, key, part, pos, text if mine else None
-            pos += 1
+def _mark(bits: int):
+    def mark(part: int, pairs) -> Iterator[tuple]:
+        suspects, pos = set(), 0
+        for batch, found in pairs:
+            suspects = found if found is not None else suspects
+            for doc_id, h, sha, key, text in batch:
+                mine = (h % (1 << 64)) >> (64 - bits) in suspects
+                yield doc_id, h, sha, key, part, pos, text if mine else None
+                pos += 1
 
+    return mark
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+
+def exact_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored):
     doc_id, keep_id, group_size, kept, text_sha256, row_key.
 
@@ -145,7 +148,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     of rows that tie (one doc_id, equal texts) exactly one is kept. An empty
     table gives an empty result. ``docs`` must be a table read from files, so
     that both passes see the same partitions (the second pass fails, rather
-    than err, when they differ)."""
+    than err, when they differ). ``bits`` are those of a fingerprint."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("raw"))
     rows = rows.withColumn("text", F.regexp_replace("raw", WHITE, " "))
@@ -154,7 +157,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PER_OWNER))
     sent = rows.select("h").mapInPandas(
-        _send(owners), "part int, n_rows long, owner int, n int, code binary, repeated binary")
+        _send(owners, bits), "part int, n_rows long, owner int, n int, code binary, repeated binary")
     replies = sent.groupBy("owner").applyInPandas(_answer, sent.schema)
 
     left = rows.rdd
@@ -167,8 +170,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         left = left.union(spark.sparkContext.parallelize([], more))
     one = BatchedSerializer(CPickleSerializer(), 1)
     marked = (left.mapPartitions(_batches)._reserialize(one)
-              .zip(right.mapPartitions(_suspects(owners))._reserialize(one))
-              .mapPartitionsWithIndex(_mark))
+              .zip(right.mapPartitions(_suspects(owners, bits))._reserialize(one))
+              .mapPartitionsWithIndex(_mark(bits)))
     seen = materialise(spark.createDataFrame(marked, _MARKED, verifySchema=False), "exact-marked")
 
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "part", "pos")
