@@ -3,10 +3,11 @@ shingle sets, and union-find grouping.
 
 Documents with one shingle set form a class and are treated once. Classes
 that share a band of their signatures are candidates. Each bucket first links
-its members to one representative (as many pairs as members); where a bucket
+its members to one representative (as many pairs as members). Where a bucket
 still holds classes of different groups, its members are compared tile by
-tile on their signatures, and only what looks similar goes on. Every link is
-confirmed on the two full sets before it counts.
+tile: signatures say which members may have a link there, and those meet
+again with their full sets. A tile gives the links that join its groups, no
+list of its pairs. Every link is confirmed on the two full sets.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ SLOTS = 120
 #: A true link may miss all bands with this probability at most.
 MISS = 1e-6
 #: Pairs whose share of equal slots lies this far below the threshold are not
-#: verified (over six standard deviations of the estimate).
+#: verified (six standard deviations of the estimate).
 SLACK = 0.2
-#: Members of a bucket that one tile compares with one other tile's.
-TILE = 512
+#: Members of a bucket that one tile compares with one other tile's, about.
+TILE = 256
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
 
@@ -143,7 +144,7 @@ def _sign(rows: int):
 
 
 def _short(sig: np.ndarray) -> bytes:
-    return _mix(sig).astype(np.uint16).tobytes()  # equal slots stay equal
+    return _mix(sig).astype(np.uint32).tobytes()  # equal slots stay equal
 
 
 def _verify(percent: int):
@@ -217,34 +218,84 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def _cross(percent: int):
-    """The pairs within a tile pair of a bucket that are of different groups
-    and whose sizes and signatures allow a link."""
-    least = (percent / 100 - SLACK) * SLOTS
+def _groups(batch: pa.RecordBatch, column: str) -> tuple[pa.StructArray, list[slice]]:
+    """The structs of a list column, one list after the other, and each list's place."""
+    lists = batch.column(column)
+    ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return pa.compute.list_flatten(lists), [slice(a, b) for a, b in zip(ends[:-1], ends[1:])]
 
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _promising(percent: int, rows: int):
+    """(at, node): the members of a tile pair that have, with one of another
+    group, sizes and signatures that allow a link. A pair counts in the first
+    band that it shares."""
+    least, n = (percent / 100 - SLACK) * SLOTS, SLOTS // rows
+
+    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("members")
-            ends = lists.offsets.to_numpy()
-            flat = pa.compute.list_flatten(lists)
-            begins = ends[:-1] - ends[0]
+            flat, places = _groups(b, "members")
             node, root, size, tile = (flat.field(c).to_numpy() for c in ("node", "root", "n_shingles", "tile"))
-            sig = np.frombuffer(b"".join(flat.field("signature").to_pylist()), np.uint16).reshape(len(node), SLOTS)
+            sig = np.frombuffer(b"".join(flat.field("signature").to_pylist()), np.uint32).reshape(len(node), SLOTS)
             found = [np.empty((0, 2), np.int64)]
-            for k, n, i, j in zip(begins, np.diff(ends), b.column("i").to_numpy(), b.column("j").to_numpy()):
-                mine = slice(k, k + n)
-                left = k + np.flatnonzero(tile[mine] == i)
-                right = k + np.flatnonzero(tile[mine] == j)
+            for k, (mine, i, j, band) in enumerate(zip(places, *(b.column(c).to_numpy() for c in ("i", "j", "number")))):
+                left = mine.start + np.flatnonzero(tile[mine] == i)
+                right = mine.start + np.flatnonzero(tile[mine] == j)
+                hit = np.zeros(mine.stop - mine.start, bool)
                 for at, x in enumerate(left):
-                    y = right[at + 1:] if i == j else right
+                    y = left[at + 1:] if i == j else right
                     y = y[(root[y] != root[x])
                           & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
-                    y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
-                    found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
-            got = np.unique(np.concatenate(found), axis=0)
+                    equal = sig[y] == sig[x]
+                    first = equal[:, :n * rows].reshape(-1, n, rows).all(axis=2).argmax(axis=1)
+                    y = y[(equal.sum(axis=1) >= least) & (first == band)]
+                    if len(y):
+                        hit[y - mine.start] = hit[x - mine.start] = True
+                at = mine.start + np.flatnonzero(hit)
+                found.append(np.stack([np.full(len(at), k), node[at]], axis=1))
+            got = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([
+                b.column("band").take(pa.array(got[:, 0])), b.column("i").take(pa.array(got[:, 0])),
+                b.column("j").take(pa.array(got[:, 0])), pa.array(got[:, 1])], ["band", "i", "j", "node"])
+
+    return promising
+
+
+def _linked(percent: int):
+    """Within each group of members with their sets: links that join all
+    those groups of them which a link joins, confirmed on the sets."""
+    def links(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        size = np.array([len(x) for x in sets])
+        _, element = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        held = np.bincount(element)
+        holders = owner[np.argsort(element, kind="stable")]  # by element
+        start, first = np.cumsum(held) - held, np.cumsum(size) - size
+        label = np.unique(root, return_inverse=True)[1]
+        for x in range(len(sets)):
+            other = np.flatnonzero((label != label[x])
+                                   & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])))
+            if not len(other):
+                continue
+            mine = element[first[x]:first[x] + size[x]]
+            n = held[mine]
+            at = np.repeat(start[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(holders[at], minlength=len(sets))[other]
+            for y in other[100 * common >= percent * (size[other] + size[x] - common)]:
+                if label[y] != label[x]:
+                    label[label == label[y]] = label[x]
+                    yield min(node[x], node[y]), max(node[x], node[y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, places = _groups(b, "members")
+            node, root = (flat.field(c).to_numpy() for c in ("node", "root"))
+            raw, found = flat.field("set").to_pylist(), []
+            for mine in places:
+                found += links(node[mine], root[mine], [np.frombuffer(x, _U) for x in raw[mine]])
+            got = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
 
-    return cross
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -278,22 +329,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     groups = components(links)
 
     # Round 2: buckets that still hold different groups, tile by tile.
-    placed = classes.select("node", "bands", "n_shingles", "signature").join(groups, "node", "left")
-    placed = materialise(placed.withColumn("root", F.coalesce("root", "node")), "near-placed")
+    placed = classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = materialise(placed, "near-placed")
     mixed = placed.select("root", F.explode("bands").alias("band")).groupBy("band").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
     mixed = materialise(mixed.select("band", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "near-mixed")
     if not mixed.isEmpty():
-        spread = placed.select("node", "root", F.explode("bands").alias("band")).join(mixed, "band")
+        spread = placed.select("node", F.posexplode("bands").alias("number", "band")).join(mixed, "band")
         spread = spread.withColumn("tile", F.pmod(F.xxhash64("node", "band"), F.col("tiles")).cast("int"))
         # a member meets its own tile and every other one, in (smaller, larger) order
         spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         spread = spread.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-        spread = spread.drop("root").join(placed.select("node", "root", "n_shingles", "signature"), "node")
-        tiles = spread.groupBy("band", "i", "j").agg(  # at most two tiles' members
+        spread = spread.join(placed.select("node", "root", "n_shingles", "signature"), "node")
+        tiles = spread.groupBy("band", "i", "j", "number").agg(  # two tiles' members
             F.collect_list(F.struct("node", "root", "n_shingles", "tile", "signature")).alias("members"))
-        more = tiles.select("i", "j", "members").mapInArrow(_cross(percent), "a long, b long").distinct()
-        more = _confirmed(rows, classes, materialise(more, "near-pairs"), percent)
+        hopeful = materialise(tiles.mapInArrow(_promising(percent, band_rows(percent)),
+                                               "band long, i int, j int, node long"), "near-hopeful")
+        sets = _sets_of(rows, placed, hopeful.select("node").distinct())
+        tiles = hopeful.join(placed.select("node", "root"), "node").join(sets, "node").groupBy("band", "i", "j").agg(
+            F.collect_list(F.struct("node", "root", "set")).alias("members"))
+        more = materialise(tiles.select("members").mapInArrow(_linked(percent), "a long, b long"), "near-links")
         groups = components(links.unionByName(more))
 
     named = classes.select("set_key", "node", "doc_id").join(groups, "node", "left")
@@ -307,17 +362,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")
 
 
-def _confirmed(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. The sets are made
-    anew from the texts of the classes that occur in a pair, so that no other
-    text or set is shuffled while those classes' list is of bounded size."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(classes.select("node", "doc_id", "row_key", "set_key").join(wanted, "node"), "near-wanted")
-    source = wanted.select("node", F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
+def _sets_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, set) of the named classes. The sets are made anew from the
+    texts, so that no other text or set is shuffled while the list of the
+    classes is of bounded size."""
+    wanted = materialise(classes.join(nodes, "node").select(
+        "node", F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")), "near-wanted")
     match = [rows["doc_id"].eqNullSafe(F.col("_id")), rows["row_key"] == F.col("_key")]
-    texts = rows.join(F.broadcast(source) if source.count() <= BROADCAST_ROWS else source, match)
-    sets = materialise(texts.select("node", "text").mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]),
-                       "near-sets")
+    texts = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, match)
+    sets = texts.select("node", "text").mapInArrow(_sets, "node long, set binary")
+    return materialise(sets.dropDuplicates(["node"]), "near-sets")
+
+
+def _confirmed(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets_of(rows, classes, nodes)
     a, b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in "ab")
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set")
     return materialise(joined.mapInPandas(_verify(percent), "a long, b long"), "near-links")
