@@ -27,6 +27,7 @@ from platewise.operators import upsert as UP
 from platewise.operators import validate as V
 from platewise.schemas import ACTUAL_COLUMNS, ACTUAL_SALES, HOLIDAYS, PREDICTION_COLUMNS, PREDICTIONS
 from platewise.sinks.tables import current_version, publish, read_table
+from platewise.streaming.ingest import bad_rows
 
 
 class Store:
@@ -56,22 +57,33 @@ class Store:
         return self.table("holidays", HOLIDAYS)
 
 
-def save_prediction(store: Store, df: DataFrame) -> tuple[bool, str | None]:
+def _ordered(store: Store, rows: DataFrame, order_col: str | None) -> None:
+    """A batch that holds a key twice must say which of its rows is the last."""
+    if order_col is None and not UP.repeated_keys(rows, store.keys).isEmpty():
+        raise ValueError(f"several rows for one {'/'.join(store.keys)}: name the column that orders them (order_col)")
+
+
+def save_prediction(store: Store, df: DataFrame, order_col: str | None = None) -> tuple[bool, str | None]:
     """Upsert a forecast batch: override columns ensured, final prediction
-    derived, full-row replace per key; ``(ok, error)``."""
+    derived, full-row replace per key, the last row by ``order_col`` winning;
+    ``(ok, error)``."""
     try:
         rows = SP.with_final_prediction(df).select(*store.keys, *[c for c in PREDICTION_COLUMNS
-                                                                  if c not in store.keys])
-        return publish(UP.upsert(store.predictions(), rows, store.keys), store.root("predictions"))
+                                                                  if c not in store.keys],
+                                                   *([order_col] if order_col else []))
+        _ordered(store, rows, order_col)
+        return publish(UP.upsert(store.predictions(), rows, store.keys, order_col), store.root("predictions"))
     except Exception as e:  # noqa: BLE001
         return False, str(e)
 
 
-def save_actuals(store: Store, df: DataFrame) -> tuple[bool, str | None]:
-    """Upsert actual sales (key + four counts); ``(ok, error)``."""
+def save_actuals(store: Store, df: DataFrame, order_col: str | None = None) -> tuple[bool, str | None]:
+    """Upsert actual sales (key + four counts), the last row by ``order_col``
+    winning; ``(ok, error)``."""
     try:
-        rows = df.select(*store.keys, *ACTUAL_COLUMNS)
-        return publish(UP.upsert(store.actuals(), rows, store.keys), store.root("actual_sales"))
+        rows = df.select(*store.keys, *ACTUAL_COLUMNS, *([order_col] if order_col else []))
+        _ordered(store, rows, order_col)
+        return publish(UP.upsert(store.actuals(), rows, store.keys, order_col), store.root("actual_sales"))
     except Exception as e:  # noqa: BLE001
         return False, str(e)
 
@@ -133,8 +145,9 @@ def get_prediction(store: Store, model: PipelineModel, features: Sequence[str],
 
 def csv_validation(df: DataFrame) -> tuple[bool, str | None, DataFrame | None]:
     """Validate one uploaded file (all columns as text): columns, values,
-    sums, in that order. Returns ``(ok, message, typed_rows)``; only the
-    one-row verdict reaches the driver."""
+    sums, in that order. Returns ``(ok, message, rows)``: the typed rows of a
+    good file, else all its offending rows with their position and errors;
+    only the one-row verdict reaches the driver."""
     try:
         resolved = V.resolve_columns(df)
     except V.ColumnError as e:
@@ -144,20 +157,33 @@ def csv_validation(df: DataFrame) -> tuple[bool, str | None, DataFrame | None]:
     if v is None:
         return True, None, rows.select("date", *V.VALUE_COLUMNS)  # empty upload
     if v["status"] == "invalid_values":
-        return False, f"invalid values in {v['value_error_rows']} rows", None
+        return False, f"invalid values in {v['value_error_rows']} rows", bad_rows(rows)
     if v["status"] == "sum_mismatch":
         return False, f"total differs from veg + non-veg in {v['sum_error_rows']} rows " \
-                      f"(first at row {v['first_bad_row']})", None
+                      f"(first at row {v['first_bad_row']})", bad_rows(rows)
     return True, None, rows.select("date", *V.VALUE_COLUMNS)
 
 
-def seed_actuals_from_file(store: Store, path: str) -> tuple[bool, str | None]:
-    """Seed script: the ``;`` history file appended to the actuals table
-    (total_day / veg / non_veg become the three counts; no salad)."""
-    from platewise.sources.files import read_sales
+def seed_actuals_from_file(store: Store, path: str, site: dict | None = None) -> tuple[bool, str | None]:
+    """Seed script: the history file appended to the actuals table (total_day
+    / veg / non_veg become the three counts; no salad). As the table's key
+    demands, a day that the table or the file has already is refused, and so
+    are rows that cannot be read; a store keyed by site needs the ``site``
+    (its key columns' values)."""
+    from platewise.sources.files import read_sales, rejected_sales
+    others = [k for k in store.keys if k != "date"]
+    if set(others) != set(site or {}):
+        return False, f"the store is keyed by {others}: give the site"
+    bad = rejected_sales(store.spark, path).count()
+    if bad:
+        return False, f"{bad} rows have a date or count that cannot be read (rejected_sales lists them)"
     rows = read_sales(store.spark, path).select(
+        *[F.lit(site[k]).cast("int").alias(k) for k in others],
         "date", F.col("total_meals").alias("actual_meals"), F.col("veg").alias("actual_meals_veg"),
         F.col("non_veg").alias("actual_meals_non_veg"), F.lit(None).cast("double").alias("actual_meals_salad"))
+    known = rows.join(store.actuals().select(*store.keys), store.keys, "left_semi")
+    if not known.isEmpty() or not UP.repeated_keys(rows, store.keys).isEmpty():
+        return False, f"a {'/'.join(store.keys)} of the file is in the table already, or in the file twice"
     return publish(UP.append(store.actuals(), rows), store.root("actual_sales"))
 
 

@@ -236,27 +236,22 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named daily table, materialised once per input version.
 
     Concurrent builders write to private temporary folders and race on one
-    rename; the loser simply reads the winner's table. If the shared folder
-    is not writable the view is computed in place instead.
+    rename; the loser simply reads the winner's table. A failure to build or
+    write the table fails the query.
     """
     if os.environ.get("PLATEWISE_MATERIALIZE", "1") == "0":
         return _BUILDERS[name](spark, sf_dir)
     from platewise.session import checkpoint_dir
     from platewise.sinks.tables import _fs
-    try:
-        root = os.path.join(checkpoint_dir(spark), "views", _fingerprint(spark, sf_dir, _INPUTS[name]), name)
-        done, fs, jvm = _fs(spark, os.path.join(root, "_SUCCESS"))
-        if not fs.exists(done):
-            tmp = root + f".tmp-{uuid.uuid4().hex[:8]}"
-            _BUILDERS[name](spark, sf_dir).write.parquet(tmp)
-            src, _, _ = _fs(spark, tmp)
-            dst = jvm.org.apache.hadoop.fs.Path(root)
-            if not fs.rename(src, dst) and not fs.exists(done):
-                raise RuntimeError(f"could not publish view {name}")
-    except Exception as e:  # noqa: BLE001  (no shared folder: compute in place)
-        if "could not publish" in str(e):
-            raise
-        return _BUILDERS[name](spark, sf_dir)
+    root = os.path.join(checkpoint_dir(spark), "views", _fingerprint(spark, sf_dir, _INPUTS[name]), name)
+    done, fs, jvm = _fs(spark, os.path.join(root, "_SUCCESS"))
+    if not fs.exists(done):
+        tmp = root + f".tmp-{uuid.uuid4().hex[:8]}"
+        _BUILDERS[name](spark, sf_dir).write.parquet(tmp)
+        src, _, _ = _fs(spark, tmp)
+        dst = jvm.org.apache.hadoop.fs.Path(root)
+        if not fs.rename(src, dst) and not fs.exists(done):
+            raise RuntimeError(f"could not publish view {name}")
     return spark.read.parquet(root)
 
 

@@ -64,7 +64,7 @@ SELECT c.c_nationkey AS site_id, CAST(o.o_orderdate AS DATE) AS date,
        CAST(count(*) FILTER (WHERE o.o_orderpriority IN ({_VEG})) AS BIGINT) AS actual_meals_veg,
        CAST(count(*) - count(*) FILTER (WHERE o.o_orderpriority IN ({_VEG})) AS BIGINT) AS actual_meals_non_veg,
        {_salad(f"sum({_CENTS})")} AS actual_meals_salad
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 WHERE isodow(CAST(o.o_orderdate AS DATE)) <= 5
 GROUP BY 1, 2""",
     "weather": f"""

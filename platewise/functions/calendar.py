@@ -70,16 +70,22 @@ def parse_date(c, fmt: str | None = None, strict: bool = True) -> Column:
     """PRJ-1: parse anything date-like to a date.
 
     ``strict`` raises on unparseable input (ANSI cast); otherwise it yields
-    null so the caller can quarantine the row.
+    null so the caller can quarantine the row. Read are ISO dates and time
+    stamps (``T`` or a space, whole or part seconds or none, any zone: the
+    written day counts) and ``m/d/yyyy`` or ``m/d/yy`` with an optional time.
     """
     c = _col(c)
     if strict:
         return F.to_date(c, fmt) if fmt else F.to_date(c)
     if fmt:
         return F.try_to_timestamp(c, F.lit(fmt)).cast("date")
-    return F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-                      F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")),
-                      F.try_to_timestamp(c, F.lit("yyyy-MM-dd"))).cast("date")
+    text = F.trim(c.cast("string"))
+    iso = F.regexp_replace(text, r"\s*(Z|UTC|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz").cast("date")
+    day = F.regexp_extract(text, r"^(\d{1,2}/\d{1,2}/\d{2,4})([ T].*)?$", 1)
+    long = F.try_to_timestamp(day, F.lit("M/d/yyyy")).cast("date")
+    short = F.try_to_timestamp(day, F.lit("M/d/yy")).cast("date")
+    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
+    return F.coalesce(iso, F.when(F.length(F.element_at(F.split(day, "/"), -1)) == 4, long).otherwise(short))
 
 
 def weather_mode(end, as_of) -> Column:

@@ -19,18 +19,19 @@ def pct_display(ratio) -> Column:
 
 
 def sign_class(v) -> Column:
-    """FN-10: ``green`` above zero, else ``red`` (zero is red); null stays null."""
-    v = _col(v)
-    return F.when(v > 0, F.lit("green")).when(v.isNotNull(), F.lit("red"))
+    """FN-10: ``green`` above zero, else ``red`` (zero and null are red)."""
+    return F.when(_col(v) > 0, F.lit("green")).otherwise(F.lit("red"))
 
 
 def to_flag(c) -> Column:
-    """PRJ-8: int / bool / TRUE-FALSE text -> boolean, null -> false."""
+    """PRJ-8: number / bool / TRUE-FALSE text -> boolean, null -> false; a
+    number other than zero is true."""
     c = _col(c)
     text = F.upper(F.trim(c.cast("string")))
     return F.coalesce(
         F.when(text.isin("TRUE", "T", "YES", "Y", "1"), F.lit(True))
-         .when(text.isin("FALSE", "F", "NO", "N", "0"), F.lit(False)),
+         .when(text.isin("FALSE", "F", "NO", "N", "0"), F.lit(False))
+         .otherwise(text.try_cast("double") != 0),
         F.lit(False),
     )
 

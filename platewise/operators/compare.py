@@ -254,7 +254,8 @@ def period_over_period_all(predictions: DataFrame, actuals: DataFrame, unit: str
     j = join_actuals(predictions, actuals, keys=keys, with_errors=False)
     d = F.col("date")
     own = _unit_start(d, unit)
-    tags = [F.struct(own.alias("period_start"), F.lit(True).alias("cur"))]
+    # a weekend row belongs to no working week, but to the span before later ones
+    tags = [F.when(d <= _unit_end(own, unit), F.struct(own.alias("period_start"), F.lit(True).alias("cur")))]
     for k in (1, 2):
         n_start = _unit_shift(own, unit, k)
         n_end = _unit_end(n_start, unit)

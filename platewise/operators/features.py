@@ -120,17 +120,15 @@ def missing_weather(df: DataFrame, strict: bool = False) -> DataFrame:
     """FLT-6: rows lacking temperature or condition.
 
     Returns the offending rows; ``strict`` raises ``ValueError`` instead (the
-    training guard). The message gives the number of such days and the
-    first ten; the full list is ``missing_weather(df)`` (a DataFrame, not
-    shipped to the driver).
+    training guard). The message gives the number of such days and the first
+    of them, from one job; the full list is ``missing_weather(df)``.
     """
     bad = F.col("temperature_max").isNull() | F.col("weather_condition").isNull()
     if strict:
-        offending = df.filter(bad).select("date")
-        first = [r[0] for r in offending.orderBy("date").limit(10).collect()]
-        if first:
-            n = offending.count()
-            raise ValueError(f"Missing weather data for {n} dates, first: {first}")
+        n, first = df.filter(bad).agg(F.count(F.lit(1)), F.min("date")).first()
+        if n:
+            raise ValueError(f"Missing weather data for {n} dates, first: {first}; "
+                             "missing_weather(df) lists all of them")
         return df
     return df.filter(bad)
 

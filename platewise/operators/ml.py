@@ -223,13 +223,18 @@ NORM_LABEL = "relative_meals"
 
 
 def site_scale(split_frame: DataFrame, site: Sequence[str] = ("site_id",)) -> DataFrame:
-    """Mean daily total per site over its training rows."""
-    return (split_frame.filter(F.col("split") == "train").groupBy(*site)
-                       .agg(F.avg(LABEL).alias("site_mean")))
+    """Mean daily total per site over its training rows. A site without any
+    (too short a history) gets the mean over all sites' training rows, flagged
+    ``fallback``."""
+    train = F.when(F.col("split") == "train", F.col(LABEL))
+    by = split_frame.groupBy(*site).agg(F.avg(train).alias("own"))
+    every = split_frame.agg(F.avg(train)).first()[0]  # one scalar
+    return by.select(*site, F.coalesce(F.col("own"), F.lit(every)).alias("site_mean"),
+                     F.col("own").isNull().alias("fallback"))
 
 
 def with_relative_label(split_frame: DataFrame, scale: DataFrame, site: Sequence[str] = ("site_id",)) -> DataFrame:
-    j = split_frame.join(scale, list(site), "inner")
+    j = split_frame.join(scale.drop("fallback"), list(site), "left")
     return j.withColumn(NORM_LABEL, F.col(LABEL) / F.nullif(F.col("site_mean"), F.lit(0.0)))
 
 
@@ -242,6 +247,8 @@ def fit_sites(split_frame: DataFrame, features: Sequence[str], scale: DataFrame,
 
 def predict_sites(model: PipelineModel, encoded: DataFrame, scale: DataFrame,
                   site: Sequence[str] = ("site_id",)) -> DataFrame:
-    """Relative prediction x site mean -> ``prediction`` in meals."""
-    j = encoded.join(scale, list(site), "inner")
+    """Relative prediction x site mean -> ``prediction`` in meals; no site
+    drops out (see ``site_scale``), and ``fallback`` tells those scaled by the
+    mean over all."""
+    j = encoded.join(scale, list(site), "left")
     return model.transform(j).withColumn("prediction", F.col("prediction") * F.col("site_mean"))

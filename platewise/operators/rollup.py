@@ -92,7 +92,7 @@ def daily_demand_by_site(lines: DataFrame, sites: DataFrame, line_key: str, site
         F.sum("_salad").alias("_s"),
     )
     dim = sites.select(F.col(site_key).alias("_k"), F.col(site_col).alias("site_id"))
-    joined = pre.join(dim, "_k", "inner")
+    joined = pre.join(dim, "_k", "left")  # lines of an unknown site keep a null site
     agg = joined.groupBy("site_id", "date").agg(
         F.sum("_n").alias("actual_meals"), F.sum("_nv").alias("actual_meals_veg"),
         F.sum("_s").alias("_salad_sum"))

@@ -28,6 +28,11 @@ def last_wins(updates: DataFrame, keys: Sequence[str], order_col: str) -> DataFr
     return g.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def repeated_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys that a batch holds more than once."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """SNK-11: NaN doubles become nulls before a write."""
     cols = {f.name: F.when(~F.isnan(f.name), F.col(f.name))
@@ -39,10 +44,12 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str] = ("date",
            order_col: str | None = None) -> DataFrame:
     """SNK-1: insert new keys; on a key conflict replace every non-key column.
 
-    ``order_col`` (an input ordinal) resolves duplicate keys inside the batch,
-    last one winning (Q14). Without it a batch carries no order, and
-    duplicate keys resolve deterministically to the greatest row, so the
-    table never holds a key twice. Columns are aligned by name to the
+    ``order_col`` (an input ordinal, or a struct of file time, file and
+    ordinal) resolves duplicate keys inside the batch, last one winning (Q14).
+    Without it a batch carries no order: callers that take rows from users
+    pass one or refuse repeated keys (``repeated_keys``), and what is left
+    resolves deterministically to the greatest row, so the table never holds a
+    key twice. Columns are aligned by name to the
     target; update columns missing from the target are an error, target
     columns missing from the updates become null.
     """

@@ -18,17 +18,16 @@ AS_OF = dt.date(2000, 1, 1)
 
 
 def forecast_requests(spark, sf):
-    """One forecast request per first-of-month order date; the number of days
-    cycles through the app's choices 3 / 5 / 7 by month."""
+    """One forecast request per order date; the number of days cycles through
+    the app's choices 3 / 5 / 7 by month."""
     days = fx.table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("start_date"))
-    starts = days.filter(F.dayofmonth("start_date") == 1).distinct()
-    return starts.withColumn("n_days", (F.lit(3) + F.lit(2) * (F.month("start_date") % 3)).cast("int"))
+    return days.distinct().withColumn("n_days", (F.lit(3) + F.lit(2) * (F.month("start_date") % 3)).cast("int"))
 
 
 _REQ_SQL = """
 req AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS start_date,
                CAST(3 + 2 * (month(o_orderdate) % 3) AS INTEGER) AS n_days
-        FROM orders WHERE day(CAST(o_orderdate AS DATE)) = 1),
+        FROM orders),
 bd AS (SELECT start_date, n_days, date,
               CAST(row_number() OVER (PARTITION BY start_date ORDER BY date) AS INTEGER) AS day_index
        FROM (SELECT start_date, n_days, start_date + CAST(i AS INTEGER) AS date

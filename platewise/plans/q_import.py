@@ -21,9 +21,15 @@ def import_files(spark, sf):
     month (``batch``), German / mixed-case headers. Every 17th day of the
     year is broken, the kind cycling with ``dayofyear / 17``: 0 bad date
     format, 1 half meals, 2 missing veg, 3 wrong total, 4 decimal salad,
-    5 integral float (valid)."""
-    a = fx.actual_sales(spark, sf)
+    5 integral float (valid). Some days come twice, first with ten more:
+    every day with ``dayofyear % 17 = 1`` in one file (``seq`` 0 stands before
+    1), every one with 2 also in the file of the month before."""
+    a = fx.actual_sales(spark, sf).withColumn("seq", F.lit(1)).withColumn("bdate", F.col("date"))
     doy = F.dayofyear("date")
+    more = a.withColumns({"actual_meals": F.col("actual_meals") + 10, "actual_meals_veg": F.col("actual_meals_veg") + 10,
+                          "seq": F.lit(0)})
+    a = a.unionByName(more.filter(doy % 17 == 1)).unionByName(
+        more.filter(doy % 17 == 2).withColumn("bdate", F.add_months("date", -1)))
     broken = (doy % 17) == 0
     kind = F.floor(doy / 17) % 6
 
@@ -31,7 +37,7 @@ def import_files(spark, sf):
         return F.col(c).cast("string")
 
     return a.select(
-        F.date_format("date", "yyyy-MM").alias("batch"),
+        F.date_format("bdate", "yyyy-MM").alias("batch"), "seq",
         F.when(broken & (kind == 0), F.date_format("date", "dd.MM.yyyy"))
          .otherwise(F.date_format("date", "yyyy-MM-dd")).alias(HEADERS["date"]),
         F.when(broken & (kind == 1), F.concat(s("actual_meals"), F.lit(".5")))
@@ -47,17 +53,27 @@ def import_files(spark, sf):
 
 
 def resolved(spark, sf):
-    return V.resolve_columns(import_files(spark, sf), keep=["batch"])
+    return V.resolve_columns(import_files(spark, sf), keep=["batch", "seq"]).drop("seq")
 
 
 def checked(spark, sf):
-    rows = V.ordinal_within(resolved(spark, sf), "batch", ["date"])
+    rows = V.resolve_columns(import_files(spark, sf), keep=["batch", "seq"])
+    rows = V.ordinal_within(rows, "batch", ["date", "seq"])
     return V.validate_rows(rows.withColumn("raw_date", F.col("date")))
 
 
 IMPORT_SQL = """
+landed AS (
+  SELECT *, 1 AS seq, date AS bdate FROM actual_sales
+  UNION ALL
+  SELECT date, actual_meals + 10, actual_meals_veg + 10, actual_meals_non_veg, actual_meals_salad, 0, date
+  FROM actual_sales WHERE dayofyear(date) % 17 = 1
+  UNION ALL
+  SELECT date, actual_meals + 10, actual_meals_veg + 10, actual_meals_non_veg, actual_meals_salad, 0,
+         CAST(date - INTERVAL 1 MONTH AS DATE)
+  FROM actual_sales WHERE dayofyear(date) % 17 = 2),
 import_rows AS (
-  SELECT strftime(date, '%Y-%m') AS batch,
+  SELECT strftime(bdate, '%Y-%m') AS batch, seq,
          CASE WHEN dayofyear(date) % 17 = 0 AND (dayofyear(date) // 17) % 6 = 0 THEN strftime(date, '%d.%m.%Y')
               ELSE strftime(date, '%Y-%m-%d') END AS date,
          CASE WHEN dayofyear(date) % 17 = 0 AND (dayofyear(date) // 17) % 6 = 1 THEN CAST(actual_meals AS VARCHAR) || '.5'
@@ -70,10 +86,10 @@ import_rows AS (
          CASE WHEN dayofyear(date) % 17 = 0 AND (dayofyear(date) // 17) % 6 = 4 THEN CAST(actual_meals_salad AS VARCHAR)
               ELSE CAST(CAST(floor(actual_meals_salad) AS BIGINT) AS VARCHAR) END AS actual_meals_salad,
          date AS true_date
-  FROM actual_sales),
+  FROM landed),
 checked AS (
   SELECT *,
-         CAST(row_number() OVER (PARTITION BY batch ORDER BY date) - 1 AS BIGINT) AS ordinal,
+         CAST(row_number() OVER (PARTITION BY batch ORDER BY date, seq) - 1 AS BIGINT) AS ordinal,
          concat_ws(',',
            CASE WHEN NOT COALESCE(regexp_full_match(trim(date), '\\d{4}-\\d{2}-\\d{2}')
                                   AND try_strptime(trim(date), '%Y-%m-%d') IS NOT NULL, false) THEN 'date' END,
@@ -153,7 +169,8 @@ def val_batch(spark, sf):
 @register("flow_import", _sql("""
 , good AS (SELECT c.t_date AS date, c.t_meals AS actual_meals, c.t_veg AS actual_meals_veg,
                   c.t_non_veg AS actual_meals_non_veg, c.t_salad AS actual_meals_salad
-           FROM checked2 c JOIN verdicts v ON c.batch = v.batch WHERE v.status = 'ok'),
+           FROM checked2 c JOIN verdicts v ON c.batch = v.batch WHERE v.status = 'ok'
+           QUALIFY row_number() OVER (PARTITION BY c.t_date ORDER BY c.batch DESC, c.ordinal DESC) = 1),
 db AS (SELECT * FROM actual_sales WHERE day(date) > 7 AND date NOT IN (SELECT date FROM good)
        UNION ALL SELECT * FROM good)
 SELECT p.date, p.final_prediction, p.day_theme, p.predicted_meals_veg, p.predicted_meals_non_veg,
@@ -168,11 +185,38 @@ def flow_import(spark, sf):
     a = fx.actual_sales(spark, sf)
     rows = cut_lineage(checked(spark, sf))  # feeds the verdicts and the good rows
     verdicts = V.validate_batches(rows)
-    good = V.good_rows(rows, verdicts).select("date", *V.VALUE_COLUMNS)
-    db = UP.upsert(a.filter(F.dayofmonth("date") > 7), good, ["date"])
+    good = V.good_rows(rows, verdicts).select("date", *V.VALUE_COLUMNS, F.struct("batch", "ordinal").alias("_order"))
+    db = UP.upsert(a.filter(F.dayofmonth("date") > 7), good, ["date"], order_col="_order")
     return missing_actuals(fx.predictions(spark, sf, a), db)
 
 
+@register("val_import_upsert", _sql("""
+SELECT c.t_date AS date, c.t_meals AS actual_meals, c.t_veg AS actual_meals_veg,
+       c.t_non_veg AS actual_meals_non_veg, c.t_salad AS actual_meals_salad
+FROM checked2 c JOIN verdicts v ON c.batch = v.batch WHERE v.status = 'ok'
+QUALIFY row_number() OVER (PARTITION BY c.t_date ORDER BY c.batch DESC, c.ordinal DESC) = 1"""))
+def val_import_upsert(spark, sf):
+    """SNK-2 / WIN-4: the days of all good files; of a day that comes twice,
+    in one file or in two, the last row counts even when it is lower."""
+    rows = checked(spark, sf)
+    good = V.good_rows(rows, V.validate_batches(rows)).select(
+        "date", *V.VALUE_COLUMNS, F.struct("batch", "ordinal").alias("_order"))
+    return UP.last_wins(good, ["date"], "_order").drop("_order")
+
+
+@register("val_bad_rows", _sql("""
+SELECT batch, ordinal, date, actual_meals, actual_meals_veg, actual_meals_non_veg, actual_meals_salad,
+       CASE WHEN sum_error THEN 'sum' ELSE errors END AS errors
+FROM (SELECT c.batch, c.ordinal, c.sum_error, c.errors, CAST(c.t_date AS VARCHAR) AS date, CAST(c.t_meals AS VARCHAR) AS actual_meals,
+             CAST(c.t_veg AS VARCHAR) AS actual_meals_veg, CAST(c.t_non_veg AS VARCHAR) AS actual_meals_non_veg,
+             c.t_salad AS actual_meals_salad FROM checked2 c) x
+WHERE sum_error OR errors <> ''"""))
+def val_bad_rows(spark, sf):
+    """VAL-4: every offending row of every file with its errors."""
+    from platewise.streaming.ingest import bad_rows
+    return bad_rows(checked(spark, sf)).withColumn("actual_meals_salad", F.col("actual_meals_salad").cast("double"))
+
+
 @register("prj_auto_total", f"""
 , {EDITS_SQL.strip()}
 SELECT e.date,

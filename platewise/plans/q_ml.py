@@ -235,8 +235,10 @@ def flow_forecast(spark, sf):
         F.when(F.dayofmonth("date") % 7 == 0, F.col("predicted_meals") + 25).alias("override_meal_prediction"),
         F.when(F.dayofmonth("date") % 7 == 0, F.lit("Event")).alias("override_reason"),
         F.lit(0.0).alias("predicted_meals_salad"))
-    forecast = SP.apply_overrides(scored.drop("start_date", "weather_icon"), review, ratios)
-    return UP.upsert(fx.predictions(spark, sf, a), forecast.select(*PREDICTION_COLUMNS), ["date"])
+    forecast = SP.apply_overrides(scored.drop("weather_icon"), review.distinct(), ratios)
+    # a day that several requests cover keeps the latest request's forecast
+    return UP.upsert(fx.predictions(spark, sf, a), forecast.select(*PREDICTION_COLUMNS, "start_date"), ["date"],
+                     order_col="start_date")
 
 
 def published_model(spark, sf):

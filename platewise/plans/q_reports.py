@@ -193,17 +193,18 @@ def aim_bias_insights(spark, sf):
 
 def insight_documents(spark, sf):
     """Insight responses as text, one per month, in the shapes a model
-    returns: plain JSON, JSON in a code fence (even months), and cut-off
-    text (every third month) that must fall back to the raw message."""
+    returns: plain JSON, JSON in a code fence (even months), and text without
+    its closing bracket (every third month) that must fall back to the whole
+    raw message."""
     ins = aim_bias_insights(spark, sf)
     g = ins.groupBy("month").agg(F.sort_array(F.collect_list(F.struct("rank", "type", "title", "message")))
                                  .alias("items"))
     body = F.to_json(F.transform("items", lambda x: F.struct(x["type"].alias("type"), x["title"].alias("title"),
                                                               x["message"].alias("message"))))
-    m = F.month("month")
-    text = (F.when(m % 3 == 0, F.substring(body, 1, 40))
-             .when(m % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-             .otherwise(body))
+    g, m = g.select("month", body.alias("body")), F.month("month")
+    text = (F.when(m % 3 == 0, F.expr("substring(body, 1, length(body) - 1)"))
+             .when(m % 2 == 0, F.concat(F.lit("```json\n"), F.col("body"), F.lit("\n```")))
+             .otherwise(F.col("body")))
     return g.select("month", text.alias("response"))
 
 
@@ -225,7 +226,7 @@ docs AS (
 @register("fn_parse_insights", _INSIGHT_ROWS + """
 SELECT i.month, i.type, i.title, i.message FROM ins i WHERE month(i.month) % 3 <> 0
 UNION ALL
-SELECT month, 'info', CAST(NULL AS VARCHAR), substr(body, 1, 40) FROM docs WHERE month(month) % 3 = 0""")
+SELECT month, 'info', CAST(NULL AS VARCHAR), substr(body, 1, length(body) - 1) FROM docs WHERE month(month) % 3 = 0""")
 def fn_parse_insights(spark, sf):
     """FN-13: strip fences, parse the insight array; unparseable text is kept
     as one raw ``info`` message."""

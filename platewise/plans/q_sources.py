@@ -21,13 +21,15 @@ SEPARATORS = {0: ";", 1: ",", 2: "\t"}
 
 @register("src_holidays", "SELECT * FROM holidays")
 def src_holidays(spark, sf):
-    """SRC-1: the holiday table written as CSV (TRUE / FALSE flags) and read back."""
+    """SRC-1: the holiday table written as CSV (TRUE / FALSE flags, columns in
+    another order, one more, quoted header) and read back by name."""
     path = scratch_dir(spark, "holidays")
     h = fx.holidays(spark, sf)
-    h.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "description",
-             *[F.upper(F.col(c).cast("string")).alias(c) for c in ("is_bank_holiday", "is_school_break",
-                                                                    "is_bridge_day")]) \
-     .write.option("header", True).csv(path)
+    h.select(F.lit("seed").alias("origin"),
+             *[F.upper(F.col(c).cast("string")).alias(c) for c in ("is_bridge_day", "is_bank_holiday",
+                                                                    "is_school_break")],
+             "description", F.date_format("date", "yyyy-MM-dd").alias("date")) \
+     .write.option("header", True).option("quoteAll", True).csv(path)
     return SRC.read_holidays(spark, path)
 
 
@@ -35,12 +37,14 @@ def src_holidays(spark, sf):
 SELECT date, actual_meals AS total_meals, actual_meals_veg AS veg, actual_meals_non_veg AS non_veg
 FROM actual_sales""")
 def src_sales(spark, sf):
-    """SRC-2: history as ``;`` CSV with ``MM/dd/yy`` dates, read back
-    (1995-1999 dates keep their century)."""
+    """SRC-2: history as ``;`` CSV with ``m/d/yy`` dates without leading zeros,
+    columns in another order and one more, read back by name (1995-1999 dates
+    keep their century)."""
     path = scratch_dir(spark, "sales")
     a = fx.actual_sales(spark, sf)
-    a.select(F.date_format("date", "MM/dd/yy").alias("date"), F.col("actual_meals").alias("total_day"),
-             F.col("actual_meals_veg").alias("veg"), F.col("actual_meals_non_veg").alias("non_veg")) \
+    a.select(F.col("actual_meals_veg").alias("veg"), F.col("actual_meals_non_veg").alias("non_veg"),
+             F.dayofweek("date").alias("weekday"), F.date_format("date", "M/d/yy").alias("date"),
+             F.col("actual_meals").alias("total_day")) \
      .write.option("header", True).option("sep", ";").csv(path)
     return SRC.read_sales(spark, path)
 
@@ -50,8 +54,9 @@ def write_import_files(spark, sf, root: str) -> None:
     f = import_files(spark, sf).withColumn("_m", F.substring("batch", 6, 2).cast("int") % 3)
     for k, sep in SEPARATORS.items():
         part = f.filter(F.col("_m") == k).drop("_m")
-        (part.repartition("batch").sortWithinPartitions("batch", "Datum")
-             .write.mode("append").partitionBy("batch").option("header", True).option("sep", sep).csv(root))
+        (part.repartition("batch").sortWithinPartitions("batch", "Datum", "seq").drop("seq")
+             .write.mode("append").partitionBy("batch").option("header", True).option("sep", sep)
+             .option("quoteAll", k == 1).csv(root))
 
 
 def _batch_of(path_col):
@@ -80,13 +85,16 @@ def src_sniff(spark, sf):
 , {IMPORT_SQL.strip()},
 good AS (SELECT c.t_date AS date, c.t_meals AS actual_meals, c.t_veg AS actual_meals_veg,
                 c.t_non_veg AS actual_meals_non_veg, c.t_salad AS actual_meals_salad
-         FROM checked2 c JOIN verdicts v ON c.batch = v.batch WHERE v.status = 'ok')
+         FROM checked2 c JOIN verdicts v ON c.batch = v.batch WHERE v.status = 'ok'
+         QUALIFY row_number() OVER (PARTITION BY c.t_date  -- files are written by month modulo 3
+                                    ORDER BY CAST(substr(c.batch, 6, 2) AS INTEGER) % 3 DESC, c.ordinal DESC) = 1)
 SELECT * FROM actual_sales WHERE day(date) > 7 AND date NOT IN (SELECT date FROM good)
 UNION ALL SELECT * FROM good""")
 def aim_ingest(spark, sf):
     """AIM-2: monthly files land in a folder; a Structured Streaming job
     (availableNow) validates each file and upserts the ones that pass into
-    the actuals table (which lacks every month's first week)."""
+    the actuals table (which lacks every month's first week). Of a day that
+    comes twice, the row further down or in the later file counts."""
     paths = landing_layout(scratch_dir(spark, "ingest"))
     write_import_files(spark, sf, paths["landing"])
     ok, err = publish(fx.actual_sales(spark, sf).filter(F.dayofmonth("date") > 7), paths["table"])

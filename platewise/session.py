@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -76,6 +77,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         existing = sc.getCheckpointDir()
         if existing:
             _LOCAL_CHECKPOINT_DIRS[key] = existing
+        elif not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             local = tempfile.mkdtemp(prefix="platewise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
             sc.setCheckpointDir(local)

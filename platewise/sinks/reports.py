@@ -12,12 +12,19 @@ from platewise.constants import REPORT_DROP
 
 
 def us_short_date(c) -> F.Column:
-    """``MM/dd/yy`` text -> date with the POSIX two-digit-year pivot
-    (69-99 -> 19xx, 00-68 -> 20xx); Spark's ``yy`` alone maps all to 20xx."""
-    d = F.try_to_timestamp(c if not isinstance(c, str) else F.col(c), F.lit("MM/dd/yy")).cast("date")
+    """``m/d/yy`` text, with or without leading zeros, -> date with the POSIX
+    two-digit-year pivot (69-99 -> 19xx, 00-68 -> 20xx); Spark's ``yy`` alone
+    maps all to 20xx. Other text gives null (see ``rejected_dates``)."""
+    d = F.try_to_timestamp(F.trim(c if not isinstance(c, str) else F.col(c)), F.lit("M/d/yy")).cast("date")
     return F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
 
 
+def rejected_dates(df: DataFrame, column: str = "date") -> DataFrame:
+    """The rows whose date text ``us_short_date`` cannot read: what a caller
+    puts into quarantine instead of losing the date."""
+    return df.filter(F.col(column).isNotNull() & us_short_date(column).isNull())
+
+
 def normalise_dates(df: DataFrame, column: str = "date") -> DataFrame:
     """SNK-6: ``m/d/y`` dates rewritten as ISO ``yyyy-MM-dd`` text."""
     return df.withColumn(column, F.date_format(us_short_date(column), "yyyy-MM-dd"))

@@ -6,6 +6,8 @@ distributed: a directory of files becomes one DataFrame split by Spark.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +19,25 @@ from platewise.schemas import HOLIDAYS, MODEL_METADATA, SALES_FILE, WEATHER_RESP
 CANDIDATE_SEPARATORS = [",", ";", "\t", "|"]
 
 
+def read_by_name(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The named columns, as text, of all CSV files under ``path``: each file
+    is read with its own separator and header, so columns may stand in any
+    order, be quoted and have others beside them. A file that lacks one is an
+    error."""
+    out = None
+    for header, df in read_csv_files(spark, path, ordinal=False):
+        lower = {c.lower(): c for c in df.columns}
+        missing = [c for c in columns if c not in lower]
+        if missing:
+            raise ValueError(f"no column {', '.join(missing)} under header {header!r}")
+        part = df.select(*[F.col(f"`{lower[c]}`").alias(c) for c in columns])
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
+
+
 def read_holidays(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1: comma CSV with header; ``TRUE``/``FALSE`` flags, ISO dates."""
-    raw = spark.read.csv(path, header=True, schema=T.StructType(
-        [T.StructField(f.name, T.StringType()) for f in HOLIDAYS]))
+    """SRC-1: CSV with header, columns by name; ``TRUE``/``FALSE`` flags, ISO dates."""
+    raw = read_by_name(spark, path, HOLIDAYS.names)
     return raw.select(
         F.to_date("date", "yyyy-MM-dd").alias("date"),
         F.col("description"),
@@ -31,16 +48,33 @@ def read_holidays(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-2: ``;``-separated history, ``MM/dd/yy`` dates (two-digit years
-    pivot at 69 like POSIX ``%y``), ``total_day`` as total."""
+    """SRC-2: history CSV, columns by name, ``m/d/yy`` dates (two-digit years
+    pivot at 69 like POSIX ``%y``), ``total_day`` as total. Rows whose date or
+    counts cannot be read have nulls there; ``rejected_sales`` lists them."""
+    return _sales(spark, path).select("date", "total_meals", "veg", "non_veg")
+
+
+def rejected_sales(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-2: the rows of a history file, as text, with a date or a count that
+    cannot be read."""
+    pairs = [("date", "raw_date"), ("total_meals", "raw_total"), ("veg", "raw_veg"), ("non_veg", "raw_non_veg")]
+    bad = [F.col(c).isNull() & F.col(r).isNotNull() for c, r in pairs]
+    return _sales(spark, path).filter(bad[0] | bad[1] | bad[2] | bad[3]).select(*[r for _, r in pairs])
+
+
+def _sales(spark: SparkSession, path: str) -> DataFrame:
     from platewise.sinks.reports import us_short_date
-    raw = spark.read.csv(path, sep=";", header=True, schema=SALES_FILE)
+    raw = read_by_name(spark, path, SALES_FILE.names)
+    types = {f.name: f.dataType for f in SALES_FILE}
+
+    def number(c: str) -> Column:
+        return F.trim(c).try_cast("double").try_cast(types[c])
+
     return raw.select(
-        us_short_date("date").alias("date"),
-        F.col("total_day").alias("total_meals"),
-        F.col("veg").alias("veg"),
-        F.col("non_veg").alias("non_veg"),
-    )
+        us_short_date("date").alias("date"), number("total_day").alias("total_meals"),
+        number("veg").alias("veg"), number("non_veg").alias("non_veg"),
+        F.col("date").alias("raw_date"), F.col("total_day").alias("raw_total"),
+        F.col("veg").alias("raw_veg"), F.col("non_veg").alias("raw_non_veg"))
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
@@ -148,6 +182,11 @@ def choose_separator(header: str) -> str:
     return CANDIDATE_SEPARATORS[best]
 
 
+def header_names(header: str, sep: str) -> list[str]:
+    """A header line's names as a CSV parser reads them (quotes, byte-order mark)."""
+    return [h.strip() for h in next(csv.reader([header.lstrip("\ufeff").rstrip("\r")], delimiter=sep))]
+
+
 def with_file_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     """WIN-2 for file reads: 0-based data-row position inside each file.
 
@@ -158,6 +197,7 @@ def with_file_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     file scan (it uses the hidden ``_metadata`` columns).
     """
     x = df.select("*", F.col("_metadata.file_path").alias("_file"),
+                  F.col("_metadata.file_modification_time").alias("_file_time"),
                   F.col("_metadata.file_block_start").alias("_blk"),
                   F.monotonically_increasing_id().alias("_id"))
     blocks = x.groupBy("_file", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
@@ -182,11 +222,12 @@ def unique_names(names: list[str]) -> list[str]:
 
 
 def read_csv_files(spark: SparkSession, paths: list[str] | str,
-                   unreadable: list[str] | None = None) -> list[tuple[str, DataFrame]]:
+                   unreadable: list[str] | None = None, ordinal: bool = True) -> list[tuple[str, DataFrame]]:
     """SRC-3 for many files: headers in one job, files grouped by header
     line, each group read once with the separator sniffed from its header.
-    Returns ``(header, df)`` pairs; ``df`` has every column as string plus
-    ``_file`` and ``ordinal`` (position inside its file). Files without a
+    Returns ``(header, df)`` pairs; ``df`` has every column as string plus,
+    with ``ordinal``, ``_file``, ``_file_time`` (when it was last written) and
+    ``ordinal`` (position inside its file). Files without a
     header line (empty) are appended to ``unreadable`` when given.
 
     The driver receives one short header line per file: file-level metadata
@@ -202,8 +243,8 @@ def read_csv_files(spark: SparkSession, paths: list[str] | str,
     out = []
     for header in sorted(groups):
         sep = choose_separator(header)
-        names = unique_names([h.strip() for h in header.split(sep)])
+        names = unique_names(header_names(header, sep))
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         df = spark.read.csv(sorted(groups[header]), sep=sep, header=True, schema=schema, enforceSchema=True)
-        out.append((header, with_file_ordinal(df)))
+        out.append((header, with_file_ordinal(df) if ordinal else df))
     return out

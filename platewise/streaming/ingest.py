@@ -35,7 +35,7 @@ def validate_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Da
     unreadable: list[str] = []
     for header, df in read_csv_files(spark, paths, unreadable):
         try:
-            r = V.resolve_columns(df, keep=["_file", "ordinal"])
+            r = V.resolve_columns(df, keep=["_file", "_file_time", "ordinal"])
         except V.ColumnError as e:
             status = "duplicate_columns" if str(e).startswith("duplicate") else "missing_columns"
             files = df.select("_file").distinct()
@@ -61,10 +61,26 @@ def validate_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Da
     return rows, verdicts
 
 
+#: Which of a day's rows is the last: the file written last, files written
+#: together by name, and in a file the row further down.
+UPLOAD_ORDER = ("_file_time", "batch", "ordinal")
+
+
+def bad_rows(rows: DataFrame) -> DataFrame:
+    """VAL-4: every offending row of the files, with its file, position, text
+    and errors (``sum`` where the total is not veg + non-veg)."""
+    errors = F.when(F.col("sum_error"), F.array(F.lit("sum"))).otherwise(F.col("value_errors"))
+    return rows.filter(F.size(errors) > 0).select(
+        "batch", "ordinal", F.col("date").cast("string").alias("date"),
+        *[F.col(c).cast("string").alias(c) for c in V.VALUE_COLUMNS], F.array_join(errors, ",").alias("errors"))
+
+
 def ingest_paths(spark: SparkSession, paths: list[str], table_root: str, quarantine_root: str,
                  keys: Sequence[str] = ("date",), epoch_id: int | None = None) -> tuple[bool, str | None]:
     """One ingest step (batch or micro-batch): validate, upsert good files,
-    publish a new table version, record rejected files.
+    publish a new table version, record rejected files (their verdicts, and
+    in the folder ``<quarantine>_rows`` all offending rows). Of a day that comes twice the
+    last row counts (``UPLOAD_ORDER``).
 
     Both writes are idempotent for a replayed micro-batch: the upsert of the
     same files gives the same table, and rejected files go to the epoch's own
@@ -76,8 +92,8 @@ def ingest_paths(spark: SparkSession, paths: list[str], table_root: str, quarant
     verdicts = verdicts.cache()  # read twice: good-file join and quarantine write
     try:
         if rows is not None:
-            good = V.good_rows(rows, verdicts).select(*keys, *V.VALUE_COLUMNS)
-            ok, err = publish(UP.upsert(read_table(spark, table_root), good, keys), table_root)
+            good = V.good_rows(rows, verdicts).select(*keys, *V.VALUE_COLUMNS, F.struct(*UPLOAD_ORDER).alias("_order"))
+            ok, err = publish(UP.upsert(read_table(spark, table_root), good, keys, order_col="_order"), table_root)
             if not ok:
                 return False, err
         rejected = verdicts.filter(F.col("status") != "ok")
@@ -85,6 +101,9 @@ def ingest_paths(spark: SparkSession, paths: list[str], table_root: str, quarant
             rejected.write.mode("append").parquet(quarantine_root)
         else:
             rejected.write.mode("overwrite").parquet(os.path.join(quarantine_root, f"epoch={epoch_id}"))
+        if rows is not None:
+            bad = bad_rows(rows).write.mode("append" if epoch_id is None else "overwrite")
+            bad.parquet(quarantine_root.rstrip("/") + "_rows" + ("" if epoch_id is None else f"/epoch={epoch_id}"))
         return True, None
     finally:
         verdicts.unpersist()
@@ -96,7 +115,7 @@ def start_ingest(spark: SparkSession, landing: str, table_root: str, quarantine_
     has landed and stops (scheduled runs), otherwise it keeps running."""
     files = (spark.readStream.format("text")
              .option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.csv")
+             .option("pathGlobFilter", "*.[cC][sS][vV]")
              .option("maxFilesPerTrigger", max_files_per_trigger)
              .load(landing)
              .select(F.col("_metadata.file_path").alias("path")))

@@ -6,7 +6,7 @@ import inspect
 import pathlib
 import re
 
-import __spark_entry__ as E
+from platewise.plans import catalog
 
 ROOT = pathlib.Path(__file__).resolve().parents[1]
 PREFIXES = "SRC|SNK|PRJ|FLT|JON|AGG|WIN|SRT|GEN|FN|VAL|ML|AIM|FLOW"
@@ -39,6 +39,6 @@ def test_every_survey_id_is_implemented():
 
 
 def test_every_query_names_its_ids():
-    for name, fn in E.queries().items():
+    for name, fn in catalog.queries().items():
         doc = inspect.getdoc(fn) or ""
         assert re.search(rf"\b(?:{PREFIXES})-\d+", doc), name

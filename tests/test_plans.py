@@ -4,6 +4,7 @@ uses no cross join (no cartesian product or nested-loop join)."""
 import pytest
 
 import __spark_entry__ as E
+from platewise.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ["BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF",
@@ -11,7 +12,7 @@ FORBIDDEN = ["BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "Map
 SKIP = {"ml_one_hot", "ml_align"}  # need the full category universe (sf0.01 and up)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_plan_is_jvm_only_and_cross_join_free(spark, name):
     if name in SKIP:
         pytest.skip("category universe")
