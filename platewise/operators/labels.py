@@ -3,11 +3,15 @@
 The nested ``lang -> section -> key -> label`` dictionaries become one long
 table; overlays resolve with ``max_by`` on the layer precedence (later layer
 wins). The table is a fixed dictionary of a few hundred rows, so joining it
-is a broadcast by construction.
+is a broadcast by construction; with the overlay resolved in the dictionaries
+(``label_map``), a lookup is a map literal in the projection and needs no join.
 """
 
 from __future__ import annotations
 
+import json
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,37 @@ def effective_labels(labels: DataFrame, page: str | None = None) -> DataFrame:
                   .agg(F.max_by("label", "precedence").alias("label")))
 
 
+def read_label_files(spark: SparkSession, paths: dict[str, str]) -> dict:
+    """SRC-8: layers (``common`` or a page: path) of JSON dictionaries ``lang
+    -> section -> key -> label``, as ``label_rows`` and ``label_map`` take
+    them. One small document per layer."""
+    out = {}
+    for layer, path in paths.items():
+        doc = spark.read.text(path, wholetext=True).first()
+        if doc is None:
+            raise ValueError(f"no label dictionary at {path}")
+        out[layer] = json.loads(doc[0])
+    return out
+
+
+def label_map(layers: dict, lang: str, section: str, page: str | None = None) -> dict[str, str]:
+    """One section's labels, ``common`` overlaid by ``page`` key by key."""
+    out: dict[str, str] = {}
+    for layer in ["common"] + ([page] if page else []):
+        out |= layers.get(layer, {}).get(lang, {}).get(section, {})
+    return out
+
+
+def lookup(column: Column, labels: dict[str, str], on_miss: str = "null") -> Column:
+    """JON-6 as an expression: ``column`` looked up in a resolved section."""
+    if on_miss not in ("null", "key"):
+        raise ValueError("on_miss must be 'null' or 'key'")
+    if not labels:
+        return column if on_miss == "key" else F.lit(None).cast("string")
+    found = F.create_map(*[F.lit(x) for x in chain.from_iterable(labels.items())])[column]
+    return F.coalesce(found, column) if on_miss == "key" else found
+
+
 def translate(df: DataFrame, column: str, labels: DataFrame, lang: str, section: str,
               out: str | None = None, on_miss: str = "null", lower_key: bool = False) -> DataFrame:
     """JON-6: look ``column`` up in a label section.

@@ -68,6 +68,23 @@ def agg_metrics(spark, sf):
     return C.metrics(j, by=["weekday"])
 
 
+@register("agg_metrics_zero", """
+SELECT dayname(date) AS weekday, avg(abs(a - p)) AS mae, count(*) FILTER (WHERE p > a) AS over_predicted,
+       count(*) FILTER (WHERE p < a) AS under_predicted,
+       avg(CASE WHEN abs(a - p) / NULLIF(p, 0) * 100 <= 0.05 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * 100
+         AS accuracy_rate
+FROM (SELECT p.date, CAST(a.actual_meals AS DOUBLE) AS a,
+             CAST(CASE WHEN day(p.date) % 10 = 0 THEN 0 WHEN day(p.date) % 10 <> 1 THEN p.final_prediction END AS DOUBLE) AS p
+      FROM predictions p JOIN actual_sales a ON p.date = a.date) x
+GROUP BY 1""")
+def agg_metrics_zero(spark, sf):
+    """AGG-1...4 where some predictions are zero (a miss) or null."""
+    a, d = fx.actual_sales(spark, sf), F.dayofmonth("date") % 10
+    p = fx.predictions(spark, sf, a).withColumn(
+        "final_prediction", F.when(d == 0, F.lit(0).cast("bigint")).when(d != 1, F.col("final_prediction")))
+    return C.metrics(C.join_actuals(p, a), by=["weekday"])
+
+
 @register("agg_metrics_fraction", _metrics_sql(5.0))
 def agg_metrics_fraction(spark, sf):
     """AGG-1...4 per weekday; tolerance read as a fraction (5 %)."""
@@ -267,15 +284,16 @@ def cmp_table(spark, sf):
 
 
 @register("fn_sign_class", f"""
-SELECT p.date, a.actual_meals - p.final_prediction AS difference,
-       CASE WHEN a.actual_meals - p.final_prediction > 0 THEN 'green' ELSE 'red' END AS difference_class
-{_PA}""")
+SELECT date, difference, CASE WHEN difference > 0 THEN 'green' ELSE 'red' END AS difference_class
+FROM (SELECT p.date, CASE WHEN day(p.date) <> 9 THEN a.actual_meals - p.final_prediction END AS difference {_PA}) d""")
 def fn_sign_class(spark, sf):
-    """FN-10: colour class of each day's difference (0 is red)."""
+    """FN-10: colour class of each day's difference (0 is red, and so is the
+    null of every 9th)."""
     from platewise.functions.formats import sign_class
     a = fx.actual_sales(spark, sf)
     j = C.join_actuals(fx.predictions(spark, sf, a), a)
-    return j.select("date", "difference", sign_class("difference").alias("difference_class"))
+    j = j.select("date", F.when(F.dayofmonth("date") != 9, F.col("difference")).alias("difference"))
+    return j.withColumn("difference_class", sign_class("difference"))
 
 
 @register("prj_casts", """
@@ -401,7 +419,7 @@ def agg_period_delta_window(spark, sf):
 @register("aim_rollup_incremental", "SELECT * FROM actual_sales")
 def aim_rollup_incremental(spark, sf):
     """AIM-1 maintained incrementally: the stored daily table covers the days
-    before a cutoff (90 days before the last order); only order lines from
+    before a cutoff (90 days before its last day); only order lines from
     the cutoff on are rolled up (the timestamp predicate is pushed to the
     scan) and upserted. The result equals a full recomputation."""
     import datetime as dt
@@ -409,9 +427,10 @@ def aim_rollup_incremental(spark, sf):
     from platewise.operators.rollup import daily_demand
     from platewise.operators.upsert import upsert
     orders = fx.table(spark, sf, "orders")
-    last = orders.agg(F.max("o_orderdate")).first()[0]  # one scalar
-    cutoff = dt.datetime.combine((last - dt.timedelta(days=90)).date(), dt.time())
-    stored = fx.actual_sales(spark, sf).filter(F.col("date") < F.lit(cutoff.date()))
+    stored = fx.actual_sales(spark, sf)
+    last = stored.agg(F.max("date")).first()[0]  # one scalar, from the small stored table
+    cutoff = dt.datetime.combine(last - dt.timedelta(days=90), dt.time())
+    stored = stored.filter(F.col("date") < F.lit(cutoff.date()))
     fresh = daily_demand(orders, F.col("o_orderdate").cast("date"), F.col("o_orderpriority").isin(*fx.VEG_PRIORITIES),
                          fx._salad_cents(), fx.SALAD_DIVISOR,
                          where=F.col("o_orderdate") >= F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz"))

@@ -116,13 +116,24 @@ def src_weather_quarantine(spark, sf):
     return SRC.weather_quarantine(docs).select("month", "reason")
 
 
-@register("jon_weather", """
+_GAPS_SQL = """
+, gaps AS (SELECT date, weather_icon, temperature_max, CASE WHEN day(date) <> 14 THEN weather_condition END AS weather_condition
+           FROM weather WHERE day(date) <> 13)"""
+
+
+def weather_with_gaps(spark, sf):
+    """The weather without every 13th, and without the 14th's condition."""
+    w = fx.weather(spark, sf).filter(F.dayofmonth("date") != 13)
+    return w.withColumn("weather_condition", F.when(F.dayofmonth("date") != 14, F.col("weather_condition")))
+
+
+@register("jon_weather", _GAPS_SQL + """
 SELECT a.date, a.actual_meals, w.weather_icon, w.temperature_max, w.weather_condition
-FROM actual_sales a LEFT JOIN weather w ON a.date = w.date""")
+FROM actual_sales a LEFT JOIN gaps w ON a.date = w.date""")
 def jon_weather(spark, sf):
     """JON-1: every working day with its weather; days without weather keep nulls."""
     a = fx.actual_sales(spark, sf).select("date", "actual_meals")
-    return FE.join_weather(a, fx.weather(spark, sf))
+    return FE.join_weather(a, weather_with_gaps(spark, sf))
 
 
 @register("jon_holidays", """
@@ -167,13 +178,13 @@ def prj_flags(spark, sf):
     return FE.fill_day_flags(j, flags=("is_school_break", "is_bridge_day", "is_bank_holiday"))
 
 
-@register("flt_missing_weather", """
-SELECT a.date FROM actual_sales a LEFT JOIN weather w ON a.date = w.date
+@register("flt_missing_weather", _GAPS_SQL + """
+SELECT a.date FROM actual_sales a LEFT JOIN gaps w ON a.date = w.date
 WHERE w.temperature_max IS NULL OR w.weather_condition IS NULL""")
 def flt_missing_weather(spark, sf):
     """FLT-6: training days lacking weather, reported (lenient mode)."""
     a = fx.actual_sales(spark, sf).select("date")
-    return FE.missing_weather(FE.join_weather(a, fx.weather(spark, sf))).select("date")
+    return FE.missing_weather(FE.join_weather(a, weather_with_gaps(spark, sf))).select("date")
 
 
 @register("flow_prepare", f"""

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from platewise import fixtures as fx
-from platewise.fixtures_sql import q, theme_case
+from platewise.fixtures_sql import q, ratio_fallback, theme_case
 from platewise.operators import ml as ML
 from platewise.operators import split as SP
 from platewise.operators import upsert as UP
@@ -164,7 +164,8 @@ def ml_backtest(spark, sf):
     f = frame(spark, sf)
     cats = ML.categories(f)
     features = ML.feature_columns(cats)
-    enc = ML.one_hot(f, cats)
+    from platewise.session import cut_lineage
+    enc = cut_lineage(ML.one_hot(f, cats))  # every origin reads it
     years = sorted(r[0] for r in f.select(F.year("date").alias("y")).distinct().collect())[1:]
     out = None
     for y in years:
@@ -331,3 +332,100 @@ def flow_forecast_sites(spark, sf):
                        F.lit(AS_OF.isoformat(sep=" ")).cast("timestamp_ntz").alias("prediction_timestamp"),
                        F.col("predicted_meals").alias("final_prediction"))
     return UP.upsert(fx.site_predictions(spark, sf), batch, keys)
+
+
+_REQUEST_DAYS = _FRAME_SQL + "\n, " + _REQ_SQL.strip() + f""",
+days AS (
+  SELECT b.start_date, b.date, {theme_case("b.date")} AS day_theme
+  FROM bd b LEFT JOIN holidays h ON b.date = h.date
+  WHERE b.day_index <= b.n_days AND (h.is_bank_holiday IS NULL OR NOT h.is_bank_holiday))"""
+
+
+def _certain(scored):
+    """What holds of a scored frame whatever the forest predicts: its keys,
+    whole positive numbers, parts that add up, the split by the ratio."""
+    total, veg, non_veg = (F.col(c) for c in ("predicted_meals", "predicted_meals_veg", "predicted_meals_non_veg"))
+    return scored.select("start_date", "date", "day_theme", (total == F.floor(total)).alias("whole"), (total > 0).alias("positive"),
+                         (veg + non_veg == total).alias("parts_add_up"),
+                         (F.col("prediction_timestamp") == F.lit(AS_OF.isoformat(sep=" ")).cast("timestamp_ntz")).alias("stamped"))
+
+
+@register("ml_score_facts", _REQUEST_DAYS + """
+SELECT *, true AS whole, true AS positive, true AS parts_add_up, true AS stamped FROM days""")
+def ml_score_facts(spark, sf):
+    """ML-4 / FN-4 / FN-14 / PRJ-4: every requested day scored once, with what
+    is certain of the scores."""
+    return _certain(ml_score(spark, sf))
+
+
+@register("src_model_load_facts", _REQUEST_DAYS + """
+SELECT start_date, date, true AS same FROM days""")
+def src_model_load_facts(spark, sf):
+    """SRC-9 / SRC-10 / SNK-7: the published model, loaded, scores every
+    requested day as the fitted one does."""
+    a, b = (f(spark, sf).select("start_date", "date", F.col("predicted_meals").alias(n))
+            for f, n in ((ml_score, "fitted"), (src_model_load, "loaded")))
+    return a.join(b, ["start_date", "date"]).select("start_date", "date", (F.col("fitted") == F.col("loaded")).alias("same"))
+
+
+@register("ml_metadata_facts", _FRAME_SQL + f"""
+SELECT CAST({3 + len(MONTHS) + len(CONDITIONS) + len(THEMES)} AS BIGINT) AS number_of_features,
+       '{AS_OF.isoformat()}' AS training_timestamp, count(*) AS training_row_count,
+       count(*) FILTER (WHERE split = 'test') AS holdout_row_count, true AS trained_on_real_data
+FROM sp""")
+def ml_metadata_facts(spark, sf):
+    """SNK-8 / SNK-7 / AGG-15 / FLOW-5: the published record's counts and keys."""
+    return flow_train(spark, sf).select(
+        "number_of_features", "training_timestamp", "training_row_count", "holdout_row_count", "trained_on_real_data")
+
+
+@register("ml_train_facts", _FRAME_SQL + """
+SELECT date, total_meals, true AS within FROM sp WHERE split = 'test'""")
+def ml_train_facts(spark, sf):
+    """ML-5: a forest's prediction for each holdout day, within the range of
+    the training totals (a mean of means cannot leave it)."""
+    _, _, enc = trained(spark, sf)
+    low, high = enc.filter(F.col("split") == "train").agg(F.min(ML.LABEL), F.max(ML.LABEL)).first()
+    return ml_train(spark, sf).select("date", F.col(ML.LABEL).alias("total_meals"),
+                                      F.col("prediction").between(low, high).alias("within"))
+
+
+@register("ml_backtest_facts", _FRAME_SQL + f"""
+SELECT CAST(make_date(y, 1, 1) AS DATE) AS origin, true AS scored
+FROM (SELECT DISTINCT year(date) AS y FROM tf) t WHERE y > (SELECT min(year(date)) FROM tf)""")
+def ml_backtest_facts(spark, sf):
+    """ML-6: one set of errors for each yearly origin."""
+    return ml_backtest(spark, sf).select("origin", (F.col("mae") >= 0).alias("scored"))
+
+
+@register("flow_forecast_mean", "\n, " + _REQ_SQL.strip() + f""",
+wd AS (SELECT isodow(date) AS k, CAST(ceil(avg(actual_meals)) AS BIGINT) AS predicted_meals FROM actual_sales GROUP BY 1),
+days AS (
+  SELECT b.date, {theme_case("b.date")} AS day_theme, wd.predicted_meals,
+         row_number() OVER (PARTITION BY b.date ORDER BY b.start_date DESC) AS latest
+  FROM bd b LEFT JOIN holidays h ON b.date = h.date JOIN wd ON wd.k = isodow(b.date)
+  WHERE b.day_index <= b.n_days AND (h.is_bank_holiday IS NULL OR NOT h.is_bank_holiday)),
+new AS (
+  SELECT d.date, d.predicted_meals,
+         CAST(ceil(CAST(d.predicted_meals AS DOUBLE) * COALESCE(r.veg_ratio, {{fallback}})) AS BIGINT) AS veg
+  FROM days d LEFT JOIN theme_ratio r ON r.day_theme = d.day_theme WHERE d.latest = 1)
+SELECT date, predicted_meals, veg AS predicted_meals_veg, predicted_meals - veg AS predicted_meals_non_veg,
+       CASE WHEN day(date) % 7 = 0 THEN predicted_meals + 25 ELSE predicted_meals END AS final_prediction
+FROM new
+UNION ALL
+SELECT date, predicted_meals, predicted_meals_veg, predicted_meals_non_veg, final_prediction
+FROM predictions WHERE date NOT IN (SELECT date FROM new)""".replace("{fallback}", ratio_fallback("d.day_theme", 0)))
+def flow_forecast_mean(spark, sf):
+    """FLOW-1 with a prediction that can be checked, the weekday's mean:
+    requests -> features -> prediction -> split -> overrides -> final -> upsert
+    into the stored predictions, the latest request of a day winning."""
+    a = fx.actual_sales(spark, sf)
+    mean = a.groupBy(F.weekday("date").alias("_k")).agg(F.ceil(F.avg("actual_meals")).cast("bigint").alias("predicted_meals"))
+    ratios = SP.theme_ratios(a)
+    days = flow_prepare(spark, sf).select("start_date", "date", "day_theme")
+    scored = SP.split_forecast(days.join(mean, F.weekday("date") == F.col("_k")).drop("_k"), ratios)
+    more = F.when(F.dayofmonth("date") % 7 == 0, F.col("predicted_meals") + 25)
+    scored = SP.with_final_prediction(scored.withColumn("override_meal_prediction", more))
+    columns = ["date", "predicted_meals", "predicted_meals_veg", "predicted_meals_non_veg", "final_prediction"]
+    return UP.upsert(fx.predictions(spark, sf, a).select(columns), scored.select(*columns, "start_date"), ["date"],
+                     order_col="start_date")

@@ -51,12 +51,13 @@ FROM predictions""")
 def jon_translate(spark, sf):
     """SRC-8 + JON-6: German labels for every stored prediction; weather and
     theme miss -> null (``Sunny`` has no label, Q11), holiday miss -> text."""
-    labels = _eff(spark)
-    p = fx.predictions(spark, sf).select("date", "weather_condition", "day_theme", "holiday_desc")
-    p = LB.translate(p, "weather_condition", labels, "DE", "weather_condition", lower_key=True)
-    p = LB.translate(p, "day_theme", labels, "DE", "day_themes")
-    p = LB.translate(p, "holiday_desc", labels, "DE", "holiday_descriptions", on_miss="key")
-    return p.select("date", "weather_condition_label", "day_theme_label", "holiday_desc_label")
+    def section(name):
+        return LB.label_map(LABELS, "DE", name, "predictions")
+
+    return fx.predictions(spark, sf).select(
+        "date", LB.lookup(F.lower("weather_condition"), section("weather_condition")).alias("weather_condition_label"),
+        LB.lookup(F.col("day_theme"), section("day_themes")).alias("day_theme_label"),
+        LB.lookup(F.col("holiday_desc"), section("holiday_descriptions"), "key").alias("holiday_desc_label"))
 
 
 # --- FN-7 -------------------------------------------------------------------------------

@@ -21,11 +21,14 @@ SELECT site_id, {theme_case("date")} AS day_theme,
        avg(actual_meals_veg) / NULLIF(avg(actual_meals_veg) + avg(actual_meals_non_veg), 0) AS veg_ratio,
        avg(actual_meals_non_veg) / NULLIF(avg(actual_meals_veg) + avg(actual_meals_non_veg), 0) AS non_veg_ratio
 FROM site_sales
-WHERE actual_meals_veg IS NOT NULL AND actual_meals_non_veg IS NOT NULL
+WHERE actual_meals_veg IS NOT NULL AND actual_meals_non_veg IS NOT NULL AND day(date) <> 5
 GROUP BY 1, 2""")
 def agg_theme_ratio(spark, sf):
-    """AGG-5: empirical veg share per (site, theme) from the whole history."""
-    return SP.theme_ratios(fx.site_sales(spark, sf), keys=["site_id", "date"])
+    """AGG-5 / FLT-5: empirical veg share per (site, theme) from the whole
+    history; days with a null count (here every 5th) don't count."""
+    sales = fx.site_sales(spark, sf).withColumn("actual_meals_veg",
+                                                F.when(F.dayofmonth("date") != 5, F.col("actual_meals_veg")))
+    return SP.theme_ratios(sales, keys=["site_id", "date"])
 
 
 def _all_days(spark, sf):

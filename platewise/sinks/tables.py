@@ -70,13 +70,18 @@ def read_table(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def publish(df: DataFrame, root: str, partition_by: list[str] | None = None) -> tuple[bool, str | None]:
+_ANY = object()
+
+
+def publish(df: DataFrame, root: str, partition_by: list[str] | None = None, base=_ANY) -> tuple[bool, str | None]:
     """SNK-4 / SNK-12: write ``df`` as the table's next version.
 
     Returns ``(True, None)`` once the version is complete and published, or
     ``(False, message)`` with nothing published when the job failed. The
     previous version stays readable throughout, so ``df`` may itself be
-    derived from it (the upsert case).
+    derived from it (the upsert case). With ``base``, the version (see
+    ``current_version``; None for no table) that ``df`` is derived from,
+    nothing is published when another writer has published since.
     """
     spark = df.sparkSession
     name = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
@@ -86,6 +91,8 @@ def publish(df: DataFrame, root: str, partition_by: list[str] | None = None) ->
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
+        if base is not _ANY and current_version(spark, root) != base:
+            return False, f"another version of {root} was published meanwhile; read it and try again"
         _write_text(spark, os.path.join(root, POINTER), name)
         return True, None
     except Exception as e:  # noqa: BLE001

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from platewise.operators import upsert as UP
 from platewise.operators import validate as V
-from platewise.sinks.tables import publish, read_table
+from platewise.sinks.tables import current_version, publish, read_table, retain_versions
 from platewise.sources.files import read_csv_files
 
 
@@ -76,7 +76,8 @@ def bad_rows(rows: DataFrame) -> DataFrame:
 
 
 def ingest_paths(spark: SparkSession, paths: list[str], table_root: str, quarantine_root: str,
-                 keys: Sequence[str] = ("date",), epoch_id: int | None = None) -> tuple[bool, str | None]:
+                 keys: Sequence[str] = ("date",), epoch_id: int | None = None,
+                 keep_versions: int = 10) -> tuple[bool, str | None]:
     """One ingest step (batch or micro-batch): validate, upsert good files,
     publish a new table version, record rejected files (their verdicts, and
     in the folder ``<quarantine>_rows`` all offending rows). Of a day that comes twice the
@@ -84,7 +85,8 @@ def ingest_paths(spark: SparkSession, paths: list[str], table_root: str, quarant
 
     Both writes are idempotent for a replayed micro-batch: the upsert of the
     same files gives the same table, and rejected files go to the epoch's own
-    quarantine folder, overwritten on replay.
+    quarantine folder, overwritten on replay. The table's newest
+    ``keep_versions`` versions stay.
     """
     rows, verdicts = validate_files(spark, paths)
     if verdicts is None:
@@ -93,9 +95,12 @@ def ingest_paths(spark: SparkSession, paths: list[str], table_root: str, quarant
     try:
         if rows is not None:
             good = V.good_rows(rows, verdicts).select(*keys, *V.VALUE_COLUMNS, F.struct(*UPLOAD_ORDER).alias("_order"))
-            ok, err = publish(UP.upsert(read_table(spark, table_root), good, keys, order_col="_order"), table_root)
+            base = current_version(spark, table_root)
+            ok, err = publish(UP.upsert(read_table(spark, table_root), good, keys, order_col="_order"), table_root,
+                              base=base)
             if not ok:
                 return False, err
+            retain_versions(spark, table_root, keep_versions)
         rejected = verdicts.filter(F.col("status") != "ok")
         if epoch_id is None:
             rejected.write.mode("append").parquet(quarantine_root)
