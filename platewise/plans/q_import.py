@@ -260,7 +260,7 @@ changed AS (
 SELECT * FROM actual_sales WHERE date NOT IN (SELECT date FROM changed)
 UNION ALL SELECT * FROM changed""")
 def flow_manual(spark, sf):
-    """FLOW-4: auto total -> mismatch check -> changed rows only -> upsert.
+    """FLOW-4 / AGG-16: auto total -> mismatch check -> changed rows only -> upsert.
 
     The mismatch check is a ``limit(1)`` probe; a mismatch aborts the save
     (nothing is written), as in the entry grid.

@@ -326,6 +326,16 @@ def snk_report(spark, sf):
     return REP.report_table(p, _REPORT_COLS)
 
 
+@register("snk_report_cells", """
+SELECT a.date AS "Day", 'sold ' || a.actual_meals || ' of' || chr(32) || chr(32) || 'the day' AS "Note" FROM actual_sales a""")
+def snk_report_cells(spark, sf):
+    """FN-12 / PRJ-10: line breaks in a report's text cells become spaces; a
+    display column that the table lacks is left out."""
+    a = fx.actual_sales(spark, sf)
+    note = F.concat(F.lit("sold "), F.col("actual_meals").cast("string"), F.lit(" of\r\nthe day"))
+    return REP.report_table(a.select("date", note.alias("note")), {"date": "Day", "missing": "Missing", "note": "Note"})
+
+
 @register("snk_json_payload", """
 , w AS (SELECT CAST(date_trunc('week', date) AS DATE) AS week_start, date, day_theme, final_prediction,
                predicted_meals_veg, predicted_meals_non_veg FROM predictions)

@@ -229,6 +229,18 @@ def snk_upsert_actuals(spark, sf):
     return UP.upsert(a, upd, ["date"])
 
 
+@register("snk_upsert_nan", """
+SELECT date, actual_meals, actual_meals_veg, actual_meals_non_veg,
+       CASE WHEN day(date) % 7 <> 0 THEN actual_meals_salad END AS actual_meals_salad FROM actual_sales""")
+def snk_upsert_nan(spark, sf):
+    """SNK-11: a batch whose salad is NaN on every seventh day of a month
+    arrives with nulls there."""
+    a = fx.actual_sales(spark, sf)
+    d = F.dayofmonth("date") % 7
+    nan = a.filter(d == 0).withColumn("actual_meals_salad", F.lit(float("nan")))
+    return UP.upsert(a, nan, ["date"])
+
+
 @register("snk_append", f"""
 , {_WEEKEND_SQL.strip()}
 SELECT * FROM actual_sales UNION ALL SELECT * FROM weekend""")
