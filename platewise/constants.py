@@ -181,6 +181,3 @@ REPORT_DROP = [
     "override_meal_prediction", "override_reason", "is_bank_holiday",
     "is_school_break", "holiday_desc", "predicted_meals", "prediction_timestamp",
 ]
-
-# Insight object types.
-INSIGHT_TYPES = ["success", "info", "warning", "error"]

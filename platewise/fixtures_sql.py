@@ -37,7 +37,6 @@ def weather_case(code_expr: str, pick: int) -> str:
 _VEG = ", ".join(q(p) for p in VEG_PRIORITIES)
 _BANK = ", ".join(q(k) for k in BANK_DAYS)
 _BANK_NAME = " ".join(f"WHEN strftime(date, '%m-%d') = {q(k)} THEN {q(v)}" for k, v in BANK_DAYS.items())
-_HALF = SALAD_DIVISOR // 2 * 200 // 100  # numerator offset for half-up to 2 places
 
 
 def _salad(sum_expr: str) -> str:

@@ -85,11 +85,13 @@ def missing_actuals(predictions: DataFrame, actuals: DataFrame, keys: Sequence[s
     })
 
 
-def _accuracy(actual: Column, pred: Column, tolerance: float, unit: str) -> Column:
+def _accuracy(actual: Column, pred: Column, tolerance: float = 0.05, unit: str = "percent",
+              where: Column | None = None) -> Column:
+    """Share of the rows (of those ``where`` holds) within the tolerance, in percent."""
     pct = F.abs(actual - pred).cast("double") / F.nullif(pred, F.lit(0)).cast("double") * F.lit(100.0)
     tol = tolerance if unit == "percent" else tolerance * 100.0
     hit = F.when(F.coalesce(pct <= F.lit(float(tol)), F.lit(False)), F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.avg(hit) * F.lit(100.0)
+    return F.avg(hit if where is None else F.when(where, hit)) * F.lit(100.0)
 
 
 def metric_exprs(actual: str = "actual_meals", pred: str = "final_prediction",
@@ -134,18 +136,13 @@ def period_over_period(predictions: DataFrame, actuals: DataFrame, start, end,
     for tag, cond in (("cur", F.col("_cur")), ("prev", ~F.col("_cur"))):
         a = F.when(cond, F.col("actual_meals"))
         p = F.when(cond, F.col("final_prediction"))
-        tol = kw.get("tolerance", 0.05)
-        unit = kw.get("tolerance_unit", "percent")
-        tol_pct = tol if unit == "percent" else tol * 100.0
-        pct = F.abs(a - p).cast("double") / F.nullif(p, F.lit(0)).cast("double") * F.lit(100.0)
-        hit = F.when(cond, F.when(F.coalesce(pct <= F.lit(float(tol_pct)), F.lit(False)), F.lit(1.0))
-                     .otherwise(F.lit(0.0)))
         aggs += [
             F.count_if(cond).alias(f"{tag}_rows"),
             F.avg(F.abs(a - p)).alias(f"{tag}_mae"),
             F.count_if(cond & (p > a)).alias(f"{tag}_over_predicted"),
             F.count_if(cond & (p < a)).alias(f"{tag}_under_predicted"),
-            (F.avg(hit) * F.lit(100.0)).alias(f"{tag}_accuracy_rate"),
+            _accuracy(a, p, kw.get("tolerance", 0.05), kw.get("tolerance_unit", "percent"), cond)
+            .alias(f"{tag}_accuracy_rate"),
         ]
     g = j.groupBy(*by).agg(*aggs)
     has_prev = F.col("prev_rows") > 0
@@ -264,21 +261,16 @@ def period_over_period_all(predictions: DataFrame, actuals: DataFrame, unit: str
     t = j.select(*site, "date", "actual_meals", "final_prediction",
                  F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("_t"))
     t = t.select(*site, "actual_meals", "final_prediction", "_t.period_start", "_t.cur")
-    tol = kw.get("tolerance", 0.05)
-    tol_pct = tol if kw.get("tolerance_unit", "percent") == "percent" else tol * 100.0
     aggs = []
     for tag, cond in (("cur", F.col("cur")), ("prev", ~F.col("cur"))):
         a = F.when(cond, F.col("actual_meals"))
         p = F.when(cond, F.col("final_prediction"))
-        pct = F.abs(a - p).cast("double") / F.nullif(p, F.lit(0)).cast("double") * F.lit(100.0)
-        hit = F.when(cond, F.when(F.coalesce(pct <= F.lit(float(tol_pct)), F.lit(False)), F.lit(1.0))
-                     .otherwise(F.lit(0.0)))
         aggs += [
             F.count_if(cond).alias(f"{tag}_rows"),
             F.avg(F.abs(a - p)).alias(f"{tag}_mae"),
             F.count_if(cond & (p > a)).alias(f"{tag}_over"),
             F.count_if(cond & (p < a)).alias(f"{tag}_under"),
-            (F.avg(hit) * F.lit(100.0)).alias(f"{tag}_acc"),
+            _accuracy(a, p, kw.get("tolerance", 0.05), kw.get("tolerance_unit", "percent"), cond).alias(f"{tag}_acc"),
         ]
     g = t.groupBy(*site, "period_start").agg(*aggs).filter(F.col("cur_rows") > 0)
     has_prev = F.col("prev_rows") > 0

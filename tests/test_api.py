@@ -74,7 +74,6 @@ def test_seed_scripts(spark, tmp_dir):
 def test_prepare_and_score(spark, tmp_dir):
     import os
 
-    from pyspark.sql import functions as F
 
     from platewise.operators import ml as ML
     store = api.Store(spark, os.path.join(tmp_dir, "s2"))
@@ -99,7 +98,6 @@ def test_prepare_and_score(spark, tmp_dir):
     scored = api.get_prediction(store, model, feats, prep, dt.datetime(2026, 4, 29, 8)).orderBy("date").collect()
     assert all(r["predicted_meals_veg"] + r["predicted_meals_non_veg"] == r["predicted_meals"] for r in scored)
     assert scored[0]["prediction_timestamp"] == dt.datetime(2026, 4, 29, 8)
-    assert F is not None
 
 
 def test_site_keyed_store(spark, tmp_dir):

@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from platewise.operators import ml as ML
 
@@ -52,7 +51,6 @@ def test_align_adds_missing_as_zero(spark):
     assert list(r.asDict()) == feats
     assert (r["month_April"], r["weather_condition_Sunny"], r["day_theme_Sausage"], r["is_semester_break"]) == (
         0.0, 0.0, 1.0, 1.0)
-    assert F is not None
 
 
 def test_metrics_mape_uses_actual(spark):
