@@ -7,8 +7,9 @@ to the other until one of them holds a whole copy or none, and the other goes
 on to meet the next. The expected copies of a document stay what they were
 and the words of the pair stay together what they were, so a source misses
 its target by no more than its last open document. Documents meet within
-blocks of bounded size, long ones first so that a short one is left; what a block leaves open meets the other blocks'
-in the next level of a reduction tree. DataFrame functions only.
+blocks of bounded size, the longest first, each with the shorter ones as one
+partner, so that a short one is left open; it meets what the other blocks
+leave in the next levels of a reduction tree. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -58,11 +59,47 @@ def source_targets(sizes: DataFrame) -> DataFrame:
                      F.when(F.col("stopped"), F.col("limit")).otherwise(F.col("weight") * level).alias("target"))
 
 
+_STATE = "struct<key:bigint,words:bigint,part:double>"
+
+
+def _settle(items: Column, part: Column, words: Column) -> Column:
+    """Fold an array of (key, words), the longest first, whose fractions are
+    all ``part`` and whose words are ``words`` together: each document meets
+    those after it, whose fractions stay equal, as one partner. Gives what
+    ``_meet`` gives."""
+    start = F.struct(F.expr("cast(array() as array<struct<key:bigint,copies:int>>)").alias("done"),
+                     F.lit(None).cast(_STATE).alias("rest"), part.cast("double").alias("part"),
+                     words.cast("bigint").alias("words"))
+
+    def step(state: Column, x: Column) -> Column:
+        g, z, others = state["part"], x["words"], state["words"] - x["words"]
+        up = F.least((1 - g) * z, g * others)  # words that x can take from the others
+        down = F.least(g * z, (1 - g) * others)  # words that the others can take from x
+        gains = _uniform(x["key"]) * (up + down) < down
+
+        def after(copies: Column | None, open_: Column | None, left: Column) -> Column:
+            done = state["done"] if copies is None else F.concat(
+                state["done"], F.array(F.struct(x["key"].alias("key"), copies.cast("int").alias("copies"))))
+            rest = state["rest"] if open_ is None else F.struct(
+                x["key"].alias("key"), z.alias("words"), open_.alias("part"))
+            return F.struct(done.alias("done"), rest.cast(_STATE).alias("rest"), left.cast("double").alias("part"),
+                            others.cast("bigint").alias("words"))
+
+        return (F.when((g <= 0) | (g >= 1), after(g, None, g))  # all that follow are settled
+                .when(others <= 0, after(None, g, F.lit(0.0)))
+                .when(gains & ((1 - g) * z <= g * others), after(F.lit(1), None, F.greatest(g - up / others, F.lit(0.0))))
+                .when(gains, after(None, g + up / z, F.lit(0.0)))
+                .when(g * z <= (1 - g) * others, after(F.lit(0), None, F.least(g + down / others, F.lit(1.0))))
+                .otherwise(after(None, g - down / z, F.lit(1.0))))
+
+    return F.aggregate(items, start, step)
+
+
 def _meet(items: Column) -> Column:
     """Fold an array of (key, words, part) in its order: the open document
     meets the next one. Gives (done: array of (key, copies), rest: the open
     document or null)."""
-    item = "struct<key:bigint,words:bigint,part:double>"
+    item = _STATE
     start = F.struct(F.expr("cast(array() as array<struct<key:bigint,copies:int>>)").alias("done"),
                      F.lit(None).cast(item).alias("rest"))
 
@@ -96,7 +133,7 @@ def _round(parts: DataFrame) -> DataFrame:
     """(source, key, copies) for every row of ``parts`` (source, key, words,
     part in (0, 1), words over 0): level by level, blocks fold and their open
     documents go on, until one is open in each source; a draw decides it."""
-    decided, rest = [], materialise(parts, "mix-level")
+    decided, rest, first = [], materialise(parts, "mix-level"), True
     while True:
         counts = materialise(rest.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
         if counts.isEmpty():
@@ -109,8 +146,12 @@ def _round(parts: DataFrame) -> DataFrame:
         dealt = dealt.withColumn("_block", F.pmod(F.xxhash64(F.lit(most), "key"), F.col("_blocks")))
         folded = dealt.groupBy("source", "_block").agg(
             F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("at"), "key", "words", "part"))).alias("items"))
-        folded = folded.select("source", _meet(F.transform("items", lambda x: F.struct(
-            x["key"].alias("key"), x["words"].alias("words"), x["part"].alias("part")))).alias("m"))
+        items = F.transform("items", lambda x: F.struct(
+            x["key"].alias("key"), x["words"].alias("words"), x["part"].alias("part")))
+        # in the first level all fractions of a source are the same
+        m = _settle(items, items[0]["part"], F.aggregate(items, F.lit(0).cast("bigint"), lambda n, x: n + x["words"])) \
+            if first else _meet(items)
+        folded, first = folded.select("source", m.alias("m")), False
         folded = materialise(folded.select("source", "m.done", "m.rest"), "mix-level")
         decided.append(folded.select("source", F.inline("done")))
         rest = folded.filter(F.col("rest").isNotNull()).select("source", "rest.*")
