@@ -33,8 +33,9 @@ MISS = 1e-6
 #: Pairs whose share of equal slots lies this far below the threshold are not
 #: verified (six standard deviations of the estimate).
 SLACK = 0.2
-#: Members of a bucket that one tile compares with one other tile's, about.
-TILE = 256
+#: Members of a bucket that one tile compares with one other tile's, and the
+#: shingles they may have, about.
+TILE, TILE_SHINGLES = 1024, 1_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
 
@@ -331,16 +332,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Round 2: buckets that still hold different groups, tile by tile.
     placed = classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = materialise(placed, "near-placed")
-    mixed = placed.select("root", F.explode("bands").alias("band")).groupBy("band").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-    mixed = materialise(mixed.select("band", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "near-mixed")
+    mixed = placed.select("root", "n_shingles", F.explode("bands").alias("band")).groupBy("band").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"),
+        F.greatest(F.count(F.lit(1)) / TILE, F.sum("n_shingles") / TILE_SHINGLES).alias("share")).filter("low < high")
+    mixed = materialise(mixed.select("band", F.ceil("share").cast("int").alias("tiles")), "near-mixed")
     if not mixed.isEmpty():
         spread = placed.select("node", F.posexplode("bands").alias("number", "band")).join(mixed, "band")
+        spread = spread.join(placed.select("node", "root", "n_shingles", "signature"), "node")
         spread = spread.withColumn("tile", F.pmod(F.xxhash64("node", "band"), F.col("tiles")).cast("int"))
         # a member meets its own tile and every other one, in (smaller, larger) order
         spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         spread = spread.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-        spread = spread.join(placed.select("node", "root", "n_shingles", "signature"), "node")
         tiles = spread.groupBy("band", "i", "j", "number").agg(  # two tiles' members
             F.collect_list(F.struct("node", "root", "n_shingles", "tile", "signature")).alias("members"))
         hopeful = materialise(tiles.mapInArrow(_promising(percent, band_rows(percent)),
