@@ -78,7 +78,7 @@ def keep_decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text",
-           max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+           max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The record batches cut so that the texts of one piece hold at most
     ``max_bytes`` (a single longer text makes a piece of its own)."""
     for b in batches:
