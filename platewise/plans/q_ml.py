@@ -22,6 +22,9 @@ MONTHS = ["January", "February", "March", "April", "May", "June", "July", "Augus
           "September", "October", "November", "December"]
 CONDITIONS = ["Cloudy", "Rainy", "Snowy", "Stormy", "Sunny"]
 THEMES = ["Chicken", "Fish", "Sausage", "Schnitzel", "Vital"]
+#: The registered queries encode these categories, whichever of them the data
+#: hold, so that their columns don't follow the data.
+CATEGORIES = {"month": sorted(MONTHS), "weather_condition": CONDITIONS, "day_theme": THEMES}
 AS_OF = dt.datetime(2001, 8, 1, 8, 0)
 
 _FRAME_SQL = f"""
@@ -68,7 +71,7 @@ def win_holdout(spark, sf):
 def ml_one_hot(spark, sf):
     """ML-2: numeric features plus one column per observed category."""
     f = frame(spark, sf)
-    cats = ML.categories(f)
+    cats = CATEGORIES
     return ML.one_hot(f, cats).select("date", *ML.feature_columns(cats))
 
 
@@ -83,8 +86,7 @@ prep AS (
 def ml_align(spark, sf):
     """ML-3: every forecast request's inference frame encoded with the stored
     training feature list (missing categories 0, extras dropped, in order)."""
-    f = frame(spark, sf)
-    features = ML.feature_columns(ML.categories(f))
+    features = ML.feature_columns(CATEGORIES)
     prep = flow_prepare(spark, sf).withColumnRenamed("is_school_break", "is_semester_break")
     return ML.encode_for(prep, features, keep=["start_date", "date"])
 
@@ -123,7 +125,7 @@ def trained(spark, sf):
     key = (spark.sparkContext.applicationId, sf)  # one fit per application and data set
     if key not in _MODELS:
         f = ML.temporal_split(frame(spark, sf))
-        cats = ML.categories(f)  # encoded over the whole frame, holdout included
+        cats = CATEGORIES
         features = ML.feature_columns(cats)
         enc = ML.one_hot(f, cats).select("date", "split", ML.LABEL, *features)
         model = ML.fit_forest(enc.filter(F.col("split") == "train"), features)
@@ -162,7 +164,7 @@ def ml_backtest(spark, sf):
     for each yearly origin, fit on the days before it and test on the next
     10 working days."""
     f = frame(spark, sf)
-    cats = ML.categories(f)
+    cats = CATEGORIES
     features = ML.feature_columns(cats)
     from platewise.session import cut_lineage
     enc = cut_lineage(ML.one_hot(f, cats))  # every origin reads it
@@ -283,7 +285,7 @@ def ml_sites(spark, sf):
     f = ML.training_frame(fx.site_sales(spark, sf), fx.weather(spark, sf), fx.holidays(spark, sf),
                           keys=keys, on_missing_weather="drop", dim_keys=["date"])
     f = ML.temporal_split(f, keys=keys)
-    cats = ML.categories(f)
+    cats = CATEGORIES
     features = ML.feature_columns(cats)
     enc = ML.one_hot(f, cats).select("site_id", "date", "split", ML.LABEL, *features)
     scale = ML.site_scale(enc)
@@ -313,7 +315,7 @@ def flow_forecast_sites(spark, sf):
     f = ML.training_frame(fx.site_sales(spark, sf), fx.weather(spark, sf), fx.holidays(spark, sf),
                           keys=keys, on_missing_weather="drop", dim_keys=["date"])
     f = ML.temporal_split(f, keys=keys)
-    cats = ML.categories(f)
+    cats = CATEGORIES
     features = ML.feature_columns(cats)
     enc = ML.one_hot(f, cats)
     scale = ML.site_scale(enc)

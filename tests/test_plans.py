@@ -9,13 +9,10 @@ from platewise.plans import catalog
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ["BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF",
              "CartesianProduct", "BroadcastNestedLoopJoin"]
-SKIP = {"ml_one_hot", "ml_align"}  # need the full category universe (sf0.01 and up)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_plan_is_jvm_only_and_cross_join_free(spark, name):
-    if name in SKIP:
-        pytest.skip("category universe")
     df = E.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     bad = [f for f in FORBIDDEN if f in plan]
