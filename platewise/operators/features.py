@@ -99,7 +99,7 @@ def join_holidays(df: DataFrame, holidays: DataFrame, keys: Sequence[str] = ("da
     h = clean_holidays(holidays, keys) if dedupe else holidays
     h = h.select(*keys, F.col("description").alias(rename_description),
                  "is_bank_holiday", "is_school_break", "is_bridge_day")
-    return df.join(F.broadcast(h) if keys == ["date"] else h, keys, "left")
+    return df.join(F.broadcast(h) if dedupe and keys == ["date"] else h, keys, "left")
 
 
 def exclude_bank_holidays(df: DataFrame, flag: str = "is_bank_holiday", drop: bool = True) -> DataFrame:
