@@ -181,17 +181,25 @@ class BiGru:
                 gu[:, :2 * HIDDEN] += h.T @ dgates[t][:, :2 * HIDDEN]
                 gu[:, 2 * HIDDEN:] += (r * h).T @ dc
                 carried = dh * (1 - z) + drh * r + dgates[t][:, :2 * HIDDEN] @ u[:, :2 * HIDDEN].T
-            dx = np.zeros((len(table), 3 * HIDDEN), np.float32)
-            np.add.at(dx, at.ravel(), dgates.reshape(-1, 3 * HIDDEN))
+            dx = _scattered(dgates.reshape(-1, 3 * HIDDEN), at.ravel(), len(table))
             g[f"h_{d}"], g[f"x_{d}"], g[f"c_{d}"] = gu, table.T @ dx, dx.sum(axis=0)
             dtable += dx @ w[f"x_{d}"].T
-        g["word"], g["char"] = np.zeros_like(w["word"]), np.zeros_like(w["char"])
-        np.add.at(g["word"], vocab, dtable[:, :WORD_DIM])
+        g["word"] = _scattered(dtable[:, :WORD_DIM], vocab, len(w["word"]))
         g["word"][0] = 0
-        np.add.at(g["char"], buckets, np.repeat(dtable[:, WORD_DIM:] / counts, counts[:, 0], axis=0))
+        g["char"] = _scattered(np.repeat(dtable[:, WORD_DIM:] / counts, counts[:, 0], axis=0), buckets, len(w["char"]))
         return g
 
 
+def _scattered(rows: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows, each the sum of the ``rows`` that go ``to`` it."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    order = np.argsort(to, kind="stable")
+    held = to[order]
+    first = np.flatnonzero(np.diff(held, prepend=-1))
+    out[held[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 class _Places(dict):
     """Numbers the words as they come."""
 
