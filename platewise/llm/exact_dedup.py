@@ -9,7 +9,6 @@ compared byte by byte. A unique text never leaves its partition.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,44 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.common import keep_decided, materialise, text_or_empty
+from platewise.llm.golomb import batches_of, golomb_decode, golomb_encode, mark, suspects_of
 
 #: Bits of a fingerprint. A false match only makes a suspect more to verify.
 BITS = 48
 #: Fingerprints one owner holds at a time, about.
 PER_OWNER = 4_000_000
-#: Rows that travel as one element in the pass that marks suspects.
-ROWS_PER_ELEMENT = 64
 WHITE = r"[\x20\x09-\x0D]+"
 
 _MARKED = "doc_id long, h long, text_sha256 string, row_key long, part int, pos long, text string"
 
 
-def golomb_encode(values: np.ndarray, span: int) -> bytes:
-    """Sorted distinct ``values`` in [0, span) as Golomb-Rice codes: one byte
-    for the divisor's exponent, the unary quotients, then the remainders."""
-    n = len(values)
-    k = max(0, math.floor(math.log2(max(1.0, span / max(n, 1) * math.log(2)))))
-    gaps = np.diff(values.astype(np.int64), prepend=np.int64(0))
-    quotients = gaps >> k
-    ends = np.cumsum(quotients + 1)
-    unary = np.zeros(int(ends[-1]) if n else 0, np.uint8)
-    unary[ends - 1] = 1
-    low = ((gaps[:, None] >> np.arange(k)) & 1).astype(np.uint8)
-    head = np.array([k], np.uint8).tobytes()
-    return head + np.packbits(np.concatenate([unary, low.ravel()])).tobytes()
-
-
-def golomb_decode(code: bytes, n: int) -> np.ndarray:
-    """The ``n`` values that ``golomb_encode`` coded."""
-    k = code[0]
-    bits = np.unpackbits(np.frombuffer(code, np.uint8, offset=1))
-    ends = np.flatnonzero(bits[: len(bits) - n * k])[:n]
-    quotients = np.diff(ends, prepend=-1) - 1
-    start = int(ends[-1]) + 1 if n else 0
-    low = bits[start:start + n * k].reshape(n, k).astype(np.int64)
-    return np.cumsum((quotients.astype(np.int64) << k) + (low << np.arange(k)).sum(axis=1))
-
-
 def _fingerprints(h: np.ndarray, bits: int) -> np.ndarray:
     return (h.astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -98,46 +70,6 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     return group.assign(repeated=[np.packbits(x).tobytes() for x in np.split(twice, ends)])
 
 
-def _suspects(owners: int, bits: int):
-    """The answers of one partition as elements that pair with its batches of
-    rows: the suspect fingerprints first, then nothing for the other batches."""
-    span = -(-(1 << bits) // owners)
-
-    def elements(replies) -> Iterator:
-        found, rows = [], 0
-        for _, (rows, owner, n, code, twice) in replies:
-            again = np.unpackbits(np.frombuffer(twice, np.uint8), count=n).astype(bool)
-            found.append(golomb_decode(code, n)[again] + owner * span)
-        for i in range(-(-rows // ROWS_PER_ELEMENT)):
-            yield set(np.concatenate(found).tolist()) if i == 0 else None
-
-    return elements
-
-
-def _batches(rows) -> Iterator[list]:
-    batch = []
-    for r in rows:
-        batch.append(tuple(r))
-        if len(batch) == ROWS_PER_ELEMENT:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
-
-
-def _mark(bits: int):
-    def mark(part: int, pairs) -> Iterator[tuple]:
-        suspects, pos = set(), 0
-        for batch, found in pairs:
-            suspects = found if found is not None else suspects
-            for doc_id, h, sha, key, text in batch:
-                mine = (h % (1 << 64)) >> (64 - bits) in suspects
-                yield doc_id, h, sha, key, part, pos, text if mine else None
-                pos += 1
-
-    return mark
-
-
 def exact_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored):
     doc_id, keep_id, group_size, kept, text_sha256, row_key.
@@ -169,9 +101,9 @@ def exact_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
     if more > 0:
         left = left.union(spark.sparkContext.parallelize([], more))
     one = BatchedSerializer(CPickleSerializer(), 1)
-    marked = (left.mapPartitions(_batches)._reserialize(one)
-              .zip(right.mapPartitions(_suspects(owners, bits))._reserialize(one))
-              .mapPartitionsWithIndex(_mark(bits)))
+    marked = (left.mapPartitions(batches_of)._reserialize(one)
+              .zip(right.mapPartitions(suspects_of(owners, bits))._reserialize(one))
+              .mapPartitionsWithIndex(mark(bits)))
     seen = materialise(spark.createDataFrame(marked, _MARKED, verifySchema=False), "exact-marked")
 
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "part", "pos")
