@@ -36,6 +36,8 @@ SLACK = 0.2
 #: Members of a bucket that one tile compares with one other tile's, and the
 #: shingles they may have, about.
 TILE, TILE_SHINGLES = 1024, 1_000_000
+#: UTF-8 bytes of the texts signed at a time.
+SIGN_BYTES = 2 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
 
@@ -64,10 +66,13 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     A-Z is lower-cased; words are split at ASCII white space. With fewer than
     five words the whole sequence is one shingle, without words the set is
     empty."""
-    known = _WordHashes()
-    words = [t.encode("utf-8", "surrogatepass").translate(_LOWER).split() for t in texts]
-    counts = np.array([len(ws) for ws in words], np.int64)
-    w = np.fromiter(map(known.__getitem__, (x for ws in words for x in ws)), _U, int(counts.sum()))
+    known, hashed = _WordHashes(), [np.empty(0, _U)]
+    for t in texts:
+        ws = t.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+        hashed.append(np.fromiter(map(known.__getitem__, ws), _U, len(ws)))
+    known.clear()
+    counts = np.array([len(x) for x in hashed[1:]], np.int64)
+    w = np.concatenate(hashed)
     first = np.cumsum(counts) - counts
     whole = _rolled(w, SHINGLE)
     out = []
@@ -128,7 +133,7 @@ def bands(sig: np.ndarray, rows: int) -> np.ndarray:
 
 def _sign(rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, max_bytes=SIGN_BYTES):
             sets = shingle_sets(b.column("text").to_pylist())
             sig = signatures(sets)
             keys = bands(sig, rows).astype(np.int64)
