@@ -27,7 +27,7 @@ from platewise.llm.common import row_key, slices, text_or_empty
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Distinct words a process remembers; then it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 _FAR = np.iinfo(np.int64).max
 
 
