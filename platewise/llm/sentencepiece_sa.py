@@ -28,6 +28,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Distinct words a process remembers; then it starts anew.
 REMEMBERED = 500_000
+#: Distinct words that are laid end to end at a time.
+WORDS = 20_000
 _FAR = np.iinfo(np.int64).max
 
 
@@ -291,7 +293,12 @@ class Encoder:
                 if p and p not in place:
                     place[p] = len(parts)
                     parts.append(p)
-        ids, n = model.encode_words(parts) if parts else (np.empty(0, np.int32), np.empty(0, np.int64))
+        ids, n = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for i in range(0, len(parts), WORDS):
+            some = model.encode_words(parts[i:i + WORDS])
+            ids.append(some[0])
+            n.append(some[1])
+        ids, n = np.concatenate(ids), np.concatenate(n)
         begin = np.cumsum(n) - n
         plain = len(parts) and int((~odd & ~alone).sum())
         got, count = [ids[:int(n[:plain].sum())]], [n[:plain]]
