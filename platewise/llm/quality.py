@@ -1,7 +1,8 @@
 """Quality by compression: a zstandard dictionary is built from good text and
-one from bad text, and a document is compressed with either. How many bytes
-per byte of text the bad dictionary costs more is calibrated to the
-probability of label 1."""
+one from bad text, and a document is compressed with either, in blocks of one
+size that each start afresh from the dictionary, so that every part of a long
+text has the same say. How many bytes per byte of text the bad dictionary
+costs more is calibrated to the probability of label 1."""
 
 from __future__ import annotations
 
@@ -14,13 +15,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import row_key, slices, text_or_empty
+from platewise.llm.common import materialise, row_key, slices, text_or_empty
 from platewise.llm.labelled import calibrate, labelled_sample, sigmoid
 
-#: The bounded training sample: documents of either class, bytes taken of
-#: each (from its whole length, in pieces). Half of the documents make the
-#: dictionaries, the other half the calibration.
+#: The bounded training sample: documents of either class. Half of them make
+#: the dictionaries, the other half, compressed whole, the calibration. Bytes
+#: that a text gives to its dictionary (from its whole length, in pieces).
 TRAIN_DOCS, TRAIN_BYTES, PIECE = 1500, 8192, 1024
+#: Bytes compressed at a time; a text's own history is forgotten between.
+BLOCK = 4096
 DICTIONARY_BYTES, LEVEL = 112_640, 3
 THRESHOLD = 0.7
 
@@ -35,16 +38,18 @@ class Judge:
     shift: float = 0.0
 
     def differences(self, texts: list[str]) -> np.ndarray:
-        """(size with the bad dictionary - size with the good one) / bytes of
-        the whole text, 0 for an empty text."""
+        """(sizes of all blocks with the bad dictionary - those with the good
+        one) / bytes of the whole text, 0 for an empty text."""
         if not (self.good and self.bad):
             return np.zeros(len(texts))
         good, bad = (zstandard.ZstdCompressor(LEVEL, dict_data=_dictionary(d)) for d in (self.good, self.bad))
         out = np.zeros(len(texts))
         for i, t in enumerate(texts):
-            raw = t.encode("utf-8", "surrogatepass")
-            if raw:
-                out[i] = (len(bad.compress(raw)) - len(good.compress(raw))) / len(raw)
+            raw = memoryview(t.encode("utf-8", "surrogatepass"))
+            more = 0
+            for s in range(0, len(raw), BLOCK):
+                more += len(bad.compress(raw[s:s + BLOCK])) - len(good.compress(raw[s:s + BLOCK]))
+            out[i] = more / max(1, len(raw))
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -83,28 +88,44 @@ def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [b.column("doc_id"), b.column("y"), pa.array(pieces, pa.list_(pa.string()))], ["doc_id", "y", "pieces"])
 
 
+def _measured(judge: Judge, ids: set[int]):
+    """The differences of the whole texts of the named documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array([i in ids for i in b.column("doc_id").to_pylist()], pa.bool_()))
+            for part in slices([b]):
+                z = judge.differences(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(z)], ["doc_id", "y", "z"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held_out: int = 2) -> Judge:
     """Dictionaries and calibration from at most ``TRAIN_DOCS`` documents of
     either class. Rows with crc32(doc_id) mod ``held_out_mod`` = ``held_out``
     are never learned from. Without both classes every document gets the
-    share of label 1 (0.5 without any label)."""
+    share of label 1 (0.5 without any label). The calibration is on the
+    differences of whole texts, which the tasks compute."""
     texts, share = labelled_sample(docs, labels, "quality", held_out_mod, held_out, TRAIN_DOCS)
+    texts = materialise(texts, "quality-sample")
     rows = sorted((r["doc_id"], r["y"], r["pieces"]) for r in texts.mapInArrow(
         _shortened, "doc_id long, y int, pieces array<string>").collect())
-    first, second = rows[::2], rows[1::2]
-    by = [["".join(p) for _, y, p in first if y == c] for c in (0, 1)]
+    second = set(sorted({i for i, _, _ in rows})[1::2])
+    by = [["".join(p) for i, y, p in rows if y == c and i not in second] for c in (0, 1)]
     if not (any(by[0]) and any(by[1]) and second):
         return Judge(shift=calibrate(np.zeros(1), np.zeros(1), share)[1])
     judge = Judge(build_dictionary(by[1]), build_dictionary(by[0]))
-    z = judge.differences(["".join(p) for _, _, p in second])
-    slope, shift = calibrate(z, np.array([y for _, y, _ in second], float), share)
+    found = sorted((r["doc_id"], r["z"], r["y"]) for r in texts.mapInArrow(
+        _measured(judge, second), "doc_id long, y int, z double").collect())
+    slope, shift = calibrate(np.array([z for _, z, _ in found]), np.array([y for _, _, y in found], float), share)
     return Judge(judge.good, judge.bad, slope, shift)
 
 
 def score_documents(docs: DataFrame, judge: Judge) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored):
-    doc_id, score, predicted, row_key. Whole texts are compressed. A null or
-    empty text has difference 0 and the score that goes with it."""
+    doc_id, score, predicted, row_key. Whole texts are compressed, block by
+    block. A null or empty text has difference 0 and the score that goes with
+    it."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             s = judge.scores(b.column("text").to_pylist())

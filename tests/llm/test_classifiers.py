@@ -42,6 +42,26 @@ def test_toxicity_held_out(spark):
     assert auc(score, y) > 0.9 and (predicted == y).mean() > 0.93
 
 
+def test_quality_of_long_texts(spark):
+    """The far part of a long text counts as its opening does."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    vocabulary = [["".join(rng.choice(letters, 7)) for _ in range(3000)] for _ in range(2)]
+
+    def text(c, n):
+        return " ".join(np.array(vocabulary[c])[rng.integers(0, 3000, n // 8)])
+
+    # lengths from 1 KB to 200 KB
+    rows = [(i, text(i % 2, int(n))) for i, n in enumerate(np.geomspace(1000, 200_000, 120))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    judge = Q.train(docs, labels)
+    short, long = (judge.differences([text(c, n) for c in (0, 1)]) for n in (8000, 1_000_000))
+    assert short[0] < 0 < short[1] and (abs(long) > 0.7 * abs(short)).all()
+    score = judge.scores([text(0, 1_000_000), text(1, 1_000_000), text(1, 20_000) + " " + text(0, 1_000_000)])
+    assert score[0] < 0.1 and score[1] > 0.9 and score[2] < 0.1
+
+
 @pytest.mark.parametrize("op,label", [(Q, "quality"), (T, "toxic")])
 def test_edge_rows(spark, op, label):
     words = [f"w{i} v{i}" for i in range(60)]
