@@ -20,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import keep_decided, row_key, slices, text_or_empty
+from platewise.llm.common import keep_decided, materialise, row_key, slices, text_or_empty
 from platewise.llm.labelled import calibrate, labelled_sample, sigmoid
 
 #: Words of a window, and the step from one window to the next.
 WINDOW, STEP = 32, 24
-#: The bounded sample: documents of either class; windows to train on of each
-#: of the first three quarters, windows to calibrate with of each of the rest.
-TRAIN_DOCS, TRAIN_WINDOWS, CALIBRATE_WINDOWS = 1200, 8, 48
+#: The bounded sample: documents of either class, three quarters to train on
+#: and one to calibrate with. Windows to train on that a text gives, spread
+#: over it or the highest of all.
+TRAIN_DOCS, TRAIN_WINDOWS = 1200, 8
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
 CHAR_BUCKETS = 1 << 15
 #: Lengths of the character n-grams, with marks at the word's ends.
@@ -35,6 +36,8 @@ GRAMS = (3, 4, 5)
 #: Words of the vocabulary occur in so many training documents at least.
 LEAST_DOCS = 20
 STEPS, BATCH, RATE, DECAY = 900, 64, 0.01, 0.05
+#: Steps of the first network.
+FIRST_STEPS = 300
 THRESHOLD = 0.5
 _SEED = 11
 _STRIP = "\"'.,;:!?()[]{}<>|*_-"
@@ -220,8 +223,8 @@ def _laid_out(texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray
     return list(place), np.ascontiguousarray(at.T), np.ascontiguousarray(mask.T)
 
 
-def fit(windows: list[list[str]], labels: np.ndarray, doc_of: np.ndarray) -> BiGru:
-    """Train on windows with their documents' labels, by Adam with decay."""
+def fit(windows: list[list[str]], labels: np.ndarray, doc_of: np.ndarray, steps: int) -> BiGru:
+    """Train on labelled windows of documents, by Adam with decay."""
     held = Counter()
     for d in np.unique(doc_of):
         held.update({(x.strip(_STRIP) or x) for i in np.flatnonzero(doc_of == d) for x in windows[i]})
@@ -229,7 +232,7 @@ def fit(windows: list[list[str]], labels: np.ndarray, doc_of: np.ndarray) -> BiG
     rng, step = np.random.default_rng(_SEED), 0
     m = {k: np.zeros_like(v) for k, v in net.weights.items()}
     v = {k: np.zeros_like(x) for k, x in net.weights.items()}
-    epochs = max(1, round(STEPS * BATCH / len(windows)))
+    epochs = max(1, round(steps * BATCH / len(windows)))
     for epoch in range(epochs):
         for chunk in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // BATCH)):
             words, at, mask = _laid_out([windows[i] for i in chunk])
@@ -244,33 +247,43 @@ def fit(windows: list[list[str]], labels: np.ndarray, doc_of: np.ndarray) -> BiG
     return net
 
 
-def logits(net: BiGru, texts: list[str]) -> np.ndarray:
-    """The highest window's log-odds of each text, over all its overlapping
-    windows; NaN for a text without words."""
+def window_logits(net: BiGru, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The log-odds of all the texts' overlapping windows, text by text, and
+    how many windows each text has."""
     place, spots = _Places(), []
     for t in texts:
         spots.append(np.fromiter(map(place.__getitem__, words_of(t)), np.int64))
     counts = [len(x) for x in spots]
     if not sum(counts):
-        return np.full(len(texts), np.nan)
+        return np.empty(0), np.zeros(len(texts), int)
     gates, flat = net.project(net.inputs(list(place))), np.concatenate(spots)
-    starts, lengths, owners = [], [], []
+    starts, lengths = [], []
     begin = 0
-    for i, n in enumerate(counts):
+    for n in counts:
         s = windows_of(n)
         starts.append(begin + s)
         lengths.append(np.minimum(WINDOW, n - s))
-        owners.append(np.full(len(s), i))
         begin += n
-    starts, lengths, owners = map(np.concatenate, (starts, lengths, owners))
-    best = np.full(len(texts), -np.inf)
+    held = np.array([len(s) for s in starts])
+    starts, lengths = map(np.concatenate, (starts, lengths))
+    z = np.empty(len(starts))
     steps = np.arange(WINDOW)[:, None]
     for k in range(0, len(starts), 4096):
         s, n = starts[k:k + 4096], lengths[k:k + 4096]
         mask = (steps < n).astype(np.float32)
         at = flat[np.minimum(s + steps, len(flat) - 1)]
-        np.maximum.at(best, owners[k:k + 4096], net.forward(gates, at, mask))
-    return np.where(np.isfinite(best), best, np.nan)
+        z[k:k + 4096] = net.forward(gates, at, mask)
+    return z, held
+
+
+def logits(net: BiGru, texts: list[str]) -> np.ndarray:
+    """The highest window's log-odds of each text, over all its overlapping
+    windows; NaN for a text without words."""
+    z, held = window_logits(net, texts)
+    best = np.full(len(texts), np.nan)
+    if len(z):
+        best[held > 0] = np.maximum.reduceat(z, (np.cumsum(held) - held)[held > 0])
+    return best
 
 
 def scores(net: BiGru, texts: list[str]) -> np.ndarray:
@@ -278,49 +291,86 @@ def scores(net: BiGru, texts: list[str]) -> np.ndarray:
     return np.where(np.isnan(z), net.prior, sigmoid(net.slope * np.nan_to_num(z) + net.shift))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text, ``CALIBRATE_WINDOWS`` windows spread over all of it."""
-    for b in batches:
-        rows = []
-        for i, y, text in zip(*(c.to_pylist() for c in b.columns)):
-            ws = words_of(text)
-            s = windows_of(len(ws))
-            s = s[np.unique(np.linspace(0, len(s) - 1, CALIBRATE_WINDOWS).astype(int))] if len(s) else s
-            rows.append({"doc_id": i, "y": y, "windows": [" ".join(ws[k:k + WINDOW]) for k in s]})
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(
-            [("doc_id", pa.int64()), ("y", pa.int32()), ("windows", pa.list_(pa.string()))]))
+def _spread(n: int) -> np.ndarray:
+    """``TRAIN_WINDOWS`` of ``n`` windows, spread over all of them."""
+    return np.unique(np.linspace(0, n - 1, TRAIN_WINDOWS).astype(int)) if n else np.empty(0, int)
+
+
+def _telling(z: np.ndarray, y: int) -> np.ndarray:
+    """Windows of a text with the log-odds ``z`` to train on: of a toxic one
+    the highest, and the next ones while they look toxic; of a clean one the
+    highest, and others spread over it."""
+    top = np.argsort(-z, kind="stable")[:TRAIN_WINDOWS]
+    return np.sort(top[(z[top] > 0) | (top == top[:1])]) if y else np.union1d(_spread(len(z)), top)
+
+
+def _windows(first: BiGru | None, left_out: frozenset[int] = frozenset()):
+    """Windows to train on of each text but those ``left_out``, spread over
+    it, or the telling ones by a first network."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = []
+            for i, y, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "y", "text"))):
+                if i in left_out:
+                    continue
+                ws = words_of(text)
+                s = windows_of(len(ws))
+                s = s[_spread(len(s)) if first is None else _telling(window_logits(first, [text])[0], y)]
+                rows.append({"doc_id": i, "y": y, "windows": [" ".join(ws[k:k + WINDOW]) for k in s]})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(
+                [("doc_id", pa.int64()), ("y", pa.int32()), ("windows", pa.list_(pa.string()))]))
+
+    return run
+
+
+def _highest(net: BiGru, ids: frozenset[int]):
+    """The highest window's log-odds of the whole texts of the named documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array([i in ids for i in b.column("doc_id").to_pylist()], pa.bool_()))
+            for part in slices([b]):
+                z = logits(net, part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(z)], ["doc_id", "y", "z"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5, held_out: int = 0) -> BiGru:
     """A network fitted on at most ``TRAIN_DOCS`` documents of either class,
-    ``TRAIN_WINDOWS`` windows of each, spread over the whole text. Rows with
-    crc32(doc_id) mod ``held_out_mod`` = ``held_out`` are never learned from;
-    null labels are left out, and of several labels the highest counts.
-    Without both classes every score is the share of label 1 (0.5 without
-    any label)."""
+    and calibrated on a quarter of them that it was not fitted on. All windows
+    of the documents are scored in the tasks; the ones to train on and the
+    scores to calibrate with reach the driver. Rows with crc32(doc_id) mod
+    ``held_out_mod`` = ``held_out`` are never learned from; null labels are
+    left out, and of several labels the highest counts. Without both classes
+    every score is the share of label 1 (0.5 without any label)."""
     texts, share = labelled_sample(docs, labels, "toxic", held_out_mod, held_out, TRAIN_DOCS)
-    sample = sorted((r["doc_id"], r["windows"], r["y"]) for r in texts.mapInArrow(
-        _cut, "doc_id long, y int, windows array<string>").collect())
-    learn, rest = [x for i, x in enumerate(sample) if i % 4], sample[::4]
-    drawn = [(i, y, ws[k].split(" ")) for i, (_, ws, y) in enumerate(learn)
-             for k in (np.unique(np.linspace(0, len(ws) - 1, TRAIN_WINDOWS).astype(int)) if ws else ())]
-    y = np.array([y for _, y, _ in drawn], np.float32)
-    if not len(y) or not 0 < y.mean() < 1:
+    texts = materialise(texts, "toxicity-sample")
+
+    def collected(task) -> list[tuple]:
+        return sorted((r["doc_id"], r["windows"], r["y"]) for r in texts.mapInArrow(
+            task, "doc_id long, y int, windows array<string>").collect())
+
+    def fitted(rows: list[tuple], steps: int) -> BiGru | None:
+        drawn = [(i, y, w.split(" ")) for i, ws, y in rows for w in ws]
+        y = np.array([y for _, y, _ in drawn], np.float32)
+        if not len(y) or not 0 < y.mean() < 1:
+            return None
+        return fit([w for _, _, w in drawn], y, np.array([i for i, _, _ in drawn]), steps)
+
+    sample = collected(_windows(None))
+    rest = frozenset(sorted({i for i, _, _ in sample})[::4])
+    first = fitted([x for x in sample if x[0] not in rest], FIRST_STEPS)
+    if first is None:
         return BiGru(prior=share)
-    net = fit([w for _, _, w in drawn], y, np.array([i for i, _, _ in drawn]))
-    # the highest window of each document that was not learned from
-    z = np.array([_highest(net, w) for _, w, _ in rest if w])
-    t = np.array([y for _, w, y in rest if w], float)
+    net = fitted(collected(_windows(first, rest)), STEPS)
+    found = sorted((r["doc_id"], r["z"], r["y"]) for r in texts.mapInArrow(
+        _highest(net, rest), "doc_id long, y int, z double").collect() if not np.isnan(r["z"]))
+    z, t = np.array([z for _, z, _ in found]), np.array([y for _, _, y in found], float)
     net.slope, net.shift = calibrate(z, t, share) if len(z) else (1.0, 0.0)
     net.prior = share
     return net
 
 
-def _highest(net: BiGru, windows: list[str]) -> float:
-    words, at, mask = _laid_out([w.split(" ") for w in windows])
-    return float(net.forward(net.project(net.inputs(words)), at, mask).max())
-
-
 def score_documents(docs: DataFrame, net: BiGru) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored):
     doc_id, score, predicted, row_key. Every window of the whole text is

@@ -62,6 +62,30 @@ def test_quality_of_long_texts(spark):
     assert score[0] < 0.1 and score[1] > 0.9 and score[2] < 0.1
 
 
+def test_toxicity_of_long_texts(spark, monkeypatch):
+    """Calibrated on all windows of long texts; a passage in one place is learned."""
+    monkeypatch.setattr(T, "STEPS", 250)
+    monkeypatch.setattr(T, "FIRST_STEPS", 250, raising=False)
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(rng.choice(list("aeiourstlnmd"), 5)) for _ in range(500)])
+
+    def text(c, n):
+        ws = rng.choice(words, n).tolist()
+        at = int(rng.integers(0, n - 10))
+        return " ".join(ws[:at] + ["zqx", "kvvj", "wxzk"] * (2 * c) + ws[at:])
+
+    rows = [(i, text(i % 2, int(n))) for i, n in enumerate(rng.integers(100, 4000, 300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    net = T.train(docs, labels)
+    known, share = L.labelled_sample(docs, labels, "toxic", 5, 0, T.TRAIN_DOCS)
+    rest = sorted((r["doc_id"], r["y"], r["text"]) for r in known.collect())[::4]
+    z, y = T.logits(net, [t for _, _, t in rest]), np.array([y for _, y, _ in rest], float)
+    assert np.allclose((net.slope, net.shift), L.calibrate(z, y, share), rtol=1e-3, atol=1e-3)
+    score = T.scores(net, [text(i % 2, 8000) for i in range(40)])
+    assert (score[::2] < 0.5).mean() > 0.9 and (score[1::2] > 0.5).mean() > 0.9
+
+
 @pytest.mark.parametrize("op,label", [(Q, "quality"), (T, "toxic")])
 def test_edge_rows(spark, op, label):
     words = [f"w{i} v{i}" for i in range(60)]
