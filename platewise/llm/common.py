@@ -53,14 +53,15 @@ def row_key(col: str = "text"):
 def keep_decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose decision is ``kept``.
 
-    ``decisions`` has one row (doc_id, row_key, kept) per row of ``docs``;
-    null doc_ids compare as equal. Of rows that repeat both doc_id and text,
-    one stays when any of them is kept. The text is shuffled only when the
-    lists of dropped or repeated keys are too large to broadcast."""
+    ``decisions`` has one row (doc_id, row_key, kept, once) per row of
+    ``docs``; null doc_ids compare as equal. Rows that repeat both doc_id and
+    text stay when any of them is kept: one of them where ``once`` holds, else
+    all. The text is shuffled only when the lists of dropped or repeated keys
+    are too large to broadcast."""
     keys = materialise(
         decisions.groupBy("doc_id", "row_key")
-        .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-        .filter(~F.col("_kept") | (F.col("_n") > 1))
+        .agg(F.max("kept").alias("_kept"), F.max("once").alias("_once"), F.count(F.lit(1)).alias("_n"))
+        .filter(~F.col("_kept") | (F.col("_once") & (F.col("_n") > 1)))
         .select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "_kept"), "decided")
     dropped, repeated = keys.filter(~F.col("_kept")), keys.filter("_kept")
     rows = docs.withColumn("_row_key", row_key())

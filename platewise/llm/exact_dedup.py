@@ -123,4 +123,4 @@ def exact_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the copies: one row of each group of equal texts."""
-    return keep_decided(docs, exact_dedup(docs))
+    return keep_decided(docs, exact_dedup(docs).withColumn("once", F.lit(True)))

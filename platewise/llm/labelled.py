@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import text_or_empty
+from platewise.llm.common import row_key, text_or_empty
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -20,7 +20,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     by a hash of the doc_id, and the share of label 1 among all labelled rows
     that may be learned from (0.5 without any). Rows with crc32(doc_id) mod
     ``mod`` = ``held_out`` are never learned from. Null labels and ids are
-    left out; of several labels of a document the highest counts."""
+    left out; of several labels of a document the highest counts, and of
+    several texts the one with the smallest hash."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(mod)) != held_out)
@@ -28,7 +29,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     drawn = [known.filter(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
     ids = drawn[0].unionByName(drawn[1])  # at most 2 * most rows, so it can be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text"), 0.5 if share is None else float(share)
+    texts = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(
+        F.min_by("text", F.struct(row_key(), F.col("text"))).alias("text"))
+    return texts, 0.5 if share is None else float(share)
 
 
 def calibrate(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:

@@ -304,18 +304,9 @@ def _linked(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text; other columns are ignored):
-    doc_id, n_shingles, component_id, kept, row_key.
-
-    Documents are linked when ``100 * |A and B| >= percent * |A or B|`` for
-    their shingle sets; a component is what links reach. ``component_id`` is
-    its smallest doc_id (null doc_ids count only when there is no other).
-    Texts without words (null, empty, white space) have an empty set and are
-    linked with nothing: each such row is its own component. Rows that repeat
-    a doc_id share its smallest component's fate by text: equal texts are one
-    class, different texts are told apart. ``kept``: doc_id is component_id.
-    An empty table gives an empty result."""
+def _members(docs: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``stays``: of each component the
+    rows of its smallest (doc_id, row_key), null doc_ids last."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"),
                        text_or_empty().alias("text"))
     signed = materialise(rows.mapInArrow(
@@ -358,15 +349,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         more = materialise(tiles.select("members").mapInArrow(_linked(percent), "a long, b long"), "near-links")
         groups = components(links.unionByName(more))
 
-    named = classes.select("set_key", "node", "doc_id").join(groups, "node", "left")
+    named = classes.select("set_key", "node", "doc_id", "row_key").join(groups, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
-    lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(lowest, "root").select("set_key", "component_id")
+    lowest = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("head"))
+    named = named.join(lowest, "root").select(
+        "set_key", F.col("head.doc_id").alias("component_id"), F.col("head.row_key").alias("head_key"))
     full = signed.filter("n_shingles > 0").select("doc_id", "n_shingles", "set_key", "row_key").join(named, "set_key")
-    bare = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row_key")
-    out = full.select("doc_id", "n_shingles", "component_id", "row_key").unionByName(bare)
-    return out.select("doc_id", "n_shingles", "component_id",
-                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")
+    bare = signed.filter("n_shingles = 0").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row_key", F.col("row_key").alias("head_key"))
+    out = full.select("doc_id", "n_shingles", "component_id", "row_key", "head_key").unionByName(bare)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "row_key",
+                      (kept & (F.col("row_key") == F.col("head_key"))).alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text; other columns are ignored):
+    doc_id, n_shingles, component_id, kept, row_key.
+
+    Documents are linked when ``100 * |A and B| >= percent * |A or B|`` for
+    their shingle sets; a component is what links reach. ``component_id`` is
+    its smallest doc_id (null doc_ids count only when there is no other).
+    Texts without words (null, empty, white space) have an empty set and are
+    linked with nothing: each such row is its own component. Rows that repeat
+    a doc_id share its smallest component's fate by text: equal texts are one
+    class, different texts are told apart. ``kept``: doc_id is component_id.
+    An empty table gives an empty result."""
+    return _members(docs, percent).drop("stays")
 
 
 def _sets_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -391,6 +400,9 @@ def _confirmed(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: i
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of every group of near duplicates."""
-    d = near_duplicates(docs, percent)
-    return keep_decided(docs, d.select("doc_id", "row_key", "kept"))
+    """``docs`` with one row of every group of near duplicates: that of the
+    smallest doc_id, and of its texts the one with the smallest hash, also
+    where rows share a doc_id or have none. Texts without words all stay."""
+    d = _members(docs, percent)
+    return keep_decided(docs, d.select("doc_id", "row_key", F.col("stays").alias("kept"),
+                                       (F.col("n_shingles") > 0).alias("once")))

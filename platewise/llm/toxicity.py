@@ -390,6 +390,7 @@ def score_documents(docs: DataFrame, net: BiGru) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows predicted toxic."""
+    """``docs`` without the rows predicted toxic; rows that repeat stay."""
     s = score_documents(docs, train(docs, labels))
-    return keep_decided(docs, s.select("doc_id", "row_key", (F.col("predicted") == 0).alias("kept")))
+    return keep_decided(docs, s.select("doc_id", "row_key", (F.col("predicted") == 0).alias("kept"),
+                                       F.lit(False).alias("once")))
