@@ -16,6 +16,7 @@ from platewise.llm.pii import find_personal_data
 from platewise.llm.sentencepiece_sa import encode_documents
 from platewise.llm.sharding import shard_documents
 from platewise.llm.warc import archive_pages
+from platewise.llm.whitening import whiten
 
 
 def _held_out(mod: int, remainder: int):
@@ -82,8 +83,14 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings whitened to 32 components by bidiagonalisation."""
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_exact_dedup, op3_sharding, op4_search, op5_warc, op6_sentencepiece, op7_pii, op8_mixing, op9_toxicity, op10_minhash)}
+    op1_quality, op2_exact_dedup, op3_sharding, op4_search, op5_warc, op6_sentencepiece, op7_pii, op8_mixing, op9_toxicity,
+    op10_minhash, op11_whitening)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
