@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from platewise.llm import quality, toxicity
 from platewise.llm.bm25 import search
 from platewise.llm.common import table
+from platewise.llm.divergence import audit
 from platewise.llm.exact_dedup import exact_dedup
 from platewise.llm.minhash import near_duplicates
 from platewise.llm.mixing import mix
@@ -88,9 +89,14 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language diverge, and their terms."""
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_exact_dedup, op3_sharding, op4_search, op5_warc, op6_sentencepiece, op7_pii, op8_mixing, op9_toxicity,
-    op10_minhash, op11_whitening)}
+    op10_minhash, op11_whitening, op12_divergence)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
@@ -115,5 +121,41 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM f
+""",
+    "op12_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), w AS (
+  SELECT id, lang, source, unnest(ts) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), total AS (
+  SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang
+), cell AS (
+  SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), src AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN cell c USING (lang, source) GROUP BY g.lang, g.source
+), shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+         (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (s.n + 2 * t.v))::BIGINT AS p,
+         (1 + 1000000000::HUGEINT * (k.n + 2) // (t.n + 2 * t.v))::BIGINT AS q
+  FROM src s JOIN kept k USING (lang) JOIN total t USING (lang) LEFT JOIN cell c USING (lang, source, term)
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY a.lang, a.source, b.source
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM src a JOIN src b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """,
 }
