@@ -11,6 +11,7 @@ from platewise.llm.bm25 import search
 from platewise.llm.common import table
 from platewise.llm.divergence import audit
 from platewise.llm.exact_dedup import exact_dedup
+from platewise.llm.line_dedup import drop_repeated_lines
 from platewise.llm.minhash import near_duplicates
 from platewise.llm.mixing import mix
 from platewise.llm.pii import find_personal_data
@@ -94,9 +95,15 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that at least three of them hold."""
+    return drop_repeated_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_exact_dedup, op3_sharding, op4_search, op5_warc, op6_sentencepiece, op7_pii, op8_mixing, op9_toxicity,
-    op10_minhash, op11_whitening, op12_divergence)}
+    op10_minhash, op11_whitening, op12_divergence, op13_line_dedup)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
@@ -157,5 +164,22 @@ WITH d AS (
   SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r
 )
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+""",
+    "op13_line_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT id, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d
+), k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+), r AS (
+  SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT id) >= 3
+)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM (SELECT k.*, r.key IS NOT NULL AND k.doc_id IS DISTINCT FROM r.last AS gone FROM k LEFT JOIN r USING (key)) k
+GROUP BY k.id, k.doc_id
 """,
 }
