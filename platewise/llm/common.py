@@ -4,6 +4,7 @@ filter that makes per-row decisions take effect on documents."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +51,12 @@ def row_key(col: str = "text"):
     return F.xxhash64(text_or_empty(col))
 
 
+def helper_names(*names: str) -> list[str]:
+    """Column names that no table of a user has, one for each of ``names``."""
+    mark = uuid.uuid4().hex
+    return [f"_{n}_{mark}" for n in names]
+
+
 def keep_decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose decision is ``kept``.
 
@@ -58,24 +65,24 @@ def keep_decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     text stay when any of them is kept: one of them where ``once`` holds, else
     all. The text is shuffled only when the lists of dropped or repeated keys
     are too large to broadcast."""
+    id_, key, own = helper_names("id", "key", "own")
     keys = materialise(
         decisions.groupBy("doc_id", "row_key")
-        .agg(F.max("kept").alias("_kept"), F.max("once").alias("_once"), F.count(F.lit(1)).alias("_n"))
-        .filter(~F.col("_kept") | (F.col("_once") & (F.col("_n") > 1)))
-        .select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "_kept"), "decided")
-    dropped, repeated = keys.filter(~F.col("_kept")), keys.filter("_kept")
-    rows = docs.withColumn("_row_key", row_key())
-    match = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_row_key") == F.col("_key")]
+        .agg(F.max("kept").alias("kept"), F.max("once").alias("once"), F.count(F.lit(1)).alias("n"))
+        .filter(~F.col("kept") | (F.col("once") & (F.col("n") > 1)))
+        .select(F.col("doc_id").alias(id_), F.col("row_key").alias(key), "kept"), "decided")
+    dropped, repeated = (keys.filter(x).drop("kept") for x in (~F.col("kept"), F.col("kept")))
+    rows = docs.withColumn(own, row_key())
+    match = [F.col("doc_id").eqNullSafe(F.col(id_)), F.col(own) == F.col(key)]
 
     def against(side: DataFrame, small: DataFrame, how: str) -> DataFrame:
-        small = small.select("_id", "_key")
         return side.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, match, how)
 
     out = against(rows, dropped, "left_anti")
     if not repeated.isEmpty():
-        once = against(out, repeated, "left_semi").dropDuplicates(["doc_id", "_row_key"])
+        once = against(out, repeated, "left_semi").dropDuplicates(["doc_id", own])
         out = against(out, repeated, "left_anti").unionByName(once)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.drop(own)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text",

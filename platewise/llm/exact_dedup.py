@@ -13,13 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import keep_decided, materialise, text_or_empty
-from platewise.llm.golomb import batches_of, golomb_decode, golomb_encode, mark, suspects_of
+from platewise.llm.common import keep_decided, materialise, slices, text_or_empty
+from platewise.llm.golomb import golomb_decode, golomb_encode
+from platewise.llm.mail import collected, post
 
 #: Bits of a fingerprint. A false match only makes a suspect more to verify.
 BITS = 48
@@ -67,7 +69,36 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
     times = np.bincount(where, weights=1 + np.concatenate(local), minlength=len(distinct))
     twice = times[where] > 1
     ends = np.cumsum([len(x) for x in lists])[:-1]
-    return group.assign(repeated=[np.packbits(x).tobytes() for x in np.split(twice, ends)])
+    lists = np.split(twice, ends)
+    out = group.assign(repeated=[np.packbits(x).tobytes() for x in lists])
+    return out[[bool(x.any()) for x in lists]]
+
+
+def _mark(folder: str, owners: int, bits: int):
+    """The rows with their place (part, pos); only suspects keep their text."""
+    span = -(-(1 << bits) // owners)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = TaskContext.get().partitionId(), 0
+        mail = collected(folder, part, ["n_rows", "owner", "n", "code", "repeated"])
+        found, expected = [np.zeros(0, np.int64)], None
+        for r in mail.to_pylist() if mail else ():
+            again = np.unpackbits(np.frombuffer(r["repeated"], np.uint8), count=r["n"]).astype(bool)
+            found.append(golomb_decode(r["code"], r["n"])[again] + r["owner"] * span)
+            expected = r["n_rows"]
+        suspects = np.sort(np.concatenate(found))
+        for b in slices(batches):
+            mine = np.isin(_fingerprints(b.column("h").to_numpy(), bits), suspects)
+            yield pa.RecordBatch.from_arrays([
+                b.column("doc_id"), b.column("h"), b.column("text_sha256"), b.column("row_key"),
+                pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(rows, rows + b.num_rows)),
+                pa.compute.if_else(pa.array(mine), b.column("text"), pa.scalar(None, b.column("text").type))],
+                names=["doc_id", "h", "text_sha256", "row_key", "part", "pos", "text"])
+            rows += b.num_rows
+        if expected not in (None, rows):
+            raise RuntimeError("the table's partitions changed between two passes")
+
+    return mark
 
 
 def exact_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -92,19 +123,9 @@ def exact_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
         _send(owners, bits), "part int, n_rows long, owner int, n int, code binary, repeated binary")
     replies = sent.groupBy("owner").applyInPandas(_answer, sent.schema)
 
-    left = rows.rdd
-    parts = max(1, left.getNumPartitions())
-    right = (replies.rdd.map(lambda r: (r["part"], (r["n_rows"], r["owner"], r["n"], bytes(r["code"]),
-                                                    bytes(r["repeated"]))))
-             .partitionBy(parts, lambda p: p))
-    more = right.getNumPartitions() - left.getNumPartitions()
-    if more > 0:
-        left = left.union(spark.sparkContext.parallelize([], more))
-    one = BatchedSerializer(CPickleSerializer(), 1)
-    marked = (left.mapPartitions(batches_of)._reserialize(one)
-              .zip(right.mapPartitions(suspects_of(owners, bits))._reserialize(one))
-              .mapPartitionsWithIndex(mark(bits)))
-    seen = materialise(spark.createDataFrame(marked, _MARKED, verifySchema=False), "exact-marked")
+    answers = post(replies, "exact-answers")
+    marked = rows.mapInArrow(_mark(answers, owners, bits), _MARKED)
+    seen = materialise(marked, "exact-marked")
 
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "part", "pos")
     suspects = seen.filter(F.col("text").isNotNull())
@@ -122,5 +143,8 @@ def exact_dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the copies: one row of each group of equal texts."""
+    """``docs`` without the copies: one row of each group of equal texts, that
+    of the smallest doc_id (null doc_ids last; of rows that repeat doc_id and
+    text, any one). Null and empty texts are equal. ``docs`` may have any other
+    columns; they come back as they are."""
     return keep_decided(docs, exact_dedup(docs).withColumn("once", F.lit(True)))

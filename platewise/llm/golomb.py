@@ -1,17 +1,11 @@
-"""Golomb codes, and what runs on the rows as an RDD. Apart from the rest, and
-with numpy alone: three Python workers serve a task of that pass, and what
-they import counts three times."""
+"""Golomb-Rice codes of sorted whole numbers."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 
-#: Rows that travel as one element in the pass that marks suspects.
-ROWS_PER_ELEMENT = 64
-
 
 def golomb_encode(values: np.ndarray, span: int) -> bytes:
     """Sorted distinct ``values`` in [0, span) as Golomb-Rice codes: one byte
@@ -37,43 +31,3 @@ def golomb_decode(code: bytes, n: int) -> np.ndarray:
     start = int(ends[-1]) + 1 if n else 0
     low = bits[start:start + n * k].reshape(n, k).astype(np.int64)
     return np.cumsum((quotients.astype(np.int64) << k) + (low << np.arange(k)).sum(axis=1))
-
-
-def suspects_of(owners: int, bits: int):
-    """The answers of one partition as elements that pair with its batches of
-    rows: the suspect fingerprints first, then nothing for the other batches."""
-    span = -(-(1 << bits) // owners)
-
-    def elements(replies) -> Iterator:
-        found, rows = [], 0
-        for _, (rows, owner, n, code, twice) in replies:
-            again = np.unpackbits(np.frombuffer(twice, np.uint8), count=n).astype(bool)
-            found.append(golomb_decode(code, n)[again] + owner * span)
-        for i in range(-(-rows // ROWS_PER_ELEMENT)):
-            yield set(np.concatenate(found).tolist()) if i == 0 else None
-
-    return elements
-
-
-def batches_of(rows) -> Iterator[list]:
-    batch = []
-    for r in rows:
-        batch.append(tuple(r))
-        if len(batch) == ROWS_PER_ELEMENT:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
-
-
-def mark(bits: int):
-    def run(part: int, pairs) -> Iterator[tuple]:
-        suspects, pos = set(), 0
-        for batch, found in pairs:
-            suspects = found if found is not None else suspects
-            for doc_id, h, sha, key, text in batch:
-                mine = (h % (1 << 64)) >> (64 - bits) in suspects
-                yield doc_id, h, sha, key, part, pos, text if mine else None
-                pos += 1
-
-    return run

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from platewise.llm.common import materialise, row_key, sized_join
+from platewise.llm.common import helper_names, materialise, row_key, sized_join
 
 #: Documents that meet in one block.
 BLOCK = 256
@@ -202,15 +202,19 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as its copies say."""
-    plan = mix(docs).groupBy("doc_id", "row_key", "source").agg(F.max("copies").alias("_copies"))
-    plan = materialise(plan.filter("_copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("source").alias("_source"), "_copies"),
-        "mix-plan")
-    rows = docs.withColumn("_row_key", row_key())
-    match = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_row_key") == F.col("_key"),
-             F.col("source").eqNullSafe(F.col("_source"))]
+    """``docs`` as the mix takes them: each row as often as its copies say.
+    Null texts, and texts without words, have no words to take and get their
+    source's copies like others; a null source is one of its own; rows that
+    repeat doc_id, text and source get the same copies each. ``docs`` may have
+    any other columns; they come back as they are."""
+    id_, key, source, copies, own, copy = helper_names("id", "key", "source", "copies", "own", "copy")
+    plan = mix(docs).groupBy("doc_id", "row_key", "source").agg(F.max("copies").alias("copies"))
+    plan = materialise(plan.filter("copies > 0").select(
+        F.col("doc_id").alias(id_), F.col("row_key").alias(key), F.col("source").alias(source),
+        F.col("copies").alias(copies)), "mix-plan")
+    match = [F.col("doc_id").eqNullSafe(F.col(id_)), F.col(own) == F.col(key),
+             F.col("source").eqNullSafe(F.col(source))]
     small = plan.count() <= 300_000
-    out = rows.join(F.broadcast(plan) if small else plan, match)
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.withColumn(own, row_key()).join(F.broadcast(plan) if small else plan, match)
+    out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return out.drop(id_, key, source, copies, own, copy)

@@ -3,10 +3,11 @@
 import re
 
 import corpus_pipeline as P
+import pytest
 import sentencepiece
 
 import __spark_entry__ as E
-from platewise.llm import sentencepiece_sa
+from platewise.llm import sentencepiece_sa, toxicity
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -51,8 +52,28 @@ def test_stages_on_no_documents_and_odd_ones(spark, tmp_dir):
         assert len(out) == 0 if not rows else {r["doc_id"] for r in out} <= {1, 2, 3, None}
 
 
+#: Names that stages have had for their own columns.
+CLASHING = ["_id", "_key", "_row_key", "_copies", "_copy", "_source", "row_key", "kept", "once", "copies", "h", "part", "pos"]
+
+
+@pytest.mark.parametrize("upper", [False, True])
+@pytest.mark.parametrize("name, stage", P.STAGES[:-1])
+def test_columns_of_any_name_come_back(spark, tmp_dir, monkeypatch, name, stage, upper):
+    monkeypatch.setattr(toxicity, "train", lambda docs, labels: toxicity.BiGru(prior=0.1))
+    names = [c.upper() if upper else c for c in CLASHING]
+    rows = [(i, f"some words of {i} here " * 6 if i % 4 else "the same " * 9, "en", f"s{i % 2}", 1, *[f"{c}{i}" for c in names])
+            for i in range(1, 13)]
+    spark.createDataFrame(rows, SCHEMA + "".join(f", `{c}` string" for c in names)).write.parquet(f"{tmp_dir}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_dir}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_dir}/documents.parquet")
+    out = stage(spark, docs, tmp_dir)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names)
+
+
 def test_registered():
     assert 4 <= len(P.STAGES) <= 5 and P.ORACLE_SQL is None
     ops = [n for n in E.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in ops) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in ops) == list(range(1, 14))
     assert E.queries()["pipeline"] is P.run
