@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,7 +91,7 @@ def _mark(folder: str, owners: int, bits: int):
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), b.column("h"), b.column("text_sha256"), b.column("row_key"),
                 pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(rows, rows + b.num_rows)),
-                pa.compute.if_else(pa.array(mine), b.column("text"), pa.scalar(None, b.column("text").type))],
+                b.column("text").take(pa.array(np.arange(b.num_rows), mask=~mine))],
                 names=["doc_id", "h", "text_sha256", "row_key", "part", "pos", "text"])
             rows += b.num_rows
         if expected not in (None, rows):

@@ -80,6 +80,11 @@ def test_hot_group(spark, tmp_dir):
     assert got(D.exact_dedup(docs)) == brute(rows)
 
 
+def test_batches_cut_into_pieces(spark, tmp_dir):
+    rows = [(i, f"{i % 40} " + "word " * 40_000) for i in range(80)]  # 16 MB
+    assert got(D.exact_dedup(written(spark, tmp_dir, rows, 1))) == brute(rows)
+
+
 def test_false_matches_are_verified(spark, tmp_dir):
     rows = [(i, f"text {i % 400}") for i in range(900)]  # texts share six-bit fingerprints all the time
     assert got(D.exact_dedup(written(spark, tmp_dir, rows), bits=6)) == brute(rows)
