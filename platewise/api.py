@@ -26,7 +26,7 @@ from platewise.operators import split as SP
 from platewise.operators import upsert as UP
 from platewise.operators import validate as V
 from platewise.schemas import ACTUAL_COLUMNS, ACTUAL_SALES, HOLIDAYS, PREDICTION_COLUMNS, PREDICTIONS
-from platewise.sinks.tables import current_version, publish, read_table
+from platewise.sinks.tables import change_table, current_version, publish, read_table, retain_versions, upsert_into
 from platewise.streaming.ingest import bad_rows
 
 
@@ -57,40 +57,40 @@ class Store:
         return self.table("holidays", HOLIDAYS)
 
 
-def _ordered(store: Store, rows: DataFrame, order_col: str | None) -> None:
-    """A batch that holds a key twice must say which of its rows is the last."""
-    if order_col is None and not UP.repeated_keys(rows, store.keys).isEmpty():
-        raise ValueError(f"several rows for one {'/'.join(store.keys)}: name the column that orders them (order_col)")
+def _save(store: Store, name: str, rows: DataFrame, order_col: str | None) -> tuple[bool, str | None]:
+    """Only the months of ``rows`` are written; two savers at once both end in
+    the table. A batch that holds a key twice must say which of its rows is
+    the last."""
+    return upsert_into(store.spark, store.root(name), rows, store.keys, order_col, repeats=False,
+                       schema=store.table(name, {"predictions": PREDICTIONS, "actual_sales": ACTUAL_SALES}[name]).schema)
 
 
 def save_prediction(store: Store, df: DataFrame, order_col: str | None = None) -> tuple[bool, str | None]:
     """Upsert a forecast batch: override columns ensured, final prediction
     derived, full-row replace per key, the last row by ``order_col`` winning;
-    ``(ok, error)``."""
+    ``(ok, error)``. The newest ten versions stay."""
     try:
         rows = SP.with_final_prediction(df).select(*store.keys, *[c for c in PREDICTION_COLUMNS
                                                                   if c not in store.keys],
                                                    *([order_col] if order_col else []))
-        _ordered(store, rows, order_col)
-        return publish(UP.upsert(store.predictions(), rows, store.keys, order_col), store.root("predictions"))
+        return _save(store, "predictions", rows, order_col)
     except Exception as e:  # noqa: BLE001
         return False, str(e)
 
 
 def save_actuals(store: Store, df: DataFrame, order_col: str | None = None) -> tuple[bool, str | None]:
     """Upsert actual sales (key + four counts), the last row by ``order_col``
-    winning; ``(ok, error)``."""
+    winning; ``(ok, error)``. The newest ten versions stay."""
     try:
         rows = df.select(*store.keys, *ACTUAL_COLUMNS, *([order_col] if order_col else []))
-        _ordered(store, rows, order_col)
-        return publish(UP.upsert(store.actuals(), rows, store.keys, order_col), store.root("actual_sales"))
+        return _save(store, "actual_sales", rows, order_col)
     except Exception as e:  # noqa: BLE001
         return False, str(e)
 
 
 def seed_holidays(store: Store, df: DataFrame) -> tuple[bool, str | None]:
     """Append holiday rows (the table has no key; readers deduplicate)."""
-    return publish(UP.append(store.holidays(), df), store.root("holidays"))
+    return change_table(store.spark, store.root("holidays"), lambda t: df if t is None else UP.append(t, df))
 
 
 def get_holidays(store: Store, start, end) -> DataFrame:
@@ -181,10 +181,16 @@ def seed_actuals_from_file(store: Store, path: str, site: dict | None = None) ->
         *[F.lit(site[k]).cast("int").alias(k) for k in others],
         "date", F.col("total_meals").alias("actual_meals"), F.col("veg").alias("actual_meals_veg"),
         F.col("non_veg").alias("actual_meals_non_veg"), F.lit(None).cast("double").alias("actual_meals_salad"))
-    known = rows.join(store.actuals().select(*store.keys), store.keys, "left_semi")
-    if not known.isEmpty() or not UP.repeated_keys(rows, store.keys).isEmpty():
-        return False, f"a {'/'.join(store.keys)} of the file is in the table already, or in the file twice"
-    return publish(UP.append(store.actuals(), rows), store.root("actual_sales"))
+    if not UP.repeated_keys(rows, store.keys).isEmpty():
+        return False, f"the file has a {'/'.join(store.keys)} twice"
+
+    def seeded(table: DataFrame | None) -> DataFrame:
+        table = table if table is not None else store.actuals()
+        if not rows.join(table.select(*store.keys), store.keys, "left_semi").isEmpty():
+            raise ValueError(f"a {'/'.join(store.keys)} of the file is in the table already")
+        return UP.append(table, rows)
+
+    return change_table(store.spark, store.root("actual_sales"), seeded)
 
 
 def seed_holidays_from_file(store: Store, path: str) -> tuple[bool, str | None]:
@@ -195,7 +201,10 @@ def seed_holidays_from_file(store: Store, path: str) -> tuple[bool, str | None]:
 
 def delete_all_actuals(store: Store) -> tuple[bool, str | None]:
     """Maintenance script: empty the actuals table (a new, empty version)."""
-    return publish(store.actuals().limit(0), store.root("actual_sales"))
+    ok, error = publish(store.actuals().limit(0), store.root("actual_sales"))
+    if ok:
+        retain_versions(store.spark, store.root("actual_sales"), 10)
+    return ok, error
 
 
 def get_last_prediction_info(store: Store) -> DataFrame:

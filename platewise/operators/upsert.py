@@ -28,6 +28,29 @@ def last_wins(updates: DataFrame, keys: Sequence[str], order_col: str) -> DataFr
     return g.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def one_per_key(updates: DataFrame, keys: Sequence[str], order_col: str | None = None,
+                count: str | None = None) -> DataFrame:
+    """One row per key: the last by ``order_col`` (which is dropped), without
+    it the greatest; ``count`` names a column for the rows that a key had."""
+    rest = [c for c in updates.columns if c not in keys and c != order_col]
+    row = F.struct(*rest)
+    g = updates.groupBy(*keys).agg((F.max_by(row, F.col(order_col)) if order_col else F.max(row)).alias("_row"),
+                                   F.count(F.lit(1)).alias("_n"))
+    return g.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest], *([F.col("_n").alias(count)] if count else []))
+
+
+def aligned(rows: DataFrame, schema: T.StructType, besides: Sequence[str] = ()) -> DataFrame:
+    """``rows`` by name and type as ``schema`` has them, NaN as null; columns
+    it lacks become null, columns the schema lacks are an error, but for those
+    named ``besides``, which stay at the end."""
+    extra = [c for c in rows.columns if c not in schema.names and c not in besides]
+    if extra:
+        raise ValueError(f"columns not in target: {extra}")
+    rows = nan_to_null(rows)
+    return rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns
+                         else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], *besides)
+
+
 def repeated_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The keys that a batch holds more than once."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
@@ -54,18 +77,7 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str] = ("date",
     columns missing from the updates become null.
     """
     keys = list(keys)
-    if order_col:
-        u = last_wins(updates, keys, order_col).drop(order_col)
-    else:
-        rest = [c for c in updates.columns if c not in keys]
-        g = updates.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row"))
-        u = g.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
-    extra = [c for c in u.columns if c not in target.columns]
-    if extra:
-        raise ValueError(f"columns not in target: {extra}")
-    u = nan_to_null(u)
-    u = u.select(*[F.col(f.name).cast(f.dataType) if f.name in u.columns
-                   else F.lit(None).cast(f.dataType).alias(f.name) for f in target.schema.fields])
+    u = aligned(one_per_key(updates, keys, order_col), target.schema)
     kept = target.join(u.select(*keys), keys, "left_anti")
     return kept.unionByName(u)
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from platewise import fixtures as fx
 from platewise.operators import compare as C
+from platewise.operators.rollup import daily_demand, refresh_daily, touched_days
 from platewise.plans.catalog import register
+from platewise.session import scratch_dir
+from platewise.sinks.tables import read_table
 
 _PA = "FROM predictions p JOIN actual_sales a ON p.date = a.date"
 
@@ -416,22 +419,50 @@ def agg_period_delta_window(spark, sf):
     return C.period_over_period(fx.predictions(spark, sf, a), a, *WINDOW)
 
 
+def landed_orders(spark, sf):
+    """The orders as they arrived: two days after the order, every ninth one
+    up to 210 days late."""
+    late = F.when(F.col("o_orderkey") % 9 == 0, F.col("o_orderkey") % 211).otherwise(F.lit(2)).cast("int")
+    orders = fx.table(spark, sf, "orders").withColumn(
+        "arrived_at", F.col("o_orderdate") + F.make_dt_interval(days=late))
+    path = scratch_dir(spark, "landed-orders")
+    orders.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _earlier(lines, days):
+    """The constant ``days`` days before the last arrival."""
+    last = lines.agg((F.max("arrived_at") - F.make_dt_interval(days=F.lit(days))).cast("string")).first()[0]  # one scalar
+    return F.lit(last).cast(lines.schema["arrived_at"].dataType)
+
+
+def daily_of(lines):
+    """The daily rows of order lines (AIM-1)."""
+    return daily_demand(lines, F.col("o_orderdate").cast("date"), F.col("o_orderpriority").isin(*fx.VEG_PRIORITIES),
+                        fx._salad_cents(), fx.SALAD_DIVISOR)
+
+
 @register("aim_rollup_incremental", "SELECT * FROM actual_sales")
 def aim_rollup_incremental(spark, sf):
-    """AIM-1 maintained incrementally: the stored daily table covers the days
-    before a cutoff (90 days before its last day); only order lines from
-    the cutoff on are rolled up (the timestamp predicate is pushed to the
-    scan) and upserted. The result equals a full recomputation."""
-    import datetime as dt
-
-    from platewise.operators.rollup import daily_demand
-    from platewise.operators.upsert import upsert
-    orders = fx.table(spark, sf, "orders")
-    stored = fx.actual_sales(spark, sf)
-    last = stored.agg(F.max("date")).first()[0]  # one scalar, from the small stored table
-    cutoff = dt.datetime.combine(last - dt.timedelta(days=90), dt.time())
-    stored = stored.filter(F.col("date") < F.lit(cutoff.date()))
-    fresh = daily_demand(orders, F.col("o_orderdate").cast("date"), F.col("o_orderpriority").isin(*fx.VEG_PRIORITIES),
-                         fx._salad_cents(), fx.SALAD_DIVISOR,
-                         where=F.col("o_orderdate") >= F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz"))
-    return upsert(stored, fresh, ["date"])
+    """AIM-1 maintained: the table is built from the lines that had arrived
+    300 days before the last one, then brought up to date: the days that
+    later lines touch, up to 210 days back, are recomputed and upserted by
+    month. Equals the rollup of all lines."""
+    lines, root = landed_orders(spark, sf), scratch_dir(spark, "maintained")
+    before = lines.filter(F.col("arrived_at") <= _earlier(lines, 300))
+    for arrived in (before, lines):
+        refresh_daily(root, arrived, "o_orderdate", "arrived_at", daily_of)
+    return read_table(spark, root)
+
+
+@register("aim_late_days", """
+, landed AS (
+  SELECT CAST(o_orderdate AS DATE) AS date,
+         o_orderdate + to_days(CAST(CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey % 211 ELSE 2 END AS INTEGER)) AS arrived_at
+  FROM orders)
+SELECT date, max(arrived_at) AS arrived_until, count(*) AS lines FROM landed
+WHERE arrived_at > (SELECT max(arrived_at) FROM landed) - INTERVAL 300 DAY GROUP BY date""")
+def aim_late_days(spark, sf):
+    """AIM-1: the days that the lines of the last 300 days of arrivals touch."""
+    lines = landed_orders(spark, sf)
+    return touched_days(lines, "o_orderdate", "arrived_at", _earlier(lines, 300))

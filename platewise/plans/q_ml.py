@@ -214,14 +214,14 @@ def flow_train(spark, sf):
     under a new version in the shared checkpoint folder; the pointer moves
     only after both are written)."""
     from platewise.session import checkpoint_dir
-    from platewise.sinks.tables import _write_text, write_json_record
+    from platewise.sinks.tables import commit, write_json_record
     model, features, enc = trained(spark, sf)
     root = os.path.join(checkpoint_dir(spark), "models", "demand_forest")
     version = f"v-{int(dt.datetime.now().timestamp() * 1000)}-{uuid.uuid4().hex[:8]}"
     model.write().overwrite().save(os.path.join(root, version, "model"))
     rec = metadata_record(spark, sf)
     write_json_record(spark, os.path.join(root, version, "model_metadata.json"), rec)
-    _write_text(spark, os.path.join(root, "_CURRENT"), version)
+    commit(spark, root, folder=version)
     return spark.read.option("multiLine", True).json(os.path.join(root, version, "model_metadata.json"))
 
 
@@ -250,7 +250,7 @@ def published_model(spark, sf):
     from platewise.session import checkpoint_dir
     root = os.path.join(checkpoint_dir(spark), "models", "demand_forest")
     flow_train(spark, sf)
-    return current_version(spark, root)
+    return current_version(spark, root).path(root)
 
 
 @register("src_model_meta")

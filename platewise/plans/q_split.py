@@ -14,6 +14,8 @@ from platewise.operators import upsert as UP
 from platewise.operators.rollup import daily_demand
 from platewise.plans.catalog import register
 from platewise.schemas import PREDICTION_COLUMNS
+from platewise.session import scratch_dir
+from platewise.sinks.tables import read_table, upsert_into
 
 
 @register("agg_theme_ratio", f"""
@@ -268,9 +270,15 @@ UNION ALL SELECT * FROM upd""")
 def snk_upsert_site(spark, sf):
     """SNK-1 with keys (site_id, date): every site re-saves its last four
     weeks one week ahead (+1 meal): overlapping days are replaced, the
-    newest week is inserted."""
+    newest week is inserted. The published table is kept by month: only the
+    months of those weeks are read and written."""
+    keys, root = ["site_id", "date"], scratch_dir(spark, "upsert-site")
     p = fx.site_predictions(spark, sf)
     last = p.agg(F.max("date")).first()[0]  # one scalar
     upd = (p.filter(F.col("date") >= F.date_sub(F.lit(last), 27))
             .withColumns({"date": F.date_add("date", 7), "final_prediction": F.col("final_prediction") + 1}))
-    return UP.upsert(p, upd, ["site_id", "date"])
+    for rows in (p, upd):
+        ok, error = upsert_into(spark, root, rows, keys)
+        if not ok:
+            raise RuntimeError(error)
+    return read_table(spark, root)

@@ -17,9 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.operators import upsert as UP
 from platewise.operators import validate as V
-from platewise.sinks.tables import current_version, publish, read_table, retain_versions
+from platewise.sinks.tables import upsert_into
 from platewise.sources.files import read_csv_files
 
 
@@ -95,12 +94,9 @@ def ingest_paths(spark: SparkSession, paths: list[str], table_root: str, quarant
     try:
         if rows is not None:
             good = V.good_rows(rows, verdicts).select(*keys, *V.VALUE_COLUMNS, F.struct(*UPLOAD_ORDER).alias("_order"))
-            base = current_version(spark, table_root)
-            ok, err = publish(UP.upsert(read_table(spark, table_root), good, keys, order_col="_order"), table_root,
-                              base=base)
+            ok, err = upsert_into(spark, table_root, good, keys, order_col="_order", keep=keep_versions)
             if not ok:
                 return False, err
-            retain_versions(spark, table_root, keep_versions)
         rejected = verdicts.filter(F.col("status") != "ok")
         if epoch_id is None:
             rejected.write.mode("append").parquet(quarantine_root)
