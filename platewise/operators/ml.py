@@ -17,13 +17,15 @@ AGG-12...15, SNK-7, SNK-8).
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -210,6 +212,95 @@ def feature_importances(model: PipelineModel, features: Sequence[str]) -> list[t
     return sorted(zip(features, imp.toArray().tolist()), key=lambda kv: -kv[1])
 
 
+# --- out-of-bag score: bagging by weights that follow from the key ----------
+# MLlib's forest draws its bootstrap inside and keeps no record of it, so the
+# rows that a tree has not seen cannot be told. Here a row's weight in a tree
+# is a Poisson(1) number taken from a hash of the row's key and the tree: the
+# bootstrap of large samples, known afterwards, the same on any partitioning.
+
+#: Poisson(1) is at least k + 1 when a number below 2^32 is at least the k-th of these.
+POISSON = [round(2 ** 32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(9)]
+
+
+def bag_weight(key: Column, tree: Column) -> Column:
+    """How often a row counts in a tree: 0 to 9, from the first 32 bits of the
+    md5 of ``key:tree``."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", key, tree)), 1, 8), 16, 10).cast("bigint")
+    return sum((F.when(drawn >= x, 1).otherwise(0) for x in POISSON), F.lit(0))
+
+
+def tree_arrays(model: DecisionTreeRegressionModel, depth: int) -> tuple[list[int], list[float], list[float]]:
+    """A regression tree filled up to ``depth``: feature and threshold of its
+    inner nodes (the children of i are 2 i + 1, where the value is at most the
+    threshold, and 2 i + 2) and the leaves' values. All features are numbers
+    (the one-hot ones 0 and 1), so all splits have thresholds."""
+    feature, threshold, value = [0] * (2 ** depth - 1), [math.inf] * (2 ** depth - 1), [0.0] * 2 ** depth
+
+    def fill(node, i: int) -> None:
+        if i >= len(feature):
+            value[i - len(feature)] = float(node.prediction())
+        elif node.getClass().getSimpleName() == "InternalNode":
+            feature[i], threshold[i] = node.split().featureIndex(), float(node.split().threshold())
+            fill(node.leftChild(), 2 * i + 1)
+            fill(node.rightChild(), 2 * i + 2)
+        else:  # a leaf above: all below it have its value
+            fill(node, 2 * i + 1)
+            fill(node, 2 * i + 2)
+
+    fill(model._call_java("rootNode"), 0)
+    return feature, threshold, value
+
+
+def fit_bagged(train: DataFrame, features: Sequence[str], key: Column, label: str = LABEL,
+               trees: int = FOREST["numTrees"], threads: int = 8) -> list[DecisionTreeRegressionModel]:
+    """ML-5 with known bags: ``trees`` regression trees of the forest's depth
+    and leaf size, each on its own weights, ``threads`` of them at a time."""
+    asm = VectorAssembler(inputCols=list(features), outputCol="features")
+    data = asm.transform(train.withColumn("bag_key", key)).select("bag_key", "features", F.col(label).cast("double").alias("label"))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(tree: int) -> DecisionTreeRegressionModel:
+        rows = data.withColumn("weight", bag_weight(F.col("bag_key"), F.lit(tree)).cast("double")).filter("weight > 0")
+        return DecisionTreeRegressor(featuresCol="features", labelCol="label", weightCol="weight", seed=FOREST["seed"],
+                                     maxDepth=FOREST["maxDepth"], minInstancesPerNode=FOREST["minInstancesPerNode"]).fit(rows)
+
+    try:
+        data.count()
+        with ThreadPoolExecutor(threads) as pool:
+            return list(pool.map(inheritable_thread_target(data.sparkSession)(fit), range(trees)))
+    finally:
+        data.unpersist()
+
+
+def bag_predictions(rows: DataFrame, models: Sequence[DecisionTreeRegressionModel], features: Sequence[str],
+                    key: Column, keep: Sequence[str]) -> DataFrame:
+    """(``keep``, tree, weight, prediction): every row with every tree."""
+    depth = FOREST["maxDepth"]
+    trees = F.array(*[F.struct(F.lit(t).alias("tree"), *[F.lit(x).alias(n) for n, x in zip(
+        ("feature", "threshold", "value"), tree_arrays(m, depth))]) for t, m in enumerate(models)])
+    out = rows.select(*keep, key.alias("_key"), F.array(*features).alias("_x"), F.inline(trees))
+
+    def down(i: Column, _: Column) -> Column:
+        right = F.get("_x", F.get("feature", i)) > F.get("threshold", i)
+        return 2 * i + F.when(right, 2).otherwise(1)
+
+    leaf = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), down) - (2 ** depth - 1)
+    return out.select(*keep, "tree", bag_weight(F.col("_key"), F.col("tree")).alias("weight"),
+                      F.get("value", leaf).alias("prediction"))
+
+
+def out_of_bag(predictions: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """ML-6: one row per row: ``oob_trees``, the trees that have not seen it,
+    and their mean ``prediction`` (null where every tree has)."""
+    unseen = F.col("weight") == 0
+    return predictions.groupBy(*keep).agg(
+        F.count_if(unseen).alias("oob_trees"), F.avg(F.when(unseen, F.col("prediction"))).alias("prediction"))
+
+
+def oob_score(oob: DataFrame, label: str = LABEL, by: Sequence[str] = ()) -> DataFrame:
+    """ML-6: the out-of-bag errors and R² (rows that every tree has seen left out)."""
+    return regression_metrics(oob.filter(F.col("prediction").isNotNull()), label, by=by)
+
 
 # --- many sites: one global forest on a per-site normalised target ----------
 # With thousands of sites one model per site cannot be trained in parallel

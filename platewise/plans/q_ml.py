@@ -17,6 +17,7 @@ from platewise.operators import upsert as UP
 from platewise.plans.catalog import register
 from platewise.plans.q_features import _REQ_SQL, flow_prepare
 from platewise.schemas import PREDICTION_COLUMNS
+from platewise.session import scratch_dir
 
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August",
           "September", "October", "November", "December"]
@@ -180,6 +181,88 @@ def ml_backtest(spark, sf):
     return out
 
 
+_BAG_SQL = f"""
+, trees AS (SELECT CAST(range AS INTEGER) AS tree FROM range({ML.FOREST["numTrees"]})),
+bags AS (
+  SELECT date, total_meals, tree, {" + ".join(
+      f"CASE WHEN drawn >= {x} THEN 1 ELSE 0 END" for x in ML.POISSON)} AS weight
+  FROM (SELECT date, total_meals, tree,
+               CAST('0x' || substr(md5(CAST(date AS VARCHAR) || ':' || CAST(tree AS VARCHAR)), 1, 8) AS BIGINT) AS drawn
+        FROM sp, trees WHERE split = 'train') d)"""
+
+
+def _bagged(spark, sf):
+    """Training days with every tree of a bagged forest: date, total_meals,
+    tree, weight, prediction; written, as the score and its check read it."""
+    _, features, enc = trained(spark, sf)
+    train, key = enc.filter(F.col("split") == "train"), F.col("date").cast("string")
+    models = ML.fit_bagged(train, features, key)
+    path = scratch_dir(spark, "bag-predictions")
+    ML.bag_predictions(train, models, features, key, ["date", ML.LABEL]).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("ml_oob_weights", _FRAME_SQL + _BAG_SQL + """
+SELECT date, count(*) FILTER (WHERE weight = 0) AS oob_trees, CAST(sum(weight) AS BIGINT) AS weights,
+       CAST(max(weight) AS INTEGER) AS most FROM bags GROUP BY date""")
+def ml_oob_weights(spark, sf):
+    """ML-6: the training days' bags: how many trees have not seen a day, the
+    sum of its weights in all trees and the greatest."""
+    f = ML.temporal_split(frame(spark, sf)).filter(F.col("split") == "train")
+    tree = F.explode(F.sequence(F.lit(0), F.lit(ML.FOREST["numTrees"] - 1)))
+    bags = f.select("date", tree.alias("tree")).withColumn(
+        "weight", ML.bag_weight(F.col("date").cast("string"), F.col("tree")))
+    return bags.groupBy("date").agg(F.count_if(F.col("weight") == 0).alias("oob_trees"), F.sum("weight").alias("weights"),
+                                    F.max("weight").alias("most"))
+
+
+@register("ml_oob")
+def ml_oob(spark, sf):
+    """ML-6: the out-of-bag score of the bagged forest: each training day
+    predicted by the trees that have not seen it."""
+    return ML.oob_score(ML.out_of_bag(_bagged(spark, sf), ["date", ML.LABEL]))
+
+
+@register("ml_oob_facts", _FRAME_SQL + _BAG_SQL + """
+SELECT date, total_meals, count(*) FILTER (WHERE weight = 0) AS oob_trees, true AS weights_agree, true AS score_agrees
+FROM bags GROUP BY date, total_meals""")
+def ml_oob_facts(spark, sf):
+    """ML-6: of each training day the trees that have not seen it; the score
+    agrees with one made in SQL from the stored predictions of every tree."""
+    stored = _bagged(spark, sf)
+    score = ML.oob_score(ML.out_of_bag(stored, ["date", ML.LABEL])).first()["r2"]  # one scalar
+    again = spark.sql("""
+        WITH p AS (SELECT date, first(total_meals) AS y, sum(IF(weight = 0, prediction, 0)) / count_if(weight = 0) AS p
+                   FROM {stored} GROUP BY date HAVING count_if(weight = 0) > 0)
+        SELECT 1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2 FROM p""", stored=stored).first()["r2"]
+    by_day = stored.groupBy("date", ML.LABEL).agg(
+        F.count_if(F.col("weight") == 0).alias("oob_trees"), F.count_if(F.col("weight") != ML.bag_weight(
+            F.col("date").cast("string"), F.col("tree"))).alias("wrong"))
+    return by_day.select("date", ML.LABEL, "oob_trees", (F.col("wrong") == 0).alias("weights_agree"),
+                         F.lit(abs(score - again) < 1e-6).alias("score_agrees"))
+
+
+#: Meals of a day by its theme alone, for a forest that can be checked.
+PLANTED = {t: 40.0 * (i + 1) for i, t in enumerate(THEMES)}
+
+
+@register("ml_planted", _FRAME_SQL + f"""
+SELECT date, day_theme, CAST(CASE day_theme {" ".join(f"WHEN {q(t)} THEN {v}" for t, v in PLANTED.items())} END AS DOUBLE)
+         AS planted, true AS found
+FROM sp""")
+def ml_planted(spark, sf):
+    """ML-4 / ML-5: where the total follows from the theme, the forest (of the
+    published model's settings) finds it, to a thousandth of a meal, on
+    training and holdout days."""
+    rule = F.element_at(F.create_map(*[F.lit(x) for kv in PLANTED.items() for x in kv]), F.col("day_theme"))
+    f = ML.temporal_split(frame(spark, sf)).withColumn("planted", rule)
+    features = ML.feature_columns(CATEGORIES)
+    enc = ML.one_hot(f, CATEGORIES)
+    model = ML.fit_forest(enc.filter(F.col("split") == "train"), features, label="planted")
+    return model.transform(enc).select("date", "day_theme", "planted",
+                                       (F.abs(F.col("prediction") - F.col("planted")) < 1e-3).alias("found"))
+
+
 def metadata_record(spark, sf):
     """SNK-8 / AGG-15: counts, holdout metrics, feature list, source; one
     aggregate over the scored frame (holdout metrics are conditional)."""
@@ -431,3 +514,52 @@ def flow_forecast_mean(spark, sf):
     columns = ["date", "predicted_meals", "predicted_meals_veg", "predicted_meals_non_veg", "final_prediction"]
     return UP.upsert(fx.predictions(spark, sf, a).select(columns), scored.select(*columns, "start_date"), ["date"],
                      order_col="start_date")
+
+
+_SITE_FRAME_SQL = f"""
+, stf AS (
+  SELECT s.site_id, s.date, s.actual_meals AS total_meals
+  FROM site_sales s LEFT JOIN weather w ON s.date = w.date
+  WHERE w.temperature_max IS NOT NULL AND w.weather_condition IS NOT NULL),
+ssp AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY date DESC) <= {ML.HOLDOUT_DAYS} AS test FROM stf)"""
+
+
+@register("ml_sites_facts", _SITE_FRAME_SQL + """
+, m AS (SELECT site_id, avg(total_meals) FILTER (WHERE NOT test) AS mean FROM ssp GROUP BY site_id),
+e AS (SELECT s.site_id, CAST(s.total_meals AS DOUBLE) AS y, m.mean AS p FROM ssp s JOIN m USING (site_id) WHERE s.test)
+SELECT site_id, 'forest' AS model, count(*) AS n, CAST(NULL AS DOUBLE) AS mae, CAST(NULL AS DOUBLE) AS rmse, true AS sound
+FROM e GROUP BY site_id
+UNION ALL
+SELECT site_id, 'train_mean', count(*), round(avg(abs(y - p)), 6), round(sqrt(avg((y - p) * (y - p))), 6), true
+FROM e GROUP BY site_id""")
+def ml_sites_facts(spark, sf):
+    """ML-5 / AGG-12...14 for every site: the rows scored, the training mean's
+    errors by value, and of the forest's that its RMSE is no less than its MAE."""
+    s = ml_sites(spark, sf)
+    mean = F.col("model") == "train_mean"
+    return s.select("site_id", "model", "n", *[F.when(mean, F.round(c, 6)).alias(c) for c in ("mae", "rmse")],
+                    (F.col("mae").isNull() | (F.col("rmse") >= F.col("mae") - F.lit(1e-9))).alias("sound"))
+
+
+@register("flow_forecast_sites_facts", """
+, last AS (SELECT site_id, max(date) AS d FROM site_sales GROUP BY site_id),
+ahead AS (SELECT l.site_id, CAST(l.d + CAST(k.range AS INTEGER) AS DATE) AS date FROM last l, range(1, 12) k),
+new AS (
+  SELECT a.site_id, a.date FROM (
+    SELECT site_id, date, row_number() OVER (PARTITION BY site_id ORDER BY date) AS n FROM ahead WHERE isodow(date) < 6) a
+  LEFT JOIN holidays h ON a.date = h.date WHERE a.n <= 5 AND NOT COALESCE(h.is_bank_holiday, false))
+SELECT site_id, date, true AS sound FROM new
+UNION ALL
+SELECT site_id, date, true FROM site_predictions p
+WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.site_id = p.site_id AND n.date = p.date)""")
+def flow_forecast_sites_facts(spark, sf):
+    """FLOW-1 for every site: the days in the table afterwards; the forecast
+    ones have whole parts that add up, the others are as they were."""
+    names = ["predicted_meals", "predicted_meals_veg", "predicted_meals_non_veg", "final_prediction"]
+    before = fx.site_predictions(spark, sf).select("site_id", "date", F.struct(*names).alias("before"))
+    after = flow_forecast_sites(spark, sf).withColumn("after", F.struct(*names))
+    forecast = F.col("prediction_timestamp") == F.lit(AS_OF.isoformat(sep=" ")).cast("timestamp_ntz")
+    total, veg, non_veg, final = (F.col(n) for n in names)
+    sound = F.when(forecast, (veg + non_veg == total) & (final == total) & (total > 0)).otherwise(
+        F.col("before").eqNullSafe(F.col("after")))
+    return after.join(before, ["site_id", "date"], "left").select("site_id", "date", sound.alias("sound"))

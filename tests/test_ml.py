@@ -92,3 +92,40 @@ def test_feature_importances_cover_all_features(spark):
     model = ML.fit_forest(ML.one_hot(f, cats).filter("split = 'train'"), feats, numTrees=10)
     imp = ML.feature_importances(model, feats)
     assert sorted(n for n, _ in imp) == sorted(feats) and abs(sum(v for _, v in imp) - 1.0) < 1e-9
+
+
+def test_bagged_trees_and_their_out_of_bag_score(spark):
+    from pyspark.sql import functions as F
+    f = _frame(spark, 150)
+    cats = ML.categories(f)
+    feats = ML.feature_columns(cats)
+    enc = ML.one_hot(f, cats)
+    key = F.col("date").cast("string")
+    models = ML.fit_bagged(enc, feats, key, trees=12)
+    stored = ML.bag_predictions(enc, models, feats, key, ["date", ML.LABEL]).cache()
+    assert stored.count() == 150 * 12
+    # the trees as expressions predict what the models predict
+    from pyspark.ml.feature import VectorAssembler
+    x = VectorAssembler(inputCols=feats, outputCol="features").transform(enc)
+    for t in (0, 7):
+        plain = {r["date"]: r["prediction"] for r in models[t].transform(x).select("date", "prediction").collect()}
+        assert {r["date"]: r["prediction"] for r in stored.filter(F.col("tree") == t).collect()} == plain
+    assert len({models[t].toDebugString for t in range(12)}) > 1
+    oob = {r["date"]: r for r in ML.out_of_bag(stored, ["date", ML.LABEL]).collect()}
+    rows = stored.collect()
+    for d, r in oob.items():
+        unseen = [x["prediction"] for x in rows if x["date"] == d and x["weight"] == 0]
+        assert r["oob_trees"] == len(unseen)
+        assert r["prediction"] is None if not unseen else abs(r["prediction"] - sum(unseen) / len(unseen)) < 1e-9
+    scored = [r for r in oob.values() if r["prediction"] is not None]
+    mean = sum(r[ML.LABEL] for r in scored) / len(scored)
+    r2 = 1 - sum((r[ML.LABEL] - r["prediction"]) ** 2 for r in scored) / sum((r[ML.LABEL] - mean) ** 2 for r in scored)
+    got = ML.oob_score(ML.out_of_bag(stored, ["date", ML.LABEL])).first()
+    assert abs(got["r2"] - r2) < 1e-9 and got["n"] == len(scored) and r2 > 0.5
+
+
+def test_bag_weights_are_poisson(spark):
+    from pyspark.sql import functions as F
+    w = spark.range(20_000).select(ML.bag_weight(F.col("id").cast("string"), F.lit(3)).alias("w"))
+    got = {r["w"]: r["count"] / 20_000 for r in w.groupBy("w").count().collect()}
+    assert abs(got[0] - 0.3679) < 0.015 and abs(got[1] - 0.3679) < 0.015 and abs(got[2] - 0.1839) < 0.012
