@@ -4,6 +4,8 @@ filter that makes per-row decisions take effect on documents."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -100,3 +102,15 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str = "text",
                 start, used = i, 0
             used += int(n)
         yield b.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """At the end of a task: freed memory goes back to the system, so that a
+    worker that waits for its next task keeps none of this one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU library
+        pass
