@@ -143,25 +143,38 @@ def get_prediction(store: Store, model: PipelineModel, features: Sequence[str],
     return ML.score(model, frame, features, SP.theme_ratios(store.actuals(), store.keys), as_of, store.keys)
 
 
-def csv_validation(df: DataFrame) -> tuple[bool, str | None, DataFrame | None]:
+def csv_validation(df: DataFrame, keys: Sequence[str] = ("date",),
+                   site: dict | None = None) -> tuple[bool, str | None, DataFrame | None]:
     """Validate one uploaded file (all columns as text): columns, values,
-    sums, in that order. Returns ``(ok, message, rows)``: the typed rows of a
-    good file, else all its offending rows with their position and errors;
-    only the one-row verdict reaches the driver."""
+    sums, in that order. Keys besides the date are columns of the file, or
+    ``site`` gives their values (an upload for one site). Returns ``(ok,
+    message, rows)``: the typed rows of a good file, else all its offending
+    rows with their position and errors; only the one-row verdict reaches the
+    driver."""
+    others = [k for k in keys if k != "date"]
+    lower = {c.lower(): c for c in df.columns}
+    for k in others:
+        if k in (site or {}):
+            df = df.withColumn(lower.get(k.lower(), k), F.lit(str(site[k])))
+        elif k.lower() in lower:
+            df = df.withColumnRenamed(lower[k.lower()], k)
+        else:
+            return False, f"missing columns: {k}", None
     try:
-        resolved = V.resolve_columns(df)
+        resolved = V.resolve_columns(df, keep=others)
     except V.ColumnError as e:
         return False, str(e), None
-    rows = V.validate_rows(V.with_ordinal(resolved).withColumn("batch", F.lit("upload")))
+    rows = V.validate_rows(V.with_ordinal(resolved).withColumn("batch", F.lit("upload")), keys=others)
     v = V.validate_batches(rows).first()
+    good = rows.select(*others, "date", *V.VALUE_COLUMNS)
     if v is None:
-        return True, None, rows.select("date", *V.VALUE_COLUMNS)  # empty upload
+        return True, None, good  # empty upload
     if v["status"] == "invalid_values":
         return False, f"invalid values in {v['value_error_rows']} rows", bad_rows(rows)
     if v["status"] == "sum_mismatch":
         return False, f"total differs from veg + non-veg in {v['sum_error_rows']} rows " \
                       f"(first at row {v['first_bad_row']})", bad_rows(rows)
-    return True, None, rows.select("date", *V.VALUE_COLUMNS)
+    return True, None, good
 
 
 def seed_actuals_from_file(store: Store, path: str, site: dict | None = None) -> tuple[bool, str | None]:

@@ -18,7 +18,8 @@ grows with those tables. The same views are written in DuckDB SQL in
 from __future__ import annotations
 
 import os
-import uuid
+import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from platewise.operators.features import fill_day_flags, join_holidays, weather_
 from platewise.operators.rollup import daily_demand, daily_demand_by_site
 from platewise.operators.split import theme_ratios, with_theme_ratio
 from platewise.schemas import PREDICTION_COLUMNS
+from platewise.session import scratch_dir
 
 VEG_PRIORITIES = ["1-URGENT", "2-HIGH"]
 SALAD_DIVISOR = 10_000_000  # cents / 1e7 = price / 100000
@@ -182,14 +184,12 @@ def build_site_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("predicted_meals").alias("final_prediction"))
 
 
-# --- materialised views --------------------------------------------------------
+# --- the run's daily tables ------------------------------------------------------
 # The daily tables are what every downstream operator reads. As in
-# production, they are computed once from the raw tables and written as a
-# table in the shared checkpoint folder (which also cuts the lineage); later
-# queries read the small daily table instead of re-aggregating raw lines.
-# The folder is keyed by the input files' paths, sizes and modification
-# times and by the package's source hash, so changed inputs or changed code
-# are never served stale results.
+# production, they are computed once from the raw tables, written into a
+# fresh folder of the run in the shared checkpoint folder (which also cuts the
+# lineage) and handed on as DataFrames; later queries read the small daily
+# table instead of re-aggregating raw lines. Nothing is kept between runs.
 _BUILDERS = {
     "actual_sales": build_actual_sales,
     "site_sales": build_site_sales,
@@ -198,61 +198,47 @@ _BUILDERS = {
     "predictions": build_predictions,
     "site_predictions": build_site_predictions,
 }
-_INPUTS = {
-    "actual_sales": ["orders"], "site_sales": ["orders", "customer"], "weather": ["lineitem"],
-    "holidays": ["orders"], "predictions": ["orders", "lineitem"],
-    "site_predictions": ["orders", "customer"],
-}
-_CODE_VERSION: list[str] = []
-
-
-def _code_version() -> str:
-    """Hash of the package sources: any code change gives new view folders,
-    so a materialised view never outlives the code that defined it."""
-    if not _CODE_VERSION:
-        import hashlib
-        from pathlib import Path
-        h = hashlib.sha1()
-        for f in sorted(Path(__file__).resolve().parent.rglob("*.py")):
-            h.update(f.read_bytes())
-        _CODE_VERSION.append(h.hexdigest()[:12])
-    return _CODE_VERSION[0]
-
-
-def _fingerprint(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
-    import hashlib
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parts = [_code_version()]
-    for t in tables:
-        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
-        fs = path.getFileSystem(conf)
-        st = fs.getFileStatus(path)
-        parts.append(f"{path.toString()}:{fs.getContentSummary(path).getLength()}:{st.getModificationTime()}")
-    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named daily table, materialised once per input version.
+class Run:
+    """What one run has written for the tables of ``sf_dir``: its folder, and
+    the names that are there."""
 
-    Concurrent builders write to private temporary folders and race on one
-    rename; the loser simply reads the winner's table. A failure to build or
-    write the table fails the query.
-    """
-    if os.environ.get("PLATEWISE_MATERIALIZE", "1") == "0":
-        return _BUILDERS[name](spark, sf_dir)
-    from platewise.session import checkpoint_dir
-    from platewise.sinks.tables import _fs
-    root = os.path.join(checkpoint_dir(spark), "views", _fingerprint(spark, sf_dir, _INPUTS[name]), name)
-    done, fs, jvm = _fs(spark, os.path.join(root, "_SUCCESS"))
-    if not fs.exists(done):
-        tmp = root + f".tmp-{uuid.uuid4().hex[:8]}"
-        _BUILDERS[name](spark, sf_dir).write.parquet(tmp)
-        src, _, _ = _fs(spark, tmp)
-        dst = jvm.org.apache.hadoop.fs.Path(root)
-        if not fs.rename(src, dst) and not fs.exists(done):
-            raise RuntimeError(f"could not publish view {name}")
-    return spark.read.parquet(root)
+    def __init__(self, spark: SparkSession):
+        self.folder, self.names, self.lock = scratch_dir(spark, "daily"), set(), threading.RLock()
+
+    def path(self, name: str, write: Callable[[str], object]) -> str:
+        """The folder ``name`` of the run; the first caller has it written."""
+        path = os.path.join(self.folder, name)
+        with self.lock:
+            if name not in self.names:
+                write(path)
+                self.names.add(name)
+        return path
+
+
+_RUNS: dict[tuple[str, str], Run] = {}
+
+
+def build(spark: SparkSession, sf_dir: str) -> Run:
+    """Write all daily tables into a new folder; queries read them from now on
+    (call it again when the raw tables have changed)."""
+    run = _RUNS[spark.sparkContext.applicationId, sf_dir] = Run(spark)
+    for name in _BUILDERS:
+        view(spark, sf_dir, name)
+    return run
+
+
+def current_run(spark: SparkSession, sf_dir: str) -> Run:
+    """The run of this application over ``sf_dir``: the last one that was
+    built, else a new one whose tables are written as they are asked for."""
+    return _RUNS.setdefault((spark.sparkContext.applicationId, sf_dir), Run(spark))
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The named daily table of the run."""
+    path = current_run(spark, sf_dir).path(name, lambda p: _BUILDERS[name](spark, sf_dir).write.parquet(p))
+    return spark.read.parquet(path)
 
 
 def actual_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,5 +267,5 @@ def predictions(spark: SparkSession, sf_dir: str, actuals: DataFrame | None = No
     return view(spark, sf_dir, "predictions")
 
 
-__all__ = ["table", "view", "actual_sales", "site_sales", "weather", "holidays", "predictions",
+__all__ = ["table", "view", "build", "current_run", "actual_sales", "site_sales", "weather", "holidays", "predictions",
            "site_predictions"]

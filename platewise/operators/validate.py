@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,17 +71,14 @@ def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     """WIN-2: dense 0-based row position in partition order (file order for a
     file scan, sort order after ``orderBy``).
 
-    Per-partition counts (one row per partition) are summed into offsets on
-    a tiny frame and broadcast back, so no global window sorts all rows into
-    one task.
+    Per-partition counts (one number per partition comes to the driver) are
+    summed into offsets and joined back; no window or sort holds rows.
     """
     x = _positions(df)
-    counts = x.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", F.coalesce(
-        F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    return x.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_off") + F.col("_pos")) \
-            .drop("_pid", "_pos", "_off")
+    counts = sorted(x.groupBy("_pid").agg(F.count(F.lit(1))).collect())
+    before = accumulate([0, *[n for _, n in counts]])
+    offsets = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before)], "_pid int, _off bigint")
+    return x.join(offsets, "_pid").withColumn(name, F.col("_off") + F.col("_pos")).drop("_pid", "_pos", "_off")
 
 
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
@@ -98,8 +96,9 @@ def _whole_number(c: Column) -> Column:
     return F.when(c.try_cast("bigint").isNotNull(), F.lit(True)).otherwise(as_double)
 
 
-def value_errors(df: DataFrame, salad_integer: bool = True) -> Column:
+def value_errors(df: DataFrame, salad_integer: bool = True, keys: Sequence[str] = ()) -> Column:
     """VAL-2: ``array<string>`` of problems in one row (empty when valid).
+    ``keys`` besides the date (a site) must be whole numbers.
 
     date: ISO ``yyyy-MM-dd`` shape and a real calendar day (a bare cast would
     accept ``2026`` or ``2026-6-3``); counts: present and whole numbers;
@@ -117,13 +116,18 @@ def value_errors(df: DataFrame, salad_integer: bool = True) -> Column:
         else:
             ok = _whole_number(v)
         checks.append(F.when(~F.coalesce(ok, F.lit(False)), F.lit(c)))
+    for k in keys:
+        if k != "date":
+            checks.append(F.when(F.trim(F.col(k).cast("string")).try_cast("int").isNull(), F.lit(k)))
     return F.array_compact(F.array(*checks))
 
 
-def typed(df: DataFrame) -> DataFrame:
-    """Cast validated text to the table types (date, bigint x3, double)."""
+def typed(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Cast validated text to the table types (date, bigint x3, double; other
+    ``keys`` to int)."""
     d = F.trim(F.col("date").cast("string"))
-    out = {"date": F.when(d.rlike(ISO_DATE), d.try_cast("date"))}
+    out = {k: F.trim(F.col(k).cast("string")).try_cast("int") for k in keys if k != "date"}
+    out["date"] = F.when(d.rlike(ISO_DATE), d.try_cast("date"))
     for c in VALUE_COLUMNS:
         t = F.trim(F.col(c).cast("string"))
         out[c] = t.try_cast("double") if c == "actual_meals_salad" else \
@@ -148,11 +152,11 @@ def manual_mismatches(df: DataFrame) -> DataFrame:
     return df.filter(F.col("actual_meals") != F.col("actual_meals_veg") + F.col("actual_meals_non_veg"))
 
 
-def validate_rows(df: DataFrame, salad_integer: bool = True) -> DataFrame:
+def validate_rows(df: DataFrame, salad_integer: bool = True, keys: Sequence[str] = ()) -> DataFrame:
     """VAL-2 + VAL-3 per row: adds ``value_errors``, ``sum_error`` and the
     typed columns. ``sum_error`` is only meaningful when values are valid."""
-    x = df.withColumn("value_errors", value_errors(df, salad_integer))
-    x = typed(x)
+    x = df.withColumn("value_errors", value_errors(df, salad_integer, keys))
+    x = typed(x, keys)
     return x.withColumn("sum_error", (F.size("value_errors") == 0) & ~sum_ok())
 
 

@@ -11,6 +11,7 @@ from platewise.operators import validate as V
 from platewise.operators.compare import missing_actuals
 from platewise.plans.catalog import register
 from platewise.plans.q_split import EDITS_SQL, edits
+from platewise.sources.files import read_csv_files
 
 HEADERS = {"date": "Datum", "actual_meals": "Gesamt", "actual_meals_veg": "Veg",
            "actual_meals_non_veg": "Non-Veg", "actual_meals_salad": "SALAT"}
@@ -56,10 +57,42 @@ def resolved(spark, sf):
     return V.resolve_columns(import_files(spark, sf), keep=["batch", "seq"]).drop("seq")
 
 
+SEPARATORS = {0: ";", 1: ",", 2: "\t"}
+
+
+def write_import_files(spark, sf, root: str) -> None:
+    """One CSV per monthly batch; the separator cycles ``;`` / ``,`` / tab by month."""
+    f = import_files(spark, sf).withColumn("_m", F.substring("batch", 6, 2).cast("int") % 3)
+    for k, sep in SEPARATORS.items():
+        part = f.filter(F.col("_m") == k).drop("_m")
+        (part.repartition("batch").sortWithinPartitions("batch", "Datum", "seq").drop("seq")
+             .write.mode("append").partitionBy("batch").option("header", True).option("sep", sep)
+             .option("quoteAll", k == 1).csv(root))
+
+
+def landed(spark, sf):
+    """The folder of the uploaded files, written once in a run."""
+    return fx.current_run(spark, sf).path("import_files", lambda p: write_import_files(spark, sf, p))
+
+
+def batch_of(path_col):
+    return F.regexp_extract(path_col, r"batch=([0-9]{4}-[0-9]{2})", 1)
+
+
+def uploaded(spark, sf):
+    """The rows of all uploaded files: batch, position in the file, five columns."""
+    out = None
+    for _, df in read_csv_files(spark, landed(spark, sf)):
+        r = V.resolve_columns(df, keep=["_file", "ordinal"])
+        r = r.withColumn("batch", batch_of(F.col("_file"))).drop("_file")
+        out = r if out is None else out.unionByName(r)
+    if out is None:
+        return spark.createDataFrame([], "ordinal bigint, date string, " + "".join(f"{c} string, " for c in V.VALUE_COLUMNS) + "batch string")
+    return out
+
+
 def checked(spark, sf):
-    rows = V.resolve_columns(import_files(spark, sf), keep=["batch", "seq"])
-    rows = V.ordinal_within(rows, "batch", ["date", "seq"])
-    return V.validate_rows(rows.withColumn("raw_date", F.col("date")))
+    return V.validate_rows(uploaded(spark, sf).withColumn("raw_date", F.col("date")))
 
 
 IMPORT_SQL = """
@@ -181,9 +214,8 @@ def flow_import(spark, sf):
     """FLOW-3: monthly files -> resolve -> validate -> upsert the files that
     pass (all or nothing per file) into a table lacking each month's first
     week -> the refreshed list of days still missing actuals."""
-    from platewise.session import cut_lineage
     a = fx.actual_sales(spark, sf)
-    rows = cut_lineage(checked(spark, sf))  # feeds the verdicts and the good rows
+    rows = checked(spark, sf)
     verdicts = V.validate_batches(rows)
     good = V.good_rows(rows, verdicts).select("date", *V.VALUE_COLUMNS, F.struct("batch", "ordinal").alias("_order"))
     db = UP.upsert(a.filter(F.dayofmonth("date") > 7), good, ["date"], order_col="_order")

@@ -17,7 +17,6 @@ from platewise.operators import upsert as UP
 from platewise.plans.catalog import register
 from platewise.plans.q_features import _REQ_SQL, flow_prepare
 from platewise.schemas import PREDICTION_COLUMNS
-from platewise.session import scratch_dir
 
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August",
           "September", "October", "November", "December"]
@@ -122,8 +121,8 @@ _MODELS: dict = {}
 
 
 def trained(spark, sf):
-    """Fit once per (session, data set): frame -> holdout -> one-hot -> forest."""
-    key = (spark.sparkContext.applicationId, sf)  # one fit per application and data set
+    """Fit once per run (see ``fixtures.build``): frame -> holdout -> one-hot -> forest."""
+    key = fx.current_run(spark, sf).folder
     if key not in _MODELS:
         f = ML.temporal_split(frame(spark, sf))
         cats = CATEGORIES
@@ -194,12 +193,13 @@ bags AS (
 def _bagged(spark, sf):
     """Training days with every tree of a bagged forest: date, total_meals,
     tree, weight, prediction; written, as the score and its check read it."""
-    _, features, enc = trained(spark, sf)
-    train, key = enc.filter(F.col("split") == "train"), F.col("date").cast("string")
-    models = ML.fit_bagged(train, features, key)
-    path = scratch_dir(spark, "bag-predictions")
-    ML.bag_predictions(train, models, features, key, ["date", ML.LABEL]).write.parquet(path)
-    return spark.read.parquet(path)
+    def write(path):
+        _, features, enc = trained(spark, sf)
+        train, key = enc.filter(F.col("split") == "train"), F.col("date").cast("string")
+        models = ML.fit_bagged(train, features, key)
+        ML.bag_predictions(train, models, features, key, ["date", ML.LABEL]).write.parquet(path)
+
+    return spark.read.parquet(fx.current_run(spark, sf).path("bag_predictions", write))
 
 
 @register("ml_oob_weights", _FRAME_SQL + _BAG_SQL + """

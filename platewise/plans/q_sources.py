@@ -10,15 +10,12 @@ from pyspark.sql import functions as F
 from platewise import fixtures as fx
 from platewise.operators import validate as V
 from platewise.plans.catalog import register
-from platewise.plans.q_import import IMPORT_SQL, import_files
+from platewise.plans.q_import import IMPORT_SQL, uploaded, write_import_files
 from platewise.session import scratch_dir
-from platewise.sinks.tables import publish, read_table
+from platewise.sinks.tables import publish, read_table, upsert_into
 from platewise.sources import files as SRC
 from platewise.streaming.ingest import landing_layout, start_ingest
 
-SEPARATORS = {0: ";", 1: ",", 2: "\t"}
-
-
 @register("src_holidays", "SELECT * FROM holidays")
 def src_holidays(spark, sf):
     """SRC-1: the holiday table written as CSV (TRUE / FALSE flags, columns in
@@ -49,20 +46,6 @@ def src_sales(spark, sf):
     return SRC.read_sales(spark, path)
 
 
-def write_import_files(spark, sf, root: str) -> None:
-    """One CSV per monthly batch; the separator cycles ``;`` / ``,`` / tab by month."""
-    f = import_files(spark, sf).withColumn("_m", F.substring("batch", 6, 2).cast("int") % 3)
-    for k, sep in SEPARATORS.items():
-        part = f.filter(F.col("_m") == k).drop("_m")
-        (part.repartition("batch").sortWithinPartitions("batch", "Datum", "seq").drop("seq")
-             .write.mode("append").partitionBy("batch").option("header", True).option("sep", sep)
-             .option("quoteAll", k == 1).csv(root))
-
-
-def _batch_of(path_col):
-    return F.regexp_extract(path_col, r"batch=([0-9]{4}-[0-9]{2})", 1)
-
-
 @register("src_sniff", f"""
 , {IMPORT_SQL.strip()}
 SELECT batch, ordinal, date, actual_meals, actual_meals_veg, actual_meals_non_veg, actual_meals_salad
@@ -70,14 +53,35 @@ FROM checked""")
 def src_sniff(spark, sf):
     """SRC-3 + VAL-1 + WIN-2: files of unknown separator and German headers,
     read in one scan per header variant, each row with its in-file position."""
-    root = scratch_dir(spark, "import")
-    write_import_files(spark, sf, root)
+    return uploaded(spark, sf).select("batch", "ordinal", "date", *V.VALUE_COLUMNS)
+
+
+@register("src_sniff_quoted", """
+SELECT date_part('year', date)::BIGINT AS year, strftime(date, '%Y-%m-%d') AS "Datum, Tag", CAST(actual_meals AS VARCHAR) AS "Gesamt",
+       replace(CAST(actual_meals_salad AS VARCHAR), '.', ',') AS "Salat; kg"
+FROM actual_sales
+UNION ALL
+SELECT date_part('year', date)::BIGINT, strftime(date, '%Y-%m-%d'), NULL, NULL FROM holidays""")
+def src_sniff_quoted(spark, sf):
+    """SRC-3: files whose quoted names and decimals hold other separators, and
+    files of one column, read with the separator their lines agree on."""
+    root = scratch_dir(spark, "quoted")
+    a, h = fx.actual_sales(spark, sf), fx.holidays(spark, sf)
+    day = F.date_format("date", "yyyy-MM-dd").alias("Datum, Tag")
+    salad = F.replace(F.col("actual_meals_salad").cast("string"), F.lit("."), F.lit(",")).alias("Salat; kg")
+    for kind, sep in (("semicolon", ";"), ("comma", ","), ("pipe", "|")):
+        part = a.filter(F.year("date") % 3 == ["semicolon", "comma", "pipe"].index(kind))
+        (part.select(F.year("date").alias("year"), day, F.col("actual_meals").alias("Gesamt"), salad)
+         .repartition("year").write.partitionBy("year").option("header", True).option("sep", sep)
+         .option("quoteAll", True).csv(f"{root}/{kind}"))
+    h.select(F.year("date").alias("year"), day).repartition("year").write.partitionBy("year").option(
+        "header", True).option("quoteAll", True).csv(f"{root}/one")
     out = None
-    for _, df in SRC.read_csv_files(spark, root):
-        r = V.resolve_columns(df, keep=["_file", "ordinal"])
-        r = r.select(_batch_of(F.col("_file")).alias("batch"), "ordinal", *[c for c in r.columns
-                                                                           if c not in ("_file", "ordinal")])
-        out = r if out is None else out.unionByName(r)
+    for kind in ("semicolon", "comma", "pipe", "one"):
+        for _, df in SRC.read_csv_files(spark, f"{root}/{kind}"):
+            year = F.regexp_extract("_file", r"year=([0-9]+)", 1).cast("bigint").alias("year")
+            df = df.select(year, *[F.col(f"`{c}`") for c in df.columns if c not in ("_file", "_file_time", "ordinal")])
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 
@@ -107,6 +111,40 @@ def aim_ingest(spark, sf):
     return read_table(spark, paths["table"])
 
 
+@register("aim_ingest_sites", """
+, bad AS (SELECT DISTINCT site_id FROM site_sales WHERE site_id % 7 = 3),
+good AS (SELECT site_id, date, actual_meals + 1 AS actual_meals, actual_meals_veg + 1 AS actual_meals_veg,
+                actual_meals_non_veg, floor(actual_meals_salad) AS actual_meals_salad
+         FROM site_sales WHERE site_id NOT IN (SELECT site_id FROM bad) AND day(date) < 15)
+SELECT site_id, date, actual_meals, actual_meals_veg, actual_meals_non_veg, actual_meals_salad
+FROM site_sales s WHERE day(date) > 7 AND NOT EXISTS (SELECT 1 FROM good g WHERE g.site_id = s.site_id AND g.date = s.date)
+UNION ALL SELECT * FROM good""")
+def aim_ingest_sites(spark, sf):
+    """AIM-2 / FLOW-3 by (site, date): every site's folder gets a file of each
+    month's first two weeks, every third site's names its site in a column
+    instead; a site's wrong total rejects its file. The rest is upserted into
+    a table that lacks each month's first week."""
+    paths = landing_layout(scratch_dir(spark, "ingest-sites"))
+    s = fx.site_sales(spark, sf)
+    files = s.filter(F.dayofmonth("date") < 15).select(
+        "site_id", F.date_format("date", "yyyy-MM-dd").alias("Datum"), (F.col("actual_meals") + 1).alias("Gesamt"),
+        (F.col("actual_meals_veg") + F.when(F.col("site_id") % 7 == 3, 2).otherwise(1)).alias("Veg"),
+        F.col("actual_meals_non_veg").alias("Non-Veg"), F.floor("actual_meals_salad").alias("SALAT"))
+    files.filter("site_id % 3 > 0").repartition("site_id").write.partitionBy("site_id").option("header", True).option(
+        "sep", ";").csv(paths["landing"] + "/by_site")
+    files.filter("site_id % 3 = 0").select(
+        F.col("site_id").alias("k"), F.col("site_id").alias("SITE_ID"), "Datum", "Gesamt", "Veg", "Non-Veg", "SALAT").repartition(
+        "k").write.partitionBy("k").option("header", True).csv(paths["landing"] + "/in_file")
+    keys = ["site_id", "date"]
+    ok, err = upsert_into(spark, paths["table"], s.filter(F.dayofmonth("date") > 7), keys)
+    if not ok:
+        raise RuntimeError(err)
+    q = start_ingest(spark, paths["landing"], paths["table"], paths["quarantine"], paths["checkpoint"], keys=keys)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return read_table(spark, paths["table"])
+
 
 @register("snk_overwrite", """
 SELECT * FROM actual_sales

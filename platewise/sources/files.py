@@ -7,16 +7,27 @@ distributed: a directory of files becomes one DataFrame split by Spark.
 from __future__ import annotations
 
 import csv
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from platewise.functions.formats import to_flag
 from platewise.functions.weather import weather_category
 from platewise.schemas import HOLIDAYS, MODEL_METADATA, SALES_FILE, WEATHER_RESPONSE
+from platewise.sinks.tables import _fs
 
 CANDIDATE_SEPARATORS = [",", ";", "\t", "|"]
+#: Of a file's head: bytes read at a time, and lines that choose its separator.
+HEAD_BYTES, HEAD_LINES = 1 << 14, 50
+#: A list of splits is broadcast up to this length (some 20 MB); a split has
+#: so many bytes, unless ``spark.sql.files.maxPartitionBytes`` is less or the
+#: file ends.
+BROADCAST_SPLITS, SMALLEST_SPLIT = 300_000, 4 << 20
 
 
 def read_by_name(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -78,15 +89,12 @@ def _sales(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """SRC-3: choose the delimiter from the header line only.
-
-    Reads one line (``limit(1)``: a single small task), counts each candidate
-    and returns the most frequent; ties go to the earlier candidate.
-    """
-    head = spark.read.text(path).limit(1).first()
-    if head is None:
+    """SRC-3: the delimiter of a file (of the first one, of a folder), from
+    its first lines; only their bytes are read."""
+    heads = file_heads(spark, path)
+    if not heads or not heads[0].lines:
         raise ValueError(f"empty or unreadable file: {path}")
-    return choose_separator(head[0])
+    return choose_separator(heads[0].lines)
 
 
 def read_sniffed(spark: SparkSession, path: str) -> tuple[DataFrame | None, str | None]:
@@ -159,27 +167,51 @@ def read_model_metadata_full(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(MODEL_METADATA).json(path)
 
 
-def file_headers(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """First line of every file, in one distributed job.
+@dataclass(frozen=True)
+class FileHead:
+    """A file's path and size and its first lines that are not blank."""
 
-    A file's first line is the first row of its split that starts at byte 0;
-    ``monotonically_increasing_id`` preserves in-partition order, so
-    ``min_by(value, id)`` over those rows is the header. Returns
-    ``(file_path, header)``.
-    """
-    t = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        "value", F.monotonically_increasing_id().alias("_id"))
-    return (t.filter(F.col("block_start") == 0)
-             .groupBy("file_path").agg(F.min_by("value", "_id").alias("header")))
+    path: str
+    length: int
+    lines: list[str]
+
+
+def file_heads(spark: SparkSession, paths: list[str] | str) -> list[FileHead]:
+    """The heads of all files under ``paths``, by path: Spark lists the files
+    (their content is not read), then the first ``HEAD_BYTES`` of each are
+    read, more only while these hold no line. The driver gets these bytes, a
+    few files at a time, and keeps the lines."""
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length").collect()
+
+    def head(path: str, length: int) -> FileHead:
+        p, fs, _ = _fs(spark, path)
+        stream, data = fs.open(p), b""
+        try:
+            while len(data) < length and (not data or b"\n" not in data.strip()):
+                data += bytes(stream.readNBytes(max(HEAD_BYTES, len(data))))
+        finally:
+            stream.close()
+        if len(data) < length:  # the last line is not whole
+            data = data[:data.rfind(b"\n") + 1] or data
+        lines = data.decode("utf-8", "replace").lstrip("\ufeff").splitlines()
+        return FileHead(path, length, [x for x in lines if x.strip()][:HEAD_LINES])
+
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(lambda r: head(r["path"], r["length"]), sorted(listed)))
 
 
-def choose_separator(header: str) -> str:
-    """SRC-3 on one header line: the most frequent candidate, earlier wins."""
-    counts = [header.count(s) for s in CANDIDATE_SEPARATORS]
-    best = max(range(len(CANDIDATE_SEPARATORS)), key=lambda i: (counts[i], -i))
-    return CANDIDATE_SEPARATORS[best]
+def choose_separator(lines: list[str]) -> str:
+    """SRC-3: the candidate by which the lines have as many fields as the
+    first one (separators within quotes don't count): at least half of the
+    lines must, more than one field is better than one, then the more lines,
+    the more fields, the earlier candidate."""
+
+    def score(i: int) -> tuple:
+        fields = [len(next(csv.reader([x], delimiter=CANDIDATE_SEPARATORS[i]), [])) for x in lines]
+        same = sum(n == fields[0] for n in fields[1:]) / (len(fields) - 1) if len(fields) > 1 else 1.0
+        return same >= 0.5, fields[0] > 1, same, fields[0], -i
+
+    return CANDIDATE_SEPARATORS[max(range(len(CANDIDATE_SEPARATORS)), key=score)]
 
 
 def header_names(header: str, sep: str) -> list[str]:
@@ -187,26 +219,52 @@ def header_names(header: str, sep: str) -> list[str]:
     return [h.strip() for h in next(csv.reader([header.lstrip("\ufeff").rstrip("\r")], delimiter=sep))]
 
 
-def with_file_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """WIN-2 for file reads: 0-based data-row position inside each file.
-
-    Rows of one file split are consecutive in their partition, so
-    ``id - min(id)`` per (file, split) is the position inside the split;
-    per-file offsets are running sums over the (small) split-count frame.
-    No window ever holds a whole file. ``df`` must come straight from a
-    file scan (it uses the hidden ``_metadata`` columns).
-    """
-    x = df.select("*", F.col("_metadata.file_path").alias("_file"),
-                  F.col("_metadata.file_modification_time").alias("_file_time"),
-                  F.col("_metadata.file_block_start").alias("_blk"),
-                  F.monotonically_increasing_id().alias("_id"))
-    blocks = x.groupBy("_file", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    from pyspark.sql.window import Window
-    w = Window.partitionBy("_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("_file", "_blk", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (x.join(offsets, ["_file", "_blk"])
-             .withColumn(name, F.col("_id") - F.col("_first") + F.col("_off"))
-             .drop("_blk", "_id", "_first", "_off"))
+#: What ``with_position`` adds.
+POSITION = ["_file", "_file_time", "_block", "_id"]
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    """``df``, straight from a file scan, with each row's file, the file's
+    time, the split's place in it and an id that grows within the split."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"),
+                     F.col("_metadata.file_modification_time").alias("_file_time"),
+                     F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_id"))
+
+
+def file_ordinals(rows: DataFrame, few: bool, name: str = "ordinal") -> DataFrame:
+    """WIN-2 for file reads: 0-based data-row position inside each file, from
+    the columns that ``with_position`` added; all its rows must be there.
+
+    Rows of one split are consecutive in their partition, so ``id - min(id)``
+    per (file, split) is the position inside the split, and the rows before it
+    are those of the file's earlier splits: one counting pass, then a prefix
+    sum over the splits, never a sort or window over rows. The list of the
+    splits comes to the driver and is broadcast while ``few`` (see
+    ``few_splits``); beyond, it stays distributed. The counting pass reads
+    ``rows`` by itself: hand in a written or checkpointed table, or a scan,
+    whose splits are counted without reading its columns."""
+    splits = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    if few:
+        shifts, file, before = [], None, 0
+        for r in sorted(splits.collect()):
+            file, before = r["_file"], before if r["_file"] == file else 0
+            shifts.append((file, r["_block"], before - r["_first"]))
+            before += r["_n"]
+        shifts = F.broadcast(rows.sparkSession.createDataFrame(shifts, "_file string, _block bigint, _shift bigint"))
+    else:
+        earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        shifts = splits.select("_file", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    joined = rows.join(shifts, ["_file", "_block"])
+    return joined.withColumn(name, F.col("_id") + F.col("_shift")).drop("_block", "_id", "_shift")
+
+
+def few_splits(spark: SparkSession, heads: list[FileHead]) -> bool:
+    """Whether the files' splits are at most ``BROADCAST_SPLITS``."""
+    size = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    # splits may be smaller than that, where files are few and cores many
+    return sum(1 + h.length // min(size, SMALLEST_SPLIT) for h in heads) <= BROADCAST_SPLITS
 
 
 def unique_names(names: list[str]) -> list[str]:
@@ -221,30 +279,32 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def read_csv_files(spark: SparkSession, paths: list[str] | str,
-                   unreadable: list[str] | None = None, ordinal: bool = True) -> list[tuple[str, DataFrame]]:
-    """SRC-3 for many files: headers in one job, files grouped by header
-    line, each group read once with the separator sniffed from its header.
-    Returns ``(header, df)`` pairs; ``df`` has every column as string plus,
-    with ``ordinal``, ``_file``, ``_file_time`` (when it was last written) and
-    ``ordinal`` (position inside its file). Files without a
-    header line (empty) are appended to ``unreadable`` when given.
-
-    The driver receives one short header line per file: file-level metadata
-    that Spark's file index keeps on the driver for any scan anyway; no data
-    row leaves the executors.
+def read_csv_files(spark: SparkSession, paths: list[str] | str, unreadable: list[str] | None = None,
+                   ordinal: bool = True, position: bool = False) -> list[tuple[str, DataFrame]]:
+    """SRC-3 for many files: grouped by header line and separator (see
+    ``choose_separator``), each group read once, every column as string.
+    Returns ``(header, df)`` pairs. With ``ordinal``, ``df`` also has ``_file``,
+    ``_file_time`` (when it was last written) and ``ordinal`` (position inside
+    its file); with ``position``, what ``file_ordinals`` makes that of, for a
+    caller that writes the rows first. Files without a line are appended to
+    ``unreadable`` when given.
     """
-    groups: dict[str, list[str]] = {}
-    for r in file_headers(spark, paths).collect():
-        groups.setdefault(r["header"], []).append(r["file_path"])
-    if unreadable is not None and isinstance(paths, list):
-        seen = {f for files in groups.values() for f in files}
-        unreadable.extend(p for p in paths if p not in seen)  # empty files have no header line
-    out = []
-    for header in sorted(groups):
-        sep = choose_separator(header)
+    heads = file_heads(spark, paths)
+    groups: dict[tuple[str, str], list[str]] = {}
+    for h in heads:
+        if h.lines:
+            groups.setdefault((h.lines[0], choose_separator(h.lines)), []).append(h.path)
+        elif unreadable is not None:
+            unreadable.append(h.path)
+    if unreadable is not None and isinstance(paths, list):  # Spark lists no empty files
+        named = {urlsplit(h.path).path: 1 for h in heads}
+        unreadable.extend(p for p in paths if urlsplit(p).path not in named)
+    few, out = few_splits(spark, heads), []
+    for (header, sep), files in sorted(groups.items()):
         names = unique_names(header_names(header, sep))
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = spark.read.csv(sorted(groups[header]), sep=sep, header=True, schema=schema, enforceSchema=True)
-        out.append((header, with_file_ordinal(df) if ordinal else df))
+        df = spark.read.csv(sorted(files), sep=sep, header=True, schema=schema, enforceSchema=True)
+        if ordinal or position:
+            df = with_position(df)
+        out.append((header, file_ordinals(df, few) if ordinal and not position else df))
     return out

@@ -12,6 +12,7 @@ published; the checkpoint replays it and the upsert is idempotent.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,29 +20,38 @@ from pyspark.sql import functions as F
 
 from platewise.operators import validate as V
 from platewise.sinks.tables import upsert_into
-from platewise.sources.files import read_csv_files
+from platewise.sources.files import POSITION, file_ordinals, read_csv_files
 
 
-def validate_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+def validate_files(spark: SparkSession, paths: list[str], keys: Sequence[str] = ("date",)) -> tuple[DataFrame, DataFrame]:
     """Rows (with ``batch`` = file) and per-file verdicts for a set of files.
 
+    Of each file its head is read, then its rows once: they are written
+    (checkpointed) with their place in their split, and positions, verdicts
+    and the upsert read that. Keys besides the date (a site) are columns of
+    the file or, where it has none of that name, stand in its folder's name
+    (``site_id=7``); a row without one is an invalid value.
+
     Files whose headers lack a required column (or repeat one) get a
     ``missing_columns`` (``duplicate_columns``) verdict without a value
-    check, the ordered short circuit; files named in ``paths`` that have no
-    header line get ``unreadable`` (the streaming source never lists empty
-    files: they carry no rows)."""
+    check, the ordered short circuit; files without a header line get
+    ``unreadable``."""
     rows, bad_cols = None, []
     unreadable: list[str] = []
-    for header, df in read_csv_files(spark, paths, unreadable):
+    others = [k for k in keys if k != "date"]
+    for header, df in read_csv_files(spark, paths, unreadable, position=True):
+        lower = {c.lower(): c for c in df.columns}
+        for k in others:
+            folder = F.regexp_extract("_file", rf"/{re.escape(k)}=([^/]+)/", 1)
+            df = df.withColumnRenamed(lower[k.lower()], k) if k.lower() in lower else df.withColumn(k, folder)
         try:
-            r = V.resolve_columns(df, keep=["_file", "_file_time", "ordinal"])
+            r = V.resolve_columns(df, keep=[*POSITION, *others])
         except V.ColumnError as e:
             status = "duplicate_columns" if str(e).startswith("duplicate") else "missing_columns"
             files = df.select("_file").distinct()
             bad_cols.append(files.select(F.col("_file").alias("batch"), F.lit(status).alias("status"),
                                          F.lit(str(e)).alias("message")))
             continue
-        r = r.withColumnRenamed("_file", "batch")
         rows = r if rows is None else rows.unionByName(r)
     if unreadable:
         bad_cols.append(spark.createDataFrame([(p, "unreadable", "empty or unreadable file") for p in unreadable],
@@ -49,7 +59,8 @@ def validate_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Da
     verdicts = None
     if rows is not None:
         from platewise.session import cut_lineage
-        rows = cut_lineage(V.validate_rows(rows))  # feeds the verdicts and the upsert
+        rows = cut_lineage(V.validate_rows(rows, keys=others))  # the one scan of the files
+        rows = file_ordinals(rows, few=True).withColumnRenamed("_file", "batch")  # bounded by the files of one step
         verdicts = V.validate_batches(rows).withColumn("message", F.lit(None).cast("string"))
     for b in bad_cols:
         v = b.select("batch", F.lit(0).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("value_error_rows"),
@@ -87,7 +98,7 @@ def ingest_paths(spark: SparkSession, paths: list[str], table_root: str, quarant
     quarantine folder, overwritten on replay. The table's newest
     ``keep_versions`` versions stay.
     """
-    rows, verdicts = validate_files(spark, paths)
+    rows, verdicts = validate_files(spark, paths, keys)
     if verdicts is None:
         return True, None
     verdicts = verdicts.cache()  # read twice: good-file join and quarantine write
@@ -111,20 +122,22 @@ def ingest_paths(spark: SparkSession, paths: list[str], table_root: str, quarant
 
 
 def start_ingest(spark: SparkSession, landing: str, table_root: str, quarantine_root: str,
-                 checkpoint: str, max_files_per_trigger: int = 1000, available_now: bool = True):
+                 checkpoint: str, max_files_per_trigger: int = 1000, available_now: bool = True,
+                 keys: Sequence[str] = ("date",)):
     """Start the streaming ingest; ``available_now`` processes everything that
-    has landed and stops (scheduled runs), otherwise it keeps running."""
-    files = (spark.readStream.format("text")
+    has landed and stops (scheduled runs), otherwise it keeps running. The
+    stream brings the files' paths alone: it reads none of their bytes."""
+    files = (spark.readStream.format("binaryFile")
+             .schema("path string, modificationTime timestamp, length bigint, content binary")
              .option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "*.[cC][sS][vV]")
              .option("maxFilesPerTrigger", max_files_per_trigger)
-             .load(landing)
-             .select(F.col("_metadata.file_path").alias("path")))
+             .load(landing).select("path"))
 
     def process(batch: DataFrame, epoch_id: int) -> None:
         paths = [r[0] for r in batch.select("path").distinct().collect()]  # bounded by maxFilesPerTrigger
         if paths:
-            ok, err = ingest_paths(batch.sparkSession, paths, table_root, quarantine_root, epoch_id=epoch_id)
+            ok, err = ingest_paths(batch.sparkSession, paths, table_root, quarantine_root, keys, epoch_id=epoch_id)
             if not ok:
                 raise RuntimeError(f"ingest of epoch {epoch_id} failed: {err}")
 

@@ -30,12 +30,6 @@ def test_rollup_prunes_columns(spark):
     assert "o_orderdate" in schema and "o_orderkey" not in schema and "o_custkey" not in schema
 
 
-def test_incremental_rollup_pushes_cutoff_to_scan(spark):
-    text = _formatted(spark, E.queries()["aim_rollup_incremental"](spark, SF))
-    assert any("GreaterThanOrEqual(o_orderdate" in line for line in text.splitlines()
-               if line.startswith("PushedFilters"))
-
-
 def test_date_range_reaches_scan(spark):
     text = _formatted(spark, E.queries()["flt_date_range"](spark, SF))
     pushed = [line for line in text.splitlines() if line.startswith("PushedFilters")]
