@@ -66,26 +66,68 @@ def business_days(start, n) -> Column:
     return F.slice(F.filter(candidates, lambda d: F.weekday(d) < 5), 1, n_col)
 
 
+# --- PRJ-1: anything date-like -------------------------------------------------
+# English month names by number.
+MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
+               "November", "December"]
+
+_ZONE = r"(?:\s*(?:Z|UTC|GMT|[+-]\d{2}:?\d{2}))?"
+_TIME = rf"(?:(?:[T ]\s*|, *)\d{{1,2}}:\d{{2}}(?::\d{{2}}(?:[.,]\d+)?)?(?:\s*[AaPp][Mm])?{_ZONE})?"
+_BASIC_TIME = rf"(?:T\d{{2}}(?:\d{{2}}(?:\d{{2}})?)?{_ZONE})?"
+_NAME = "(" + "|".join(f"{m[:3]}(?:{m[3:]})?" if len(m) > 3 else m for m in MONTH_NAMES) + r")\.?"
+_WEEKDAY = r"(?:(?:Mon|Tues?|Wed(?:nes)?|Thu(?:rs?)?|Fri|Sat(?:ur)?|Sun)(?:day)?\.?,?\s+)?"
+_DAY, _ORDINAL, _YEAR = r"(\d{1,2})", r"(?:st|nd|rd|th)?", r"(\d{4}|\d{2})"
+_SEP = r"([-/.])"
+
+#: Shapes of a date: a pattern and the groups of year, month and day (0: the first).
+#: Where both could be the month, the first number is, unless it is above 12.
+_SHAPES = [
+    (rf"^(\d{{4}}){_SEP}(\d{{1,2}})\2(\d{{1,2}}){_TIME}$", (1, 3, 4)),
+    (rf"^(\d{{4}})(\d{{2}})(\d{{2}}){_BASIC_TIME}$", (1, 2, 3)),
+    (rf"^(0?[1-9]|1[0-2]){_SEP}{_DAY}\2{_YEAR}{_TIME}$", (4, 1, 3)),
+    (rf"^(1[3-9]|[23]\d){_SEP}(\d{{1,2}})\2{_YEAR}{_TIME}$", (4, 3, 1)),
+    (rf"(?i)^{_WEEKDAY}{_DAY}{_ORDINAL}[-/ .]+{_NAME}(?:[-/ ,]+){_YEAR}{_TIME}$", (3, 2, 1)),
+    (rf"(?i)^{_WEEKDAY}{_NAME}[-/ ]+{_DAY}{_ORDINAL}(?:,\s*|[-/ ]+)(\d{{4}}){_TIME}$", (3, 1, 2)),
+    (rf"(?i)^(\d{{4}})[-/ ]{_NAME}[-/ ]{_DAY}{_TIME}$", (1, 2, 3)),
+    (rf"(?i)^{_NAME}[-/ ,]+(\d{{4}})$", (2, 1, 0)),
+    (r"^(\d{4})[-/](\d{1,2})$", (1, 2, 0)),
+    (r"^(\d{4})$", (1, 0, 0)),
+]
+
+
+def _of_shape(text: Column, pattern: str, groups: tuple[int, int, int]) -> Column:
+    """The date that ``text`` names if it has this shape and the day exists."""
+    year, month, day = (F.regexp_extract(text, pattern, g) if g else F.lit("01") for g in groups)
+    # two digits: 1969 to 2068
+    year = F.when(F.length(year) == 2, F.concat(F.when(year >= "69", F.lit("19")).otherwise(F.lit("20")), year)).otherwise(year)
+    number = F.create_map(*[x for i, m in enumerate(MONTH_NAMES) for x in (F.lit(m[:3].lower()), F.lit(f"{i + 1:02}"))])
+    month = F.coalesce(number[F.lower(F.substring(month, 1, 3))], month)
+    iso = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+    return F.when(text.rlike(pattern), iso.try_cast("date"))
+
+
 def parse_date(c, fmt: str | None = None, strict: bool = True) -> Column:
     """PRJ-1: parse anything date-like to a date.
 
-    ``strict`` raises on unparseable input (ANSI cast); otherwise it yields
-    null so the caller can quarantine the row. Read are ISO dates and time
-    stamps (``T`` or a space, whole or part seconds or none, any zone: the
-    written day counts) and ``m/d/yyyy`` or ``m/d/yy`` with an optional time.
-    """
+    ``strict`` raises on unparseable input; otherwise it yields null so the
+    caller can quarantine the row: one grammar for both, and null is null.
+    Read are ISO dates and time stamps (``T`` or a space, whole or part
+    seconds or none; basic form too), numbers with ``-``, ``/`` or ``.``
+    between them (the month first, unless that is above 12; two-digit years
+    are 1969 to 2068), English month names, whole or short, before or after
+    the day, with or without a weekday, and years and months alone (their
+    first day). A time of day and a zone may follow: the written day counts.
+    With ``fmt`` only that pattern is read."""
     c = _col(c)
-    if strict:
-        return F.to_date(c, fmt) if fmt else F.to_date(c)
     if fmt:
-        return F.try_to_timestamp(c, F.lit(fmt)).cast("date")
-    text = F.trim(c.cast("string"))
-    iso = F.regexp_replace(text, r"\s*(Z|UTC|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz").cast("date")
-    day = F.regexp_extract(text, r"^(\d{1,2}/\d{1,2}/\d{2,4})([ T].*)?$", 1)
-    long = F.try_to_timestamp(day, F.lit("M/d/yyyy")).cast("date")
-    short = F.try_to_timestamp(day, F.lit("M/d/yy")).cast("date")
-    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
-    return F.coalesce(iso, F.when(F.length(F.element_at(F.split(day, "/"), -1)) == 4, long).otherwise(short))
+        read = F.try_to_timestamp(c, F.lit(fmt)).cast("date")
+    else:
+        text = F.trim(c.cast("string"))
+        read = F.coalesce(*[_of_shape(text, p, g) for p, g in _SHAPES])
+    if not strict:
+        return read
+    return F.when(c.isNotNull() & read.isNull(), F.raise_error(F.concat(F.lit("no date: "), c.cast("string"))).cast("date")) \
+        .otherwise(read)
 
 
 def weather_mode(end, as_of) -> Column:

@@ -1,8 +1,8 @@
 """Display labels as a dimension table (SRC-8, JON-6).
 
 The nested ``lang -> section -> key -> label`` dictionaries become one long
-table; overlays resolve with ``max_by`` on the layer precedence (later layer
-wins). The table is a fixed dictionary of a few hundred rows, so joining it
+table; overlays resolve section by section on the layer precedence (a later
+layer's section replaces an earlier one's). The table is a fixed dictionary of a few hundred rows, so joining it
 is a broadcast by construction; with the overlay resolved in the dictionaries
 (``label_map``), a lookup is a map literal in the projection and needs no join.
 """
@@ -19,7 +19,7 @@ from platewise.constants import LABEL_LAYERS, LABELS
 
 
 def label_rows(layers: dict = LABELS) -> list[tuple]:
-    return [(layer, LABEL_LAYERS[layer], lang, section, key, label)
+    return [(layer, LABEL_LAYERS.get(layer, 1), lang, section, key, label)
             for layer, langs in layers.items()
             for lang, sections in langs.items()
             for section, entries in sections.items()
@@ -34,11 +34,12 @@ def label_table(spark: SparkSession, layers: dict = LABELS) -> DataFrame:
 
 
 def effective_labels(labels: DataFrame, page: str | None = None) -> DataFrame:
-    """SRC-8: ``common`` overlaid by ``page`` (later layer wins per key)."""
+    """SRC-8: ``common`` overlaid by ``page``: a section that the page has
+    replaces the whole section (what only ``common`` has in it is a miss)."""
     use = ["common"] + ([page] if page else [])
-    return (labels.filter(F.col("layer").isin(*use))
-                  .groupBy("lang", "section", "key")
-                  .agg(F.max_by("label", "precedence").alias("label")))
+    used = labels.filter(F.col("layer").isin(*use))
+    last = used.groupBy("lang", "section").agg(F.max("precedence").alias("precedence"))
+    return used.join(F.broadcast(last), ["lang", "section", "precedence"]).select("lang", "section", "key", "label")
 
 
 def read_label_files(spark: SparkSession, paths: dict[str, str]) -> dict:
@@ -55,11 +56,9 @@ def read_label_files(spark: SparkSession, paths: dict[str, str]) -> dict:
 
 
 def label_map(layers: dict, lang: str, section: str, page: str | None = None) -> dict[str, str]:
-    """One section's labels, ``common`` overlaid by ``page`` key by key."""
-    out: dict[str, str] = {}
-    for layer in ["common"] + ([page] if page else []):
-        out |= layers.get(layer, {}).get(lang, {}).get(section, {})
-    return out
+    """One section's labels: the page's, if it has the section, else ``common``'s."""
+    sections = [layers.get(layer, {}).get(lang, {}).get(section) for layer in ([page] if page else []) + ["common"]]
+    return dict(next((s for s in sections if s is not None), {}))
 
 
 def lookup(column: Column, labels: dict[str, str], on_miss: str = "null") -> Column:

@@ -204,8 +204,14 @@ def flow_prepare(spark, sf):
 
 
 @register("prj_parse_date", """
-SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders""")
+SELECT o_orderkey, CASE WHEN o_orderkey % 12 <> 11 THEN CAST(o_orderdate AS DATE) END AS date FROM orders""")
 def prj_parse_date(spark, sf):
-    """PRJ-1: timestamp text -> date (lenient parse; unparseable -> null)."""
-    o = fx.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("string").alias("raw"))
-    return o.select("o_orderkey", parse_date("raw", strict=False).alias("date"))
+    """PRJ-1: the order days as text of eleven shapes, and one that is no
+    date (null when not strict)."""
+    o = fx.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    d = F.col("o_orderdate")
+    texts = [d.cast("string"), *[F.date_format(d, f) for f in (
+        "yyyy-MM-dd", "yyyyMMdd", "MM/dd/yyyy", "M/d/yy", "d MMMM yyyy", "MMMM d, yyyy", "EEE, dd MMM yyyy HH:mm:ss",
+        "d-MMM-yy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy/M/d hh:mm a")], F.lit("soon")]
+    raw = F.element_at(F.array(*texts), (F.pmod(F.col("o_orderkey"), F.lit(len(texts))) + 1).cast("int"))
+    return o.select("o_orderkey", parse_date(raw, strict=False).alias("date"))

@@ -17,6 +17,7 @@ from platewise.operators import upsert as UP
 from platewise.plans.catalog import register
 from platewise.plans.q_features import _REQ_SQL, flow_prepare
 from platewise.schemas import PREDICTION_COLUMNS
+from platewise.session import scratch_dir
 
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August",
           "September", "October", "November", "December"]
@@ -276,9 +277,12 @@ def metadata_record(spark, sf):
         F.avg(F.abs(y - p)).alias("baseline_mae"),
         F.sqrt(F.avg(F.pow(y - p, 2))).alias("baseline_rmse"),
         F.avg(F.abs((y - p) / F.nullif(y, F.lit(0.0)))).alias("baseline_mape"),
+        F.min("date").cast("string").alias("first_training_date"), F.max("date").cast("string").alias("last_training_date"),
     ).select(
         F.lit(len(features)).cast("bigint").alias("number_of_features"),
-        F.lit(AS_OF.isoformat()).alias("training_timestamp"),
+        # the model knows the days up to the last one: the clock would differ from run to run
+        F.concat("last_training_date", F.lit("T00:00:00")).alias("training_timestamp"),
+        "first_training_date", "last_training_date",
         "training_row_count", "holdout_row_count", "baseline_mae", "baseline_rmse", "baseline_mape",
         F.array(*[F.lit(c) for c in features]).alias("feature_columns"),
         F.lit(f"{sf}/orders.parquet").alias("data_source"),
@@ -296,16 +300,20 @@ def flow_train(spark, sf):
     """FLOW-5: train, evaluate and publish (model directory + metadata JSON
     under a new version in the shared checkpoint folder; the pointer moves
     only after both are written)."""
-    from platewise.session import checkpoint_dir
+    root = scratch_dir(spark, "demand-forest")
+    version = publish_model(spark, sf, root)
+    return spark.read.option("multiLine", True).json(os.path.join(root, version, "model_metadata.json"))
+
+
+def publish_model(spark, sf, root):
+    """The forest and its metadata as the next version under ``root``."""
     from platewise.sinks.tables import commit, write_json_record
-    model, features, enc = trained(spark, sf)
-    root = os.path.join(checkpoint_dir(spark), "models", "demand_forest")
+    model, _, _ = trained(spark, sf)
     version = f"v-{int(dt.datetime.now().timestamp() * 1000)}-{uuid.uuid4().hex[:8]}"
     model.write().overwrite().save(os.path.join(root, version, "model"))
-    rec = metadata_record(spark, sf)
-    write_json_record(spark, os.path.join(root, version, "model_metadata.json"), rec)
+    write_json_record(spark, os.path.join(root, version, "model_metadata.json"), metadata_record(spark, sf))
     commit(spark, root, folder=version)
-    return spark.read.option("multiLine", True).json(os.path.join(root, version, "model_metadata.json"))
+    return version
 
 
 @register("flow_forecast")
@@ -328,20 +336,19 @@ def flow_forecast(spark, sf):
 
 
 def published_model(spark, sf):
-    """Train and publish once, return the published version folder."""
+    """Train and publish once in a run, return the published version folder."""
     from platewise.sinks.tables import current_version
-    from platewise.session import checkpoint_dir
-    root = os.path.join(checkpoint_dir(spark), "models", "demand_forest")
-    flow_train(spark, sf)
+    root = fx.current_run(spark, sf).path("model", lambda root: publish_model(spark, sf, root))
     return current_version(spark, root).path(root)
 
 
-@register("src_model_meta")
+@register("src_model_meta", _FRAME_SQL + "\nSELECT CAST(max(date) AS TIMESTAMP) AS training_timestamp FROM tf")
 def src_model_meta(spark, sf):
     """SRC-9: training timestamp of the published model (null when the
-    metadata file or key is missing)."""
+    metadata file or key is missing): the last day it learned from."""
     from platewise.sources.files import read_model_metadata
-    return read_model_metadata(spark, os.path.join(published_model(spark, sf), "model_metadata.json"))
+    meta = read_model_metadata(spark, os.path.join(published_model(spark, sf), "model_metadata.json"))
+    return meta.select(F.col("training_timestamp").cast("timestamp_ntz").alias("training_timestamp"))
 
 
 @register("src_model_load")
@@ -455,7 +462,7 @@ def src_model_load_facts(spark, sf):
 
 @register("ml_metadata_facts", _FRAME_SQL + f"""
 SELECT CAST({3 + len(MONTHS) + len(CONDITIONS) + len(THEMES)} AS BIGINT) AS number_of_features,
-       '{AS_OF.isoformat()}' AS training_timestamp, count(*) AS training_row_count,
+       strftime(max(date), '%Y-%m-%dT00:00:00') AS training_timestamp, count(*) AS training_row_count,
        count(*) FILTER (WHERE split = 'test') AS holdout_row_count, true AS trained_on_real_data
 FROM sp""")
 def ml_metadata_facts(spark, sf):

@@ -4,6 +4,8 @@ SNK-9, SNK-10, AIM-3...6, FLOW-6)."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from platewise import fixtures as fx
@@ -17,6 +19,7 @@ from platewise.operators import insights as INS
 from platewise.operators import labels as LB
 from platewise.plans.catalog import register
 from platewise.schemas import PREDICTIONS, PREDICTIONS_BASE
+from platewise.session import scratch_dir
 from platewise.sinks import reports as REP
 from platewise.sources import tables as TB
 
@@ -28,8 +31,8 @@ def _labels_sql() -> str:
                      for layer, prec, lang, sec, key, label in LB.label_rows())
     return f"""
 , ui_labels AS (SELECT * FROM (VALUES {rows}) t(layer, precedence, lang, section, key, label)),
-eff AS (SELECT lang, section, key, arg_max(label, precedence) AS label FROM ui_labels
-        WHERE layer IN ('common', 'predictions') GROUP BY ALL)"""
+eff AS (SELECT lang, section, key, label FROM ui_labels WHERE layer IN ('common', 'predictions')
+        QUALIFY precedence = max(precedence) OVER (PARTITION BY lang, section))"""
 
 
 def _lookup(lang: str, section: str, key_expr: str) -> str:
@@ -60,6 +63,31 @@ def jon_translate(spark, sf):
         LB.lookup(F.col("holiday_desc"), section("holiday_descriptions"), "key").alias("holiday_desc_label"))
 
 
+#: Dictionaries whose page has one section of the common one, without some of its keys.
+LABEL_FILES = {
+    "common": {"EN": {"weather_condition": {c: f"{c} (common)" for c in ("Sunny", "Rainy", "Stormy")},
+                      "day_themes": {"Fish": "Fish day", "Vital": "Green day"}}},
+    "plan": {"EN": {"weather_condition": {"Rainy": "Umbrella", "Snowy": "Sledge"}}},
+}
+
+
+@register("src_label_files", """
+SELECT date, CASE weather_condition WHEN 'Rainy' THEN 'Umbrella' WHEN 'Snowy' THEN 'Sledge' END AS weather_label,
+       CASE day_theme WHEN 'Fish' THEN 'Fish day' WHEN 'Vital' THEN 'Green day' ELSE day_theme END AS theme_label
+FROM predictions""")
+def src_label_files(spark, sf):
+    """SRC-8 + JON-6: dictionaries read from files; the page's section stands
+    in place of the common one, so what only the latter has is a miss."""
+    root = scratch_dir(spark, "labels")
+    for layer, doc in LABEL_FILES.items():
+        spark.createDataFrame([(json.dumps(doc),)], "value string").write.text(f"{root}/{layer}")
+    layers = LB.read_label_files(spark, {layer: f"{root}/{layer}" for layer in LABEL_FILES})
+    labels = LB.effective_labels(LB.label_table(spark, layers), page="plan")
+    p = LB.translate(fx.predictions(spark, sf), "weather_condition", labels, "EN", "weather_condition", out="weather_label")
+    theme = LB.lookup(F.col("day_theme"), LB.label_map(layers, "EN", "day_themes", "plan"), "key")
+    return p.select("date", "weather_label", theme.alias("theme_label"))
+
+
 # --- FN-7 -------------------------------------------------------------------------------
 def _de_case(mapping: dict, expr: str) -> str:
     arms = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in mapping.items())
@@ -237,32 +265,103 @@ def fn_parse_insights(spark, sf):
 
 
 # --- AIM-4 / AIM-5 / AIM-6 -------------------------------------------------------------------
+def _anomalies_sql(forecast: str, history: str, keys: tuple[str, ...] = ()) -> str:
+    """AIM-4 for a forecast and a history view with the same conditions."""
+    k, using = "".join(f"{c}, " for c in keys), ", ".join([*keys, "day_theme"])
+    return f"""
+cell AS (SELECT {k}day_theme, weather_condition, day_kind, count(*) AS n, CAST(sum(actual_meals) AS BIGINT) AS s,
+                CAST(sum(actual_meals * actual_meals) AS BIGINT) AS ss
+         FROM {history} WHERE day_theme IS NOT NULL AND actual_meals IS NOT NULL GROUP BY ALL),
+theme AS (SELECT {k}day_theme, CAST(sum(s) AS DOUBLE) / sum(n) AS theme_mean,
+                 sqrt(CAST(sum(ss - CAST(s AS DOUBLE) * s / n) AS DOUBLE) / NULLIF(sum(n) - count(*), 0)) AS spread
+          FROM cell GROUP BY ALL),
+e AS (SELECT f.*, (COALESCE(CAST(c.s AS DOUBLE), 0) + {INS.SHRINKAGE} * t.theme_mean) / (COALESCE(c.n, 0) + {INS.SHRINKAGE}) AS expected,
+             t.spread, CAST(date_trunc('week', f.date) AS DATE) AS week_start
+      FROM {forecast} f LEFT JOIN theme t USING ({using})
+      LEFT JOIN cell c ON {"".join(f"c.{x} = f.{x} AND " for x in keys)}c.day_theme = f.day_theme
+        AND c.weather_condition IS NOT DISTINCT FROM f.weather_condition AND c.day_kind = f.day_kind),
+z AS (SELECT *, round((final_prediction - expected) / NULLIF(spread, 0), 4) AS z FROM e),
+why AS (SELECT *, concat_ws(', ', CASE WHEN z > 2.0 THEN 'more than such days had' WHEN z < -2.0 THEN 'less than such days had' END,
+                            CASE WHEN day_kind <> 'normal' THEN day_kind END,
+                            CASE WHEN weather_condition IN ('Rainy', 'Snowy', 'Stormy') THEN 'bad weather' END) AS reasons FROM z),
+r AS (SELECT *, row_number() OVER (PARTITION BY {k}week_start ORDER BY COALESCE(abs(z), 0) DESC, date) AS rank
+      FROM why WHERE reasons <> '')
+SELECT {k}week_start, CAST(rank AS INTEGER) AS rank, date, day_theme, final_prediction, round(expected, 4) AS expected, z, reasons
+FROM r WHERE rank <= 3"""
+
+
+_DAY_KIND = "CASE WHEN {b} THEN 'school break' WHEN {d} THEN 'bridge day' ELSE 'normal' END AS day_kind"
+
+
 @register("aim_plan_anomalies", f"""
-, st AS (SELECT {theme_case("date")} AS day_theme, avg(actual_meals) AS theme_mean,
-                stddev_samp(actual_meals) AS theme_std
-         FROM actual_sales WHERE {theme_case("date")} IS NOT NULL GROUP BY 1),
-f AS (SELECT p.*, CAST(date_trunc('week', p.date) AS DATE) AS week_start,
-             round((p.final_prediction - st.theme_mean) / NULLIF(st.theme_std, 0), 4) AS z
-      FROM predictions p LEFT JOIN st ON p.day_theme = st.day_theme),
-s AS (SELECT *,
-             COALESCE(abs(z) > 2.0, false) AS f_u, COALESCE(is_school_break, false) AS f_b,
-             COALESCE(is_bridge_day, false) AS f_d,
-             COALESCE(weather_condition IN ('Rainy', 'Snowy', 'Stormy'), false) AS f_w
-      FROM f),
-s2 AS (SELECT *, concat_ws(', ', CASE WHEN f_u THEN 'unusual volume' END, CASE WHEN f_b THEN 'school break' END,
-                           CASE WHEN f_d THEN 'bridge day' END, CASE WHEN f_w THEN 'bad weather' END) AS reasons,
-              COALESCE(abs(z), 0) + CAST(f_u AS INTEGER) + CAST(f_b AS INTEGER) + CAST(f_d AS INTEGER)
-                + CAST(f_w AS INTEGER) AS score
-       FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY week_start ORDER BY score DESC, date) AS rank
-      FROM s2 WHERE reasons <> '')
-SELECT week_start, CAST(rank AS INTEGER) AS rank, date, day_theme, final_prediction, z, reasons
-FROM r WHERE rank <= 3""")
+, past AS (SELECT a.date, a.actual_meals, {theme_case("a.date")} AS day_theme, w.weather_condition,
+                  {_DAY_KIND.format(b="COALESCE(h.is_school_break, false)", d="COALESCE(h.is_bridge_day, false)")}
+           FROM actual_sales a LEFT JOIN weather w ON a.date = w.date LEFT JOIN holidays h ON a.date = h.date),
+plan AS (SELECT date, day_theme, final_prediction, weather_condition,
+                {_DAY_KIND.format(b="COALESCE(is_school_break, false)", d="COALESCE(is_bridge_day, false)")} FROM predictions),
+""" + _anomalies_sql("plan", "past"))
 def aim_plan_anomalies(spark, sf):
-    """AIM-4: up to three days per planning week worth a second look."""
+    """AIM-4: up to three days per planning week worth a second look, against
+    what days of the same theme, weather and kind had."""
     a = fx.actual_sales(spark, sf)
     p = fx.predictions(spark, sf, a).withColumn("week_start", F.date_trunc("week", "date").cast("date"))
-    return INS.plan_anomalies(p, a)
+    return INS.plan_anomalies(p, conditions(spark, sf, a))
+
+
+def conditions(spark, sf, days):
+    """``days`` with their theme, weather and day flags."""
+    from platewise.functions.calendar import day_theme
+    from platewise.operators import features as FE
+    x = FE.join_holidays(days, fx.holidays(spark, sf), ["date"]).drop("holiday_desc", "is_bank_holiday")
+    return FE.join_weather(x, fx.weather(spark, sf), ["date"], columns=("weather_condition",)).withColumn(
+        "day_theme", day_theme("date"))
+
+
+_PATTERN_SQL = """
+, j AS (SELECT CAST(date_trunc('month', p.date) AS DATE) AS month, p.weekday, p.day_theme,
+               CASE WHEN p.is_school_break THEN 'school break' WHEN p.is_bridge_day THEN 'bridge day'
+                    WHEN p.holiday_desc <> '' THEN 'holiday' ELSE 'normal' END AS day_kind,
+               a.actual_meals, p.final_prediction, a.actual_meals_veg, p.predicted_meals_veg, a.actual_meals_non_veg,
+               p.predicted_meals_non_veg, a.actual_meals_salad, p.predicted_meals_salad
+        FROM predictions p JOIN actual_sales a ON p.date = a.date),
+v AS (SELECT *, CASE WHEN final_prediction * n * 5 < total * 4 THEN 'low' WHEN final_prediction * n * 5 > total * 6 THEN 'high'
+                     ELSE 'usual' END AS volume
+      FROM j JOIN (SELECT month, count(*) AS n, CAST(sum(final_prediction) AS BIGINT) AS total FROM j GROUP BY month) m USING (month)),
+l AS (SELECT month, weekday, day_theme, day_kind, volume, c.category,
+             CASE c.category WHEN 'total' THEN actual_meals WHEN 'veg' THEN actual_meals_veg WHEN 'non_veg' THEN actual_meals_non_veg
+                  ELSE CAST(round(actual_meals_salad * 100) AS BIGINT) END AS ac,
+             CASE c.category WHEN 'total' THEN final_prediction WHEN 'veg' THEN predicted_meals_veg WHEN 'non_veg' THEN predicted_meals_non_veg
+                  ELSE CAST(round(predicted_meals_salad * 100) AS BIGINT) END AS pr
+      FROM v, (VALUES ('total'), ('veg'), ('non_veg'), ('salad')) c(category)),
+g AS (SELECT month, category, weekday, day_theme, day_kind, volume,
+             grouping(weekday) AS gw, grouping(day_theme) AS gt, grouping(day_kind) AS gk, grouping(volume) AS gv,
+             count(*) AS days, CAST(sum(pr) AS BIGINT) AS predicted_units, CAST(sum(ac - pr) AS BIGINT) AS s,
+             CAST(sum((ac - pr) * (ac - pr)) AS BIGINT) AS ss
+      FROM l GROUP BY GROUPING SETS ((month, category), (month, category, weekday), (month, category, day_theme),
+                                     (month, category, day_kind), (month, category, volume))),
+t AS (SELECT month, category,
+             CASE WHEN gw = 0 THEN 'weekday' WHEN gt = 0 THEN 'day_theme' WHEN gk = 0 THEN 'day_kind' WHEN gv = 0 THEN 'volume' ELSE 'all' END AS pattern,
+             CASE WHEN gw = 0 THEN weekday WHEN gt = 0 THEN day_theme WHEN gk = 0 THEN day_kind WHEN gv = 0 THEN volume ELSE 'all days' END AS value,
+             days, s AS bias_units, CAST(s AS DOUBLE) / NULLIF(predicted_units, 0) AS rel_bias,
+             CASE WHEN days > 1 THEN round(CAST(s AS DOUBLE) / sqrt(NULLIF((CAST(ss AS DOUBLE) * days - CAST(s AS DOUBLE) * s) / (days - 1), 0)), 4) END AS t
+      FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY abs(t) DESC, pattern, value, category) AS rank FROM t WHERE abs(t) >= 2)
+SELECT month, CAST(rank AS INTEGER) AS rank, pattern, value, category, days, bias_units, rel_bias, t,
+       CASE WHEN rel_bias IS NULL THEN 'info' WHEN abs(rel_bias) > 0.05 THEN 'error'
+            WHEN abs(rel_bias) >= 0.03 THEN 'warning' WHEN abs(rel_bias) < 0.01 THEN 'success' ELSE 'info' END AS type
+FROM r WHERE rank <= 3"""
+
+
+@register("aim_bias_patterns", _PATTERN_SQL)
+def aim_bias_patterns(spark, sf):
+    """AIM-3: of every month the three most significant patterns among all
+    days, weekdays, themes, kinds of day and volume bands, for each category."""
+    a = fx.actual_sales(spark, sf)
+    p = fx.predictions(spark, sf, a)
+    kind = (F.when(F.col("is_school_break"), "school break").when(F.col("is_bridge_day"), "bridge day")
+            .when(F.col("holiday_desc") != "", "holiday").otherwise("normal"))
+    j = C.join_actuals(p, a).join(p.select("date", kind.alias("day_kind")), "date")
+    return INS.bias_patterns(j.withColumn("month", F.date_trunc("month", "date").cast("date")))
 
 
 def _series_sql() -> str:
@@ -288,12 +387,20 @@ HEALTH_AS_OF = "2001-12-31"
     f"SELECT {q(t)} AS table_name, count(*) AS rows, min(date) AS first_date, max(date) AS last_date, "
     f"CAST(DATE '{HEALTH_AS_OF}' - max(date) AS INTEGER) AS days_since_last, "
     f"{'max(prediction_timestamp)' if t == 'predictions' else 'CAST(NULL AS TIMESTAMP)'} AS last_batch FROM {t}"
-    for t in ("predictions", "actual_sales", "holidays")))
+    for t in ("predictions", "actual_sales", "holidays")) + f"""
+UNION ALL
+SELECT 'model', count(*), min(a.date), max(a.date), CAST(DATE '{HEALTH_AS_OF}' - max(a.date) AS INTEGER),
+       CAST(max(a.date) AS TIMESTAMP)
+FROM actual_sales a JOIN weather w ON a.date = w.date
+WHERE w.temperature_max IS NOT NULL AND w.weather_condition IS NOT NULL""")
 def aim_health(spark, sf):
-    """AIM-6: row counts and freshness of every table."""
+    """AIM-6: row counts and freshness of every table, and of the published
+    model: the rows and days it learned from and its training time (SRC-9)."""
+    from platewise.plans.q_ml import published_model
     a = fx.actual_sales(spark, sf)
-    return INS.health({"predictions": fx.predictions(spark, sf, a), "actual_sales": a,
-                       "holidays": fx.holidays(spark, sf)}, HEALTH_AS_OF)
+    tables = INS.health({"predictions": fx.predictions(spark, sf, a), "actual_sales": a,
+                         "holidays": fx.holidays(spark, sf)}, HEALTH_AS_OF)
+    return tables.unionByName(INS.model_health(spark, f"{published_model(spark, sf)}/model_metadata.json", HEALTH_AS_OF))
 
 
 # --- SNK-6 / SNK-9 / SNK-10 ------------------------------------------------------------------
@@ -498,38 +605,18 @@ def fn_kpi_texts(spark, sf):
 
 
 @register("aim_plan_anomalies_site", f"""
-, st AS (SELECT site_id, {theme_case("date")} AS day_theme, avg(actual_meals) AS theme_mean,
-                stddev_samp(actual_meals) AS theme_std
-         FROM site_sales WHERE {theme_case("date")} IS NOT NULL GROUP BY 1, 2),
-f AS (SELECT p.site_id, p.date, p.day_theme, p.final_prediction, CAST(date_trunc('week', p.date) AS DATE) AS week_start,
-             COALESCE(h.is_school_break, false) AS is_school_break, COALESCE(h.is_bridge_day, false) AS is_bridge_day,
-             w.weather_condition,
-             round((p.final_prediction - st.theme_mean) / NULLIF(st.theme_std, 0), 4) AS z
-      FROM site_predictions p
-      LEFT JOIN st ON p.site_id = st.site_id AND p.day_theme = st.day_theme
-      LEFT JOIN holidays h ON p.date = h.date
-      LEFT JOIN weather w ON p.date = w.date),
-s AS (SELECT *,
-             COALESCE(abs(z) > 2.0, false) AS f_u, COALESCE(is_school_break, false) AS f_b,
-             COALESCE(is_bridge_day, false) AS f_d,
-             COALESCE(weather_condition IN ('Rainy', 'Snowy', 'Stormy'), false) AS f_w
-      FROM f),
-s2 AS (SELECT *, concat_ws(', ', CASE WHEN f_u THEN 'unusual volume' END, CASE WHEN f_b THEN 'school break' END,
-                           CASE WHEN f_d THEN 'bridge day' END, CASE WHEN f_w THEN 'bad weather' END) AS reasons,
-              COALESCE(abs(z), 0) + CAST(f_u AS INTEGER) + CAST(f_b AS INTEGER) + CAST(f_d AS INTEGER)
-                + CAST(f_w AS INTEGER) AS score
-       FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY site_id, week_start ORDER BY score DESC, date) AS rank
-      FROM s2 WHERE reasons <> '')
-SELECT site_id, week_start, CAST(rank AS INTEGER) AS rank, date, day_theme, final_prediction, z, reasons
-FROM r WHERE rank <= 3""")
+, days AS (SELECT d.date, w.weather_condition,
+                  {_DAY_KIND.format(b="COALESCE(h.is_school_break, false)", d="COALESCE(h.is_bridge_day, false)")}
+           FROM (SELECT date FROM site_sales UNION SELECT date FROM site_predictions) d
+           LEFT JOIN weather w ON d.date = w.date LEFT JOIN holidays h ON d.date = h.date),
+past AS (SELECT s.site_id, s.actual_meals, {theme_case("s.date")} AS day_theme, d.weather_condition, d.day_kind
+         FROM site_sales s JOIN days d ON s.date = d.date),
+plan AS (SELECT p.site_id, p.date, p.day_theme, p.final_prediction, d.weather_condition, d.day_kind
+         FROM site_predictions p JOIN days d ON p.date = d.date),
+""" + _anomalies_sql("plan", "past", ("site_id",)))
 def aim_plan_anomalies_site(spark, sf):
-    """AIM-4 per site: up to three days per (site, planning week); theme
-    statistics per (site, theme), weather and holidays joined by date."""
-    from platewise.operators import features as FE
-    keys = ["site_id", "date"]
-    p = fx.site_predictions(spark, sf)
-    p = FE.join_holidays(p, fx.holidays(spark, sf), ["date"]).drop("holiday_desc", "is_bank_holiday")
-    p = FE.join_weather(p, fx.weather(spark, sf), ["date"], columns=("weather_condition",))
+    """AIM-4 per site: up to three days per (site, planning week), against
+    what the site's days of the same theme, weather and kind had."""
+    p = conditions(spark, sf, fx.site_predictions(spark, sf).drop("day_theme"))
     p = p.withColumn("week_start", F.date_trunc("week", "date").cast("date"))
-    return INS.plan_anomalies(p, fx.site_sales(spark, sf), keys=keys)
+    return INS.plan_anomalies(p, conditions(spark, sf, fx.site_sales(spark, sf)), keys=["site_id", "date"])

@@ -88,6 +88,8 @@ INSIGHTS = T.ArrayType(T.StructType([
 MODEL_METADATA = T.StructType([
     T.StructField("number_of_features", T.LongType()),
     T.StructField("training_timestamp", T.StringType()),
+    T.StructField("first_training_date", T.StringType()),
+    T.StructField("last_training_date", T.StringType()),
     T.StructField("training_row_count", T.LongType()),
     T.StructField("holdout_row_count", T.LongType()),
     T.StructField("baseline_mae", T.DoubleType()),

@@ -29,13 +29,33 @@ def column(spark, values, kind, f):
 
 @pytest.mark.parametrize("text", [
     "2026-07-13", "2026-07-13T08:00:00.5", "2026-07-13T08:00:00Z", "2026-07-13 08:00", "07/13/2026", "7/13/26",
+    "13 July 2026", "July 13, 2026", "Jul 13 2026", "13-Jul-26", "Mon, 13 Jul 2026 08:00:00 GMT", "13th July 2026", "20260713",
+    "20260713T080000Z", "2026/7/13", "2026.07.13", "13.07.2026", "13/07/26", "07-13-2026", "07/13/2026 8:05 PM", "2026-Jul-13",
     " 2026-07-13 ", "2026-07-13T23:30:00-05:00", "2026-07-13T00:30:00+0200", "7/13/2026 08:00"])
 def test_dates_of_other_shapes(spark, text):
     assert column(spark, [text], "string", lambda v: parse_date(v, strict=False)) == [DAY]
+    assert column(spark, [text], "string", parse_date) == [DAY]
+
+
+def test_months_and_years_alone_and_the_first_number_is_the_month(spark):
+    texts = ["2026-07", "July 2026", "2026", "3/4/2026", "03.04.26", "1/2/69", "1/2/68"]
+    assert column(spark, texts, "string", parse_date) == [
+        dt.date(2026, 7, 1), dt.date(2026, 7, 1), dt.date(2026, 1, 1), dt.date(2026, 3, 4), dt.date(2026, 3, 4),
+        dt.date(1969, 1, 2), dt.date(2068, 1, 2)]
+    assert column(spark, [DAY], "date", parse_date) == [DAY]
+    assert column(spark, [dt.datetime(2026, 7, 13, 23, 59)], "timestamp_ntz", parse_date) == [DAY]
+
+
+@pytest.mark.parametrize("text", ["", "soon", "13/13/2026", "2026-02-30", "July 2, 26 later", "2026-7-", "13 Juli 2026", "1234567",
+                                  "2026-07/13", "12:30"])
+def test_strict_raises_exactly_where_lenient_is_null(spark, text):
+    assert column(spark, [text, None], "string", lambda v: parse_date(v, strict=False)) == [None, None]
+    with pytest.raises(Exception, match="no date"):
+        column(spark, [text], "string", parse_date)
 
 
 def test_what_is_no_date_is_null_and_listed(spark):
-    bad = ["", "13.07.2026", "soon", "13/13/2026", None]
+    bad = ["", "13.17.2026", "soon", "13/13/2026", None]
     assert column(spark, bad, "string", lambda v: parse_date(v, strict=False)) == [None] * 5
     df = spark.createDataFrame([("4/1/26",), ("04/01/26",), ("1.4.26",), (None,)], "date string")
     assert [r[0] for r in df.select(us_short_date("date")).collect()] == [dt.date(2026, 4, 1)] * 2 + [None] * 2

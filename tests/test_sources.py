@@ -106,3 +106,37 @@ def test_write_csv_round_trip(spark, tmp_dir):
     write_csv(normalise_dates(df), out)
     back = spark.read.csv(out, header=True).orderBy("date").collect()
     assert [r["date"] for r in back] == ["1999-12-31", "2026-04-01"]
+
+
+def test_a_page_section_replaces_the_common_one(spark):
+    from platewise.operators.labels import label_map
+    layers = {"common": {"EN": {"s": {"a": "A", "b": "B"}, "other": {"c": "C"}}}, "page": {"EN": {"s": {"a": "X"}}}}
+    got = {(r["section"], r["key"]): r["label"] for r in effective_labels(label_table(spark, layers), page="page").collect()}
+    assert got == {("s", "a"): "X", ("other", "c"): "C"}
+    assert label_map(layers, "EN", "s", "page") == {"a": "X"} and label_map(layers, "EN", "other", "page") == {"c": "C"}
+    assert label_map(layers, "EN", "s") == {"a": "A", "b": "B"} and label_map(layers, "DE", "s", "page") == {}
+
+
+def test_separators_from_whole_lines():
+    from platewise.sources.files import choose_separator
+    assert choose_separator(['"Datum, Tag";"Gesamt"', '"2026-07-13";"1,5"']) == ";"
+    assert choose_separator(["date;total,kg", "2026-07-13;1,5", "2026-07-14;2"]) == ";"
+    assert choose_separator(["date,total", "2026-07-13,1", "2026-07-14,2"]) == ","
+    assert choose_separator(["Datum"]) == "," and choose_separator(["Datum", "1,5", "2,5"]) != ","
+    assert choose_separator(['"a|b"|"c"', '"1|2"|"3"']) == "|" and choose_separator(["a\tb", "1\t2,0"]) == "\t"
+
+
+def test_file_heads_read_little_and_any_header_length(spark, tmp_dir):
+    from platewise.sources import files as S
+    for name, text in {"a.csv": "\ufeffdate;x\n1;2\n", "b.csv": "\n\n h;" + "y" * 50_000 + "\n1;2\n", "c.csv": "one line", "d.csv": "\n \n",
+                       "e.csv": "k,v\n" + "1,2\n" * 20_000}.items():
+        with open(os.path.join(tmp_dir, name), "w") as f:
+            f.write(text)
+    heads = {os.path.basename(h.path): h for h in S.file_heads(spark, tmp_dir)}
+    assert heads["a.csv"].lines == ["date;x", "1;2"] and len(heads["b.csv"].lines[0]) == 50_003
+    assert heads["c.csv"].lines == ["one line"] and heads["d.csv"].lines == [] and len(heads["e.csv"].lines) == S.HEAD_LINES
+    unreadable = []
+    groups = S.read_csv_files(spark, tmp_dir, unreadable, ordinal=True)
+    assert [os.path.basename(p) for p in unreadable] == ["d.csv"]
+    rows = next(df for header, df in groups if header == "k,v")
+    assert sorted(r["ordinal"] for r in rows.collect()) == list(range(20_000))
