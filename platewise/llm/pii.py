@@ -70,6 +70,19 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _iban_end(found: str) -> int:
+    """Where the IBAN ends that ``found`` begins with, 0 for none: upper-case
+    words may follow it, so every end before white space or at the last
+    character is tried, the longest first, and of one length between 15 and
+    34 characters the remainder decides."""
+    ends = [len(found), *[i for i in range(len(found) - 1, 0, -1) if found[i] in " -"]]
+    for end in ends:
+        iban = re.sub("[ -]", "", found[:end])
+        if 15 <= len(iban) <= 34 and mod97(iban):
+            return end
+    return 0
+
+
 def mod97(iban: str) -> bool:
     moved = iban[4:] + iban[:4]
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
@@ -114,9 +127,12 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if 15 <= len(x := re.sub("[ -]", "", m[0])) <= 34 and mod97(x):
-            yield "iban", m.start(), m.end()
+    at = 0
+    while m := _IBAN.search(text, at):
+        end = _iban_end(m[0])
+        at = m.start() + end if end else m.end()
+        if end:
+            yield "iban", m.start(), at
     if "-" in text:
         for m in _SSN.finditer(text):
             if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":

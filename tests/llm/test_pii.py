@@ -60,6 +60,13 @@ def test_long_runs_take_linear_time():
 
 def test_added_kinds_and_context():
     assert [s.kind for s in P.find("IBAN GB82 WEST 1234 5698 7654 32.")] == ["iban"]
+    for text, found in (("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89 3704 0044 0532 0130 00"),
+                        ("DE89370400440532013000 BIC", "DE89370400440532013000"),
+                        ("GB82WEST12345698765432 AND DE89370400440532013000 OK", "GB82WEST12345698765432")):
+        spans = [s for s in P.find(text) if s.kind == "iban"]
+        assert text[spans[0].start:spans[0].end] == found
+    assert len([s for s in P.find("GB82WEST12345698765432 AND DE89370400440532013000 OK") if s.kind == "iban"]) == 2
+    assert not [s for s in P.find("DE89 3704 0044 0532 0130 01 BIC COBADEFF") if s.kind == "iban"]
     assert P.find("XX82 WEST 1234 5698 7654 33") == []
     assert [s.kind for s in P.find("his social security number is 123-45-6789 now")] == ["ssn"]
     assert P.find("part 123-45-6789 now") == []
