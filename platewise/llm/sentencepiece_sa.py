@@ -14,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,10 @@ from platewise.llm.common import row_key, slices, text_or_empty
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Distinct words a process remembers; then it starts anew.
-REMEMBERED = 500_000
-#: Distinct words that are laid end to end at a time.
-WORDS = 20_000
+REMEMBERED = 300_000
+#: Distinct words that are laid end to end at a time; a word of more than
+#: ``LONG`` characters is a batch by itself.
+WORDS, LONG = 20_000, 400
 _FAR = np.iinfo(np.int64).max
 
 
@@ -176,6 +179,45 @@ class Model:
         who, p = (np.concatenate(x[::-1]) for x in zip(*steps))
         return self.ids[p[np.argsort(who, kind="stable")]], np.bincount(who, minlength=len(words))
 
+    def encode_long(self, word: str) -> np.ndarray:
+        """The ids of one word like those of ``encode_words``, edge by edge in
+        the order of position: for words so long that a step per position of
+        a whole batch would not pay."""
+        text = np.frombuffer((word + "\0").encode("utf-32-le"), np.uint32)
+        start, end, piece = self._edges(text)
+        order = np.argsort(start, kind="stable")
+        last, known, n = [-1] * (len(word) + 1), {}, len(self.pieces)
+        for k in range(0, len(order), 1 << 16):
+            some = order[k:k + (1 << 16)]
+            for s, e, p in zip(start[some].tolist(), end[some].tolist(), piece[some].tolist()):
+                if s:
+                    key = last[s] * n + p
+                    holds = known.get(key)
+                    if holds is None:
+                        holds = known[key] = self._adjoin(last[s], p)
+                    if not holds:
+                        continue
+                last[e] = p
+        ranks, at = [], len(word)
+        while at:
+            ranks.append(last[at])
+            at -= len(self.pieces[last[at]])
+        return self.ids[ranks[::-1]]
+
+    def _adjoin(self, a: int, b: int) -> bool:
+        """``neighbours`` of one pair."""
+        n, limit = len(self.pieces), _FAR
+        while True:
+            k = bisect_left(self.pair_keys, a * n + b)
+            if k < len(self.pair_keys) and self.pair_keys[k] == a * n + b and self.pair_ranks[k] < limit:
+                return False
+            if max(a, b) < self.singles:
+                return True
+            if a > b:
+                limit, a = a, int(self.right[a])
+            else:
+                limit, b = b + 1, int(self.left[b])
+
     def encode_any(self, word: str) -> np.ndarray:
         """The ids of one word of any characters, by plain merging:
         characters that are in no piece become their bytes."""
@@ -294,10 +336,13 @@ class Encoder:
                     place[p] = len(parts)
                     parts.append(p)
         ids, n = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-        for i in range(0, len(parts), WORDS):
-            some = model.encode_words(parts[i:i + WORDS])
-            ids.append(some[0])
-            n.append(some[1])
+        for long, run in groupby(range(len(parts)), lambda i: len(parts[i]) > LONG):
+            run = list(run)
+            for i in range(0, len(run), 1 if long else WORDS):
+                some = [parts[j] for j in run[i:i + (1 if long else WORDS)]]
+                found = (model.encode_long(some[0]), None) if long else model.encode_words(some)
+                ids.append(found[0])
+                n.append([len(found[0])] if long else found[1])
         ids, n = np.concatenate(ids), np.concatenate(n)
         begin = np.cumsum(n) - n
         plain = len(parts) and int((~odd & ~alone).sum())
@@ -341,11 +386,13 @@ def encode_documents(docs: DataFrame, path: str = MODEL, keep_ids: bool = True)
     text in UTF-8; ``round_trip`` says whether that equals the text (a text
     that holds U+2581 comes back with spaces). Null texts count as empty and
     have no ids. The vocabulary at ``path`` is read by the driver and goes to
-    the tasks with the function (a few MB, whatever the input)."""
-    model = load(path)
+    the tasks as a broadcast variable (a few MB, whatever the input), unpacked
+    once in a process."""
+    held = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(model))
+        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(held.value))
+        model = encoder.model
         for b in slices(batches):
             texts = b.column("text").to_pylist()
             ids = encoder.encode(texts)

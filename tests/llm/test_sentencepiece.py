@@ -59,3 +59,17 @@ def test_edge_rows(spark, library):
     assert by[3]["token_ids"] == library.encode("w " * 100_000) and by[3]["round_trip"]
     assert by[4]["token_ids"] == library.encode("a▁b") and not by[4]["round_trip"]
     assert S.encode_documents(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_long_words_by_the_suffix_array():
+    import random
+    model = S.load()
+    rng = random.Random(6)
+    parts = ["tion", "the", "straße", "über", "http", "www.", "ab", "x", "é", "1", "00"]
+    for n in (S.LONG - 2, S.LONG + 1, 5_000):
+        word = S.SPACE + "".join(rng.choice(parts) for _ in range(n))[:n]
+        assert model.foreign.search(word) is None
+        assert model.encode_long(word).tolist() == model.encode_any(word).tolist() == model.encode_words([word])[0].tolist()
+    text = "short " + "abc" * 20_000 + " words 日本" + "zq" * 1_000
+    library = sentencepiece.SentencePieceProcessor(model_file=S.MODEL)
+    assert S.Encoder(model).encode([text])[0].tolist() == library.encode(text)
