@@ -34,22 +34,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     return texts, 0.5 if share is None else float(share)
 
 
-def calibrate(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
-    """(slope, shift) of the log-odds of label 1 given ``z``: logistic
-    regression by damped Newton steps. The sample is weighted so that label 1
-    has its ``share`` of all labelled rows. With one class the shift alone
-    gives that share."""
+def calibrate(x: np.ndarray, y: np.ndarray, share: float) -> tuple[list[float], float]:
+    """(slopes, shift) of the log-odds of label 1 given the columns of ``x``:
+    logistic regression by damped Newton steps. The sample is weighted so that
+    label 1 has its ``share`` of all labelled rows. With one class the shift
+    alone gives that share."""
     if len(np.unique(y)) < 2:
         share = min(max(share, 0.01), 0.99)
-        return 0.0, float(np.log(share / (1 - share)))
+        return [0.0] * x.shape[1], float(np.log(share / (1 - share)))
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    middle, scale = z.mean(), z.std() or 1.0
-    x = (z - middle) / scale
-    a, b = 1.0, 0.0
+    middle, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale == 0] = 1.0
+    x = np.column_stack([(x - middle) / scale, np.ones(len(x))])
+    a = np.array([1.0] + [0.0] * (x.shape[1] - 1))
+    damp = np.array([1e-3] * (x.shape[1] - 1) + [0.0])  # of the slopes
     for _ in range(200):
-        p = sigmoid(a * x + b)
+        p = sigmoid(x @ a)
         r, q = weight * (p - y), weight * p * (1 - p) + 1e-9
-        h = np.array([[(q * x * x).sum() + 1e-3, (q * x).sum()], [(q * x).sum(), q.sum() + 1e-3]])
-        da, db = np.linalg.solve(h, [(r * x).sum() + 1e-3 * a, r.sum()])
-        a, b = a - 0.5 * da, b - 0.5 * db
-    return float(a / scale), float(b - a * middle / scale)
+        a = a - 0.5 * np.linalg.solve((x * q[:, None]).T @ x + 1e-3 * np.eye(len(a)), x.T @ r + damp * a)
+    slopes = a[:-1] / scale
+    return slopes.tolist(), float(a[-1] - slopes @ middle)

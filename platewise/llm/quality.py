@@ -113,11 +113,11 @@ def train(docs: DataFrame, labels: DataFrame, held_out_mod: int = 4, held_out: i
     second = set(sorted({i for i, _, _ in rows})[1::2])
     by = [["".join(p) for i, y, p in rows if y == c and i not in second] for c in (0, 1)]
     if not (any(by[0]) and any(by[1]) and second):
-        return Judge(shift=calibrate(np.zeros(1), np.zeros(1), share)[1])
+        return Judge(shift=calibrate(np.zeros((1, 1)), np.zeros(1), share)[1])
     judge = Judge(build_dictionary(by[1]), build_dictionary(by[0]))
     found = sorted((r["doc_id"], r["z"], r["y"]) for r in texts.mapInArrow(
         _measured(judge, second), "doc_id long, y int, z double").collect())
-    slope, shift = calibrate(np.array([z for _, z, _ in found]), np.array([y for _, _, y in found], float), share)
+    (slope,), shift = calibrate(np.array([[z] for _, z, _ in found]), np.array([y for _, _, y in found], float), share)
     return Judge(judge.good, judge.bad, slope, shift)
 
 

@@ -33,6 +33,8 @@ HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
 CHAR_BUCKETS = 1 << 15
 #: Lengths of the character n-grams, with marks at the word's ends.
 GRAMS = (3, 4, 5)
+#: Characters whose n-grams are looked up at a time.
+PLACES = 1 << 17
 #: Words of the vocabulary occur in so many training documents at least.
 LEAST_DOCS = 20
 STEPS, BATCH, RATE, DECAY = 900, 64, 0.01, 0.05
@@ -61,8 +63,10 @@ class BiGru:
 
     vocabulary: dict[str, int] = field(default_factory=dict)
     weights: dict[str, np.ndarray] = field(default_factory=dict)
-    #: Calibration: the document's log-odds are slope * logit + shift.
+    #: Calibration: the document's log-odds are slope * logit of its highest
+    #: window + count * logarithm of its windows + shift.
     slope: float = 1.0
+    count: float = 0.0
     shift: float = 0.0
     prior: float = 0.5
 
@@ -84,32 +88,52 @@ class BiGru:
         return BiGru(vocabulary, w)
 
     # ---- inputs -----------------------------------------------------------
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of distinct words: vocabulary ids (0: none), the buckets of their
-        character n-grams one word after the other, and where each begins."""
+    def _marked(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words: vocabulary ids (0: none), the characters of all,
+        marked at both ends, where each begins and how long it is."""
         bare = [w.strip(_STRIP) or w for w in words]
         get = self.vocabulary.get
         vocab = np.fromiter((get(w, 0) for w in bare), np.int64, len(bare))
         marked = "".join(["\x02" + w + "\x03" for w in bare])
-        points = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        points = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, bare), np.int64, len(bare)) + 2
-        first = np.cumsum(lengths) - lengths
-        at = np.arange(len(points) - 2 * len(bare)) + np.repeat(2 * np.arange(len(bare)), lengths - 2)
-        ends = np.repeat(first + lengths, lengths - 2)
-        h = points[at] * np.uint64(0x9E3779B1)
+        return vocab, points, np.cumsum(lengths) - lengths, lengths
+
+    @staticmethod
+    def _buckets(points: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The buckets of the character n-grams that begin at ``at``, in words
+        that end at ``ends``: a row per place."""
+        h = points[at].astype(np.uint64) * np.uint64(0x9E3779B1)
         grams = np.empty((len(at), len(GRAMS)), np.uint64)
         for k in range(1, GRAMS[-1]):  # characters past the word's end count as 0
-            h = (h + np.where(at + k < ends, points[np.minimum(at + k, len(points) - 1)], 0)) * np.uint64(0x9E3779B97F4A7C15)
+            more = np.where(at + k < ends, points[np.minimum(at + k, len(points) - 1)], 0).astype(np.uint64)
+            h = (h + more) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
             if k + 1 in GRAMS:
                 grams[:, GRAMS.index(k + 1)] = h * np.uint64(2 * k + 1)
-        buckets = (grams >> np.uint64(20)) % np.uint64(CHAR_BUCKETS)
-        return vocab, buckets.ravel().astype(np.int64), len(GRAMS) * (first - 2 * np.arange(len(bare)))
+        return ((grams >> np.uint64(20)) % np.uint64(CHAR_BUCKETS)).astype(np.int64)
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words: vocabulary ids, the buckets of their character
+        n-grams one word after the other, and where each begins."""
+        vocab, points, first, lengths = self._marked(words)
+        at = np.arange(len(points) - 2 * len(words)) + np.repeat(2 * np.arange(len(words)), lengths - 2)
+        buckets = self._buckets(points, at, np.repeat(first + lengths, lengths - 2))
+        return vocab, buckets.ravel(), len(GRAMS) * (first - 2 * np.arange(len(words)))
 
     def inputs(self, words: list[str]) -> np.ndarray:
-        vocab, buckets, begins = self.ids(words)
-        chars = np.add.reduceat(self.weights["char"][buckets], begins, axis=0)
-        chars /= np.diff(begins, append=len(buckets))[:, None]
+        """A row per word: its embedding and the mean of its n-grams', made
+        ``PLACES`` characters at a time, however long a word is."""
+        vocab, points, first, lengths = self._marked(words)
+        starts, ends = first - 2 * np.arange(len(words)), first + lengths
+        chars = np.zeros((len(words), CHAR_DIM), self.weights["char"].dtype)
+        for lo in range(0, len(points) - 2 * len(words), PLACES):
+            place = np.arange(lo, min(lo + PLACES, len(points) - 2 * len(words)))
+            word = np.searchsorted(starts, place, side="right") - 1
+            grams = self.weights["char"][self._buckets(points, place + 2 * word, ends[word])].sum(axis=1)
+            run = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+            chars[word[run]] += np.add.reduceat(grams, run, axis=0)
+        chars /= (len(GRAMS) * (lengths - 2))[:, None].astype(chars.dtype)
         return np.concatenate([self.weights["word"][vocab], chars], axis=1)
 
     # ---- forward ----------------------------------------------------------
@@ -276,19 +300,22 @@ def window_logits(net: BiGru, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
     return z, held
 
 
-def logits(net: BiGru, texts: list[str]) -> np.ndarray:
+def logits(net: BiGru, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The highest window's log-odds of each text, over all its overlapping
-    windows; NaN for a text without words."""
+    windows (NaN for a text without words), and how many windows it has."""
     z, held = window_logits(net, texts)
     best = np.full(len(texts), np.nan)
     if len(z):
         best[held > 0] = np.maximum.reduceat(z, (np.cumsum(held) - held)[held > 0])
-    return best
+    return best, held
 
 
 def scores(net: BiGru, texts: list[str]) -> np.ndarray:
-    z = logits(net, texts) if net.weights else np.full(len(texts), np.nan)
-    return np.where(np.isnan(z), net.prior, sigmoid(net.slope * np.nan_to_num(z) + net.shift))
+    if not net.weights:
+        return np.full(len(texts), net.prior)
+    z, held = logits(net, texts)
+    odds = net.slope * np.nan_to_num(z) + net.count * np.log(np.maximum(held, 1)) + net.shift
+    return np.where(np.isnan(z), net.prior, sigmoid(odds))
 
 
 def _spread(n: int) -> np.ndarray:
@@ -324,13 +351,15 @@ def _windows(first: BiGru | None, left_out: frozenset[int] = frozenset()):
 
 
 def _highest(net: BiGru, ids: frozenset[int]):
-    """The highest window's log-odds of the whole texts of the named documents."""
+    """The highest window's log-odds of the whole texts of the named documents,
+    and their windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array([i in ids for i in b.column("doc_id").to_pylist()], pa.bool_()))
             for part in slices([b]):
-                z = logits(net, part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(z)], ["doc_id", "y", "z"])
+                z, held = logits(net, part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(z), pa.array(held, pa.int64())],
+                                                 ["doc_id", "y", "z", "held"])
 
     return run
 
@@ -363,11 +392,16 @@ def train(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5, held_out: i
     if first is None:
         return BiGru(prior=share)
     net = fitted(collected(_windows(first, rest)), STEPS)
-    found = sorted((r["doc_id"], r["z"], r["y"]) for r in texts.mapInArrow(
-        _highest(net, rest), "doc_id long, y int, z double").collect() if not np.isnan(r["z"]))
-    z, t = np.array([z for _, z, _ in found]), np.array([y for _, _, y in found], float)
-    net.slope, net.shift = calibrate(z, t, share) if len(z) else (1.0, 0.0)
+    found = sorted((r["doc_id"], r["z"], r["y"], r["held"]) for r in texts.mapInArrow(
+        _highest(net, rest), "doc_id long, y int, z double, held long").collect() if not np.isnan(r["z"]))
     net.prior = share
+    if found:
+        z, t, n = (np.array([x[k] for x in found], float) for k in (1, 2, 3))
+        # of more windows the highest is higher by chance alone: the count may only lower the odds
+        (net.slope, net.count), net.shift = calibrate(np.stack([z, np.log(n)], axis=1), t, share)
+        if net.count > 0:
+            (net.slope,), net.shift = calibrate(z[:, None], t, share)
+            net.count = 0.0
     return net
 
 
@@ -390,7 +424,10 @@ def score_documents(docs: DataFrame, net: BiGru) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows predicted toxic; rows that repeat stay."""
+    """``docs`` without the rows predicted toxic. Null texts count as empty and
+    get the share of label 1, as texts without words do; rows that repeat a
+    row that stays stay too. ``docs`` may have any other columns; they come
+    back as they are."""
     s = score_documents(docs, train(docs, labels))
     return keep_decided(docs, s.select("doc_id", "row_key", (F.col("predicted") == 0).alias("kept"),
                                        F.lit(False).alias("once")))

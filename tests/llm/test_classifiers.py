@@ -80,8 +80,11 @@ def test_toxicity_of_long_texts(spark, monkeypatch):
     net = T.train(docs, labels)
     known, share = L.labelled_sample(docs, labels, "toxic", 5, 0, T.TRAIN_DOCS)
     rest = sorted((r["doc_id"], r["y"], r["text"]) for r in known.collect())[::4]
-    z, y = T.logits(net, [t for _, _, t in rest]), np.array([y for _, y, _ in rest], float)
-    assert np.allclose((net.slope, net.shift), L.calibrate(z, y, share), rtol=1e-3, atol=1e-3)
+    (z, held), y = T.logits(net, [t for _, _, t in rest]), np.array([y for _, y, _ in rest], float)
+    slopes, shift = L.calibrate(np.stack([z, np.log(held)], axis=1), y, share)
+    if slopes[1] > 0:
+        slopes, shift = [*L.calibrate(z[:, None], y, share)[0], 0.0], L.calibrate(z[:, None], y, share)[1]
+    assert np.allclose((net.slope, net.count, net.shift), (*slopes, shift), rtol=1e-3, atol=1e-3) and net.count <= 0
     score = T.scores(net, [text(i % 2, 8000) for i in range(40)])
     assert (score[::2] < 0.5).mean() > 0.9 and (score[1::2] > 0.5).mean() > 0.9
 
@@ -151,6 +154,67 @@ def test_calibration_gives_the_share_back():
     rng = np.random.default_rng(0)
     y = (rng.random(4000) < 0.5).astype(float)
     z = rng.standard_normal(4000) + 2 * y
-    slope, shift = L.calibrate(z, y, 0.1)
+    (slope,), shift = L.calibrate(z[:, None], y, 0.1)
     weight = np.where(y == 1, 0.1 / y.mean(), 0.9 / (1 - y.mean()))
     assert abs((weight * L.sigmoid(slope * z + shift)).mean() - 0.1) < 0.01 and slope > 1
+
+
+def plain_window(net, words):
+    """A window's log-odds, word by word and in doubles."""
+    w = {k: v.astype(float) for k, v in net.weights.items()}
+    x = net.inputs(words).astype(float)  # rows of embeddings; n-grams have a test of their own
+    states = {}
+    for d in ("f", "b"):
+        h, out = np.zeros(T.HIDDEN), []
+        for row in (x if d == "f" else x[::-1]):
+            n = T.HIDDEN
+            g, u = row @ w[f"x_{d}"] + w[f"c_{d}"], w[f"h_{d}"]
+            update, reset = L.sigmoid(g[:n] + h @ u[:, :n]), L.sigmoid(g[n:2 * n] + h @ u[:, n:2 * n])
+            new = np.tanh(g[2 * n:] + (reset * h) @ u[:, 2 * n:])
+            h = (1 - update) * h + update * new
+            out.append(h)
+        states[d] = out if d == "f" else out[::-1]
+    both = np.concatenate([states["f"], states["b"]], axis=1)
+    att = np.tanh(both @ w["att_w"] + w["att_b"]) @ w["att_u"]
+    share = np.exp(att - att.max())
+    return (share / share.sum()) @ both @ w["out_w"] + w["out_b"][0]
+
+
+def test_embeddings_in_pieces_are_the_means_of_the_n_grams(monkeypatch):
+    net = T.BiGru.fresh({"known": 1})
+    words = ["known", "a", "ünknown", "x" * 5000, "(known)", "..."]
+    vocab, buckets, begins = net.ids(words)
+    want = np.add.reduceat(net.weights["char"][buckets].astype(float), begins, axis=0) / np.diff(begins, append=len(buckets))[:, None]
+    for places in (7, 1 << 17):
+        monkeypatch.setattr(T, "PLACES", places)
+        got = net.inputs(words)
+        assert np.allclose(got[:, T.WORD_DIM:], want, atol=1e-6) and np.array_equal(got[:, :T.WORD_DIM], net.weights["word"][vocab])
+
+
+def test_a_document_scores_as_its_highest_window_recomputed():
+    net = T.BiGru.fresh({"bad": 1, "good": 2})
+    net.slope, net.count, net.shift = 1.5, -0.2, 0.3
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 100):
+        ws = rng.choice(["bad", "good", "other", "words"], n).tolist()
+        starts = T.windows_of(n)
+        z = max(plain_window(net, ws[s:s + T.WINDOW]) for s in starts)
+        assert abs(T.scores(net, [" ".join(ws)])[0] - L.sigmoid(1.5 * z - 0.2 * np.log(len(starts)) + 0.3)) < 1e-4
+
+
+def test_quality_recomputed_from_blocks(spark):
+    import zstandard
+    rng = np.random.default_rng(4)
+    good, bad = ([f"{c}{i}" for i in range(300)] for c in ("fine", "junk"))
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad, 400))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    judge = Q.train(docs, spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int"))
+    long = " ".join(rng.choice(good + bad, 5000))
+    got = judge.scores([long, ""])
+    raw = long.encode()
+    sizes = []
+    for d in (judge.good, judge.bad):
+        c = zstandard.ZstdCompressor(level=Q.LEVEL, dict_data=zstandard.ZstdCompressionDict(d))
+        sizes.append(sum(len(c.compress(raw[i:i + Q.BLOCK])) for i in range(0, len(raw), Q.BLOCK)))
+    z = (sizes[1] - sizes[0]) / len(raw)
+    assert abs(got[0] - L.sigmoid(judge.slope * z + judge.shift)) < 1e-6
