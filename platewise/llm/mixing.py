@@ -16,9 +16,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from platewise.llm.common import helper_names, materialise, row_key, sized_join
+from platewise.operators.validate import with_ordinal
 
 #: Documents that meet in one block.
 BLOCK = 256
@@ -45,18 +45,22 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     what the earlier ones leave exceeds its limit. Works on one row per
     source. Sources without words get 0."""
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source")))
+    by = with_ordinal(by.orderBy(F.col("source").isNull(), "source"), "place")
     weights = F.array(*[F.lit(float(w)) for w in WEIGHTS])
-    by = by.withColumn("weight", F.element_at(weights, (F.pmod(place - 1, F.lit(len(WEIGHTS))) + 1).cast("int")))
-    by = by.withColumn("limit", (F.lit(MOST_COPIES) * F.col("source_size")).cast("double"))
-    order = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    whole, before = Window.partitionBy(), order.rowsBetween(Window.unboundedPreceding, -1)
-    by = (by.withColumn("left", F.sum("source_size").over(whole) - F.coalesce(F.sum("limit").over(before), F.lit(0.0)))
-          .withColumn("open", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-          .withColumn("stopped", F.col("limit") / F.col("weight") < F.col("left") / F.col("open")))
-    level = F.max(F.when(~F.col("stopped"), F.col("left") / F.col("open"))).over(whole)
+    by = by.withColumn("weight", F.element_at(weights, (F.pmod("place", F.lit(len(WEIGHTS))) + 1).cast("int")))
+    by = materialise(by.withColumn("limit", (F.lit(MOST_COPIES) * F.col("source_size")).cast("double")), "mix-sources")
+    # the level, words per weight, that the open sources share; more stop as it rises
+    level, stopped, before = 0.0, F.lit(False), -1
+    while True:
+        left, open_, count = by.agg(
+            F.sum("source_size") - F.sum(F.when(stopped, F.col("limit")).otherwise(0.0)),
+            F.sum(F.when(stopped, 0.0).otherwise(F.col("weight"))), F.count_if(stopped)).first()
+        if count == before:
+            break
+        level, before = (left / open_ if open_ else level), count
+        stopped = F.col("limit") / F.col("weight") < F.lit(level)
     return by.select("source", "source_size",
-                     F.when(F.col("stopped"), F.col("limit")).otherwise(F.col("weight") * level).alias("target"))
+                     F.when(stopped, F.col("limit")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
 _STATE = "struct<key:bigint,words:bigint,part:double>"
