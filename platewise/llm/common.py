@@ -8,6 +8,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -19,6 +20,9 @@ from platewise.session import scratch_dir
 #: A side of a join is broadcast only when its counted rows are at most this
 #: many (rows of a few dozen bytes: some 20 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 300_000
+#: Rows of whole texts that go to a Python worker at a time, a few MB; the
+#: copies of a batch that the executor and its workers hold are all bounded so.
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +38,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile hands its Python workers ``ARROW_ROWS`` rows
+    at a time (or fewer, if the session says so)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) < ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
     """``big`` joined with ``small``; ``small`` (a written table: counting it
     is cheap) is broadcast while its row count is bounded, else both sides
