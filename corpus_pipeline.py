@@ -2,14 +2,16 @@
 
 Toxic documents go, then exact copies, then near duplicates (one document of
 each group stays); what is left is mixed to its sources' target weights and
-encoded for training. Each stage reads what the one before wrote.
+encoded for training. Each stage reads what the one before wrote. Executors
+keep what the largest of their batches took, so the stages' passes over whole
+texts take small ones, and their results are written within the stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platewise.llm.common import materialise, table
+from platewise.llm.common import materialise, small_batches, table
 from platewise.llm.exact_dedup import drop_copies
 from platewise.llm.minhash import drop_near_duplicates
 from platewise.llm.mixing import mixed_documents
@@ -20,17 +22,20 @@ from platewise.llm.toxicity import drop_toxic
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the recurrent scorer, fitted on the labelled rows of
     ``docs``, doesn't predict toxic."""
-    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+    with small_batches(spark):
+        return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal but for white space."""
-    return drop_copies(docs)
+    with small_batches(spark):
+        return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a shingle similarity of 0.8 or more."""
-    return drop_near_duplicates(docs)
+    with small_batches(spark):
+        return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +46,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, with digests of the ids and of the text they
     decode to."""
-    return encode_documents(docs).drop("row_key")
+    with small_batches(spark):
+        return materialise(encode_documents(docs).drop("row_key"), "pipeline-encoded")
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing),
