@@ -23,10 +23,16 @@ def post(answers: DataFrame, name: str) -> str:
     return folder
 
 
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a shared path, and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path)
+
+
 def collected(folder: str, part: int, columns: list[str]) -> pa.Table | None:
     """In a task: the answers for a partition, None when there are none."""
-    local = folder.removeprefix("file://") if folder.startswith("file:") else folder
-    fs, root = pa.fs.FileSystem.from_uri(local) if "://" in local else (pa.fs.LocalFileSystem(), local)
+    fs, root = file_system(folder)
     found = fs.get_file_info(pa.fs.FileSelector(f"{root}/part={part}", allow_not_found=True))
     tables = [pa.parquet.read_table(f.path, columns=columns, filesystem=fs, partitioning=None)
               for f in found if f.path.endswith(".parquet")]
