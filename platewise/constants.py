@@ -174,7 +174,8 @@ LABELS = {
 # Layer precedence for label overlays: later (higher) wins.
 LABEL_LAYERS = {"common": 0, "predictions": 1}
 
-# Columns of the planning-table download, in display order, and the columns it
+# --- fixed values: the planning-table download ---------------------------------
+# Its columns, in display order, and the columns it
 # leaves out.
 REPORT_DROP = [
     "weekday", "month", "is_bridge_day", "weather_condition", "temperature_max",
