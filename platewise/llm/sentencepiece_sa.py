@@ -32,7 +32,7 @@ SPACE = "▁"
 REMEMBERED = 300_000
 #: Distinct words that are laid end to end at a time; a word of more than
 #: ``LONG`` characters is a batch by itself.
-WORDS, LONG = 20_000, 400
+WORDS, LONG = 8_000, 100
 _FAR = np.iinfo(np.int64).max
 
 
@@ -376,7 +376,7 @@ def decode(model: Model, ids: np.ndarray) -> str:
     return raw.decode("utf-8", "replace").replace(SPACE, " ")[1:]
 
 
-def encode_documents(docs: DataFrame, path: str = MODEL, keep_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str = MODEL, keep_ids: bool = True, piece_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored):
     doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip, row_key and,
     with ``keep_ids``, token_ids (array of int).
@@ -385,7 +385,8 @@ def encode_documents(docs: DataFrame, path: str = MODEL, keep_ids: bool = True)
     ids as little-endian 32-bit numbers, ``decoded_sha256`` of the decoded
     text in UTF-8; ``round_trip`` says whether that equals the text (a text
     that holds U+2581 comes back with spaces). Null texts count as empty and
-    have no ids. The vocabulary at ``path`` is read by the driver and goes to
+    have no ids. A worker takes ``piece_bytes`` of text at a time (a longer
+    text by itself). The vocabulary at ``path`` is read by the driver and goes to
     the tasks as a broadcast variable (a few MB, whatever the input), unpacked
     once in a process."""
     held = docs.sparkSession.sparkContext.broadcast(load(path))
@@ -393,7 +394,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL, keep_ids: bool = True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(held.value))
         model = encoder.model
-        for b in slices(batches):
+        for b in slices(batches, max_bytes=piece_bytes):
             texts = b.column("text").to_pylist()
             ids = encoder.encode(texts)
             back = [decode(model, x) for x in ids]
