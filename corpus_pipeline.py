@@ -47,7 +47,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, with digests of the ids and of the text they
     decode to."""
     with small_batches(spark):
-        return materialise(encode_documents(docs).drop("row_key"), "pipeline-encoded")
+        return materialise(encode_documents(docs, piece_bytes=1 << 20).drop("row_key"), "pipeline-encoded")
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing),
