@@ -3,6 +3,8 @@ they learn from, and the calibration of their scores."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +36,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     return texts, 0.5 if share is None else float(share)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, share: float) -> tuple[list[float], float]:
+def calibrate(x: np.ndarray, y: np.ndarray, share: float, damping: Sequence[float] = (1e-3,)) -> tuple[list[float], float]:
     """(slopes, shift) of the log-odds of label 1 given the columns of ``x``:
     logistic regression by damped Newton steps. The sample is weighted so that
-    label 1 has its ``share`` of all labelled rows. With one class the shift
-    alone gives that share."""
+    label 1 has its ``share`` of all labelled rows. ``damping`` draws each
+    column's slope (per standard deviation) to 0, as so many rows would. With
+    one class the shift alone gives that share."""
     if len(np.unique(y)) < 2:
         share = min(max(share, 0.01), 0.99)
         return [0.0] * x.shape[1], float(np.log(share / (1 - share)))
@@ -47,10 +50,10 @@ def calibrate(x: np.ndarray, y: np.ndarray, share: float) -> tuple[list[float],
     scale[scale == 0] = 1.0
     x = np.column_stack([(x - middle) / scale, np.ones(len(x))])
     a = np.array([1.0] + [0.0] * (x.shape[1] - 1))
-    damp = np.array([1e-3] * (x.shape[1] - 1) + [0.0])  # of the slopes
+    damp = np.array([*damping, 0.0])  # not of the shift
     for _ in range(200):
         p = sigmoid(x @ a)
         r, q = weight * (p - y), weight * p * (1 - p) + 1e-9
-        a = a - 0.5 * np.linalg.solve((x * q[:, None]).T @ x + 1e-3 * np.eye(len(a)), x.T @ r + damp * a)
+        a = a - 0.5 * np.linalg.solve((x * q[:, None]).T @ x + np.diag(np.maximum(damp, 1e-3)), x.T @ r + damp * a)
     slopes = a[:-1] / scale
     return slopes.tolist(), float(a[-1] - slopes @ middle)

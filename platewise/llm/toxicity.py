@@ -33,6 +33,9 @@ HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
 CHAR_BUCKETS = 1 << 15
 #: Lengths of the character n-grams, with marks at the word's ends.
 GRAMS = (3, 4, 5)
+#: Of the calibration's slopes, of the score and of the windows' number: of the
+#: sample few texts have many windows.
+DAMPING = (1e-3, 5.0)
 #: Characters whose n-grams are looked up at a time.
 PLACES = 1 << 17
 #: Words of the vocabulary occur in so many training documents at least.
@@ -398,7 +401,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out_mod: int = 5, held_out: i
     if found:
         z, t, n = (np.array([x[k] for x in found], float) for k in (1, 2, 3))
         # of more windows the highest is higher by chance alone: the count may only lower the odds
-        (net.slope, net.count), net.shift = calibrate(np.stack([z, np.log(n)], axis=1), t, share)
+        (net.slope, net.count), net.shift = calibrate(np.stack([z, np.log(n)], axis=1), t, share, DAMPING)
         if net.count > 0:
             (net.slope,), net.shift = calibrate(z[:, None], t, share)
             net.count = 0.0

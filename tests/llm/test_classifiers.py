@@ -81,7 +81,7 @@ def test_toxicity_of_long_texts(spark, monkeypatch):
     known, share = L.labelled_sample(docs, labels, "toxic", 5, 0, T.TRAIN_DOCS)
     rest = sorted((r["doc_id"], r["y"], r["text"]) for r in known.collect())[::4]
     (z, held), y = T.logits(net, [t for _, _, t in rest]), np.array([y for _, y, _ in rest], float)
-    slopes, shift = L.calibrate(np.stack([z, np.log(held)], axis=1), y, share)
+    slopes, shift = L.calibrate(np.stack([z, np.log(held)], axis=1), y, share, T.DAMPING)
     if slopes[1] > 0:
         slopes, shift = [*L.calibrate(z[:, None], y, share)[0], 0.0], L.calibrate(z[:, None], y, share)[1]
     assert np.allclose((net.slope, net.count, net.shift), (*slopes, shift), rtol=1e-3, atol=1e-3) and net.count <= 0
