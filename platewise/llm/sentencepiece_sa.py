@@ -17,7 +17,6 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +32,15 @@ REMEMBERED = 300_000
 #: Distinct words that are laid end to end at a time; a word of more than
 #: ``LONG`` characters is a batch by itself.
 WORDS, LONG = 8_000, 100
+#: Slots of the filter before the search for a pair of pieces, as a power of 2.
+SLOT_BITS = 22
 _FAR = np.iinfo(np.int64).max
 
 
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 class Model:
     """A BPE model with byte fallback. Pieces have ranks: single characters
     first, then the others in the order in which merging prefers them."""
@@ -125,6 +130,10 @@ class Model:
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         lengths = np.array([len(p) for p in self.pieces])
         self.lengths = lengths
+        #: Slots that hold a pair's key, by its hash: most keys looked up are no pair's.
+        self.taken = np.zeros(1 << SLOT_BITS, bool)
+        self.taken[_slots(self.pair_keys)] = True
+        self._last_table: tuple | None = None  # of the last batch's alphabet
         #: Code points of the pieces that occur, padded with 0.
         self.points = np.zeros((n, lengths.max()), np.uint32)
         for r, p in enumerate(self.pieces):
@@ -140,8 +149,10 @@ class Model:
         at, limit = np.arange(len(a)), np.full(len(a), _FAR)
         while len(at):
             keys = a * n + b
-            k = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-            joins = np.where(self.pair_keys[k] == keys, self.pair_ranks[k], _FAR) < limit
+            some = np.flatnonzero(self.taken[_slots(keys)])
+            k = np.minimum(np.searchsorted(self.pair_keys, keys[some]), len(self.pair_keys) - 1)
+            joins = np.zeros(len(at), bool)
+            joins[some] = (self.pair_keys[k] == keys[some]) & (self.pair_ranks[k] < limit[some])
             out[at[joins]] = False
             on = ~joins & (np.maximum(a, b) >= self.singles)
             at, a, b = at[on], a[on], b[on]
@@ -160,9 +171,11 @@ class Model:
         first = np.cumsum(size + 1) - size - 1
         start, end, piece = self._edges(text)
         position = (np.arange(len(text)) - np.repeat(first, size + 1))[start]
+        if len(text) and size.max() < 1 << 16:
+            position = position.astype(np.uint16)  # is sorted by its digits
         ordered = np.argsort(position, kind="stable")  # by position in the word
         start, end, piece, position = start[ordered], end[ordered], piece[ordered], position[ordered]
-        cuts = np.searchsorted(position, np.arange(position[-1] + 2))
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(position))])
         last = np.full(len(text) + 1, -1, np.int64)  # the piece that ends there
         last[end[:cuts[1]]] = piece[:cuts[1]]
         for lo, hi in zip(cuts[1:-1], cuts[2:]):
@@ -228,9 +241,7 @@ class Model:
 
     def _edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, rank) of every occurrence of every piece."""
-        alphabet = np.unique(text)  # 0, the words' end, first
-        bits = max(1, int(len(alphabet)).bit_length())
-        per = 63 // bits  # characters in one key
+        alphabet, bits, per, ranks, lengths, bounds = self._table(np.unique(text))
         width = self.points.shape[1]
         codes = np.searchsorted(alphabet, text).astype(np.int64)
         codes = np.concatenate([codes, np.zeros(2 * width + per, np.int64)])
@@ -243,18 +254,9 @@ class Model:
             keys.append(k)
         suffixes = np.lexsort(keys[::-1]) if levels > 1 else np.argsort(keys[0], kind="stable")
         keys = [k[suffixes] for k in keys]
-        # the pieces over the same alphabet
-        where = np.minimum(np.searchsorted(alphabet, self.points), len(alphabet) - 1)
-        inside = (alphabet[where] == self.points) | (self.points == 0)
-        ranks = np.flatnonzero(inside.all(axis=1) & self.reached)
-        lengths, where = self.lengths[ranks], where[ranks]
-        where = np.concatenate([where, np.zeros((len(ranks), levels * per - width), where.dtype)], axis=1)
         low, high = np.zeros(len(ranks), np.int64), np.full(len(ranks), len(text), np.int64)
         for v in range(levels):
-            a, b = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
-            for c in range(v * per, (v + 1) * per):
-                a = (a << bits) | np.where(c < lengths, where[:, c], 0)
-                b = (b << bits) | np.where(c < lengths, where[:, c], (1 << bits) - 1)
+            a, b = bounds[v]
             live = np.flatnonzero((lengths > v * per) & (low < high))
             if v == 0:
                 low[live] = np.searchsorted(keys[0], a[live], side="left")
@@ -270,12 +272,55 @@ class Model:
         start = suffixes[place]
         return start, start + self.lengths[piece], piece
 
+    def _table(self, alphabet: np.ndarray) -> tuple:
+        """An alphabet that holds the given one (0, the words' end, first), the
+        bits of a character, the characters in one key, and the pieces over
+        that alphabet, by their characters: ranks, lengths and, for each key,
+        its least and greatest values. The last table serves the next batch
+        too while its characters take the same bits."""
+        bits = max(1, int(len(alphabet)).bit_length())
+        if self._last_table and self._last_table[1] == bits:
+            both = np.union1d(self._last_table[0], alphabet)
+            if len(both) == len(self._last_table[0]):
+                return self._last_table
+            if len(both).bit_length() == bits:
+                alphabet = both
+        per, width = 63 // bits, self.points.shape[1]
+        levels = -(-width // per)
+        where = np.minimum(np.searchsorted(alphabet, self.points), len(alphabet) - 1)
+        inside = (alphabet[where] == self.points) | (self.points == 0)
+        ranks = np.flatnonzero(inside.all(axis=1) & self.reached)
+        ranks = ranks[np.lexsort(where[ranks].T[::-1])]
+        lengths, where = self.lengths[ranks], where[ranks]
+        where = np.concatenate([where, np.zeros((len(ranks), levels * per - width), where.dtype)], axis=1)
+        bounds = []
+        for v in range(levels):
+            a, b = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
+            for c in range(v * per, (v + 1) * per):
+                a = (a << bits) | np.where(c < lengths, where[:, c], 0)
+                b = (b << bits) | np.where(c < lengths, where[:, c], (1 << bits) - 1)
+            bounds.append((a, b))
+        self._last_table = alphabet, bits, per, ranks, lengths, bounds
+        return self._last_table
+
 
 @lru_cache(maxsize=2)
 def load(path: str = MODEL) -> Model:
     return Model(path)
 
 
+class _Places(dict):
+    """Words' places, as they come; new ones are listed."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """Encodes batches of texts; remembers the words it has met."""
 
@@ -286,8 +331,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.lengths = np.empty(0, np.int32), np.empty(0, np.int64)
+        self.place = _Places()
+        #: All ids, and where each word's begin and how many they are.
+        self.flat, self.first, self.lengths = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def words(self, text: str) -> list[str]:
         """A text's words, each without the space before it; further spaces
@@ -301,18 +347,20 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > REMEMBERED:
             self._forget()
-        words = [self.words(t) for t in texts]
         place = self.place
-        new = list({w for ws in words for w in ws if w not in place})
-        if new:
-            self._learn(new)
-        first = np.cumsum(self.lengths) - self.lengths
+        held = [np.fromiter(map(place.__getitem__, ws), np.int64, len(ws)) for ws in map(self.words, texts)]
+        if place.new:
+            try:
+                self._learn(place.new)
+            except BaseException:
+                self._forget()
+                raise
+            place.new = []
         out = []
-        for ws in words:
-            at = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
+        for at in held:
             n = self.lengths[at]
             total = int(n.sum())
-            out.append(self.flat[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(total)])
+            out.append(self.flat[np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(total)])
         return out
 
     def _learn(self, words: list[str]) -> None:
@@ -328,41 +376,44 @@ class Encoder:
         double[first[1:] - 1] = False
         alone = np.logical_or.reduceat(double, first)
         split = {int(i): model.foreign.split(spaced[i]) for i in np.flatnonzero(odd & ~alone)}
-        parts = [spaced[i] for i in np.flatnonzero(~odd & ~alone)]
-        place = {p: i for i, p in enumerate(parts)}
+        plain = np.flatnonzero(~odd & ~alone)
+        parts = [spaced[i] for i in plain.tolist()]
+        place: dict[str, int] = {}
         for s in split.values():
             for p in s[::2]:
                 if p and p not in place:
                     place[p] = len(parts)
                     parts.append(p)
-        ids, n = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-        for long, run in groupby(range(len(parts)), lambda i: len(parts[i]) > LONG):
-            run = list(run)
-            for i in range(0, len(run), 1 if long else WORDS):
-                some = [parts[j] for j in run[i:i + (1 if long else WORDS)]]
-                found = (model.encode_long(some[0]), None) if long else model.encode_words(some)
-                ids.append(found[0])
-                n.append([len(found[0])] if long else found[1])
-        ids, n = np.concatenate(ids), np.concatenate(n)
-        begin = np.cumsum(n) - n
-        plain = len(parts) and int((~odd & ~alone).sum())
-        got, count = [ids[:int(n[:plain].sum())]], [n[:plain]]
-        order = np.flatnonzero(~odd & ~alone).tolist()
+        long = np.fromiter(map(len, parts), np.int64, len(parts)) > LONG
+        short, long = np.flatnonzero(~long), np.flatnonzero(long)
+        n, got = np.zeros(len(parts), np.int64), [np.empty(0, np.int32)]
+        for k in range(0, len(short), WORDS):
+            some = short[k:k + WORDS]
+            ids, n[some] = model.encode_words([parts[i] for i in some.tolist()])
+            got.append(ids)
+        for i in long.tolist():
+            got.append(model.encode_long(parts[i]))
+            n[i] = len(got[-1])
+        ids, order = np.concatenate(got), np.concatenate([short, long])
+        begin = np.empty(len(parts), np.int64)
+        begin[order] = np.cumsum(n[order]) - n[order]
+        # where every word's ids begin, and how many they are
+        first, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        first[plain], count[plain] = begin[:len(plain)], n[:len(plain)]
+        got, end = [ids], len(ids)
         for i, s in split.items():
-            x = np.concatenate([ids[begin[place[p]]:begin[place[p]] + n[place[p]]] if k % 2 == 0
-                                else model.byte_ids[list(p.encode("utf-8", "surrogatepass"))]
-                                for k, p in enumerate(s) if p])
-            got.append(x)
-            count.append([len(x)])
-            order.append(i)
+            got.append(np.concatenate([ids[begin[place[p]]:begin[place[p]] + n[place[p]]] if k % 2 == 0
+                                       else model.byte_ids[list(p.encode("utf-8", "surrogatepass"))]
+                                       for k, p in enumerate(s) if p]))
+            first[i], count[i] = end, len(got[-1])
+            end += len(got[-1])
         for i in np.flatnonzero(alone).tolist():
-            got.append(x := model.encode_any(spaced[i]))
-            count.append([len(x)])
-            order.append(i)
-        base = len(self.place)
-        self.place.update((words[i], base + k) for k, i in enumerate(order))
+            got.append(model.encode_any(spaced[i]))
+            first[i], count[i] = end, len(got[-1])
+            end += len(got[-1])
+        self.first = np.concatenate([self.first, first + len(self.flat)])
+        self.lengths = np.concatenate([self.lengths, count])
         self.flat = np.concatenate([self.flat, *got])
-        self.lengths = np.concatenate([self.lengths, *count]).astype(np.int64)
 
 
 #: One encoder per process: tasks that follow each other share what it remembers.

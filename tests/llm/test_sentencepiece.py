@@ -73,3 +73,25 @@ def test_long_words_by_the_suffix_array():
     text = "short " + "abc" * 20_000 + " words 日本" + "zq" * 1_000
     library = sentencepiece.SentencePieceProcessor(model_file=S.MODEL)
     assert S.Encoder(model).encode([text])[0].tolist() == library.encode(text)
+
+
+def test_a_table_of_pieces_serves_batches_of_the_same_characters(library):
+    model = S.load()
+    encoder = S.Encoder(model)
+    tables = []
+    for texts in (["the quick brown fox jumps over the lazy dog"], ["dogs fix every quartz lamp now just behind the cow"],
+                  ["dogs", "a" * 300], ["Ünïcode and digits 0123 zq"]):
+        assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t) for t in texts]
+        tables.append(model._last_table)
+    assert tables[0] is tables[1] and tables[2] is not tables[1]
+
+
+def test_pairs_are_filtered_before_they_are_searched():
+    model = S.load()
+    rng = np.random.default_rng(0)
+    n = len(model.pieces)
+    a, b = rng.integers(0, n, 5000), rng.integers(0, n, 5000)
+    some = rng.choice(model.pair_keys, 5000)
+    a, b = np.concatenate([a, some // n]), np.concatenate([b, some % n])
+    assert model.taken[S._slots(model.pair_keys)].all()
+    assert model.neighbours(a, b).tolist() == [model._adjoin(x, y) for x, y in zip(a.tolist(), b.tolist())]
